@@ -64,11 +64,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame, name: str, *by: str) -> tuple[DataFrame, str]:
-    """Writes a table to the shared folder and reads it back, so that a lost executor costs only what follows."""
+    """Writes a table to the shared folder and reads it back, so that a lost executor costs only what follows.
+
+    The shuffle files of this one write are released when it ends; the session's own setting is put back.
+    """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
+    path, setting = scratch_path(spark, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(*by) if by else writer).parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -8,7 +8,9 @@ pass a group of equal suffixes is exactly one repeated window. The digits, most
    of the shuffle. Groups of one row are unique and leave the sort here.
 2. All bytes of the run of windows. Rows that agree are repeats as a whole (whole copies of texts end here), and only
    the first of each group goes on, if its first digit has other groups.
-3. The whole window, one row for each suffix of the runs that are left. Equal groups are the repeated windows.
+3. The core: windows of a run fall into five blocks by the place of the first digit in them, and the windows of a block
+   have most of their bytes in common. A block whose core no other block has is unique and leaves the sort here.
+4. The whole window, one row for each suffix of the blocks that are left. Equal groups are the repeated windows.
 
 Each pass first drops within a task what an earlier row of that task settles, so a passage that many documents share
 reaches the next task a few times only. Windows are compared by 64-bit hashes of their bytes, two independent ones in
@@ -22,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import NULL_ID, bounded_batches, crc32, key, keyed_texts, mixed, remove, saved, slices, unkey
+from scenelake.llm.common import NULL_ID, bounded_batches, crc32, key, keyed_texts, mixed, saved, slices, unkey
 
 DIGIT = 32
 #: Bytes of text hashed at once, and the longest part of a text: positions within it take 24 bits.
@@ -87,7 +90,10 @@ class _Parts:
 
 
 def _runs(keys: list[int], bodies: list[bytes], window: int) -> list[np.ndarray]:
-    """Columns digit 1, digit 2, key, start, length - 1 of the runs of windows that share a minimiser."""
+    """Columns digit 1, digit 2, key, start, shape of the runs of windows that share a minimiser.
+
+    The shape is (windows - 1) * 128 + the minimiser's place in the first window.
+    """
     parts = _Parts(keys, bodies, window)
     if not len(parts.x):
         return [np.zeros(0, np.int64)] * 5
@@ -100,14 +106,25 @@ def _runs(keys: list[int], bodies: list[bytes], window: int) -> list[np.ndarray]
     whole = _spans(parts.x, window, 0)
     digit = mixed(mixed(whole[first]) * np.uint64(3) + mixed(whole[last]) + (last - first).astype(np.uint64))
     k, at = parts.where(first)
-    return [h[low[first]].view(np.int64), digit.view(np.int64), k, at, last - first]
+    return [h[low[first]].view(np.int64), digit.view(np.int64), k, at, (last - first) * 128 + low[first] - first]
+
+
+def _blocks(start: int, shape: int, window: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(block, first window, last window, core from, core to) of a run: windows by the minimiser's place in them."""
+    slack, least = window - DIGIT, start + shape % 128
+    step = -(-slack // 4)
+    for block in range(slack // step + 1):
+        low, high = block * step, min(slack, block * step + step - 1)  # places of the minimiser
+        a, b = max(start, least - high), min(start + shape // 128, least - low)
+        if a <= b:
+            yield block, a, b, least - low, least + DIGIT + slack - high
 
 
 def _suffixes(keys: list[int], bodies: list[bytes], wanted: list[list[tuple[int, int]]], window: int) -> list[np.ndarray]:
-    """Columns hash, other hash, key, start of the windows that start within (start, length - 1) of each text."""
+    """Columns hash, other hash, key, start of the windows whose starts lie within (first, last) of each text."""
     out = []
     for k, body, spans in zip(keys, bodies, wanted, strict=True):
-        at = np.unique(np.concatenate([np.arange(a, a + n + 1) for a, n in spans]))
+        at = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in spans]))
         at = at[at <= len(body) - window]
         for start in range(0, len(body), PART):
             some = at[(at >= start) & (at < start + PART)]
@@ -187,22 +204,26 @@ def dedup_windows(docs: DataFrame, window: int = 100, text: bool = False) -> Dat
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = (s for b in batches for s in slices(b, most=PART))
-        return _combined((_runs(s.column(0).to_pylist(), s.column(1).to_pylist(), window) for s in parts), ["d1", "d2", "k", "at", "more", "late"])
-
-    rows = bodies.mapInArrow(runs, "d1 long, d2 long, k long, at long, more long, late boolean")
-    place = F.struct("k", "at")
-    one, run = Window.partitionBy("d1"), Window.partitionBy("d1", "d2").orderBy("k", "at")
+        found = (_runs(s.column(0).to_pylist(), s.column(1).to_pylist(), window) for s in parts)
+        for batch in _combined(found, ["d1", "d2", "k", "at", "shape", "late"]):
+            at, shape, late = (c.to_numpy(zero_copy_only=False) for c in batch.columns[3:])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(at << 16 | shape << 2 | late)], names=["d1", "d2", "k", "code"])
+
+    # code: start << 16 | shape << 2 | 1 if repeated, 2 if to be sorted further; it grows with the start
+    rows = bodies.mapInArrow(runs, "d1 long, d2 long, k long, code long")
+    place = F.struct("k", F.shiftright("code", 16).alias("at"))
+    one, run = Window.partitionBy("d1"), Window.partitionBy("d1", "d2").orderBy("k", "code")
     rows = rows.withColumn("first", F.first(place).over(run)).withColumns({"low": F.min("d2").over(one), "high": F.max("d2").over(one)})
-    late = F.col("late") | (place > F.col("first"))
-    rows = rows.select("k", F.when(late, 1).when(F.col("low") != F.col("high"), 2).alias("what"), "at", "more").where("what is not null")
-    code = F.col("at") * 1024 + F.col("more") * 4 + F.col("what")
-    found, found_path = saved(rows.groupBy("k").agg(F.collect_list(code).alias("codes")), "windows-found")
+    late = (F.col("code") % 4 == 1) | (place > F.col("first"))
+    rows = rows.select("k", F.when(late, 1).when(F.col("low") != F.col("high"), 2).alias("what"), "code").where("what is not null")
+    code = F.shiftleft(F.shiftright("code", 2), 2) + F.col("what")
+    found, _ = saved(rows.groupBy("k").agg(F.collect_list(code).alias("codes")), "windows-found")
 
     kinds = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, input_crc32 long" * text
     names = [x.split()[0] for x in kinds.split(", ")]
 
-    def spans_of(codes: list[int] | None, what: int) -> list[tuple[int, int]]:
-        return [(c >> 10, c >> 2 & 255) for c in codes or () if c & 3 == what]
+    def spans_of(codes: list[int] | None) -> list[tuple[int, int]]:
+        return [(c >> 16, (c >> 16) + (c >> 9 & 127) + window) for c in codes or () if c & 3 == 1]
 
     def result(k: int, body: bytes, spans: list[tuple[int, int]]) -> tuple:
         if not spans:
@@ -216,48 +237,47 @@ def dedup_windows(docs: DataFrame, window: int = 100, text: bool = False) -> Dat
         return pa.RecordBatch.from_arrays([pa.array(c, schema.field(n).type) for n, c in zip(names, zip(*rows, strict=True), strict=True)], schema=schema)
 
     one_schema = pa.schema([(n, pa.string() if "kept" in n else pa.int64()) for n in names])
-    part_schema = pa.schema([*one_schema, ("body", pa.binary()), ("codes", pa.list_(pa.int64()))])
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch):
-                out = []
-                for k, body, codes in zip(*[c.to_pylist() for c in some.columns], strict=True):
-                    if any(c & 3 == 2 for c in codes or ()):
-                        out.append((k, *[None] * (len(names) - 1), body, codes))
-                    else:
-                        out.append((*result(k, body, [(a, a + n + window) for a, n in spans_of(codes, 1)]), None, None))
-                yield batch_of(out, part_schema.names, part_schema)
-
-    joined = bodies.join(found, "k", "left").select("k", "body", "codes")
-    partly, _ = saved(joined.mapInArrow(settle, kinds + ", body binary, codes array<long>"), "windows-partly")
-    remove(spark, found_path)
-    open_, done = partly.where("body is not null").select("k", "body", "codes"), partly.where("body is null").select(*names)
+            out = []
+            for k, body, codes in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for c in codes:
+                    for block, a, b, start, stop in _blocks(c >> 16, c >> 2 & 0x3FFF, window):
+                        out.append((xxhash.xxh3_64_intdigest(body[start:stop], block) - (1 << 63), k, a << 8 | b - a))
+            columns = list(zip(*out, strict=True)) if out else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["core", "k", "span"])
+
+    open_ = found.select("k", F.filter("codes", lambda c: c % 4 == 2).alias("codes")).where("size(codes) > 0")
+    spot, core = F.struct("k", "span"), Window.partitionBy("core")
+    spans = bodies.join(open_, "k").select("k", "body", "codes").mapInArrow(cores, "core long, k long, span long")
+    spans = spans.withColumns({"low": F.min(spot).over(core), "high": F.max(spot).over(core)}).where("low < high")
+    spans, _ = saved(spans.groupBy("k").agg(F.collect_set("span").alias("spans")), "windows-cores")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[list[np.ndarray]]:
             for b in batches:
                 for s in slices(b, most=PART):
-                    k, body, codes = [c.to_pylist() for c in s.columns]
-                    yield _suffixes(k, body, [spans_of(c, 2) for c in codes], window)
+                    k, body, wanted = [c.to_pylist() for c in s.columns]
+                    yield _suffixes(k, body, [[(x >> 8, (x >> 8) + (x & 255)) for x in w] for w in wanted], window)
 
         return _combined(rows(), ["d1", "d2", "k", "at", "late"])
 
-    last = open_.mapInArrow(suffixes, "d1 long, d2 long, k long, at long, late boolean")
-    last = last.withColumn("first", F.first(place).over(run)).where(late)
-    starts = last.groupBy("k").agg(F.collect_list("at").alias("starts"))
+    last = bodies.join(spans, "k").select("k", "body", "spans").mapInArrow(suffixes, "d1 long, d2 long, k long, at long, late boolean")
+    spot = F.struct("k", "at")
+    last = last.withColumn("first", F.first(spot).over(Window.partitionBy("d1", "d2").orderBy("k", "at"))).where(F.col("late") | (spot > F.col("first")))
+    starts, _ = saved(last.groupBy("k").agg(F.collect_list("at").alias("starts")), "windows-starts")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch):
-                out = []
-                for k, body, codes, at in zip(*[c.to_pylist() for c in some.columns], strict=True):
-                    spans = [(a, a + n + window) for a, n in spans_of(codes, 1)] + [(a, a + window) for a in at or ()]
-                    out.append(result(k, body, spans))
+                rows = zip(*[c.to_pylist() for c in some.columns], strict=True)
+                out = [result(k, body, spans_of(codes) + [(a, a + window) for a in at or ()]) for k, body, codes, at in rows]
                 yield batch_of(out, names, one_schema)
 
-    rest = open_.join(starts, "k", "left").select("k", "body", "codes", "starts").mapInArrow(apply, kinds)
-    return done.unionByName(rest).select(unkey("k").alias("doc_id"), *names[1:])
+    settled = found.join(starts, "k", "full").select("k", "codes", "starts")
+    out = bodies.join(settled, "k", "left").select("k", "body", "codes", "starts").mapInArrow(apply, kinds)
+    return out.select(unkey("k").alias("doc_id"), *names[1:])
 
 
 def remove_repeats(docs: DataFrame, window: int = 100) -> DataFrame:
