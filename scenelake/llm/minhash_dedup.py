@@ -6,9 +6,9 @@ that agree in J of their shingles miss all tables with a probability of about 2
 
 A signature that no other text has cannot be part of a shared key, so keys are formed from signatures that recur. Copies
 of one shingle set are one class from the start. Links are sought in rounds: each text is first compared with the
-smallest text with which it shares most keys, then with the smallest of every bucket it is in, and last with all those
-in its buckets that are still of another group. Texts of one group need no comparison with each other, so a large group
-of near copies costs about one comparison a text. No bucket is gathered in one task.
+smallest text with which it shares most keys, then with the smallest of every bucket it is in, and last with all that
+hang together with it by buckets and are still of another group, block by block. Texts of one group need no comparison
+with each other, so a large group of near copies costs about one comparison a text. No bucket is gathered in one task.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from scenelake.llm.common import WordHashes, bounded_batches, components, key, k
 BANDS = 10
 #: Pairs that share the text of their first document in one task.
 _CHUNK = 500
+#: Documents of a block of the last round.
+_ROWS, _COLUMNS = 256, 1024
 _RANDOM = np.random.default_rng(6011)
 _HASHES = _RANDOM.integers(0, 2**63, (2, 4 * 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -109,6 +111,68 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Data
     return both.mapInArrow(compare, "a long, b long, ok boolean")
 
 
+def _across(docs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links (a, b) between different groups (root) of a cluster; docs: (k, root, cluster).
+
+    Members of a cluster's largest group are compared with the others only. The others are dealt in blocks of about
+    ROWS documents, all documents in blocks of about COLUMNS, and a task compares a block of each by an index from
+    shingles to the documents that hold them; it emits no more links than documents.
+    """
+    sizes = docs.groupBy("cluster", "root").count()
+    sizes = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.sum("count").alias("n"), F.max("count").alias("most"))
+    placed = docs.join(sizes, "cluster").where("n > most")
+    blocks = lambda n, of: F.expr(f"({n} + {of - 1}) div {of}")
+    placed = placed.withColumns({"rows": blocks("(n - most)", _ROWS), "columns": blocks("n", _COLUMNS)})
+    in_row, in_column = F.expr("pmod(xxhash64(k), rows)"), F.expr("pmod(xxhash64(k, 1), columns)")
+    left = placed.where("root <> largest").select("cluster", "k", "root", in_row.alias("i"), F.explode(F.expr("sequence(0L, columns - 1)")).alias("j"), F.lit(0).alias("side"))
+    right = placed.select("cluster", "k", "root", F.explode(F.expr("sequence(0L, rows - 1)")).alias("i"), in_column.alias("j"), F.lit(1).alias("side"))
+    both = left.unionByName(right).join(texts, "k").select("cluster", "i", "j", "side", "k", "root", "body")
+    both = both.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        unit, keys, roots, sets, index = None, [], [], [], None
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        for batch in batches:
+            made = []
+            for cluster, i, j, side, k, root, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if unit != (cluster, i, j):
+                    unit, keys, roots, sets, index = (cluster, i, j), [], [], [], None
+                    up.clear()
+                found = shingle_set(known.of(body.lower().split()), size)
+                if not side:
+                    keys.append(k)
+                    roots.append(root)
+                    sets.append(found)
+                    continue
+                if not keys:
+                    continue
+                if index is None:
+                    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                    order = np.argsort(every, kind="stable")
+                    index = every[order], owner[order], np.array([len(s) for s in sets]), np.array(roots)
+                shingles, owner, lengths, own_roots = index
+                a, b = np.searchsorted(shingles, found), np.searchsorted(shingles, found, side="right")
+                n = b - a
+                at = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(lengths))
+                ok = (common > 0) & (100 * common >= percent * (lengths + len(found) - common)) & (own_roots != root)
+                for r in np.flatnonzero(ok).tolist():
+                    x, y = top(roots[r]), top(root)
+                    if x != y:
+                        up[max(x, y)] = min(x, y)
+                        made.append((keys[r], k))
+            yield pa.RecordBatch.from_arrays([pa.array([m[c] for m in made], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    return both.mapInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) and kept (its own component's first).
 
@@ -165,13 +229,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, bands: in
     attempt(star_of.select(F.col("hub").alias("a"), F.col("k").alias("b")).distinct())
     remove(spark, path)
     labels, path = labels_of()
-    met, met_path = saved(labelled(labels).select("bucket", "k", "root").distinct(), "near-met")
-    other = met.select("bucket", F.col("k").alias("b"), F.col("root").alias("root_b"))
-    cross = met.join(other, "bucket").where("k < b and root <> root_b").select(F.col("k").alias("a"), "b").distinct()
-    attempt(cross)
+    met, met_path = saved(labelled(labels).select("k", "hub", "root").distinct(), "near-met")
+    clusters, clusters_path = components(met.select(F.col("k").alias("a"), F.col("hub").alias("b")), "near-clusters")
+    docs_of = met.select("k", "root").distinct().join(clusters.toDF("node", "cluster"), F.col("k") == F.col("node")).select("k", "root", "cluster")
+    links, links_path = saved(_across(docs_of, texts, percent, size), "near-across")
+    tried = tried.unionByName(links.select("a", "b", F.lit(True).alias("ok")))
     remove(spark, path)
     labels, _ = labels_of()
-    remove(spark, texts_path, members_path, met_path, *paths)
+    remove(spark, texts_path, members_path, met_path, clusters_path, links_path, *paths)
 
     owners = classes.select("e1", "e2", "rep").join(labels, F.col("rep") == F.col("node"), "left")
     owners = owners.select("e1", "e2", F.coalesce("root", "rep").alias("root"))
