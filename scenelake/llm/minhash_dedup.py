@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scenelake.llm.common import WordHashes, bounded_batches, components, key, keyed_texts, mixed, remove, saved, slices, unkey
@@ -230,7 +230,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, bands: in
     remove(spark, path)
     labels, path = labels_of()
     met, met_path = saved(labelled(labels).select("k", "hub", "root").distinct(), "near-met")
-    clusters, clusters_path = components(met.select(F.col("k").alias("a"), F.col("hub").alias("b")), "near-clusters")
+    # each text hangs on its smallest hub, and that on the text's other hubs, which many texts have in common
+    hung = met.select("k", "hub", F.min("hub").over(Window.partitionBy("k")).alias("low"))
+    hung = hung.select(F.col("low").alias("a"), F.col("hub").alias("b")).unionByName(hung.select(F.col("low").alias("a"), F.col("k").alias("b"))).distinct()
+    clusters, clusters_path = components(hung, "near-clusters")
     docs_of = met.select("k", "root").distinct().join(clusters.toDF("node", "cluster"), F.col("k") == F.col("node")).select("k", "root", "cluster")
     links, links_path = saved(_across(docs_of, texts, percent, size), "near-across")
     tried = tried.unionByName(links.select("a", "b", F.lit(True).alias("ok")))
