@@ -80,3 +80,36 @@ def hsv_channel(hue: Column, channel: int, saturation: float = 0.9, value: float
 def quantize(x: Column) -> Column:
     """A colour in 0..1 as a byte, clipped and truncated."""
     return F.least(F.greatest(x * 255, F.lit(0.0)), F.lit(255.0)).cast("int")
+
+
+def projection(k: Column | None, view: Column) -> Column:
+    """4x4 image-from-world matrix: the intrinsics, lifted to 4x4, times the view; the view alone without intrinsics."""
+    if k is None:
+        return view
+    zero = F.lit(0.0)
+    rows = [x for i in range(3) for x in (k[3 * i], k[3 * i + 1], k[3 * i + 2], zero)]
+    return matmul4(F.array(*rows, zero, zero, zero, F.lit(1.0)), view)
+
+
+def target_size(width: Column, height: Column, limit: int = 255_000, tile: int = 14) -> tuple[Column, Column]:
+    """Sides, multiples of ``tile``, of about the frame's shape with at most ``limit`` pixels.
+
+    Sides are rounded half to even; the side that is too long for the shape then gives way, twice at most.
+    """
+    scale = F.sqrt(limit / (width * height))
+    w, h = width * scale, height * scale
+    k, m = F.bround(w / tile).cast("long"), F.bround(h / tile).cast("long")
+    for _ in range(2):
+        over = k * m * tile * tile > limit
+        wide = F.try_divide(k, m) > w / h
+        k, m = F.when(over & wide, k - 1).otherwise(k), F.when(over & ~wide, m - 1).otherwise(m)
+    return F.greatest(k, F.lit(1)) * tile, F.greatest(m, F.lit(1)) * tile
+
+
+# Mean and deviation of the three colour channels.
+CHANNEL_MEAN = (0.485, 0.456, 0.406)
+CHANNEL_STD = (0.229, 0.224, 0.225)
+
+
+def standardize(r: Column, g: Column, b: Column) -> tuple[Column, ...]:
+    return tuple((c - m) / s for c, m, s in zip((r, g, b), CHANNEL_MEAN, CHANNEL_STD, strict=True))

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scenelake.functions import geometry as geo
-from scenelake.operators import align, masks, sampling, stats
+from scenelake.operators import align, masks, sampling, scoring, stats, warp
+from scenelake.streaming import frames as arriving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -338,3 +341,87 @@ def softmax_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_LONG + f"SELECT scene, i, {_r('avg(x)', 'value')} FROM l GROUP BY scene, i")
 def frame_mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.mean_vector(frames(spark, sf_dir), "scene", "e").select("scene", "i", r4("value", "value"))
+
+
+@_query(_PX + f""", g AS (SELECT t, least(greatest((t + 0.5::DOUBLE) * 8 / 12 - 0.5::DOUBLE, 0), 7) AS s FROM range(12) x(t)),
+wt AS (SELECT t, i, 1 - abs(s - i) AS w FROM g, range(8) y(i) WHERE abs(s - i) < 1)
+SELECT scene, frame, a.t AS tv, b.t AS tu, {_r('sum(a.w * b.w * d)', 'd')} FROM px JOIN wt a ON a.i = v JOIN wt b ON b.i = u GROUP BY ALL""")
+def resample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warp.resample_bilinear(pixels(spark, sf_dir), 8, 12).select("scene", "frame", "tv", "tu", r4("d", "d"))
+
+
+@_query(_PX + f"SELECT scene, frame, v, u, {_r('raw', 'raw')} FROM px")
+def tile_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as single tiles of 8 x 8."""
+    tiles = frames(spark, sf_dir).select("scene", "frame", F.lit(0).alias("tv"), F.lit(0).alias("tu"), "e")
+    return warp.expand_tiles(tiles, 8, "e").select("scene", "frame", F.col("v").cast("long").alias("v"), F.col("u").cast("long").alias("u"), r4(F.col("value").cast("double"), "raw"))
+
+
+@_query(_PX + f"""SELECT a.scene, a.frame, a.v, a.u, {_r('CASE WHEN b.conf > 0.5 THEN a.d ELSE 0 END', 'd')} FROM px a
+LEFT JOIN px b ON b.scene = a.scene AND b.frame = a.frame AND b.v = a.v AND b.u = a.u AND b.frame % 2 = 0""")
+def prior_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth priors where an earlier pass over the even frames was sure."""
+    px = pixels(spark, sf_dir)
+    return warp.mask_priors(px.drop("conf"), px.where("frame % 2 = 0"), 0.5).select("scene", "frame", "v", "u", r4("d", "d"))
+
+
+_WARP = _PX + """, mv AS (SELECT px.scene, px.frame, v, u, d, a.c * (u + 0.5::DOUBLE - 4) / 8 * d + a.s * d + a.tx - b.tx AS gx, (v + 0.5::DOUBLE - 4) / 8 * d AS y,
+  -a.s * (u + 0.5::DOUBLE - 4) / 8 * d + a.c * d + a.tz - b.tz AS gz, b.c AS c, b.s AS s FROM px JOIN cam a USING (scene, frame) JOIN cam b ON b.scene = px.scene AND b.frame = px.frame + 1),
+pr AS (SELECT *, (8 * (c * gx - s * gz) + 4 * (s * gx + c * gz)) / (s * gx + c * gz + 1e-4::DOUBLE) AS x2,
+  (8 * y + 4 * (s * gx + c * gz)) / (s * gx + c * gz + 1e-4::DOUBLE) AS y2, s * gx + c * gz AS z FROM mv),
+nr AS (SELECT pr.scene, pr.frame, pr.v, pr.u, pr.d, x2, y2, z, coalesce(sum((1 - abs(y2 - 0.5::DOUBLE - q.v)) * (1 - abs(x2 - 0.5::DOUBLE - q.u)) * q.d), 0) AS bd FROM pr
+  LEFT JOIN px q ON q.scene = pr.scene AND q.frame = pr.frame + 1 AND abs(y2 - 0.5::DOUBLE - q.v) < 1 AND abs(x2 - 0.5::DOUBLE - q.u) < 1 GROUP BY ALL)
+"""
+
+
+@_query(_WARP + f"""SELECT scene, frame, v, u, {_r('2 * x2 / 8 - 1', 'wx')}, {_r('2 * y2 / 8 - 1', 'wy')},
+x2 > 0 AND x2 < 7 AND y2 > 0 AND y2 < 7 AND d > 0 AND bd <> 0 AND abs((bd - z) / nullif(bd, 0)) < 0.05::DOUBLE AS seen FROM nr""".replace("AND bd <> 0 AND abs((bd - z) / nullif(bd, 0)) < 0.05::DOUBLE", "AND coalesce(abs((bd - z) / nullif(bd, 0)) < 0.05::DOUBLE, false)"))
+def warp_covisible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each pixel falls in the next frame of its scene, and whether that frame sees it at about the same depth."""
+    cam = cameras(frames(spark, sf_dir)).select("scene", "frame", "pose")
+    nxt = cam.select("scene", (F.col("frame") - 1).alias("frame"), F.col("frame").alias("other"), geo.se3_inverse(F.col("pose")).alias("inv"))
+    pairs = cam.join(nxt, ["scene", "frame"]).select("scene", "frame", "other", geo.matmul4(F.col("inv"), F.col("pose")).alias("m"))
+    out = warp.warp(pixels(spark, sf_dir), pairs, (8.0, 8.0, 4.0, 4.0), 8, 8)
+    return out.select("scene", "frame", "v", "u", r4("wx", "wx"), r4("wy", "wy"), F.col("mask").alias("seen"))
+
+
+@_query(_PX + f"SELECT scene, frame, {_r('8 * c + 3.5 * s', 'p00')}, {_r('-8 * s + 3.5 * c', 'p02')}, {_r('-(8 * c + 3.5 * s) * tx - (-8 * s + 3.5 * c) * tz', 'p03')} FROM cam")
+def projection_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image-from-world matrices of all cameras."""
+    k = F.array(*[F.lit(x) for x in (8.0, 0.0, 3.5, 0.0, 8.0, 3.5, 0.0, 0.0, 1.0)])
+    p = cameras(frames(spark, sf_dir)).withColumn("p", geo.projection(k, geo.se3_inverse(F.col("pose"))))
+    return p.select("scene", "frame", *[r4(F.col("p")[i], f"p0{i}") for i in (0, 2, 3)])
+
+
+@_query("""SELECT user_id, b * INTERVAL 10 MINUTE + TIMESTAMP '1970-01-01' AS start, count(*) AS n, min(ts) AS first FROM (
+  SELECT user_id, ts, unnest([epoch_us(ts) // 600000000, epoch_us(ts) // 600000000 - 1, epoch_us(ts) // 600000000 - 2]) AS b FROM events)
+WHERE epoch_us(ts) < b * 600000000 + 1500000000 GROUP BY user_id, b""")
+def hopping_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user in windows of 25 minutes that start every 10; streams use the same function."""
+    out = arriving.hopping_counts(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", "25 minutes", "10 minutes")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.col("first").cast("timestamp_ntz").alias("first"))
+
+
+def _lengths(rows: pd.DataFrame) -> pd.DataFrame:
+    e = np.stack(rows["e"]).astype(np.float64)
+    return rows[["scene", "frame"]].assign(score=np.sqrt((e * e).sum(axis=1)))
+
+
+@_query(_PX + f"SELECT scene, frame, {_r('sqrt(sum(raw * raw))', 'score')} FROM px GROUP BY scene, frame")
+def batched_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scorer of the user's, here the length of a frame's vector, on 64 frames at a time."""
+    out = scoring.score_batches(frames(spark, sf_dir), _lengths, "scene long, frame long, score double")
+    return out.select("scene", "frame", r4("score", "score"))
+
+
+def _first_frames(rows: pd.DataFrame) -> pd.DataFrame:
+    e = np.stack(rows["input_e"]).astype(np.float64)
+    return rows[["scene", "chunk", "frame"]].assign(score=e[:, 0] - e[:, 0].mean())
+
+
+@_query(_CHUNKS + f", s AS (SELECT scene, chunk, frame, e[1]::DOUBLE AS x FROM ch JOIN fr USING (scene, frame)) SELECT scene, chunk, frame, {_r('x - avg(x) OVER (PARTITION BY scene, chunk)', 'score')} FROM s")
+def chunk_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scorer of the user's that sees all frames of a chunk at once."""
+    chunked = sampling.assign_chunks(frames(spark, sf_dir)).withColumnRenamed("e", "input_e")
+    out = scoring.score_chunks(chunked, _first_frames, "scene long, chunk long, frame long, score double")
+    return out.select("scene", "chunk", "frame", r4("score", "score"))
