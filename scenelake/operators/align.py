@@ -43,6 +43,16 @@ def _sim3(row: pd.Series, least: int = 10) -> np.ndarray:
     return m
 
 
+def sim3_of(source: np.ndarray, target: np.ndarray, least: int = 10) -> np.ndarray:
+    """The same for the common points (3, n) of one chunk and the one before, as a 4x4 matrix."""
+    n = source.shape[1]
+    ms, mt = source.sum(1) / (n + 1e-6), target.sum(1) / (n + 1e-6)
+    s, t = source - ms[:, None], target - mt[:, None]
+    h = s @ t.T
+    row = {"n": n, "square": (s**2).sum()} | {f"ms{c}": ms[i] for i, c in enumerate("xyz")} | {f"mt{c}": mt[i] for i, c in enumerate("xyz")}
+    return _sim3(row | {f"h{i}{j}": h[i, j] for i in range(3) for j in range(3)}, least)
+
+
 def sim3(moments: DataFrame) -> DataFrame:
     """(scene, chunk, n, m): the similarity that takes a chunk to the one before; identity below ten common pixels."""
 

@@ -5,7 +5,8 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 
-from scenelake.streaming import frames
+from scenelake.operators import align
+from scenelake.streaming import frames, stitching
 
 
 def run(stream, tmp_path, name, mode="append"):
@@ -35,6 +36,43 @@ def test_hopping_counts(spark, tmp_path):
     assert got.sort_values("start")["n"].tolist() == [2, 3, 1]
 
 
+def test_stitch_equals_the_batch(spark, tmp_path):
+    """Twelve frames in chunks of six with an overlap of three: parts of chunks, out of order, some again."""
+    rng = np.random.default_rng(5)
+    world = rng.normal(size=(12, 3, 8))
+    turn = np.array([[0.8, -0.6, 0.0], [0.6, 0.8, 0.0], [0.0, 0.0, 1.0]])
+    rows, pixels = [], []
+    for chunk in range(3):
+        for f in range(3 * chunk, 3 * chunk + 6):
+            p = world[f]
+            for _ in range(chunk):
+                p = 1.3 * turn @ p + np.array([[1.0], [2.0], [chunk]])
+            ok = [v != f % 8 for v in range(8)]
+            rows.append(("s", chunk, f, 6, *p.tolist(), ok))
+            pixels += [("s", chunk, f, 0, i, *p[:, i].tolist(), ok[i]) for i in range(8)]
+    schema = "scene string, chunk long, frame long, n_frames long, x array<double>, y array<double>, z array<double>, accepted array<boolean>"
+    lost = [("t", 0, 0, 1, [1.0], [2.0], [3.0], [True]), ("t", 1, 0, 1, None, None, None, None), ("t", None, 0, 1, [1.0], [1.0], [1.0], [True])]
+    stream = source(spark, tmp_path, [rows[8:] + lost, rows[:4], rows[4:8], rows[:2]], schema)
+    got = run(stitching.stitch(stream, overlap=3), tmp_path, "stitched")
+    own = got[got["scene"] == "s"].sort_values("frame")
+    assert own["frame"].tolist() == list(range(12)) and own["chunk"].tolist() == [0] * 6 + [1] * 3 + [2] * 3
+    points = spark.createDataFrame(pixels, "scene string, chunk long, frame long, v long, u long, x double, y double, z double, accepted boolean")
+    placed = align.compose(align.sim3(align.overlap_moments(align.overlap_pairs(points))), points.select("scene", "chunk"))
+    want = {r["chunk"]: r["m"] for r in placed.collect()}
+    for _, r in own.iterrows():
+        assert np.allclose(r["m"], want[r["chunk"]], atol=1e-6)
+        assert np.allclose([r["x"], r["y"], r["z"]], world[r["frame"]], atol=1e-4)
+    assert got[got["scene"] == "t"]["frame"].tolist() == [0] and len(got) == 13
+
+
+def test_stitch_counts_late_frames(spark, tmp_path):
+    one = lambda chunk: ("s", chunk, chunk, 1, [1.0], [2.0], [3.0], [True])
+    schema = "scene string, chunk long, frame long, n_frames long, x array<double>, y array<double>, z array<double>, accepted array<boolean>"
+    stream = source(spark, tmp_path, [[one(0)], [one(0), one(1)]], schema)
+    got = run(stitching.stitch(stream, overlap=0), tmp_path, "counted_late").sort_values("chunk")
+    assert got["chunk"].tolist() == [0, 1] and got["late"].tolist() == [0, 1]
+
+
 def test_frame_counts(spark, tmp_path):
     rng = np.random.default_rng(3)
     d = np.where(rng.random((4, 4)) < 0.2, 0.0, rng.random((4, 4)) + 1)
