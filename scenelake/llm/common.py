@@ -145,16 +145,48 @@ def crc32(data: bytes) -> int:
 # --- connected components -----------------------------------------------------------------------------------------
 
 
+#: Edges among which a task finds what hangs together before the shuffle.
+FOREST_EDGES = 1_000_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges from each node to the smallest that hangs together with it, among every FOREST_EDGES edges of a task."""
+
+    def settled(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = (np.concatenate([h.column(i).to_numpy() for h in held]) for i in (0, 1))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b = at[: len(a)], at[len(a) :]
+        root = np.arange(len(nodes))
+        while (root[a] != root[b]).any():
+            low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+            np.minimum.at(root, high, low)
+            while (root != root[root]).any():
+                root = root[root]
+        hung = root != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[root[hung]]), pa.array(nodes[hung])], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(h.num_rows for h in held) >= FOREST_EDGES:
+            yield settled(held)
+            held = []
+    if held:
+        yield settled(held)
+
+
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> tuple[DataFrame, str]:
     """(node, root) for every node of the undirected edges (a, b): root is the smallest node reachable.
 
-    Each round hooks every node to the smallest label among its neighbours and then follows labels twice; each round
-    is written to the shared folder. The rows per round stay below those of the edges; nothing reaches the driver
-    but whether a label changed. Edges to the node itself or with nulls say nothing. Raises if ``rounds`` are not
-    enough (labels settle in about the logarithm of the longest path).
+    Tasks first hang what their own edges join on its smallest node, which shortens long paths. Each round then hooks
+    every node to the smallest label among its neighbours and follows labels twice; each round is written to the shared
+    folder. The rows per round stay below those of the edges; nothing reaches the driver but whether a label changed.
+    Edges to the node itself or with nulls say nothing. Raises if ``rounds`` are not enough (labels settle in about
+    the logarithm of the longest path).
     """
     spark = edges.sparkSession
-    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b"), F.col("a"))).distinct()
+    hung = edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_forest, "a long, b long")
+    both = hung.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct()
     both, kept = saved(both, f"{name}-edges")
     labels, path = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), name)
     for _ in range(rounds):

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from scenelake.llm import decontaminate, embedding_dedup, encode, minhash_dedup, ngram_lm, packing, quality, sharding, suffix_dedup, token_store, toxicity
+from scenelake.llm import common, decontaminate, embedding_dedup, encode, minhash_dedup, ngram_lm, packing, quality, sharding, suffix_dedup, token_store, toxicity
 from scenelake.llm.common import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -113,6 +113,25 @@ def test_near_duplicates(docs, empty):
     assert sorted(rank(r["doc_id"]) for r in minhash_dedup.keep_first(docs).collect()) == sorted(k for k in up if up[k] == k)
 
 
+def test_components(spark):
+    rng, up = random.Random(8), {}
+    edges = [(i, i + 1) for i in range(300, 700)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(5, 5), (None, 3)]
+    rng.shuffle(edges)
+    for _ in range(700):
+        changed = False
+        for a, b in edges:
+            if a is not None and a != b and up.get(a, a) != up.get(b, b):
+                up[a] = up[b] = min(up.get(a, a), up.get(b, b))
+                changed = True
+        if not changed:
+            break
+    nodes = {x for a, b in edges if a is not None and a != b for x in (a, b)}
+    for parts in (1, 7):
+        got = common.components(spark.createDataFrame(edges, "a long, b long").repartition(parts))[0].collect()
+        assert {r["node"]: r["root"] for r in got} == {x: up.get(x, x) for x in nodes} and len(got) == len(nodes)
+    assert common.components(spark.createDataFrame([], "a long, b long"))[0].count() == 0
+
+
 def test_contamination(spark, docs, empty):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     pattern, windows = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"), collections.defaultdict(set)
