@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from scenelake.llm.common import NULL_ID, bounded_batches, crc32, key, keyed_texts, mixed, saved, slices, unkey
 
 DIGIT = 32
-#: Bytes of text hashed at once, and the longest part of a text: positions within it take 24 bits.
+#: The longest part of a text; at most two such are hashed at once, and positions within them take 24 bits.
 PART = 2 << 20
 #: Rows among which a task settles repeats before the shuffle.
 COMBINED = 1_000_000
@@ -66,37 +66,42 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class _Parts:
-    """Texts of at least one window, cut where very long, side by side in one array."""
-
-    def __init__(self, keys: list[int], bodies: list[bytes], window: int):
-        parts, self.keys, self.bases = [], [], []
-        for k, body in zip(keys, bodies, strict=True):
-            for at in range(0, max(1, len(body) - window + 1), PART):
-                if len(body) - at >= window:
-                    parts.append(body[at : at + PART + window - 1])
-                    self.keys.append(k)
-                    self.bases.append(at)
-        ends = np.cumsum([len(p) for p in parts]).astype(np.int64)
-        self.starts = np.r_[0, ends[:-1]] if parts else np.zeros(0, np.int64)
-        self.x = np.frombuffer(b"".join(parts), np.uint8)
-        self.valid = np.ones(max(0, len(self.x) - window + 1), bool)
+    """Parts of texts (key, base, bytes), each of at least one window, side by side in one array."""
+
+    def __init__(self, parts: list[tuple[int, int, bytes]], window: int):
+        self.keys, self.bases = [p[0] for p in parts], [p[1] for p in parts]
+        ends = np.cumsum([len(p[2]) for p in parts]).astype(np.int64)
+        self.starts = np.r_[0, ends[:-1]]
+        self.x = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
+        self.valid = np.ones(len(self.x) - window + 1, bool)
         for e in ends[:-1].tolist():
             self.valid[e - window + 1 : e] = False
 
-
     def where(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         part = np.searchsorted(self.starts, at, side="right") - 1
         return np.array(self.keys, np.int64)[part], at - self.starts[part] + np.array(self.bases, np.int64)[part]
 
 
-def _runs(keys: list[int], bodies: list[bytes], window: int) -> list[np.ndarray]:
+def _parts(keys: list[int], bodies: list[bytes], window: int) -> Iterator[_Parts]:
+    """Texts of at least one window, cut where very long, in groups of far fewer than 2**24 bytes."""
+    held, n = [], 0
+    for k, body in zip(keys, bodies, strict=True):
+        for at in range(0, len(body) - window + 1, PART):
+            part = body[at : at + PART + window - 1]
+            if held and n + len(part) > 2 * PART:
+                yield _Parts(held, window)
+                held, n = [], 0
+            held.append((k, at, part))
+            n += len(part)
+    if held:
+        yield _Parts(held, window)
+
+
+def _runs(parts: _Parts, window: int) -> list[np.ndarray]:
     """Columns digit 1, digit 2, key, start, shape of the runs of windows that share a minimiser.
 
     The shape is (windows - 1) * 128 + the minimiser's place in the first window.
     """
-    parts = _Parts(keys, bodies, window)
-    if not len(parts.x):
-        return [np.zeros(0, np.int64)] * 5
     h = mixed(_spans(parts.x, DIGIT, 0))
     low = _least(h >> np.uint64(24) << np.uint64(24) | np.arange(len(h), dtype=np.uint64), window - DIGIT + 1)
     low, ok = (low & np.uint64((1 << 24) - 1)).astype(np.int64), parts.valid
@@ -204,7 +209,7 @@ def dedup_windows(docs: DataFrame, window: int = 100, text: bool = False) -> Dat
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = (s for b in batches for s in slices(b, most=PART))
-        found = (_runs(s.column(0).to_pylist(), s.column(1).to_pylist(), window) for s in parts)
+        found = (_runs(p, window) for s in parts for p in _parts(s.column(0).to_pylist(), s.column(1).to_pylist(), window))
         for batch in _combined(found, ["d1", "d2", "k", "at", "shape", "late"]):
             at, shape, late = (c.to_numpy(zero_copy_only=False) for c in batch.columns[3:])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(at << 16 | shape << 2 | late)], names=["d1", "d2", "k", "code"])

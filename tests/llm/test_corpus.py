@@ -84,6 +84,18 @@ def test_suffix_dedup(docs, empty):
     assert {r["doc_id"]: r["text"] for r in cut.collect()}[1] in ("", None)
 
 
+def test_suffix_dedup_of_a_text_beyond_16_mib(spark):
+    body = np.random.default_rng(12).integers(48, 112, (1 << 24) + 400_000, np.uint8).tobytes()
+    # repeats before, across and behind 2**24, each of a passage of its own between bytes that differ
+    gone = np.zeros(len(body), bool)
+    for at, to in ((1000, 5_000_000), (2000, (1 << 24) - 150), (3000, (1 << 24) + 200_000)):
+        body = body[: to - 1] + b"!" + body[at : at + 300] + b"!" + body[to + 301 :]
+        gone[to : to + 300] = True
+    kept = np.frombuffer(body, np.uint8)[~gone].tobytes()
+    (got,) = suffix_dedup.dedup_windows(spark.createDataFrame([(1, body.decode())], "doc_id long, text string")).collect()
+    assert tuple(got) == (1, len(body), 900, 3, hashlib.sha256(kept).hexdigest())
+
+
 def test_repeated_ids_do_not_crash(docs):
     twice = docs.unionByName(docs)
     assert suffix_dedup.remove_repeats(twice).count() == 2 * len(ROWS)
