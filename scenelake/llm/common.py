@@ -39,6 +39,16 @@ def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(key(id_col).alias("k"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
 
 
+def text_hash(text_col: str = "text") -> Column:
+    """Tells apart the texts of rows that repeat an id."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
+
+
+def hashed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(k, text_hash, body)."""
+    return docs.select(key(id_col).alias("k"), text_hash(text_col).alias("text_hash"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
+
+
 def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Bounds the bytes of an Arrow batch where the session sets no bound, as a row count does not bound memory."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import WordHashes, bounded_batches, components, key, keyed_texts, mixed, remove, saved, slices, unkey
+from scenelake.llm.common import WordHashes, bounded_batches, components, hashed_texts, key, mixed, remove, saved, slices, text_hash, unkey
 
 BANDS = 10
 #: Pairs that share the text of their first document in one task.
@@ -61,7 +61,7 @@ def signatures(shingles: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, bands: int, size: int) -> DataFrame:
-    """(k, n_shingles, e1, e2, signatures): e1 and e2 are a 128-bit digest of the set."""
+    """(k, text_hash, n_shingles, e1, e2, signatures): e1 and e2 are a 128-bit digest of the set."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -70,16 +70,16 @@ def _sketches(docs: DataFrame, bands: int, size: int) -> DataFrame:
         for batch in batches:
             for some in slices(batch):
                 ns, e1, e2, sigs = [], [], [], []
-                for body in some.column(1).to_pylist():
+                for body in some.column(2).to_pylist():
                     found = shingle_set(known.of(body.lower().split()), size)
                     digest = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), "<i8")
                     ns.append(len(found))
                     e1.append(int(digest[0]))
                     e2.append(int(digest[1]))
                     sigs.append(signatures(found, bands).view(np.int64) if len(found) else None)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ns, pa.int64()), pa.array(e1, pa.int64()), pa.array(e2, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["k", "n_shingles", "e1", "e2", "signatures"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(ns, pa.int64()), pa.array(e1, pa.int64()), pa.array(e2, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["k", "text_hash", "n_shingles", "e1", "e2", "signatures"])
 
-    return keyed_texts(docs).mapInArrow(sketch, "k long, n_shingles long, e1 long, e2 long, signatures array<long>")
+    return hashed_texts(docs).mapInArrow(sketch, "k long, text_hash long, n_shingles long, e1 long, e2 long, signatures array<long>")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
@@ -173,18 +173,14 @@ def _across(docs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataF
     return both.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, bands: int = BANDS) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links) and kept (its own component's first).
-
-    Documents are linked if their sets of ``size``-word shingles (white space splits, A-Z are folded) agree in at least
-    ``percent`` of their union. Texts with fewer words have one shingle of all words; null, empty and blank texts have
-    none and link with nothing. A null id counts as the smallest; rows that repeat an id share a component only if they
-    link (each keeps its row, and all of an id are kept or none by the smallest). An empty table gives no rows.
-    """
+def _grouped(docs: DataFrame, percent: int, size: int, bands: int) -> DataFrame:
+    """k, text_hash, n_shingles, component (k of the first of the row's component) and kept for each row."""
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
-    sketches, _ = saved(_sketches(docs, bands, size), "sketches")
-    classes = sketches.where("n_shingles > 0").groupBy("e1", "e2").agg(F.min("k").alias("rep"), F.first("signatures").alias("signatures"))
+    # ids may recur, so a row goes by its number in the table of sketches, and a class by the number of its first row
+    sketches, _ = saved(_sketches(docs, bands, size).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    classes = sketches.where("n_shingles > 0").groupBy("e1", "e2").agg(F.min(F.struct("k", "text_hash", "row")).alias("own"), F.first("signatures").alias("signatures"))
+    classes = classes.withColumn("rep", F.col("own.row"))
 
     # signatures that recur, by class
     each = classes.select(F.col("rep").alias("k"), F.posexplode("signatures").alias("place", "signature"))
@@ -198,7 +194,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, bands: in
     remove(spark, keys_path)
 
     wanted = members.select("k").distinct()
-    texts, texts_path = saved(keyed_texts(docs).join(wanted, "k", "left_semi").dropDuplicates(["k"]), "bucket-texts")
+    wanted = wanted.join(classes.select(F.col("rep").alias("k"), F.col("own.k").alias("id"), F.col("own.text_hash").alias("text_hash")), "k")
+    bodies = hashed_texts(docs).withColumnRenamed("k", "id").join(wanted, ["id", "text_hash"])
+    texts, texts_path = saved(bodies.select("k", "body").dropDuplicates(["k"]), "bucket-texts")
 
     none = spark.createDataFrame([], "a long, b long, ok boolean")
     tried, paths = none, []
@@ -241,15 +239,36 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, bands: in
     labels, _ = labels_of()
     remove(spark, texts_path, members_path, met_path, clusters_path, links_path, *paths)
 
-    owners = classes.select("e1", "e2", "rep").join(labels, F.col("rep") == F.col("node"), "left")
-    owners = owners.select("e1", "e2", F.coalesce("root", "rep").alias("root"))
+    heads = labels.join(classes.select("own", "rep"), labels.node == F.col("rep")).groupBy("root").agg(F.min("own").alias("head"))
+    heads = labels.join(heads, "root").select("node", "head")
+    owners = classes.select("e1", "e2", "own", "rep").join(heads, F.col("rep") == F.col("node"), "left")
+    owners = owners.select("e1", "e2", F.coalesce("head", "own").alias("head"))
     # texts without shingles share a digest and are no class: they bypass the join
-    some = sketches.where("n_shingles > 0").join(owners, ["e1", "e2"]).select("k", "n_shingles", "root")
-    out = some.unionByName(sketches.where("n_shingles = 0").select("k", "n_shingles", F.col("k").alias("root")))
-    return out.select(unkey("k").alias("doc_id"), "n_shingles", unkey("root").alias("component_id"), (F.col("k") == F.col("root")).alias("kept"))
+    some = sketches.where("n_shingles > 0").join(owners, ["e1", "e2"]).select("k", "text_hash", "n_shingles", F.col("head.k").alias("component"), (F.col("row") == F.col("head.row")).alias("kept"))
+    return some.unionByName(sketches.where("n_shingles = 0").select("k", "text_hash", "n_shingles", F.col("k").alias("component"), F.lit(True).alias("kept")))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, bands: int = BANDS) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable by links) and kept (its component's first).
+
+    Documents are linked if their sets of ``size``-word shingles (white space splits, A-Z are folded) agree in at least
+    ``percent`` of their union. Texts with fewer words have one shingle of all words; null, empty and blank texts have
+    none and link with nothing. A null id counts as the smallest. Rows that repeat an id are documents of their own and
+    share a component only if they link; one row of a component is kept, by id, then by a hash of the text. An empty
+    table gives no rows.
+    """
+    rows = _grouped(docs, percent, size, bands)
+    return rows.select(unkey("k").alias("doc_id"), "n_shingles", unkey("component").alias("component_id"), "kept")
 
 
 def keep_first(docs: DataFrame, percent: int = 75, size: int = 5, bands: int = BANDS) -> DataFrame:
     """The documents, all columns, that are the first of their group of near duplicates."""
-    kept = near_duplicates(docs, percent, size, bands).where("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_kept")).distinct()
-    return docs.join(kept, key() == F.col("_kept"), "left_semi")
+    rows = _grouped(docs, percent, size, bands).groupBy(F.col("k").alias("_k"), F.col("text_hash").alias("_text"))
+    # one of the rows that agree in id and text is kept, but all of those without shingles
+    kept = rows.agg(F.max("kept").alias("_kept"), ((F.count("*") > 1) & (F.max("n_shingles") > 0)).alias("_again")).where("_kept")
+    kept, _ = saved(kept.select("_k", "_text", "_again"), "near-kept")
+    keyed = docs.withColumns({"_k": key(), "_text": text_hash()})
+    out = keyed.join(kept.where("not _again"), ["_k", "_text"], "left_semi")
+    if kept.where("_again").limit(1).count():
+        out = out.unionByName(keyed.join(kept.where("_again"), ["_k", "_text"], "left_semi").dropDuplicates(["_k", "_text"]))
+    return out.select(*docs.columns)

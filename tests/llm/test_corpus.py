@@ -125,6 +125,22 @@ def test_near_duplicates(docs, empty):
     assert sorted(rank(r["doc_id"]) for r in minhash_dedup.keep_first(docs).collect()) == sorted(k for k in up if up[k] == k)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(21)
+    a, b, c, d = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(80)) for x in "abcd")
+    near = lambda t: " ".join([*t.split()[:-1], "other"])
+    # (id, text, component)
+    rows = [(3, a, 3), (5, near(a), 3), (5, b, 5), (5, b + " ", 5), (6, near(b), 5), (None, c, None), (None, d, None), (None, d, None), (9, near(c), None)]
+    rows += [(None, "", None), (None, " ", None), (None, None, None), (7, "", 7), (7, "", 7)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(5)
+    got = minhash_dedup.near_duplicates(docs).collect()
+    assert sorted((rank(r["doc_id"]), r["n_shingles"], rank(r["component_id"])) for r in got) == sorted((rank(i), max(0, len((t or "").split()) - 4), rank(c)) for i, t, c in rows)
+    # a and near(a), b with its copy and near(b), c and near(c), d and its copy: one each; blank texts stay
+    assert sum(r["kept"] for r in got if r["n_shingles"]) == 4 and all(r["kept"] for r in got if not r["n_shingles"])
+    kept = sorted((rank(r["doc_id"]), (r["text"] or "").strip()) for r in minhash_dedup.keep_first(docs).collect())
+    assert kept == sorted([(rank(None), c), (rank(None), d), (3, a), (5, b)] + [(rank(None), "")] * 3 + [(7, "")] * 2)
+
+
 def test_components(spark):
     rng, up = random.Random(8), {}
     edges = [(i, i + 1) for i in range(300, 700)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(5, 5), (None, 3)]
