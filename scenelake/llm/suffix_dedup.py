@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import NULL_ID, bounded_batches, crc32, key, keyed_texts, mixed, saved, slices, unkey
+from scenelake.llm.common import bounded_batches, hashed_texts, key, mixed, saved, slices, text_hash, unkey
 
 DIGIT = 32
 #: The longest part of a text; at most two such are hashed at once, and positions within them take 24 bits.
@@ -66,39 +66,39 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class _Parts:
-    """Parts of texts (key, base, bytes), each of at least one window, side by side in one array."""
+    """Parts of texts (key, text hash, base, bytes), each of at least one window, side by side in one array."""
 
-    def __init__(self, parts: list[tuple[int, int, bytes]], window: int):
-        self.keys, self.bases = [p[0] for p in parts], [p[1] for p in parts]
-        ends = np.cumsum([len(p[2]) for p in parts]).astype(np.int64)
+    def __init__(self, parts: list[tuple[int, int, int, bytes]], window: int):
+        self.keys, self.hashes, self.bases = (np.array([p[i] for p in parts], np.int64) for i in range(3))
+        ends = np.cumsum([len(p[3]) for p in parts]).astype(np.int64)
         self.starts = np.r_[0, ends[:-1]]
-        self.x = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
+        self.x = np.frombuffer(b"".join(p[3] for p in parts), np.uint8)
         self.valid = np.ones(len(self.x) - window + 1, bool)
         for e in ends[:-1].tolist():
             self.valid[e - window + 1 : e] = False
 
-    def where(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def where(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         part = np.searchsorted(self.starts, at, side="right") - 1
-        return np.array(self.keys, np.int64)[part], at - self.starts[part] + np.array(self.bases, np.int64)[part]
+        return self.keys[part], self.hashes[part], at - self.starts[part] + self.bases[part]
 
 
-def _parts(keys: list[int], bodies: list[bytes], window: int) -> Iterator[_Parts]:
+def _parts(keys: list[int], hashes: list[int], bodies: list[bytes], window: int) -> Iterator[_Parts]:
     """Texts of at least one window, cut where very long, in groups of far fewer than 2**24 bytes."""
     held, n = [], 0
-    for k, body in zip(keys, bodies, strict=True):
+    for k, t, body in zip(keys, hashes, bodies, strict=True):
         for at in range(0, len(body) - window + 1, PART):
             part = body[at : at + PART + window - 1]
             if held and n + len(part) > 2 * PART:
                 yield _Parts(held, window)
                 held, n = [], 0
-            held.append((k, at, part))
+            held.append((k, t, at, part))
             n += len(part)
     if held:
         yield _Parts(held, window)
 
 
 def _runs(parts: _Parts, window: int) -> list[np.ndarray]:
-    """Columns digit 1, digit 2, key, start, shape of the runs of windows that share a minimiser.
+    """Columns digit 1, digit 2, key, text hash, start, shape of the runs of windows that share a minimiser.
 
     The shape is (windows - 1) * 128 + the minimiser's place in the first window.
     """
@@ -110,8 +110,8 @@ def _runs(parts: _Parts, window: int) -> list[np.ndarray]:
     last = np.flatnonzero(ok & ~np.r_[same[1:], False])
     whole = _spans(parts.x, window, 0)
     digit = mixed(mixed(whole[first]) * np.uint64(3) + mixed(whole[last]) + (last - first).astype(np.uint64))
-    k, at = parts.where(first)
-    return [h[low[first]].view(np.int64), digit.view(np.int64), k, at, (last - first) * 128 + low[first] - first]
+    k, t, at = parts.where(first)
+    return [h[low[first]].view(np.int64), digit.view(np.int64), k, t, at, (last - first) * 128 + low[first] - first]
 
 
 def _blocks(start: int, shape: int, window: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -125,10 +125,10 @@ def _blocks(start: int, shape: int, window: int) -> Iterator[tuple[int, int, int
             yield block, a, b, least - low, least + DIGIT + slack - high
 
 
-def _suffixes(keys: list[int], bodies: list[bytes], wanted: list[list[tuple[int, int]]], window: int) -> list[np.ndarray]:
-    """Columns hash, other hash, key, start of the windows whose starts lie within (first, last) of each text."""
+def _suffixes(keys: list[int], texts: list[int], bodies: list[bytes], wanted: list[list[tuple[int, int]]], window: int) -> list[np.ndarray]:
+    """Columns hash, other hash, key, text hash, start of the windows whose starts lie within (first, last) of each text."""
     out = []
-    for k, body, spans in zip(keys, bodies, wanted, strict=True):
+    for k, t, body, spans in zip(keys, texts, bodies, wanted, strict=True):
         at = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in spans]))
         at = at[at <= len(body) - window]
         for start in range(0, len(body), PART):
@@ -136,19 +136,19 @@ def _suffixes(keys: list[int], bodies: list[bytes], wanted: list[list[tuple[int,
             if len(some):
                 x = np.frombuffer(body, np.uint8)[start : start + PART + window - 1]
                 hashes = [mixed(_spans(x, window, kind)[some - start]).view(np.int64) for kind in (0, 1)]
-                out.append([*hashes, np.full(len(some), k, np.int64), some])
-    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+                out.append([*hashes, np.full(len(some), k, np.int64), np.full(len(some), t, np.int64), some])
+    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
 
 
 def _settled(columns: list[np.ndarray]) -> np.ndarray:
-    """Which rows repeat an earlier one; columns: two digits, key, start, ..."""
-    a, b, k, at = columns[:4]
-    order = np.lexsort((at, k, b, a))
-    a, b, k, at = a[order], b[order], k[order], at[order]
+    """Which rows repeat an earlier one; columns: two digits, key, text hash, start, ..."""
+    a, b, k, t, at = columns[:5]
+    order = np.lexsort((at, t, k, b, a))
+    a, b, k, t, at = a[order], b[order], k[order], t[order], at[order]
     new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
     head = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0)) if len(a) else np.zeros(0, np.int64)
     late = np.zeros(len(a), bool)
-    late[order] = (k != k[head]) | (at != at[head])
+    late[order] = (k != k[head]) | (t != t[head]) | (at != at[head])
     return late
 
 
@@ -159,7 +159,7 @@ def _combined(rows: Iterator[list[np.ndarray]], names: list[str]) -> Iterator[pa
     def flush() -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
         late = _settled(columns)
-        own = mixed(columns[2].view(np.uint64) * np.uint64(_BASES[1]) + columns[3].view(np.uint64)).view(np.int64)
+        own = mixed(mixed(columns[2].view(np.uint64) * np.uint64(_BASES[1]) + columns[3].view(np.uint64)) + columns[4].view(np.uint64)).view(np.int64)
         columns[0] = np.where(late, own, columns[0])
         for at in range(0, len(late), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in [*columns, late]], names=names)
@@ -192,51 +192,45 @@ def _kept_text(body: bytes, gone: np.ndarray) -> bytes:
     return x[~np.repeat(all_gone, np.diff(np.r_[first, len(x)]))].tobytes()
 
 
-def dedup_windows(docs: DataFrame, window: int = 100, text: bool = False) -> DataFrame:
-    """Removes every byte that a ``window``-byte string covers which also starts earlier: in a document of a smaller
-    id, or before in the same one. Strings are judged on the input.
-
-    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 for each document; with ``text``
-    also kept_text, of which only whole characters are removed, and input_crc32. Null and empty texts, and texts shorter than the
-    window, lose nothing; a null id counts as the smallest; rows that repeat an id share their offsets, and windows at
-    one id and offset are not earlier than each other. An empty table gives no rows.
-    """
+def _cut(docs: DataFrame, window: int, text: bool) -> DataFrame:
+    """dedup_windows by k, text_hash and turn, which tell rows apart (rows that agree in id and text are numbered)."""
     if not DIGIT < window <= DIGIT + 127:
         raise ValueError(f"window must be in {DIGIT + 1}..{DIGIT + 127}")
     spark = docs.sparkSession
     bounded_batches(spark)
-    bodies = keyed_texts(docs)
+    bodies = hashed_texts(docs)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = (s for b in batches for s in slices(b, most=PART))
-        found = (_runs(p, window) for s in parts for p in _parts(s.column(0).to_pylist(), s.column(1).to_pylist(), window))
-        for batch in _combined(found, ["d1", "d2", "k", "at", "shape", "late"]):
-            at, shape, late = (c.to_numpy(zero_copy_only=False) for c in batch.columns[3:])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(at << 16 | shape << 2 | late)], names=["d1", "d2", "k", "code"])
+        found = (_runs(p, window) for s in parts for p in _parts(*[c.to_pylist() for c in s.columns], window))
+        for batch in _combined(found, ["d1", "d2", "k", "text_hash", "at", "shape", "late"]):
+            at, shape, late = (c.to_numpy(zero_copy_only=False) for c in batch.columns[4:])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(at << 16 | shape << 2 | late)], names=["d1", "d2", "k", "text_hash", "code"])
 
+    by = ["k", "text_hash"]
     # code: start << 16 | shape << 2 | 1 if repeated, 2 if to be sorted further; it grows with the start
-    rows = bodies.mapInArrow(runs, "d1 long, d2 long, k long, code long")
-    place = F.struct("k", F.shiftright("code", 16).alias("at"))
-    one, run = Window.partitionBy("d1"), Window.partitionBy("d1", "d2").orderBy("k", "code")
+    rows = bodies.mapInArrow(runs, "d1 long, d2 long, k long, text_hash long, code long")
+    place = F.struct("k", "text_hash", F.shiftright("code", 16).alias("at"))
+    one, run = Window.partitionBy("d1"), Window.partitionBy("d1", "d2").orderBy("k", "text_hash", "code")
     rows = rows.withColumn("first", F.first(place).over(run)).withColumns({"low": F.min("d2").over(one), "high": F.max("d2").over(one)})
     late = (F.col("code") % 4 == 1) | (place > F.col("first"))
-    rows = rows.select("k", F.when(late, 1).when(F.col("low") != F.col("high"), 2).alias("what"), "code").where("what is not null")
+    rows = rows.select("k", "text_hash", F.when(late, 1).when(F.col("low") != F.col("high"), 2).alias("what"), "code").where("what is not null")
     code = F.shiftleft(F.shiftright("code", 2), 2) + F.col("what")
-    found, _ = saved(rows.groupBy("k").agg(F.collect_list(code).alias("codes")), "windows-found")
+    found, _ = saved(rows.groupBy("k", "text_hash").agg(F.collect_set(code).alias("codes")), "windows-found")
 
-    kinds = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, input_crc32 long" * text
+    kinds = "k long, text_hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * text
     names = [x.split()[0] for x in kinds.split(", ")]
 
     def spans_of(codes: list[int] | None) -> list[tuple[int, int]]:
         return [(c >> 16, (c >> 16) + (c >> 9 & 127) + window) for c in codes or () if c & 3 == 1]
 
-    def result(k: int, body: bytes, spans: list[tuple[int, int]]) -> tuple:
+    def result(k: int, t: int, body: bytes, spans: list[tuple[int, int]]) -> tuple:
         if not spans:
-            return (k, len(body), 0, 0, hashlib.sha256(body).hexdigest(), *[body.decode(), crc32(body)] * text)
+            return (k, t, len(body), 0, 0, hashlib.sha256(body).hexdigest(), *[body.decode()] * text)
         gone = _cover(len(body), spans)
         kept = np.frombuffer(body, np.uint8)[~gone].tobytes()
         n_spans = int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1))
-        return (k, len(body), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), *[_kept_text(body, gone).decode(), crc32(body)] * text)
+        return (k, t, len(body), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), *[_kept_text(body, gone).decode()] * text)
 
     def batch_of(rows: list[tuple], names: list[str], schema: pa.Schema) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, schema.field(n).type) for n, c in zip(names, zip(*rows, strict=True), strict=True)], schema=schema)
@@ -246,57 +240,73 @@ def dedup_windows(docs: DataFrame, window: int = 100, text: bool = False) -> Dat
     def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for k, body, codes in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for k, t, body, codes in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 for c in codes:
                     for block, a, b, start, stop in _blocks(c >> 16, c >> 2 & 0x3FFF, window):
-                        out.append((xxhash.xxh3_64_intdigest(body[start:stop], block) - (1 << 63), k, a << 8 | b - a))
-            columns = list(zip(*out, strict=True)) if out else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["core", "k", "span"])
+                        out.append((xxhash.xxh3_64_intdigest(body[start:stop], block) - (1 << 63), k, t, a << 8 | b - a))
+            columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["core", "k", "text_hash", "span"])
 
-    open_ = found.select("k", F.filter("codes", lambda c: c % 4 == 2).alias("codes")).where("size(codes) > 0")
-    spot, core = F.struct("k", "span"), Window.partitionBy("core")
-    spans = bodies.join(open_, "k").select("k", "body", "codes").mapInArrow(cores, "core long, k long, span long")
+    open_ = found.select("k", "text_hash", F.filter("codes", lambda c: c % 4 == 2).alias("codes")).where("size(codes) > 0")
+    spot, core = F.struct("k", "text_hash", "span"), Window.partitionBy("core")
+    spans = bodies.join(open_, by).select("k", "text_hash", "body", "codes").mapInArrow(cores, "core long, k long, text_hash long, span long")
     spans = spans.withColumns({"low": F.min(spot).over(core), "high": F.max(spot).over(core)}).where("low < high")
-    spans, _ = saved(spans.groupBy("k").agg(F.collect_set("span").alias("spans")), "windows-cores")
+    spans, _ = saved(spans.groupBy("k", "text_hash").agg(F.collect_set("span").alias("spans")), "windows-cores")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[list[np.ndarray]]:
             for b in batches:
                 for s in slices(b, most=PART):
-                    k, body, wanted = [c.to_pylist() for c in s.columns]
-                    yield _suffixes(k, body, [[(x >> 8, (x >> 8) + (x & 255)) for x in w] for w in wanted], window)
+                    k, t, body, wanted = [c.to_pylist() for c in s.columns]
+                    yield _suffixes(k, t, body, [[(x >> 8, (x >> 8) + (x & 255)) for x in w] for w in wanted], window)
 
-        return _combined(rows(), ["d1", "d2", "k", "at", "late"])
+        return _combined(rows(), ["d1", "d2", "k", "text_hash", "at", "late"])
 
-    last = bodies.join(spans, "k").select("k", "body", "spans").mapInArrow(suffixes, "d1 long, d2 long, k long, at long, late boolean")
-    spot = F.struct("k", "at")
-    last = last.withColumn("first", F.first(spot).over(Window.partitionBy("d1", "d2").orderBy("k", "at"))).where(F.col("late") | (spot > F.col("first")))
-    starts, _ = saved(last.groupBy("k").agg(F.collect_list("at").alias("starts")), "windows-starts")
+    last = bodies.join(spans, by).select("k", "text_hash", "body", "spans").mapInArrow(suffixes, "d1 long, d2 long, k long, text_hash long, at long, late boolean")
+    spot = F.struct("k", "text_hash", "at")
+    last = last.withColumn("first", F.first(spot).over(Window.partitionBy("d1", "d2").orderBy("k", "text_hash", "at"))).where(F.col("late") | (spot > F.col("first")))
+    starts, _ = saved(last.groupBy("k", "text_hash").agg(F.collect_set("at").alias("starts")), "windows-starts")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch):
                 rows = zip(*[c.to_pylist() for c in some.columns], strict=True)
-                out = [result(k, body, spans_of(codes) + [(a, a + window) for a in at or ()]) for k, body, codes, at in rows]
+                out = [result(k, t, body, spans_of(codes) + [(a, a + window) for a in at or ()]) for k, t, body, codes, at in rows]
                 yield batch_of(out, names, one_schema)
 
-    settled = found.join(starts, "k", "full").select("k", "codes", "starts")
-    out = bodies.join(settled, "k", "left").select("k", "body", "codes", "starts").mapInArrow(apply, kinds)
-    return out.select(unkey("k").alias("doc_id"), *names[1:])
+    settled = found.join(starts, by, "full").select("k", "text_hash", "codes", "starts")
+    out = bodies.join(settled, by, "left").select("k", "text_hash", "body", "codes", "starts").mapInArrow(apply, kinds)
+    # every window of a further row with the same id and text starts earlier in the first
+    out = out.withColumn("turn", F.row_number().over(Window.partitionBy("k", "text_hash").orderBy("text_hash")))
+    again = (F.col("turn") > 1) & (F.col("n_bytes") >= window)
+    nothing = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1), "kept_sha256": F.lit(hashlib.sha256().hexdigest()), "kept_text": F.lit("")}
+    return out.withColumns({n: F.when(again, c).otherwise(F.col(n)) for n, c in nothing.items() if n in names})
+
+
+def dedup_windows(docs: DataFrame, window: int = 100, text: bool = False) -> DataFrame:
+    """Removes every byte that a ``window``-byte string covers which also starts earlier: in a document of a smaller
+    id, or before in the same one. Strings are judged on the input.
+
+    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 for each document; with ``text``
+    also kept_text, of which only whole characters are removed. Null and empty texts, and texts shorter than the
+    window, lose nothing; a null id counts as the smallest. Rows that repeat an id are documents of their own, earlier
+    or later by a hash of the text; of those that agree in the text too, one comes first. An empty table gives no rows.
+    """
+    out = _cut(docs, window, text)
+    return out.select(unkey("k").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * text)
 
 
 def remove_repeats(docs: DataFrame, window: int = 100) -> DataFrame:
     """The documents, all columns, with texts less their repeated windows; n_chars follows where there is such a column.
 
-    Null texts stay null. Texts are shuffled by dedup_windows alone: the other columns join its result by id and the
-    input's crc32, rows that agree in both being paired in turn.
+    Null texts stay null. Texts are shuffled by _cut alone: the other columns join its result by id and a hash of the
+    input, rows that agree in both being paired in turn.
     """
-    turn = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(by[-1]))
-    cut = dedup_windows(docs, window, text=True)
-    cut = cut.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_k"), F.col("input_crc32").alias("_crc"), F.col("kept_text").alias("_kept"))
-    cut = cut.withColumn("_turn", turn("_k", "_crc"))
-    rest = docs.select(*[c for c in docs.columns if c != "text"], F.col("text").isNull().alias("_null"), key().alias("_k"), F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("_crc"))
-    out = rest.withColumn("_turn", turn("_k", "_crc")).join(cut, ["_k", "_crc", "_turn"])
+    cut = _cut(docs, window, text=True)
+    cut = cut.select(F.col("k").alias("_k"), F.col("text_hash").alias("_text"), F.col("turn").alias("_turn"), F.col("kept_text").alias("_kept"))
+    rest = docs.select(*[c for c in docs.columns if c != "text"], F.col("text").isNull().alias("_null"), key().alias("_k"), text_hash().alias("_text"))
+    turn = F.row_number().over(Window.partitionBy("_k", "_text").orderBy("_text"))
+    out = rest.withColumn("_turn", turn).join(cut, ["_k", "_text", "_turn"])
     text = F.when(~F.col("_null"), F.col("_kept"))
     new = {"text": text, "n_chars": F.when(~F.col("_null"), F.length("_kept")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {"text": text}
     return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

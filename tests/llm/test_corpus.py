@@ -96,6 +96,23 @@ def test_suffix_dedup_of_a_text_beyond_16_mib(spark):
     assert tuple(got) == (1, len(body), 900, 3, hashlib.sha256(kept).hexdigest())
 
 
+def test_suffix_dedup_of_repeated_ids(spark):
+    rng = random.Random(22)
+    # capitals end texts and passages, so that no repeat goes on by chance
+    a, b, c, d = (x + "".join(rng.choices("abcdefghijklmnop", k=398)) + x.upper() for x in "wxyz")
+    d = d[:150] + "D" + d[151:]
+    # within b + d[:150] * 2 the second d[:150] repeats; d comes later by id, as do the copies of c
+    rows = [(None, a), (None, b + d[:150] * 2), (None, c), (None, c), (None, "short"), (None, "short"), (None, None), (4, a + d), (4, d[200:]), (4, "x" * 99)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.dedup_windows(docs).collect())
+    # by a hash of the text, either a + d or d[200:] counts as the earlier of the two that share id 4
+    first = sorted([(400, 0, 0), (700, 150, 1), (400, 0, 0), (400, 400, 1), (5, 0, 0), (5, 0, 0), (0, 0, 0), (99, 0, 0)])
+    assert got in (sorted([*first, (800, 550, 1), (200, 200, 1)]), sorted([*first, (800, 750, 2), (200, 0, 0)]))
+    cut = [r["text"] for r in suffix_dedup.remove_repeats(docs).collect()]
+    assert len(cut) == len(rows) and cut.count(None) == 1
+    assert cut.count(a) == 1 and cut.count(c) == 1 and cut.count("short") == 2 and cut.count(b + d[:150]) == 1 and cut.count("x" * 99) == 1
+
+
 def test_repeated_ids_do_not_crash(docs):
     twice = docs.unionByName(docs)
     assert suffix_dedup.remove_repeats(twice).count() == 2 * len(ROWS)
