@@ -36,21 +36,32 @@ def plain(text: str) -> bool:
 
 
 class Pieces(dict):
-    """Ids of pieces, learnt when first asked for and forgotten all at once beyond ``most``.
+    """Ids of pieces, learnt when first asked for.
 
-    A piece follows a blank, unless it begins with a line feed; ``lead`` is the blank, or "" for the first of a text.
+    A piece follows a blank, unless it begins with a line feed; ``lead`` is the blank, or "" for the first of a line.
+    Beyond ``most`` pieces those learnt before are set aside; what is asked for again then comes back from there, and
+    the rest goes when these are set aside in turn.
     """
 
-    def __init__(self, tokenizer, lead: str, most: int):
+    def __init__(self, tokenizer, lead: str, most: int, heads: Pieces | None = None):
         super().__init__()
         self.tokenizer, self.tokens, self.lead, self.most = tokenizer, tokenizer.model.tokenize, lead, most
+        self.heads, self.before = heads, {}
         self.letters = dict(enumerate(_byte_letters()))
         self.stops = {x: np.array(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in _STOPS}
+        self.feed = np.array(tokenizer.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:
+            self.before = dict(self)
             self.clear()
-        text = piece if piece[:1] == "\n" else self.lead + piece
+        if (known := self.before.get(piece)) is not None:
+            self[piece] = known
+            return known
+        if piece[:1] == "\n":
+            value = self[piece] = self.feed + self.heads[piece[1:]]
+            return value
+        text = self.lead + piece
         if piece.isalpha() and piece.isascii():
             ids = [t.id for t in self.tokens(text.replace(" ", "Ġ"))]
         elif piece[-1:] in _STOPS and piece[:-1].isalpha():
@@ -69,12 +80,13 @@ class Pieces(dict):
 class Encoder:
     """Encodes lists of texts to little-endian uint32 ids."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.heads, self.rest = Pieces(self.tokenizer, "", most // 8), Pieces(self.tokenizer, " ", most)
+        self.heads = Pieces(self.tokenizer, "", most // 8)
+        self.rest = Pieces(self.tokenizer, " ", most, self.heads)
         probe = "Ab cd, e's\nfg é12 #\n§x"
         self.by_piece = self.tokenizer.get_vocab_size() > 256 and self._pieces(probe) == self._whole(probe)
 

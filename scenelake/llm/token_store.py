@@ -104,32 +104,31 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, length: int = 2048,
     bounded_batches(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, index = encoder(tokenizer), TaskContext.get().partitionId(), []
+        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         kind = np.dtype("<u2" if max(enc.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4")
         fs, root = _opened(path)
         fs.create_dir(root)
-        own = f"{TaskContext.get().taskAttemptId()}.tmp"
-        sequences, n_docs = None, 0
-        with fs.open_output_stream(f"{root}/_part-{part:05d}-{own}") as sink:
-            for batch in batches:
-                for some in slices(batch):
-                    keys, bodies = some.column(0).to_pylist(), some.column(1).to_pylist()
-                    for k, ids in zip(keys, enc.encode([b.decode() for b in bodies]), strict=True):
-                        sequences = sequences or _Sequences(sink, length, kind)
-                        whole = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
-                        index.append((k, sequences.total, len(whole)))
-                        sequences.add(whole)
-            if sequences:
-                sequences.close()
-        if index:
-            with fs.open_output_stream(f"{root}/_index-{part:05d}-{own}") as sink, ipc.new_file(sink, _INDEX) as out:
-                out.write_batch(pa.record_batch([pa.array(x, pa.int64()) for x in zip(*index, strict=True)], schema=_INDEX))
-            for kind_of in ("part", "index"):
-                fs.move(f"{root}/_{kind_of}-{part:05d}-{own}", f"{root}/{kind_of}-{part:05d}.arrow")
-            n_docs = len(index)
+        own, end = f"{TaskContext.get().taskAttemptId()}.tmp", np.array([end_id], "<u4").tobytes()
+        n_docs, names = 0, [f"_{of}-{part:05d}-{own}" for of in ("part", "index")]
+        with fs.open_output_stream(f"{root}/{names[0]}") as sink, fs.open_output_stream(f"{root}/{names[1]}") as side:
+            sequences = _Sequences(sink, length, kind)
+            with ipc.new_file(side, _INDEX) as index:
+                for batch in batches:
+                    for some in slices(batch):
+                        found = enc.encode([b.decode() for b in some.column(1).to_pylist()])
+                        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4 + 1
+                        places = sequences.total + np.cumsum(sizes) - sizes
+                        index.write_batch(pa.record_batch([some.column(0), pa.array(places), pa.array(sizes)], schema=_INDEX))
+                        sequences.add(np.frombuffer(end.join([*found, b""]), "<u4"))
+                        n_docs += len(found)
+            sequences.close()
+        if n_docs:
+            for of, name in zip(("part", "index"), names, strict=True):
+                fs.move(f"{root}/{name}", f"{root}/{of}-{part:05d}.arrow")
             yield pa.record_batch([pa.array([part]), pa.array([n_docs]), pa.array([sequences.total])], names=["part", "n_docs", "n_ids"])
         else:
-            fs.delete_file(f"{root}/_part-{part:05d}-{own}")
+            for name in names:
+                fs.delete_file(f"{root}/{name}")
 
     # the bounds of the ranges are sampled from the ids; what follows the shuffle is encoded and written once
     dealt = keyed_texts(docs).repartitionByRange(partitions(spark), "k").sortWithinPartitions("k")
@@ -137,6 +136,16 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, length: int = 2048,
     return spark.read.parquet(f"{path}/manifest")
 
 
+def _bounded(index: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of an index that stand for about ``most`` ids at once, besides a longer single document."""
+    stops, start = np.cumsum(index.column(2).to_numpy()), 0
+    while start < index.num_rows:
+        before = stops[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(stops, before + most, side="right")))
+        yield index.slice(start, stop - start)
+        start = stop
+
+
 def _files(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
     """Numbers of the files in order, and the ids before each; one row a file."""
     files, starts, total = [], [], 0
@@ -161,13 +170,15 @@ def read_documents(spark: SparkSession, path: str, ids: bool = False) -> DataFra
             for i in batch.column(0).to_pylist():
                 fs, root = _opened(path)
                 table = SequenceFile(fs, f"{root}/part-{files[i]:05d}.arrow")
-                index = ipc.open_file(fs.open_input_file(f"{root}/index-{files[i]:05d}.arrow")).read_all()
-                for rows in index.to_batches(max_chunksize=1000):
+                index = ipc.open_file(fs.open_input_file(f"{root}/index-{files[i]:05d}.arrow"))
+                for rows in (r for b in range(index.num_record_batches) for r in _bounded(index.get_batch(b))):
                     k, at, n = (c.to_numpy() for c in rows.columns)
-                    found = [table.span(a, a + m) for a, m in zip(at.tolist(), n.tolist(), strict=True)]
-                    crcs = [crc32(x.astype("<u4").tobytes()) for x in found]
-                    columns = [pa.array(k), pa.array(at + starts[i]), pa.array(n), pa.array(crcs, pa.int64())]
-                    yield pa.record_batch([*columns, *[pa.array([x.astype("i4") for x in found], pa.list_(pa.int32()))] * ids], names=names)
+                    flat = table.span(int(at[0]), int(at[-1] + n[-1])).astype("<u4")
+                    raw, stops = memoryview(flat).cast("B"), np.cumsum(n)
+                    crcs = [crc32(raw[4 * b - 4 * m : 4 * b]) for b, m in zip(stops.tolist(), n.tolist(), strict=True)]
+                    columns = [rows.column(0), pa.array(at + starts[i]), rows.column(2), pa.array(crcs, pa.int64())]
+                    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, stops], pa.int32()), pa.array(flat.view("<i4")))
+                    yield pa.record_batch([*columns, *[lists] * ids], names=names)
 
     if not files:
         frame = spark.range(0)
