@@ -9,7 +9,11 @@ Conventions that every operator of this subpackage follows:
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
 import re
+import shutil
 import tempfile
 import uuid
 import zlib
@@ -17,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,9 +66,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where none is set and all
+    run in one process. On a cluster without that setting there is no such folder, which is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -117,6 +125,71 @@ def remainder(divisor: int, id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def attach(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left join right on ``key``, of which ``right`` has one row each and ``left`` has no nulls.
+
+    Keys with more than a thousandth of the left rows are at most a thousand: their right rows are broadcast. All other
+    keys are shuffled, so no key brings many rows to one task.
+    """
+    counts = left.groupBy(key).count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    hot = [r[0] for r in counts.where(F.col("count") * 1000 > total).where("count > 1").select(key).collect()]  # at most 1,000
+    if not hot:
+        return left.join(right, key, how)
+    some = left.where(F.col(key).isin(hot)).join(F.broadcast(right.where(F.col(key).isin(hot))), key, how)
+    return left.where(~F.col(key).isin(hot)).join(right, key, how).unionByName(some)
+
+
+# --- arrays in files that workers map ------------------------------------------------------------------------------
+
+
+def opened(uri: str) -> tuple[pafs.FileSystem, str]:
+    """A file system and a path in it, of a URI or a plain local path; local files are mapped."""
+    fs, path = pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    return (pafs.LocalFileSystem(use_mmap=True), path) if isinstance(fs, pafs.LocalFileSystem) else (fs, path)
+
+
+def write_arrays(uri: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """Writes arrays of one dimension side by side in one file; a task that runs again leaves the same file."""
+    fs, root = opened(uri)
+    fs.create_dir(root, recursive=True)
+    head, at = {}, 0
+    for n, a in arrays.items():
+        head[n] = (a.dtype.str, len(a), at)
+        at += -(-a.nbytes // 64) * 64
+    text = json.dumps(head).encode()
+    own = f"{root}/_{name}-{uuid.uuid4().hex}.tmp"
+    with fs.open_output_stream(own) as out:
+        out.write((f"{len(text):015d}\n".encode() + text).ljust(-(-(16 + len(text)) // 64) * 64))
+        for a in arrays.values():
+            out.write(np.ascontiguousarray(a).tobytes().ljust(-(-a.nbytes // 64) * 64, b"\0"))
+    fs.move(own, f"{root}/{name}")
+
+
+def mapped_arrays(uri: str, name: str) -> dict[str, np.ndarray] | None:
+    """The arrays of a file, mapped and so shared by the workers of a machine; None where there is no such file.
+
+    A file of a store that is not mounted is first copied to the machine's own disk, once for all its workers.
+    """
+    fs, root = opened(uri)
+    path = f"{root}/{name}"
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        return None
+    if not isinstance(fs, pafs.LocalFileSystem):
+        digest = hashlib.sha256(f"{uri}/{name}".encode()).hexdigest()[:32]
+        local = os.path.join(tempfile.gettempdir(), f"mapped-{digest}")
+        if not os.path.exists(local):
+            with fs.open_input_stream(path) as source, open(f"{local}-{os.getpid()}", "wb") as out:
+                shutil.copyfileobj(source, out, 1 << 22)
+            os.replace(f"{local}-{os.getpid()}", local)
+        path = local
+    raw = np.memmap(path, np.uint8, "r")
+    size = int(bytes(raw[:15]))
+    start = -(-(16 + size) // 64) * 64
+    head = json.loads(bytes(raw[16 : 16 + size]))
+    return {n: raw[start + at : start + at + np.dtype(kind).itemsize * k].view(kind) for n, (kind, k, at) in head.items()}
+
+
 # --- hashing of words ---------------------------------------------------------------------------------------------
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -148,6 +221,22 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def span_hashes(h: np.ndarray, width: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """Hashes of every ``width`` consecutive values, by doubling; none where there are fewer values."""
+    if len(h) < width:
+        return h[:0]
+    have, n, out, done = 1, len(h), None, 0
+    while True:
+        if width & have:
+            shifted = h[done:]
+            out = h if out is None else out[: len(shifted)] * np.uint64(pow(base, have, 1 << 64)) + shifted[: len(out)]
+            done += have
+            if done == width:
+                return out[: n - width + 1]
+        h = h[:-have] * np.uint64(pow(base, have, 1 << 64)) + h[have:]
+        have *= 2
+
+
 def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import key, ranked, unkey
+from scenelake.llm.common import attach, key, ranked, remove, saved, unkey
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -41,17 +42,25 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def ordinal(col: Column) -> Column:
-    """A number that orders text by its first seven bytes."""
-    return F.conv(F.hex(F.substring(F.rpad(F.coalesce(col, F.lit("")).cast("binary"), 7, F.lit(b"\0")), 1, 7)), 16, 10).cast("long")
+def with_ordinal(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds ``name``: the place of a text among the distinct values of its column, in their order; nulls count as "".
+
+    Values are ranked by a distributed sort and joined back by value, frequent values by broadcast.
+    """
+    value = f"_{name}"
+    df = df.withColumn(value, F.coalesce(F.col(column).cast("string"), F.lit("")))
+    places, _ = ranked(df.select(value).distinct(), value, name="values")
+    return attach(df, places.withColumnRenamed("rank", name), value).drop(value)
 
 
 def hilbert_order(df: DataFrame, dimensions: dict[str, Column], bits: int = 7) -> DataFrame:
     """Adds ``hilbert``: the place on the curve after cutting each dimension at its quantiles into 2**bits cells.
 
     Quantiles come from Spark's mergeable approximate percentiles over all rows. A null dimension is in the first cell.
+    A column of that name in the input is replaced.
     """
-    columns = [f"_d{i}" for i in range(len(dimensions))]
+    columns = [f"_dimension{i}_{uuid.uuid4().hex}" for i in range(len(dimensions))]
+    df = df.drop("hilbert")
     wide = df.withColumns({n: c.cast("double") for n, c in zip(columns, dimensions.values(), strict=True)})
     parts = [i / (1 << bits) for i in range(1, 1 << bits)]
     found = wide.agg(*[F.percentile_approx(c, parts, 10_000).alias(c) for c in columns]).first()
@@ -69,29 +78,76 @@ def hilbert_order(df: DataFrame, dimensions: dict[str, Column], bits: int = 7) -
     return wide.mapInArrow(index, f"{kinds}, hilbert long")
 
 
-def hilbert_shards(docs: DataFrame, shards: int = 24, bits: int = 7) -> DataFrame:
-    """Cuts documents, in the order of a Hilbert curve over lang, source and size, into runs of equal count.
+def cuts_of(n: int, shards: int, inside: Callable[[list[int]], set[int]], slack: int = 8) -> list[int]:
+    """First ranks of the shards after the first, all shards having n // shards or one more.
 
-    Returns doc_id, size (bytes of the text plus 8), text_crc32, law ('rows'), shard, slot, grown_shard (null). Shards'
-    counts differ by one at most. Rows of one text form a group that takes the place of its smallest id and stays
-    together but where a cut falls within it. Null texts are empty, null ids come first, repeated rows each get a
-    slot; an empty table gives no rows.
+    Which shards have one more is free: of the choices that stay within ``slack`` of an even spread, the one with the
+    fewest cuts inside a group is taken. ``inside`` tells which of some ranks are inside a group.
     """
+    base, extra = divmod(n, shards)
+    able = [[e for e in range(max(0, i * extra // shards - slack, extra - (shards - i)), min(i, extra, i * extra // shards + slack) + 1)] for i in range(shards + 1)]
+    bad = inside(sorted({i * base + e for i in range(1, shards) for e in able[i] if 0 < i * base + e < n}))
+    best = {0: (0, [])}
+    for i in range(1, shards + 1):
+        new = {}
+        for e in able[i]:
+            options = [best[p] for p in (e - 1, e) if p in best]
+            if options:
+                cost, path = min(options)
+                new[e] = (cost + (i < shards and i * base + e in bad), [*path, i * base + e])
+        best = new
+    return best[extra][1][:-1]
+
+
+def _placed(docs: DataFrame, shards: int, bits: int) -> DataFrame:
+    """k, size, text_crc32, copy_of, shard, slot of every row."""
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     rows = docs.select(
-        key().alias("k"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.sha2(text, 256).substr(1, 32).alias("copy_of"), ordinal(F.col("lang")).alias("lang_no"), ordinal(F.col("source")).alias("source_no"),
+        key().alias("k"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).substr(1, 32).alias("copy_of"), "lang", "source",
     )
     # one row a group: the partial aggregate keeps a hot text to one row for each task
-    groups = rows.groupBy("copy_of").agg(F.min(F.struct("k", "lang_no", "source_no", "size")).alias("first"))
-    groups = groups.select("copy_of", F.col("first.k").alias("first_k"), *[F.col(f"first.{c}").alias(c) for c in ("lang_no", "source_no", "size")])
+    groups = rows.groupBy("copy_of").agg(F.min(F.struct("k", "lang", "source", "size")).alias("first"))
+    groups = groups.select("copy_of", F.col("first.k").alias("first_k"), *[F.col(f"first.{c}").alias(c) for c in ("lang", "source", "size")])
+    groups, groups_path = saved(with_ordinal(with_ordinal(groups, "lang", "lang_no"), "source", "source_no").drop("lang", "source"), "groups")
     groups = hilbert_order(groups, {"lang": F.col("lang_no"), "source": F.col("source_no"), "size": F.col("size")}, bits)
-    placed = rows.select("k", "size", "text_crc32", "copy_of").join(groups.select("copy_of", "hilbert", "first_k"), "copy_of")
-    table, _ = ranked(placed.drop("copy_of"), "hilbert", "first_k", "k", "size", "text_crc32", name="hilbert")
-    n = max(1, table.count())
-    shard = F.expr(f"rank * {shards} div {n}")
-    first = F.expr(f"(shard * {n} + {shards - 1}) div {shards}")
-    return table.withColumn("shard", shard).select(
+    placed = attach(rows.select("k", "size", "text_crc32", "copy_of"), groups.select("copy_of", "hilbert", "first_k"), "copy_of")
+    table, _ = ranked(placed, "hilbert", "first_k", "copy_of", "k", "size", "text_crc32", name="hilbert")
+    remove(docs.sparkSession, groups_path)
+
+    def inside(ranks: list[int]) -> set[int]:
+        wanted = {x for r in ranks for x in (r - 1, r)}  # about 40 for each shard
+        copy_of = {r["rank"]: r["copy_of"] for r in table.where(F.col("rank").isin(list(wanted))).select("rank", "copy_of").collect()} if wanted else {}
+        return {r for r in ranks if copy_of[r - 1] == copy_of[r]}
+
+    starts = [0, *cuts_of(table.count(), shards, inside)]
+    shard = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in starts]), lambda x: x <= F.col("rank"))) - 1
+    table = table.withColumn("shard", shard)
+    return table.withColumn("slot", F.col("rank") - F.array(*[F.lit(x).cast("long") for x in starts])[F.col("shard")])
+
+
+def hilbert_shards(docs: DataFrame, shards: int = 24, bits: int = 7) -> DataFrame:
+    """Cuts documents, in the order of a Hilbert curve over lang, source and size, into runs of equal count.
+
+    Returns doc_id, size (bytes of the text plus 8), text_crc32, law ('rows'), shard, slot, grown_shard (null). Shards'
+    counts differ by one at most. Rows of one text form a group that takes the place of its smallest id and stays
+    together but where a cut falls within it: cuts move to a group's edge where the counts allow it, and a group that
+    is larger than the one row by which they may move, or than a shard, can still be cut. Null texts are empty, null
+    ids come first, repeated rows each get a slot; an empty table gives no rows.
+    """
+    return _placed(docs, shards, bits).select(
         unkey("k").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
-        (F.col("rank") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 24, bits: int = 7) -> None:
+    """Writes the documents, all columns, as one folder a shard (shard=N), each in the order of the curve.
+
+    Files so hold narrow ranges of lang, source and size, and readers skip those whose statistics exclude a filter.
+    Rows that agree in id and text share a place. Columns called shard or _slot are not written.
+    """
+    placed = _placed(docs, shards, bits).groupBy("k", "copy_of").agg(F.min(F.struct("shard", "slot")).alias("place"))
+    placed = placed.select(F.col("k").alias("_k"), F.col("copy_of").alias("_copy"), F.col("place.shard").alias("shard"), F.col("place.slot").alias("_slot"))
+    copy = F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256).substr(1, 32)
+    rows = docs.drop("shard", "_slot").withColumns({"_k": key(), "_copy": copy}).join(placed, ["_k", "_copy"])
+    rows.repartition(shards, "shard").sortWithinPartitions("shard", "_slot").drop("_k", "_copy", "_slot").write.partitionBy("shard").parquet(path)
