@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from scenelake.llm import decontaminate, embedding_dedup, minhash_dedup, ngram_lm, packing, quality, sharding, suffix_dedup, token_store, toxicity
+from scenelake.llm import decontaminate, embedding_dedup, minhash_dedup, ngram_lm, packing, pipeline, quality, sharding, suffix_dedup, token_store, toxicity
 from scenelake.llm.common import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -66,7 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_suffix_array_dedup, op2_decontaminate, op3_toxicity, op4_token_store, op5_embedding_dedup,
         op6_minhash_dedup, op7_ngram_lm, op8_quality, op9_hilbert_shards, op10_pack,
     )
-} | {"pipeline": corpus_pipeline.run}
+} | {"pipeline": pipeline.run}
 
 #: DuckDB SQL where it can say the same over the whole tables.
 ORACLE_SQL: dict[str, str] = {
@@ -80,4 +79,4 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reac
 root AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.a = v.vec_id)::BIGINT AS n_links, root.component_id,
   v.vec_id = root.component_id AS kept FROM v JOIN root ON root.a = v.vec_id""",
-} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+} | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})
