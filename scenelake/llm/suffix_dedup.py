@@ -1,20 +1,21 @@
 """Removal of repeated byte windows by a depth-limited radix sort of suffixes, most significant digit first.
 
 Only the first ``window`` bytes of a suffix matter, so suffixes are sorted to that depth and no further: after the last
-pass a group of equal suffixes is exactly one repeated window. The digits, most significant first:
-
-1. The rarest-looking 32 bytes within the window (its minimiser: least hash, leftmost). It is chosen by the window's
-   bytes alone, so equal windows agree in it, and neighbouring suffixes share it: a run of about 35 suffixes is one row
-   of the shuffle. Groups of one row are unique and leave the sort here.
-2. All bytes of the run of windows. Rows that agree are repeats as a whole (whole copies of texts end here), and only
-   the first of each group goes on, if its first digit has other groups.
-3. The core: windows of a run fall into five blocks by the place of the first digit in them, and the windows of a block
-   have most of their bytes in common. A block whose core no other block has is unique and leaves the sort here.
-4. The whole window, one row for each suffix of the blocks that are left. Equal groups are the repeated windows.
-
-Each pass first drops within a task what an earlier row of that task settles, so a passage that many documents share
-reaches the next task a few times only. Windows are compared by 64-bit hashes of their bytes, two independent ones in
-the last pass and a hash of the first digit beside that of the second.
+pass a group of equal suffixes is exactly one repeated window. The digits are the leading thirds of the window. A pass
+extends the prefix by one digit: suffixes are dealt by a hash of their first 33, 66 and at last all 100 bytes, and what
+is alone in its group is unique and leaves the sort with all that it could have become.
+
+Texts are packed once, in the order of ids, into chunks of about 4 MiB, and a pass never moves a suffix: a chunk sends
+the sorted distinct prefix hashes of its suffixes, as differences, to the tasks that own ranges of hashes, and gets one
+bit for each back. So a passage counts once a chunk however often it stands there, no group is ever gathered, and a hot
+passage brings its owner no more than one hash from each chunk.
+
+1. Among suffixes that begin at places chosen by content (one in eight, by their own prefix hash, so all copies of a
+   passage choose alike), prefixes of the first digit are sought that recur. A window in which a chosen suffix does not
+   recur is unique. What is left, a small part of most corpora, is copied into smaller chunks.
+2. All suffixes that are left, by their first two digits.
+3. All suffixes that are left, by the whole window: 64 bits of one hash and 16 of another. As chunks follow the order of
+   ids, the lowest chunk that has a window has its first occurrence.
 """
 
 from __future__ import annotations
@@ -24,162 +25,305 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import bounded_batches, hashed_texts, key, mixed, saved, slices, text_hash, unkey
-
-DIGIT = 32
-#: The longest part of a text; at most two such are hashed at once, and positions within them take 24 bits.
-PART = 2 << 20
-#: Rows among which a task settles repeats before the shuffle.
-COMBINED = 1_000_000
-_RANDOM = np.random.default_rng(20240229)
-_BYTES = _RANDOM.integers(0, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASES = [0x9E3779B97F4A7C15, 0xD1342543DE82EF95]
-_WORD = 1 << 64
-
-
-def _spans(x: np.ndarray, width: int, kind: int) -> np.ndarray:
-    """Hashes of every ``width`` consecutive bytes, by doubling."""
-    have, n, h, out, done = 1, len(x), _BYTES[kind][x], None, 0
-    base = _BASES[kind]
-    while True:
-        if width & have:
-            shifted = h[done:]
-            out = h if out is None else out[: len(shifted)] * np.uint64(pow(base, have, _WORD)) + shifted[: len(out)]
-            done += have
-            if done == width:
-                return out[: n - width + 1]
-        h = h[:-have] * np.uint64(pow(base, have, _WORD)) + h[have:]
-        have *= 2
-
-
-def _least(h: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every ``width`` consecutive values."""
-    have = 1
-    while 2 * have <= width:
-        h = np.minimum(h[:-have], h[have:])
-        have *= 2
-    return h if have == width else np.minimum(h[: len(h) - (width - have)], h[width - have :])
-
-
-class _Parts:
-    """Parts of texts (key, text hash, base, bytes), each of at least one window, side by side in one array."""
-
-    def __init__(self, parts: list[tuple[int, int, int, bytes]], window: int):
-        self.keys, self.hashes, self.bases = (np.array([p[i] for p in parts], np.int64) for i in range(3))
-        ends = np.cumsum([len(p[3]) for p in parts]).astype(np.int64)
-        self.starts = np.r_[0, ends[:-1]]
-        self.x = np.frombuffer(b"".join(p[3] for p in parts), np.uint8)
-        self.valid = np.ones(len(self.x) - window + 1, bool)
-        for e in ends[:-1].tolist():
-            self.valid[e - window + 1 : e] = False
-
-    def where(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        part = np.searchsorted(self.starts, at, side="right") - 1
-        return self.keys[part], self.hashes[part], at - self.starts[part] + self.bases[part]
-
-
-def _parts(keys: list[int], hashes: list[int], bodies: list[bytes], window: int) -> Iterator[_Parts]:
-    """Texts of at least one window, cut where very long, in groups of far fewer than 2**24 bytes."""
-    held, n = [], 0
-    for k, t, body in zip(keys, hashes, bodies, strict=True):
-        for at in range(0, len(body) - window + 1, PART):
-            part = body[at : at + PART + window - 1]
-            if held and n + len(part) > 2 * PART:
-                yield _Parts(held, window)
-                held, n = [], 0
-            held.append((k, t, at, part))
-            n += len(part)
-    if held:
-        yield _Parts(held, window)
-
-
-def _runs(parts: _Parts, window: int) -> list[np.ndarray]:
-    """Columns digit 1, digit 2, key, text hash, start, shape of the runs of windows that share a minimiser.
-
-    The shape is (windows - 1) * 128 + the minimiser's place in the first window.
+from scenelake.llm.common import bounded_batches, hashed_texts, key, mixed, partitions, remove, saved, span_hashes, text_hash, unkey
+
+#: Bytes of text in a chunk; a longer text is cut, its parts overlapping by a window less one byte.
+CHUNK = 4 << 20
+#: Hashes that an owner's task looks at together, about.
+OWNED = 4_000_000
+#: One suffix in 2**SAMPLE takes part in the first pass.
+SAMPLE = 3
+_BYTES = np.random.default_rng(20240229).integers(0, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+
+
+def prefix_hashes(x: np.ndarray, depth: int, kind: int = 0) -> np.ndarray:
+    """Hashes of the first ``depth`` bytes of every suffix that has as many."""
+    return mixed(span_hashes(_BYTES[kind][x], depth, _BASES[kind]) + np.uint64(depth))
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Sorted whole numbers as differences, byte by byte, compressed."""
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return zstandard.ZstdCompressor(level=1).compress(steps.T.tobytes())
+
+
+def loosened(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.cumsum(raw.reshape(8, -1).T.copy().view("<u8")[:, 0], dtype=np.uint64)
+
+
+class _Values:
+    """The distinct prefix hashes of a chunk's suffixes, in order, and where their buckets begin.
+
+    ``checks`` is a second hash for the last pass, else nothing; ``width`` is how many leading bits of a hash count.
+    """
+
+    def __init__(self, hashes: np.ndarray, checks: np.ndarray | None, width: int, buckets: int):
+        h = hashes >> np.uint64(64 - width) if width < 64 else hashes
+        order = np.argsort(h, kind="stable") if checks is None else np.lexsort((checks, h))
+        h, c = h[order], None if checks is None else checks[order]
+        new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
+        if c is not None and len(h):
+            new[1:] |= c[1:] != c[:-1]
+        first = np.flatnonzero(new)
+        self.values, self.checks = h[first], None if c is None else c[first]
+        self.counts = np.diff(np.r_[first, len(h)])
+        self.number = np.empty(len(h), np.int64)  # of each suffix: the place of its hash among the values
+        self.number[order] = np.cumsum(new) - 1
+        self.first = order[first]  # the sort is stable, so this is the first suffix with each value
+        step = -(-(1 << width) // buckets)
+        bounds = np.array([min(b * step, 2**64 - 1) for b in range(1, buckets)], np.uint64)
+        self.cuts = np.r_[0, np.searchsorted(self.values, bounds), len(self.values)]
+
+    def rows(self) -> Iterator[tuple[int, bytes, bytes]]:
+        """(bucket, values, checks) of the buckets that hold any."""
+        for b in np.flatnonzero(np.diff(self.cuts)).tolist():
+            some = slice(self.cuts[b], self.cuts[b + 1])
+            yield b, squeezed(self.values[some]), b"" if self.checks is None else self.checks[some].astype("<u2").tobytes()
+
+    def flags(self, replies: list[dict] | None) -> np.ndarray:
+        """The owners' bit for each value; what they do not mention is 0."""
+        out = np.zeros(len(self.values), bool)
+        for r in replies or ():
+            a, b = self.cuts[r["bucket"]], self.cuts[r["bucket"] + 1]
+            out[a:b] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=b - a).astype(bool)
+        return out
+
+
+def _recurring(chunks: list[int], values: list[np.ndarray], checks: list[np.ndarray] | None) -> Iterator[tuple[int, np.ndarray]]:
+    """(chunk, bit of each of its values): whether another chunk has it; with checks, whether a lower chunk has it."""
+    every, owner = np.concatenate(values), np.repeat(np.arange(len(chunks)), [len(v) for v in values])
+    rank = np.argsort(np.argsort(chunks))[owner]
+    if checks is None:
+        order = np.argsort(every, kind="stable")
+        same = every[order][1:] == every[order][:-1]
+        hit = np.r_[False, same] | np.r_[same, False]
+    else:
+        c = np.concatenate(checks)
+        order = np.lexsort((rank, c, every))
+        hit = np.r_[False, (every[order][1:] == every[order][:-1]) & (c[order][1:] == c[order][:-1])]
+    bits = np.empty(len(every), bool)
+    bits[order] = hit
+    stops = np.cumsum([len(v) for v in values])
+    for i, chunk in enumerate(chunks):
+        yield chunk, bits[stops[i] - len(values[i]) : stops[i]]
+
+
+def _answers(values: DataFrame, first: bool) -> DataFrame:
+    """(chunk, replies): for each chunk the bits of its values, by bucket; chunks without a set bit are left out."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def settled() -> pa.RecordBatch:
+            chunks, blobs, checks = zip(*held, strict=True)
+            found = [loosened(b) for b in blobs]
+            out = [(c, last, np.packbits(bits).tobytes()) for c, bits in _recurring(list(chunks), found, [np.frombuffer(c, "<u2") for c in checks] if first else None) if bits.any()]
+            columns = list(zip(*out, strict=True)) if out else [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["chunk", "bucket", "bits"])
+
+        for batch in batches:
+            for bucket, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and bucket != last:
+                    yield settled()
+                    held = []
+                last = bucket
+                held.append(row)
+        if held:
+            yield settled()
+
+    dealt = values.select("bucket", "chunk", "found", "checks").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(own, "chunk long, bucket int, bits binary").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("replies"))
+
+
+def _packed(docs: DataFrame, window: int) -> tuple[DataFrame, str]:
+    """(chunk, n, k, text_hash, row, base, size, own, body): texts in the order of (k, text_hash, row), in chunks.
+
+    The arrays have an entry for each part of a text: where it begins in its text, its bytes and those of them that are
+    its own (the rest overlaps the next part). Chunk numbers grow in the order of texts.
     """
-    h = mixed(_spans(parts.x, DIGIT, 0))
-    low = _least(h >> np.uint64(24) << np.uint64(24) | np.arange(len(h), dtype=np.uint64), window - DIGIT + 1)
-    low, ok = (low & np.uint64((1 << 24) - 1)).astype(np.int64), parts.valid
-    same = np.r_[False, (low[1:] == low[:-1]) & ok[1:] & ok[:-1]]
-    first = np.flatnonzero(ok & ~same)
-    last = np.flatnonzero(ok & ~np.r_[same[1:], False])
-    whole = _spans(parts.x, window, 0)
-    digit = mixed(mixed(whole[first]) * np.uint64(3) + mixed(whole[last]) + (last - first).astype(np.uint64))
-    k, t, at = parts.where(first)
-    return [h[low[first]].view(np.int64), digit.view(np.int64), k, t, at, (last - first) * 128 + low[first] - first]
-
-
-def _blocks(start: int, shape: int, window: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(block, first window, last window, core from, core to) of a run: windows by the minimiser's place in them."""
-    slack, least = window - DIGIT, start + shape % 128
-    step = -(-slack // 4)
-    for block in range(slack // step + 1):
-        low, high = block * step, min(slack, block * step + step - 1)  # places of the minimiser
-        a, b = max(start, least - high), min(start + shape // 128, least - low)
-        if a <= b:
-            yield block, a, b, least - low, least + DIGIT + slack - high
-
-
-def _suffixes(keys: list[int], texts: list[int], bodies: list[bytes], wanted: list[list[tuple[int, int]]], window: int) -> list[np.ndarray]:
-    """Columns hash, other hash, key, text hash, start of the windows whose starts lie within (first, last) of each text."""
-    out = []
-    for k, t, body, spans in zip(keys, texts, bodies, wanted, strict=True):
-        at = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in spans]))
-        at = at[at <= len(body) - window]
-        for start in range(0, len(body), PART):
-            some = at[(at >= start) & (at < start + PART)]
-            if len(some):
-                x = np.frombuffer(body, np.uint8)[start : start + PART + window - 1]
-                hashes = [mixed(_spans(x, window, kind)[some - start]).view(np.int64) for kind in (0, 1)]
-                out.append([*hashes, np.full(len(some), k, np.int64), np.full(len(some), t, np.int64), some])
-    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
-
-
-def _settled(columns: list[np.ndarray]) -> np.ndarray:
-    """Which rows repeat an earlier one; columns: two digits, key, text hash, start, ..."""
-    a, b, k, t, at = columns[:5]
-    order = np.lexsort((at, t, k, b, a))
-    a, b, k, t, at = a[order], b[order], k[order], t[order], at[order]
-    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
-    head = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0)) if len(a) else np.zeros(0, np.int64)
-    late = np.zeros(len(a), bool)
-    late[order] = (k != k[head]) | (t != t[head]) | (at != at[head])
-    return late
-
-
-def _combined(rows: Iterator[list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Adds ``late``, true for what an earlier row among up to COMBINED settles; those get a first digit of their own."""
-    held: list[list[np.ndarray]] = []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        late = _settled(columns)
-        own = mixed(mixed(columns[2].view(np.uint64) * np.uint64(_BASES[1]) + columns[3].view(np.uint64)) + columns[4].view(np.uint64)).view(np.int64)
-        columns[0] = np.where(late, own, columns[0])
-        for at in range(0, len(late), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in [*columns, late]], names=names)
-
-    for row in rows:
-        held.append(row)
-        if sum(len(r[0]) for r in held) >= COMBINED:
-            yield from flush()
-            held.clear()
-    if held:
-        yield from flush()
-
-
-def _cover(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
-    edges = np.zeros(n + 1, np.int32)
-    if spans:
-        a, b = np.clip(np.array(spans, np.int64).T, 0, n)
-        np.add.at(edges, a, 1)
-        np.add.at(edges, b, -1)
-    return np.cumsum(edges[:-1]) > 0
+    rows = hashed_texts(docs).withColumn("row", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(partitions(docs.sparkSession), "k", "text_hash", "row").sortWithinPartitions("k", "text_hash", "row")
+    schema = "chunk long, n long, k array<long>, text_hash array<long>, row array<long>, base array<long>, size array<long>, own array<long>, body binary"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, held, n = TaskContext.get().partitionId() << 32, [], 0
+
+        def chunk() -> pa.RecordBatch:
+            columns = list(zip(*held, strict=True))
+            lists = [pa.array([c], pa.list_(pa.int64())) for c in columns[:6]]
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([n]), *lists, pa.array([b"".join(columns[6])], pa.binary())], names=["chunk", "n", "k", "text_hash", "row", "base", "size", "own", "body"])
+
+        for batch in batches:
+            for k, t, body, row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                at = 0
+                while True:
+                    stop = min(len(body), at + CHUNK)
+                    while at < stop < len(body) and body[stop] & 0xC0 == 0x80:  # parts begin with characters
+                        stop -= 1
+                    part = body[at : stop + window - 1] if stop < len(body) else body[at:]
+                    if held and (n + len(part) > CHUNK + window or len(held) >= 20_000):
+                        yield chunk()
+                        number, held, n = number + 1, [], 0
+                    held.append((k, t, row, at, len(part), stop - at, part))
+                    n += len(part)
+                    at = stop
+                    if at >= len(body):
+                        break
+        if held:
+            yield chunk()
+
+    return saved(dealt.select("k", "text_hash", "body", "row").mapInArrow(pack, schema), "suffix-chunks")
+
+
+def _starts(sizes: np.ndarray, depth: int) -> np.ndarray:
+    """Whether ``depth`` bytes from each place on lie within one of the parts that stand side by side."""
+    ends = np.cumsum(sizes)
+    out = np.ones(int(ends[-1]) if len(ends) else 0, bool)
+    for a, b in zip(np.maximum(ends - depth + 1, ends - sizes).tolist(), ends.tolist(), strict=True):
+        out[a:b] = False
+    return out
+
+
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of runs of true, and the places behind them."""
+    edges = np.flatnonzero(np.diff(np.r_[False, mask, False].astype(np.int8)))
+    return edges[::2], edges[1::2]
+
+
+def _numbers(column: pa.Array, i: int) -> np.ndarray:
+    return column[i].values.to_numpy()
+
+
+def _spans(docs: DataFrame, chunks: DataFrame, window: int) -> tuple[DataFrame, list[str]]:
+    """(chunk, starts, stops): the bytes of each chunk, as runs, that repeated windows cover, after the three passes."""
+    buckets_of = lambda n: max(partitions(docs.sparkSession), 1 + n // OWNED)
+    total = int(chunks.agg(F.sum("n")).first()[0] or 0)
+    one, two = max(1, window // 3), max(1, 2 * window // 3)
+    values = "chunk long, bucket int, found binary, checks binary"
+
+    def emitted(chunk: int, found: _Values) -> Iterator[pa.RecordBatch]:
+        rows = list(found.rows())
+        for at in range(0, len(rows), 64):
+            columns = list(zip(*rows[at : at + 64], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(columns[0])), pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["chunk", "bucket", "found", "checks"])
+
+    # first pass: chosen suffixes, first digit
+    n_one = buckets_of(total >> SAMPLE)
+    bits_one = min(64, (max(1, total >> SAMPLE)).bit_length() + 10)
+
+    def chosen(body: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes) of the suffixes of the first pass."""
+        h = prefix_hashes(np.frombuffer(body, np.uint8), one)
+        at = np.flatnonzero((h & np.uint64((1 << SAMPLE) - 1) == 0) & _starts(sizes, one)[: len(h)])
+        return at, mixed(h[at])
+
+    def send_chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, chunk in enumerate(batch.column(0).to_pylist()):
+                _, h = chosen(batch.column(2)[i].as_py(), _numbers(batch.column(1), i))
+                yield from emitted(chunk, _Values(h, None, bits_one, n_one))
+
+    def stretches(body: bytes, at: np.ndarray, left: np.ndarray, chunk: int) -> pa.RecordBatch:
+        """What is left: runs of windows that begin where ``left`` is true, with their places ``at`` in the chunk."""
+        a, b = _runs(left)
+        b = b + window - 1
+        parts = [body[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        lists = [pa.array([x], pa.list_(pa.int64())) for x in (at[a], b - a)]
+        return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([int(left.sum())]), *lists, pa.array([b"".join(parts)], pa.binary())], names=["chunk", "n", "at", "size", "body"])
+
+    def keep_chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, chunk in enumerate(batch.column(0).to_pylist()):
+                body, sizes = batch.column(2)[i].as_py(), _numbers(batch.column(1), i)
+                at, h = chosen(body, sizes)
+                found = _Values(h, None, bits_one, n_one)
+                again = (found.counts > 1) | found.flags(batch.column(3)[i].as_py())
+                alone = np.zeros(len(body) + 1, np.int32)
+                alone[at[~again[found.number]] + 1] = 1
+                alone = np.cumsum(alone)  # chosen suffixes before each place that do not recur
+                left = _starts(sizes, window)
+                some = np.flatnonzero(left)
+                left[some] = alone[some + window - one + 1] == alone[some]
+                if left.any():
+                    yield stretches(body, np.arange(len(body)), left, chunk)
+
+    answers = _answers(chunks.select("chunk", "size", "body").mapInArrow(send_chosen, values), False)
+    kept = chunks.select("chunk", "size", "body").join(answers, "chunk", "left")
+    shape = "chunk long, n long, at array<long>, size array<long>, body binary"
+    some, some_path = saved(kept.select("chunk", "size", "body", "replies").mapInArrow(keep_chosen, shape), "suffix-left")
+
+    # second pass: all suffixes that are left, two digits
+    n_some = int(some.agg(F.sum("n")).first()[0] or 0)
+    n_two, bits_two = buckets_of(n_some), min(64, max(1, n_some).bit_length() + 10)
+
+    def left_hashes(body: bytes, sizes: np.ndarray, depth: int, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(_starts(sizes, window))
+        return at, prefix_hashes(np.frombuffer(body, np.uint8), depth, kind)[at]
+
+    def send_left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, chunk in enumerate(batch.column(0).to_pylist()):
+                _, h = left_hashes(batch.column(3)[i].as_py(), _numbers(batch.column(2), i), two)
+                yield from emitted(chunk, _Values(h, None, bits_two, n_two))
+
+    def keep_left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, chunk in enumerate(batch.column(0).to_pylist()):
+                body, sizes, places = batch.column(3)[i].as_py(), _numbers(batch.column(2), i), _numbers(batch.column(1), i)
+                at, h = left_hashes(body, sizes, two)
+                found = _Values(h, None, bits_two, n_two)
+                left = np.zeros(len(body), bool)
+                left[at] = ((found.counts > 1) | found.flags(batch.column(4)[i].as_py()))[found.number]
+                if left.any():
+                    first = np.cumsum(sizes) - sizes
+                    yield stretches(body, np.repeat(places - first, sizes) + np.arange(len(body)), left, chunk)
+
+    columns = ["chunk", "at", "size", "body"]
+    answers = _answers(some.select(*columns).mapInArrow(send_left, values), False)
+    kept = some.select(*columns).join(answers, "chunk", "left").select(*columns, "replies").mapInArrow(keep_left, shape)
+    last, last_path = saved(kept, "suffix-last")
+    remove(docs.sparkSession, some_path)
+
+    # last pass: the whole window
+    n_last = buckets_of(int(last.agg(F.sum("n")).first()[0] or 0))
+
+    def whole(body: bytes, sizes: np.ndarray) -> tuple[np.ndarray, _Values]:
+        at, h = left_hashes(body, sizes, window)
+        return at, _Values(h, (left_hashes(body, sizes, window, 1)[1] >> np.uint64(48)).astype(np.uint16), 64, n_last)
+
+    def send_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, chunk in enumerate(batch.column(0).to_pylist()):
+                yield from emitted(chunk, whole(batch.column(3)[i].as_py(), _numbers(batch.column(2), i))[1])
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, chunk in enumerate(batch.column(0).to_pylist()):
+                body, sizes, places = batch.column(3)[i].as_py(), _numbers(batch.column(2), i), _numbers(batch.column(1), i)
+                at, found = whole(body, sizes)
+                late = np.ones(len(at), bool)
+                late[found.first] = False  # all but the first with a window are late, and that if a lower chunk has it
+                late |= found.flags(batch.column(4)[i].as_py())[found.number]
+                first = np.cumsum(sizes) - sizes
+                where = (np.repeat(places - first, sizes) + np.arange(len(body)))[at[late]]
+                if len(where):
+                    new = np.flatnonzero(np.r_[True, where[1:] > where[:-1] + window])
+                    stops = np.r_[where[new[1:] - 1], where[-1]] + window
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), *[pa.array([x], pa.list_(pa.int64())) for x in (where[new], stops)]], names=["chunk", "starts", "stops"])
+
+    answers = _answers(last.select(*columns).mapInArrow(send_whole, values), True)
+    found = last.select(*columns).join(answers, "chunk", "left").select(*columns, "replies").mapInArrow(cover, "chunk long, starts array<long>, stops array<long>")
+    spans, spans_path = saved(found, "suffix-spans")
+    remove(docs.sparkSession, last_path)
+    return spans, [spans_path]
 
 
 def _kept_text(body: bytes, gone: np.ndarray) -> bytes:
@@ -192,95 +336,104 @@ def _kept_text(body: bytes, gone: np.ndarray) -> bytes:
     return x[~np.repeat(all_gone, np.diff(np.r_[first, len(x)]))].tobytes()
 
 
+class _Text:
+    """A text that comes part after part: what repeats is left out, the rest goes into the hash."""
+
+    def __init__(self, k: int, t: int, text: bool):
+        self.k, self.t, self.digest, self.texts = k, t, hashlib.sha256(), [] if text else None
+        self.n = self.gone = self.spans = self.until = 0
+        self.open = False
+
+    def add(self, body: bytes, starts: np.ndarray, stops: np.ndarray) -> None:
+        """``body``: the part's own bytes; spans are counted from its first and may go beyond it."""
+        gone = np.zeros(len(body) + 1, np.int32)
+        np.add.at(gone, np.minimum(np.r_[starts, 0], len(body)), 1)
+        np.add.at(gone, np.minimum(np.r_[stops, max(0, self.until - self.n)], len(body)), -1)
+        gone = np.cumsum(gone[:-1]) > 0
+        self.until = max([self.until, *(self.n + stops[-1:]).tolist()])
+        if gone.any():
+            x = np.frombuffer(body, np.uint8)
+            self.spans += int(np.count_nonzero(np.diff(np.r_[self.open, gone].astype(np.int8)) == 1))
+            self.gone += int(gone.sum())
+            self.digest.update(x[~gone].tobytes())
+        else:
+            self.digest.update(body)
+        if self.texts is not None:
+            self.texts.append(_kept_text(body, gone) if gone.any() else body)
+        self.n += len(body)
+        if len(body):
+            self.open = bool(gone[-1])
+
+    def row(self) -> tuple:
+        return (self.k, self.t, self.n, self.gone, self.spans, self.digest.hexdigest(), *([] if self.texts is None else [b"".join(self.texts).decode() if self.gone else None]))
+
+
 def _cut(docs: DataFrame, window: int, text: bool) -> DataFrame:
-    """dedup_windows by k, text_hash and turn, which tell rows apart (rows that agree in id and text are numbered)."""
-    if not DIGIT < window <= DIGIT + 127:
-        raise ValueError(f"window must be in {DIGIT + 1}..{DIGIT + 127}")
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    bodies = hashed_texts(docs)
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = (s for b in batches for s in slices(b, most=PART))
-        found = (_runs(p, window) for s in parts for p in _parts(*[c.to_pylist() for c in s.columns], window))
-        for batch in _combined(found, ["d1", "d2", "k", "text_hash", "at", "shape", "late"]):
-            at, shape, late = (c.to_numpy(zero_copy_only=False) for c in batch.columns[4:])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(at << 16 | shape << 2 | late)], names=["d1", "d2", "k", "text_hash", "code"])
-
-    by = ["k", "text_hash"]
-    # code: start << 16 | shape << 2 | 1 if repeated, 2 if to be sorted further; it grows with the start
-    rows = bodies.mapInArrow(runs, "d1 long, d2 long, k long, text_hash long, code long")
-    place = F.struct("k", "text_hash", F.shiftright("code", 16).alias("at"))
-    one, run = Window.partitionBy("d1"), Window.partitionBy("d1", "d2").orderBy("k", "text_hash", "code")
-    rows = rows.withColumn("first", F.first(place).over(run)).withColumns({"low": F.min("d2").over(one), "high": F.max("d2").over(one)})
-    late = (F.col("code") % 4 == 1) | (place > F.col("first"))
-    rows = rows.select("k", "text_hash", F.when(late, 1).when(F.col("low") != F.col("high"), 2).alias("what"), "code").where("what is not null")
-    code = F.shiftleft(F.shiftright("code", 2), 2) + F.col("what")
-    found, _ = saved(rows.groupBy("k", "text_hash").agg(F.collect_set(code).alias("codes")), "windows-found")
-
-    kinds = "k long, text_hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * text
-    names = [x.split()[0] for x in kinds.split(", ")]
-
-    def spans_of(codes: list[int] | None) -> list[tuple[int, int]]:
-        return [(c >> 16, (c >> 16) + (c >> 9 & 127) + window) for c in codes or () if c & 3 == 1]
-
-    def result(k: int, t: int, body: bytes, spans: list[tuple[int, int]]) -> tuple:
-        if not spans:
-            return (k, t, len(body), 0, 0, hashlib.sha256(body).hexdigest(), *[body.decode()] * text)
-        gone = _cover(len(body), spans)
-        kept = np.frombuffer(body, np.uint8)[~gone].tobytes()
-        n_spans = int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1))
-        return (k, t, len(body), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), *[_kept_text(body, gone).decode()] * text)
-
-    def batch_of(rows: list[tuple], names: list[str], schema: pa.Schema) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, schema.field(n).type) for n, c in zip(names, zip(*rows, strict=True), strict=True)], schema=schema)
-
-    one_schema = pa.schema([(n, pa.string() if "kept" in n else pa.int64()) for n in names])
-
-    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """k, text_hash, n_bytes, n_removed, n_spans, kept_sha256 and, with ``text``, kept_text (null where all is kept)."""
+    if window < 8:
+        raise ValueError("window must be 8 at least")
+    bounded_batches(docs.sparkSession)
+    chunks, chunks_path = _packed(docs, window)
+    spans, paths = _spans(docs, chunks, window)
+    kinds = [("k", pa.int64()), ("text_hash", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *[("kept_text", pa.string())] * text]
+    names = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
+    schema = lambda fields: ", ".join(f"{n} {names[t]}" for n, t in fields)
+    arrays = lambda fields, rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+    part_kinds = [("row", pa.int64()), ("base", pa.int64()), ("body", pa.binary()), ("starts", pa.list_(pa.int64())), ("stops", pa.list_(pa.int64()))]
+
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """k, text hash, row, base, whether it is the whole text, own bytes, starts and stops of each part."""
         for batch in batches:
-            out = []
-            for k, t, body, codes in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                for c in codes:
-                    for block, a, b, start, stop in _blocks(c >> 16, c >> 2 & 0x3FFF, window):
-                        out.append((xxhash.xxh3_64_intdigest(body[start:stop], block) - (1 << 63), k, t, a << 8 | b - a))
-            columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["core", "k", "text_hash", "span"])
-
-    open_ = found.select("k", "text_hash", F.filter("codes", lambda c: c % 4 == 2).alias("codes")).where("size(codes) > 0")
-    spot, core = F.struct("k", "text_hash", "span"), Window.partitionBy("core")
-    spans = bodies.join(open_, by).select("k", "text_hash", "body", "codes").mapInArrow(cores, "core long, k long, text_hash long, span long")
-    spans = spans.withColumns({"low": F.min(spot).over(core), "high": F.max(spot).over(core)}).where("low < high")
-    spans, _ = saved(spans.groupBy("k", "text_hash").agg(F.collect_set("span").alias("spans")), "windows-cores")
-
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[list[np.ndarray]]:
-            for b in batches:
-                for s in slices(b, most=PART):
-                    k, t, body, wanted = [c.to_pylist() for c in s.columns]
-                    yield _suffixes(k, t, body, [[(x >> 8, (x >> 8) + (x & 255)) for x in w] for w in wanted], window)
-
-        return _combined(rows(), ["d1", "d2", "k", "text_hash", "at", "late"])
-
-    last = bodies.join(spans, by).select("k", "text_hash", "body", "spans").mapInArrow(suffixes, "d1 long, d2 long, k long, text_hash long, at long, late boolean")
-    spot = F.struct("k", "text_hash", "at")
-    last = last.withColumn("first", F.first(spot).over(Window.partitionBy("d1", "d2").orderBy("k", "text_hash", "at"))).where(F.col("late") | (spot > F.col("first")))
-    starts, _ = saved(last.groupBy("k", "text_hash").agg(F.collect_set("at").alias("starts")), "windows-starts")
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for i in range(batch.num_rows):
+                k, t, row, base, size, own = (_numbers(batch.column(c), i) for c in range(1, 7))
+                body = batch.column(7)[i].as_py()
+                starts, stops = (np.zeros(0, np.int64) if not batch.column(c)[i].is_valid else _numbers(batch.column(c), i) for c in (8, 9))
+                at = np.cumsum(size) - size
+                # windows lie within parts, so no run of removed bytes is cut by where a part ends in the chunk but touching ones
+                low, high = np.searchsorted(stops, at, side="right"), np.searchsorted(starts, at + size)
+                for j in range(len(k)):
+                    a, b = starts[low[j] : high[j]] - at[j], stops[low[j] : high[j]] - at[j]
+                    yield int(k[j]), int(t[j]), int(row[j]), int(base[j]), base[j] == 0 and size[j] == own[j], body[at[j] : at[j] + own[j]], np.maximum(a, 0), np.minimum(b, size[j])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for k, t, _, _, alone, body, starts, stops in parts_of(batches):
+            if alone:
+                made = _Text(k, t, text)
+                made.add(body, starts, stops)
+                out.append(made.row())
+                held += len(body)
+            if held > CHUNK or len(out) >= 10_000:
+                yield arrays(kinds, out)
+                out, held = [], 0
+        if out:
+            yield arrays(kinds, out)
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, t, row, base, alone, body, starts, stops in parts_of(batches):
+            if not alone:
+                yield arrays([*kinds[:2], *part_kinds], [(k, t, row, base, body, starts, stops)])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, last = None, None
         for batch in batches:
-            for some in slices(batch):
-                rows = zip(*[c.to_pylist() for c in some.columns], strict=True)
-                out = [result(k, t, body, spans_of(codes) + [(a, a + window) for a in at or ()]) for k, t, body, codes, at in rows]
-                yield batch_of(out, names, one_schema)
-
-    settled = found.join(starts, by, "full").select("k", "text_hash", "codes", "starts")
-    out = bodies.join(settled, by, "left").select("k", "text_hash", "body", "codes", "starts").mapInArrow(apply, kinds)
-    # every window of a further row with the same id and text starts earlier in the first
-    out = out.withColumn("turn", F.row_number().over(Window.partitionBy("k", "text_hash").orderBy("text_hash")))
-    again = (F.col("turn") > 1) & (F.col("n_bytes") >= window)
-    nothing = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1), "kept_sha256": F.lit(hashlib.sha256().hexdigest()), "kept_text": F.lit("")}
-    return out.withColumns({n: F.when(again, c).otherwise(F.col(n)) for n, c in nothing.items() if n in names})
+            for i in range(batch.num_rows):
+                k, t, row = (batch.column(c)[i].as_py() for c in range(3))
+                if made and row != last:
+                    yield arrays(kinds, [made.row()])
+                    made = None
+                made, last = made or _Text(k, t, text), row
+                made.add(batch.column(4)[i].as_py(), _numbers(batch.column(5), i), _numbers(batch.column(6), i))
+        if made:
+            yield arrays(kinds, [made.row()])
+
+    # texts of several parts are rare: a chunk that holds one has a part with a base, or with bytes of the next
+    long = F.exists("base", lambda x: x > 0) | F.exists(F.arrays_zip("size", "own"), lambda x: x["size"] != x["own"])
+    columns = ["chunk", "k", "text_hash", "row", "base", "size", "own", "body", "starts", "stops"]
+    placed = chunks.join(spans, "chunk", "left").select(*columns)
+    parts = chunks.where(long).join(spans, "chunk", "left").select(*columns).mapInArrow(several, schema([*kinds[:2], *part_kinds]))
+    parts = parts.repartition("row").sortWithinPartitions("row", "base")
+    return placed.mapInArrow(whole, schema(kinds)).unionByName(parts.mapInArrow(joined, schema(kinds)))
 
 
 def dedup_windows(docs: DataFrame, window: int = 100, text: bool = False) -> DataFrame:
@@ -288,9 +441,10 @@ def dedup_windows(docs: DataFrame, window: int = 100, text: bool = False) -> Dat
     id, or before in the same one. Strings are judged on the input.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 for each document; with ``text``
-    also kept_text, of which only whole characters are removed. Null and empty texts, and texts shorter than the
-    window, lose nothing; a null id counts as the smallest. Rows that repeat an id are documents of their own, earlier
-    or later by a hash of the text; of those that agree in the text too, one comes first. An empty table gives no rows.
+    also kept_text, of which only whole characters are removed (null where nothing is). Null and empty texts, and texts
+    shorter than the window, lose nothing; a null id counts as the smallest. Rows that repeat an id are documents of
+    their own, earlier or later by a hash of the text; of those that agree in the text too, one comes first. An empty
+    table gives no rows. Texts may be of any length.
     """
     out = _cut(docs, window, text)
     return out.select(unkey("k").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * text)
@@ -299,14 +453,17 @@ def dedup_windows(docs: DataFrame, window: int = 100, text: bool = False) -> Dat
 def remove_repeats(docs: DataFrame, window: int = 100) -> DataFrame:
     """The documents, all columns, with texts less their repeated windows; n_chars follows where there is such a column.
 
-    Null texts stay null. Texts are shuffled by _cut alone: the other columns join its result by id and a hash of the
-    input, rows that agree in both being paired in turn.
+    Null texts stay null. Only texts that change join the documents, by id and a hash of the input; rows that agree in
+    both are numbered, and as many of them change as there are changed texts.
     """
-    cut = _cut(docs, window, text=True)
-    cut = cut.select(F.col("k").alias("_k"), F.col("text_hash").alias("_text"), F.col("turn").alias("_turn"), F.col("kept_text").alias("_kept"))
-    rest = docs.select(*[c for c in docs.columns if c != "text"], F.col("text").isNull().alias("_null"), key().alias("_k"), text_hash().alias("_text"))
-    turn = F.row_number().over(Window.partitionBy("_k", "_text").orderBy("_text"))
-    out = rest.withColumn("_turn", turn).join(cut, ["_k", "_text", "_turn"])
-    text = F.when(~F.col("_null"), F.col("_kept"))
-    new = {"text": text, "n_chars": F.when(~F.col("_null"), F.length("_kept")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {"text": text}
+    changed, _ = saved(_cut(docs, window, text=True).where("n_removed > 0").select("k", "text_hash", "kept_text"), "suffix-changed")
+    turn = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(by[1]))
+    mine = {n: f"_{n}_{hashlib.sha256(','.join(docs.columns).encode()).hexdigest()[:8]}" for n in ("k", "text_hash", "turn", "kept_text")}
+    changed = changed.withColumn("turn", turn("k", "text_hash")).withColumnsRenamed(mine)
+    rest = docs.withColumns({mine["k"]: key(), mine["text_hash"]: text_hash()})
+    out = rest.withColumn(mine["turn"], turn(mine["k"], mine["text_hash"])).join(changed, [mine[n] for n in ("k", "text_hash", "turn")], "left")
+    kept = F.col(mine["kept_text"])
+    new = {"text": F.coalesce(kept, F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.length(kept), F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
     return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

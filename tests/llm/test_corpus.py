@@ -2,12 +2,14 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scenelake.llm import common, decontaminate, embedding_dedup, encode, minhash_dedup, ngram_lm, packing, quality, sharding, suffix_dedup, token_store, toxicity
 from scenelake.llm.common import scratch_path
@@ -198,7 +200,36 @@ def test_contamination(spark, docs, empty):
     assert decontaminate.contamination(empty, items).count() == 0
     assert decontaminate.contamination(docs, items.limit(0)).where("contaminated").count() == 0
     bad = {k for k, r in got.items() if r["contaminated"]}
-    assert bad and {r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()} == {r[0] for r in ROWS} - bad
+    for size in (1 << 24, 100):
+        kept = decontaminate.decontaminate(docs.unionByName(docs), items, shard_bytes=size)
+        assert kept.columns == docs.columns
+        assert bad and collections.Counter(r["doc_id"] for r in kept.collect()) == {r[0]: 2 for r in ROWS if r[0] not in bad}
+
+
+def test_long_items_are_cut_into_segments(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SEGMENT", 7)
+    item = text(60)
+    words = decontaminate.words_of(item.encode())
+    docs = spark.createDataFrame([(1, " ".join(w.decode() for w in words[20:45])), (2, "zz " + " ".join(w.decode() for w in words[20:32]))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.contamination(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()}
+    assert (got[1]["n_words"], got[1]["n_hit"], got[1]["n_items"], got[2]["n_hit"]) == (25, 25, 1, 0)
+
+
+def test_spans_are_removed(spark):
+    item, rest = text(14), [text(200), text(200)]
+    body = f"{rest[0]} <<{item}>> {rest[1]}"
+    docs = spark.createDataFrame([(1, body, len(body), "a"), (1, rest[0], len(rest[0]), "b"), (2, None, None, "c")], "doc_id long, text string, n_chars long, _body string")
+    items = spark.createDataFrame([(0, item), (1, item[:20])], "item_id long, text string")
+    for size in (1 << 20, 8):
+        out = {r["_body"]: r for r in decontaminate.decontaminate(docs, items, longest=12, shard_bytes=size).collect()}
+        words = decontaminate.words_of(body.encode())
+        inner = decontaminate.words_of(item.encode())
+        left = decontaminate.words_of(out["a"]["text"].encode())
+        assert len(left) == len(words) - 14 and out["a"]["n_chars"] == len(out["a"]["text"])
+        assert not any(left[i : i + 13] == inner[:13] for i in range(len(left)))
+        assert out["b"]["text"] == rest[0] and out["c"]["text"] is None
+        kept = decontaminate.decontaminate(docs, items, longest=14, shard_bytes=size).collect()
+        assert {r["text"] for r in kept} == {body, rest[0], None}
 
 
 def test_encoder_equals_the_library():
@@ -258,7 +289,53 @@ def test_shards(docs, empty):
     assert len(rows) == len(ROWS) and max(counts.values()) - min(counts.values()) <= 1
     for s, n in counts.items():
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(n))
+    bodies = {rank(r[0]): (r[1] or "").encode() for r in ROWS}
+    assert all((r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(bodies[rank(r["doc_id"])]) + 8, zlib.crc32(bodies[rank(r["doc_id"])]), "rows", None) for r in rows)
+    # the same order by brute force: one place a text, on the curve over ranks of lang and source, and size
+    first = {}
+    for r in sorted(ROWS, key=lambda r: rank(r[0])):
+        first.setdefault((r[1] or "").encode(), r)
+    order = {b: i for i, b in enumerate(sorted(first, key=lambda b: (curve_place(first, b), rank(first[b][0]))))}
+    places = [order[bodies[rank(r["doc_id"])]] for r in sorted(rows, key=lambda r: (r["shard"], r["slot"]))]
+    assert places == sorted(places)
     assert sharding.hilbert_shards(empty).count() == 0
+    twice = sharding.hilbert_shards(docs.unionByName(docs), 7)
+    counts = collections.Counter(r["shard"] for r in twice.collect())
+    assert sum(counts.values()) == 2 * len(ROWS) and max(counts.values()) - min(counts.values()) <= 1
+
+
+def curve_place(first: dict, body: bytes, bits: int = 7) -> int:
+    """Where a text lies: lang and source are the same for all rows of the fixture, so cells differ by size alone."""
+    sizes = sorted(len(b) + 8 for b in first)
+    cuts = np.unique([sizes[max(0, int(np.ceil(i / (1 << bits) * len(sizes))) - 1)] for i in range(1, 1 << bits)])
+    return int(sharding.hilbert_index(np.array([[0, 0, np.searchsorted(cuts, len(body) + 8, side="left")]]), bits)[0])
+
+
+def test_cuts_keep_groups_together():
+    rng = random.Random(7)
+    for _ in range(200):
+        n, shards = rng.randint(0, 60), rng.randint(1, 9)
+        inside = {i for i in range(1, n) if rng.random() < 0.5}
+        cuts = [0, *sharding.cuts_of(n, shards, lambda ranks: set(ranks) & inside), n]
+        sizes = np.diff(cuts)
+        assert len(sizes) == shards and sizes.max() - sizes.min() <= 1
+        base, extra = divmod(n, shards)
+        # the fewest cuts inside a group, over all ways to say which shards have one row more
+        options = [sum(c in inside for c in np.cumsum([base + (i in more) for i in range(shards)])[:-1]) for more in itertools.combinations(range(shards), extra)]
+        assert sum(c in inside for c in cuts[1:-1]) == min(options)
+
+
+def test_shards_are_pruned_by_source(spark):
+    rng = random.Random(3)
+    rows = [(i, f"text {i}", rng.choice("ab"), f"https://example.org/{rng.randrange(30):02d}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    path = scratch_path(spark, "shards")
+    sharding.write_shards(docs, path, 24)
+    back = spark.read.parquet(path)
+    assert sorted(map(tuple, back.select("doc_id", "text", "lang", "source").collect())) == rows
+    ranges = back.groupBy("shard").agg(F.min("source").alias("a"), F.max("source").alias("b")).collect()
+    read = np.mean([sum(r["a"] <= s <= r["b"] for r in ranges) for s in {r[3] for r in rows}])
+    assert len(ranges) == 24 and read <= 8  # of 24; sources share their first 20 bytes
 
 
 def test_hilbert_neighbours_touch():
