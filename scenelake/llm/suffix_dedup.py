@@ -5,15 +5,16 @@ pass a group of equal suffixes is exactly one repeated window. The digits are th
 extends the prefix by one digit: suffixes are dealt by a hash of their first 33, 66 and at last all 100 bytes, and what
 is alone in its group is unique and leaves the sort with all that it could have become.
 
-Texts are packed once, in the order of ids, into chunks of about 4 MiB, and a pass never moves a suffix: a chunk sends
+Texts are packed once, in the order of ids, into chunks of about 2 MiB, and a pass never moves a suffix: a chunk sends
 the sorted distinct prefix hashes of its suffixes, as differences, to the tasks that own ranges of hashes, and gets one
 bit for each back. So a passage counts once a chunk however often it stands there, no group is ever gathered, and a hot
 passage brings its owner no more than one hash from each chunk.
 
 1. Among suffixes that begin at places chosen by content (one in eight, by their own prefix hash, so all copies of a
    passage choose alike), prefixes of the first digit are sought that recur. A window in which a chosen suffix does not
-   recur is unique. What is left, a small part of most corpora, is copied into smaller chunks.
-2. All suffixes that are left, by their first two digits.
+   recur is unique. In the same pass whole texts that equal an earlier one are found: all their windows are repeats, and
+   their suffixes leave the sort. What is left, a small part of most corpora, is copied into smaller chunks.
+2. The chosen suffixes that are left, by their first two digits; windows in which one does not recur are unique.
 3. All suffixes that are left, by the whole window: 64 bits of one hash and 16 of another. As chunks follow the order of
    ids, the lowest chunk that has a window has its first occurrence.
 """
@@ -25,25 +26,63 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import bounded_batches, hashed_texts, key, mixed, partitions, remove, saved, span_hashes, text_hash, unkey
+from scenelake.llm.common import bounded_batches, fresh, hashed_texts, key, mixed, partitions, remove, saved, text_hash, unkey
 
 #: Bytes of text in a chunk; a longer text is cut, its parts overlapping by a window less one byte.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Hashes that an owner's task looks at together, about.
 OWNED = 4_000_000
-#: One suffix in 2**SAMPLE takes part in the first pass.
+#: One suffix in 2**SAMPLE takes part in the first two passes.
 SAMPLE = 3
 _BYTES = np.random.default_rng(20240229).integers(0, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
-def prefix_hashes(x: np.ndarray, depth: int, kind: int = 0) -> np.ndarray:
-    """Hashes of the first ``depth`` bytes of every suffix that has as many."""
-    return mixed(span_hashes(_BYTES[kind][x], depth, _BASES[kind]) + np.uint64(depth))
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+class Prefixes:
+    """Hashes of the first bytes of suffixes, to any depth, from sums over all bytes before each place."""
+
+    def __init__(self, body: bytes, kind: int = 0):
+        n = len(body)
+        if len(_POWERS.get(kind, ((),))[0]) <= n:
+            base, size = _BASES[kind], max(n, CHUNK) + 4096
+            powers = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(size, x, np.uint64)]) for x in (base, pow(base, -1, 1 << 64))]
+            _POWERS[kind] = (powers[0], powers[1])
+        up, self.down = _POWERS[kind]
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTES[kind][np.frombuffer(body, np.uint8)] * up[:n], out=self.sums[1:])
+
+    def at(self, places: np.ndarray | None, depth: int) -> np.ndarray:
+        """Of suffixes at some places, or of all that have ``depth`` bytes; not mixed yet."""
+        if places is None:
+            n = max(0, len(self.sums) - depth)
+            return (self.sums[depth : depth + n] - self.sums[:n]) * self.down[:n]
+        return (self.sums[places + depth] - self.sums[places]) * self.down[places]
+
+
+def _order(h: np.ndarray) -> np.ndarray:
+    """The stable order of hashes: leading bits and places are sorted as one number, which hardly ever fails to do."""
+    n = len(h)
+    bits = np.uint64(n.bit_length())
+    packed = h >> bits << bits | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    order = (packed & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    in_order = h[order]
+    return order if (in_order[1:] >= in_order[:-1]).all() else np.argsort(h, kind="stable")
+
+
+def _order_checked(h: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """The stable order by hash and then check; hashes that agree hardly ever differ in the check."""
+    order = _order(h)
+    same = h[order][1:] == h[order][:-1]
+    return np.lexsort((checks, h)) if (checks[order][1:][same] != checks[order][:-1][same]).any() else order
 
 
 def squeezed(values: np.ndarray) -> bytes:
@@ -65,7 +104,7 @@ class _Values:
 
     def __init__(self, hashes: np.ndarray, checks: np.ndarray | None, width: int, buckets: int):
         h = hashes >> np.uint64(64 - width) if width < 64 else hashes
-        order = np.argsort(h, kind="stable") if checks is None else np.lexsort((checks, h))
+        order = _order(h << np.uint64(64 - width)) if checks is None else _order_checked(h, checks)
         h, c = h[order], None if checks is None else checks[order]
         new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
         if c is not None and len(h):
@@ -97,15 +136,18 @@ class _Values:
 
 def _recurring(chunks: list[int], values: list[np.ndarray], checks: list[np.ndarray] | None) -> Iterator[tuple[int, np.ndarray]]:
     """(chunk, bit of each of its values): whether another chunk has it; with checks, whether a lower chunk has it."""
-    every, owner = np.concatenate(values), np.repeat(np.arange(len(chunks)), [len(v) for v in values])
-    rank = np.argsort(np.argsort(chunks))[owner]
+    rank = np.argsort(chunks, kind="stable").tolist()  # from here on the lowest chunk comes first
+    chunks, values, checks = [chunks[i] for i in rank], [values[i] for i in rank], checks and [checks[i] for i in rank]
+    every = np.concatenate(values)
+    low = every.min()
+    spread = every - low << np.uint64(64 - max(1, int(every.max() - low).bit_length()))  # the leading bits differ
     if checks is None:
-        order = np.argsort(every, kind="stable")
+        order = _order(spread)
         same = every[order][1:] == every[order][:-1]
         hit = np.r_[False, same] | np.r_[same, False]
     else:
         c = np.concatenate(checks)
-        order = np.lexsort((rank, c, every))
+        order = _order_checked(spread, c)
         hit = np.r_[False, (every[order][1:] == every[order][:-1]) & (c[order][1:] == c[order][:-1])]
     bits = np.empty(len(every), bool)
     bits[order] = hit
@@ -215,109 +257,135 @@ def _spans(docs: DataFrame, chunks: DataFrame, window: int) -> tuple[DataFrame,
             columns = list(zip(*rows[at : at + 64], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(columns[0])), pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["chunk", "bucket", "found", "checks"])
 
-    # first pass: chosen suffixes, first digit
+    def chosen(body: bytes, sizes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes to the depth) of the suffixes of the first passes, of those that have as many bytes."""
+        found = Prefixes(body)
+        h = found.at(None, one) * np.uint64(_BASES[1])
+        at = np.flatnonzero((h >> np.uint64(64 - SAMPLE) == 0) & _starts(sizes, depth)[: len(h)])
+        return at, mixed(found.at(at, depth) + np.uint64(depth))
+
+    def survivors(body: bytes, sizes: np.ndarray, at: np.ndarray, recurs: np.ndarray, depth: int) -> np.ndarray:
+        """Whether a window begins at each place in which all chosen suffixes recur."""
+        alone = np.zeros(len(body) + 1, np.int32)
+        alone[at[~recurs] + 1] = 1
+        alone = np.cumsum(alone)  # chosen suffixes before each place that do not recur
+        left = _starts(sizes, window)
+        some = np.flatnonzero(left)
+        left[some] = alone[some + window - depth + 1] == alone[some]
+        return left
+
+    def whole_texts(body: bytes, sizes: np.ndarray) -> tuple[np.ndarray, _Values]:
+        """Parts of a window at least, and their hashes."""
+        ends, some = np.cumsum(sizes), np.flatnonzero(sizes >= window)
+        digests = [xxhash.xxh3_128_intdigest(body[a:b]) for a, b in zip((ends - sizes)[some].tolist(), ends[some].tolist(), strict=True)]
+        h, c = (np.array([d >> s & m for d in digests], t) for s, m, t in ((64, 2**64 - 1, np.uint64), (0, 2**16 - 1, np.uint16)))
+        return some, _Values(h, c, 64, n_parts)
+
+    def stretches(body: bytes, at: np.ndarray, left: np.ndarray, late: np.ndarray, chunk: int) -> pa.RecordBatch:
+        """What is left: runs of windows that begin where ``left`` is true, with their places ``at`` in the chunk."""
+        a, b = _runs(left)
+        b = b + window - 1
+        parts = [body[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        lists = [pa.array([x], pa.list_(pa.int64())) for x in (at[a], b - a, late)]
+        return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([int(left.sum())]), *lists, pa.array([b"".join(parts)], pa.binary())], names=["chunk", "n", "at", "size", "late", "body"])
+
+    # first pass: chosen suffixes by the first digit, and whole texts
+    n_parts = partitions(docs.sparkSession)
     n_one = buckets_of(total >> SAMPLE)
     bits_one = min(64, (max(1, total >> SAMPLE)).bit_length() + 10)
 
-    def chosen(body: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, hashes) of the suffixes of the first pass."""
-        h = prefix_hashes(np.frombuffer(body, np.uint8), one)
-        at = np.flatnonzero((h & np.uint64((1 << SAMPLE) - 1) == 0) & _starts(sizes, one)[: len(h)])
-        return at, mixed(h[at])
-
     def send_chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, chunk in enumerate(batch.column(0).to_pylist()):
-                _, h = chosen(batch.column(2)[i].as_py(), _numbers(batch.column(1), i))
+                _, h = chosen(batch.column(2)[i].as_py(), _numbers(batch.column(1), i), one)
                 yield from emitted(chunk, _Values(h, None, bits_one, n_one))
 
-    def stretches(body: bytes, at: np.ndarray, left: np.ndarray, chunk: int) -> pa.RecordBatch:
-        """What is left: runs of windows that begin where ``left`` is true, with their places ``at`` in the chunk."""
-        a, b = _runs(left)
-        b = b + window - 1
-        parts = [body[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-        lists = [pa.array([x], pa.list_(pa.int64())) for x in (at[a], b - a)]
-        return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([int(left.sum())]), *lists, pa.array([b"".join(parts)], pa.binary())], names=["chunk", "n", "at", "size", "body"])
+    def send_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, chunk in enumerate(batch.column(0).to_pylist()):
+                yield from emitted(chunk, whole_texts(batch.column(2)[i].as_py(), _numbers(batch.column(1), i))[1])
 
     def keep_chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, chunk in enumerate(batch.column(0).to_pylist()):
                 body, sizes = batch.column(2)[i].as_py(), _numbers(batch.column(1), i)
-                at, h = chosen(body, sizes)
+                at, h = chosen(body, sizes, one)
                 found = _Values(h, None, bits_one, n_one)
-                again = (found.counts > 1) | found.flags(batch.column(3)[i].as_py())
-                alone = np.zeros(len(body) + 1, np.int32)
-                alone[at[~again[found.number]] + 1] = 1
-                alone = np.cumsum(alone)  # chosen suffixes before each place that do not recur
-                left = _starts(sizes, window)
-                some = np.flatnonzero(left)
-                left[some] = alone[some + window - one + 1] == alone[some]
-                if left.any():
-                    yield stretches(body, np.arange(len(body)), left, chunk)
-
-    answers = _answers(chunks.select("chunk", "size", "body").mapInArrow(send_chosen, values), False)
-    kept = chunks.select("chunk", "size", "body").join(answers, "chunk", "left")
-    shape = "chunk long, n long, at array<long>, size array<long>, body binary"
-    some, some_path = saved(kept.select("chunk", "size", "body", "replies").mapInArrow(keep_chosen, shape), "suffix-left")
-
-    # second pass: all suffixes that are left, two digits
-    n_some = int(some.agg(F.sum("n")).first()[0] or 0)
+                recurs = (found.counts > 1) | found.flags(batch.column(3)[i].as_py())
+                left = survivors(body, sizes, at, recurs[found.number], one)
+                some, texts = whole_texts(body, sizes)
+                again = np.ones(len(some), bool)
+                again[texts.first] = False
+                again = some[again | texts.flags(batch.column(4)[i].as_py())[texts.number]]
+                late = np.stack([(np.cumsum(sizes) - sizes)[again], np.cumsum(sizes)[again]], 1)
+                for a, b in late.tolist():
+                    left[a:b] = False
+                if left.any() or len(late):
+                    yield stretches(body, np.arange(len(body)), left, late.reshape(-1), chunk)
+
+    columns = ["chunk", "size", "body"]
+    answers = _answers(chunks.select(*columns).mapInArrow(send_chosen, values), False)
+    texts = _answers(chunks.select(*columns).mapInArrow(send_texts, values), True).withColumnRenamed("replies", "texts")
+    kept = chunks.select(*columns).join(answers.join(texts, "chunk", "full"), "chunk", "left").select(*columns, "replies", "texts")
+    shape = "chunk long, n long, at array<long>, size array<long>, late array<long>, body binary"
+    some, some_path = saved(kept.mapInArrow(keep_chosen, shape), "suffix-left")
+
+    # second pass: the chosen suffixes that are left, by two digits
+    n_some = int(some.agg(F.sum("n")).first()[0] or 0) >> SAMPLE
     n_two, bits_two = buckets_of(n_some), min(64, max(1, n_some).bit_length() + 10)
 
-    def left_hashes(body: bytes, sizes: np.ndarray, depth: int, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(_starts(sizes, window))
-        return at, prefix_hashes(np.frombuffer(body, np.uint8), depth, kind)[at]
-
     def send_left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, chunk in enumerate(batch.column(0).to_pylist()):
-                _, h = left_hashes(batch.column(3)[i].as_py(), _numbers(batch.column(2), i), two)
+                _, h = chosen(batch.column(4)[i].as_py(), _numbers(batch.column(2), i), two)
                 yield from emitted(chunk, _Values(h, None, bits_two, n_two))
 
     def keep_left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, chunk in enumerate(batch.column(0).to_pylist()):
-                body, sizes, places = batch.column(3)[i].as_py(), _numbers(batch.column(2), i), _numbers(batch.column(1), i)
-                at, h = left_hashes(body, sizes, two)
+                places, sizes, late = (_numbers(batch.column(c), i) for c in (1, 2, 3))
+                body = batch.column(4)[i].as_py()
+                at, h = chosen(body, sizes, two)
                 found = _Values(h, None, bits_two, n_two)
-                left = np.zeros(len(body), bool)
-                left[at] = ((found.counts > 1) | found.flags(batch.column(4)[i].as_py()))[found.number]
-                if left.any():
-                    first = np.cumsum(sizes) - sizes
-                    yield stretches(body, np.repeat(places - first, sizes) + np.arange(len(body)), left, chunk)
+                recurs = (found.counts > 1) | found.flags(batch.column(5)[i].as_py())
+                left = survivors(body, sizes, at, recurs[found.number], two)
+                if left.any() or len(late):
+                    yield stretches(body, np.repeat(places - np.cumsum(sizes) + sizes, sizes) + np.arange(len(body)), left, late, chunk)
 
-    columns = ["chunk", "at", "size", "body"]
+    columns = ["chunk", "at", "size", "late", "body"]
     answers = _answers(some.select(*columns).mapInArrow(send_left, values), False)
     kept = some.select(*columns).join(answers, "chunk", "left").select(*columns, "replies").mapInArrow(keep_left, shape)
     last, last_path = saved(kept, "suffix-last")
     remove(docs.sparkSession, some_path)
 
-    # last pass: the whole window
+    # last pass: all suffixes that are left, by the whole window
     n_last = buckets_of(int(last.agg(F.sum("n")).first()[0] or 0))
 
     def whole(body: bytes, sizes: np.ndarray) -> tuple[np.ndarray, _Values]:
-        at, h = left_hashes(body, sizes, window)
-        return at, _Values(h, (left_hashes(body, sizes, window, 1)[1] >> np.uint64(48)).astype(np.uint16), 64, n_last)
+        at = np.flatnonzero(_starts(sizes, window))
+        check = mixed(Prefixes(body, 1).at(at, window)) >> np.uint64(48)
+        return at, _Values(mixed(Prefixes(body).at(at, window) + np.uint64(window)), check.astype(np.uint16), 64, n_last)
 
     def send_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, chunk in enumerate(batch.column(0).to_pylist()):
-                yield from emitted(chunk, whole(batch.column(3)[i].as_py(), _numbers(batch.column(2), i))[1])
+                yield from emitted(chunk, whole(batch.column(4)[i].as_py(), _numbers(batch.column(2), i))[1])
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, chunk in enumerate(batch.column(0).to_pylist()):
-                body, sizes, places = batch.column(3)[i].as_py(), _numbers(batch.column(2), i), _numbers(batch.column(1), i)
-                at, found = whole(body, sizes)
+                places, sizes, texts = (_numbers(batch.column(c), i) for c in (1, 2, 3))
+                at, found = whole(batch.column(4)[i].as_py(), sizes)
                 late = np.ones(len(at), bool)
                 late[found.first] = False  # all but the first with a window are late, and that if a lower chunk has it
-                late |= found.flags(batch.column(4)[i].as_py())[found.number]
-                first = np.cumsum(sizes) - sizes
-                where = (np.repeat(places - first, sizes) + np.arange(len(body)))[at[late]]
-                if len(where):
-                    new = np.flatnonzero(np.r_[True, where[1:] > where[:-1] + window])
-                    stops = np.r_[where[new[1:] - 1], where[-1]] + window
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), *[pa.array([x], pa.list_(pa.int64())) for x in (where[new], stops)]], names=["chunk", "starts", "stops"])
+                late |= found.flags(batch.column(5)[i].as_py())[found.number]
+                where = (np.repeat(places - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum())))[at[late]]
+                starts, stops = np.r_[where, texts[::2]], np.r_[where + window, texts[1::2]]
+                if len(starts):
+                    order = np.argsort(starts, kind="stable")
+                    starts, reach = starts[order], np.maximum.accumulate(stops[order])
+                    new = np.flatnonzero(np.r_[True, starts[1:] > reach[:-1]])
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), *[pa.array([x], pa.list_(pa.int64())) for x in (starts[new], reach[np.r_[new[1:] - 1, len(reach) - 1]])]], names=["chunk", "starts", "stops"])
 
     answers = _answers(last.select(*columns).mapInArrow(send_whole, values), True)
     found = last.select(*columns).join(answers, "chunk", "left").select(*columns, "replies").mapInArrow(cover, "chunk long, starts array<long>, stops array<long>")
@@ -458,7 +526,8 @@ def remove_repeats(docs: DataFrame, window: int = 100) -> DataFrame:
     """
     changed, _ = saved(_cut(docs, window, text=True).where("n_removed > 0").select("k", "text_hash", "kept_text"), "suffix-changed")
     turn = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(by[1]))
-    mine = {n: f"_{n}_{hashlib.sha256(','.join(docs.columns).encode()).hexdigest()[:8]}" for n in ("k", "text_hash", "turn", "kept_text")}
+    names = ("k", "text_hash", "turn", "kept_text")
+    mine = dict(zip(names, fresh(docs, *names), strict=True))
     changed = changed.withColumn("turn", turn("k", "text_hash")).withColumnsRenamed(mine)
     rest = docs.withColumns({mine["k"]: key(), mine["text_hash"]: text_hash()})
     out = rest.withColumn(mine["turn"], turn(mine["k"], mine["text_hash"])).join(changed, [mine[n] for n in ("k", "text_hash", "turn")], "left")
