@@ -61,6 +61,17 @@ def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(name, str(most))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for further columns that no column of ``df`` has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -125,19 +136,30 @@ def remainder(divisor: int, id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def attach(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def hot_keys(df: DataFrame, key: str, count: str) -> list:
+    """Keys with more than a thousandth of the rows that ``count`` counts; df has one row a key. At most 1,000."""
+    total = df.agg(F.sum(count)).first()[0] or 0
+    return [r[0] for r in df.where((F.col(count) * 1000 > total) & (F.col(count) > 1)).select(key).collect()]
+
+
+#: Tasks over which the rows of a frequent key are spread.
+SALTS = 256
+
+
+def attach(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
     """left join right on ``key``, of which ``right`` has one row each and ``left`` has no nulls.
 
-    Keys with more than a thousandth of the left rows are at most a thousand: their right rows are broadcast. All other
-    keys are shuffled, so no key brings many rows to one task.
+    Keys with more than a thousandth of the left rows are at most a thousand. Their left rows are dealt to SALTS groups
+    by a hash of the whole row, and their right rows are repeated for each, so no key brings all its rows to one task.
+    ``hot`` names those keys where they are known.
     """
-    counts = left.groupBy(key).count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    hot = [r[0] for r in counts.where(F.col("count") * 1000 > total).where("count > 1").select(key).collect()]  # at most 1,000
+    hot = hot_keys(left.groupBy(key).count(), key, "count") if hot is None else hot
     if not hot:
         return left.join(right, key, how)
-    some = left.where(F.col(key).isin(hot)).join(F.broadcast(right.where(F.col(key).isin(hot))), key, how)
-    return left.where(~F.col(key).isin(hot)).join(right, key, how).unionByName(some)
+    is_hot, salt = F.col(key).isin(hot), f"_salt_{key}"
+    left = left.withColumn(salt, F.when(is_hot, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(SALTS))).otherwise(0))
+    right = right.withColumn(salt, F.explode(F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
+    return left.join(right, [key, salt], how).drop(salt)
 
 
 # --- arrays in files that workers map ------------------------------------------------------------------------------
@@ -279,7 +301,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
 
     Tasks first hang what their own edges join on its smallest node, which shortens long paths. Each round then hooks
     every node to the smallest label among its neighbours and follows labels twice; each round is written to the shared
-    folder. The rows per round stay below those of the edges; nothing reaches the driver but whether a label changed.
+    folder. The rows per round stay below those of the edges; nothing reaches the driver but whether a label changed
+    and which labels stand for more than a thousandth of the nodes. Joins by such a label are spread over many tasks.
     Edges to the node itself or with nulls say nothing. Raises if ``rounds`` are not enough (labels settle in about
     the logarithm of the longest path).
     """
@@ -287,26 +310,26 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     hung = edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_forest, "a long, b long")
     both = hung.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct()
     both, kept = saved(both, f"{name}-edges")
-    labels, path = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), name)
+    first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
+    labels, path = saved(first.select("node", F.least("low", "node").alias("root"), F.lit(True).alias("changed")), name)
     for _ in range(rounds):
+        counts = labels.groupBy("root").agg(F.count("*").alias("n"), F.bool_or("changed").alias("changed"))
+        total = counts.agg(F.sum("n"), F.bool_or("changed"), F.max("n")).first()
+        if not total[1]:
+            remove(spark, kept)
+            return labels.select("node", "root"), path
+        hot = [r[0] for r in counts.where(F.col("n") * 1000 > total[0]).where("n > 1").select("root").collect()] if total[2] * 1000 > total[0] else []
         # the smallest label next to each node, given also to the node's present root
-        near = both.join(labels, both.b == labels.node).select(F.col("a"), F.col("root")).groupBy("a").agg(F.min("root").alias("low"))
+        near = attach(both, labels.select(F.col("node").alias("b"), "root"), "b", hot=hot).groupBy("a").agg(F.min("root").alias("low"))
         hooked = labels.join(near, labels.node == near.a).select("node", "root", F.least("root", "low").alias("low"))
         parents = hooked.select(F.col("node").alias("n"), "low").union(hooked.select(F.col("root"), F.col("low")))
         parents = parents.groupBy("n").agg(F.min("low").alias("up"))
-        up = parents.select(F.col("n").alias("n2"), F.col("up").alias("up2"))
-        new = (
-            labels.join(parents, labels.node == parents.n)
-            .join(up, F.col("up") == up.n2, "left")
-            .select("node", F.col("root").alias("old"), F.least("up", "up2").alias("root"))
-        )
+        moved = labels.join(parents, labels.node == parents.n).select("node", F.col("root").alias("old"), "up")
+        new = attach(moved, parents.select(F.col("n").alias("up"), F.col("up").alias("up2")), "up", "left", hot=hot)
+        new = new.select("node", F.least("up", "up2").alias("root"), (F.col("old") != F.least("up", "up2")).alias("changed"))
         new, next_path = saved(new, name)
-        changed = new.where("old <> root").limit(1).count()
         remove(spark, path)
-        labels, path = new.select("node", "root"), next_path
-        if not changed:
-            remove(spark, kept)
-            return labels, path
+        labels, path = new, next_path
     raise RuntimeError("the components did not settle")
 
 

@@ -1,19 +1,24 @@
 """Near-duplicate vectors by lattice hashing: random projections decoded to points of E8, in several tables.
 
-Each table projects unit vectors to eight dimensions and decodes them to the nearest point of the lattice E8. A vector
-goes to the cell of that point and, as a probe, to the nearest neighbouring cells; two vectors meet in a cell that is
-the own cell of at least one. All that meet are verified by cosine in double precision. At the defaults, vectors with a
-cosine of 0.95 miss all tables about once in ten thousand times, random vectors meet about once in twenty.
-
-Equal vectors are one class from the start. No pair leaves a task: a cell's tasks count the links of each vector and
-join it to the smallest vector of its part of the cell. A pair that meets more than once counts in the first table and
-cell alone, which every task can tell from the cells of both. Cells of over ``BLOCK`` rows are cut into blocks, and each
-pair of blocks is a task's work of its own.
+A table projects unit vectors to one or more blocks of eight dimensions and decodes each block to the nearest point of
+the lattice E8; the points together are the cell. A vector goes to its own cell and, as probes, to the cells that differ
+by a step to a nearest neighbouring point in one block; two vectors meet in a cell that is the own cell of at least one.
+All that meet are verified by cosine in double precision.
+
+The more vectors there are, the more blocks make up a cell, so that a vector meets about as many strangers at any size;
+as many tables are made as a cosine of 0.95 needs to be missed by all of them once in ten thousand times.
+
+Equal vectors are one class from the start. First only ids go to cells; cells where nobody meets, nearly all, end there,
+and vectors follow to the others. No pair leaves a task: a cell's tasks count the links of each vector and join it to
+the first vector of its part of the cell. A pair that meets more than once counts in the first table and cell alone,
+which every task can tell from the cells of both. Cells of over ``BLOCK`` rows are cut into blocks, and each pair of
+blocks is a task's work of its own.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import bounded_batches, components, key, mixed, saved, unkey
+from scenelake.llm.common import attach, bounded_batches, components, hot_keys, key, mixed, remove, saved, unkey
 
-TABLES, PROBES, SCALE, BLOCK = 6, 2, 4.5, 1500
+PROBES, SCALE, BLOCK = 2, 4.5, 1500
+#: Chances, at these settings and a cosine of 0.95, that a block has the same point, and that only a probe finds it
+#: (measured on random pairs); and of how many more vectors another block makes up for.
+_SAME, _PROBED, _PER_BLOCK = 0.375, 0.41, 150
+#: Up to so many vectors one block is enough.
+ONE_BLOCK = 20_000
+
+
+def plan(n: int, missed: float = 1e-4) -> tuple[int, int]:
+    """(tables, blocks) for n vectors."""
+    blocks = 1 + max(0, math.floor(math.log(max(1, n / ONE_BLOCK), _PER_BLOCK) + (n > ONE_BLOCK)))
+    meet = _SAME**blocks + blocks * _SAME ** (blocks - 1) * _PROBED
+    return math.ceil(math.log(missed) / math.log(1 - meet)), blocks
 
 
 def _roots() -> np.ndarray:
@@ -49,22 +66,34 @@ def decode(x: np.ndarray) -> np.ndarray:
     return np.where((((x - a) ** 2).sum(1) <= ((x - b) ** 2).sum(1))[:, None], a, b)
 
 
-def cells(vectors: np.ndarray, tables: int, probes: int, scale: float, seed: int = 5) -> np.ndarray:
-    """(rows, tables, 1 + probes) hashes of each row's own cell and of the nearest neighbouring ones."""
+def cells(vectors: np.ndarray, tables: int, blocks: int, probes: int, scale: float, seed: int = 5) -> np.ndarray:
+    """(rows, tables, 1 + blocks * probes) hashes of each row's own cell and of the neighbouring ones it probes."""
     n, d = vectors.shape
     rng, roots = np.random.default_rng([seed, d]), _roots()
-    out = np.empty((n, tables, 1 + probes), np.int64)
+    out = np.empty((n, tables, 1 + blocks * probes), np.int64)
+
+    def hashed(points: np.ndarray, place: int) -> np.ndarray:
+        h = np.full(n, place, np.uint64)
+        for c in range(8):
+            h = mixed(h * np.uint64(3) + np.rint(2 * points[:, c]).astype(np.int64).view(np.uint64))
+        return h
+
     for t in range(tables):
-        frame = np.linalg.qr(rng.normal(size=(max(d, 8), 8)))[0][:d] * scale * np.sqrt(max(d, 8) / 64)
-        x = vectors @ frame
-        own = decode(x)
-        far = -2 * (x - own) @ roots.T  # squared distance to own + root, less what is the same for all
-        nearest = np.argsort(far + (roots**2).sum(1), axis=1, kind="stable")[:, :probes]
-        for i, points in enumerate([own, *[own + roots[nearest[:, j]] for j in range(probes)]]):
-            h = np.full(n, t + 1, np.uint64)
-            for c in range(8):
-                h = mixed(h * np.uint64(3) + np.rint(2 * points[:, c]).astype(np.int64).view(np.uint64))
-            out[:, t, i] = h.view(np.int64)
+        own, near = [], []
+        for b in range(blocks):
+            frame = np.linalg.qr(rng.normal(size=(max(d, 8), 8)))[0][:d] * scale * np.sqrt(max(d, 8) / 64)
+            x = vectors @ frame
+            point = decode(x)
+            far = (roots**2).sum(1) - 2 * (x - point) @ roots.T  # squared distance to point + root, less what is the same for all
+            own.append(hashed(point, t * blocks + b + 1))
+            for _ in range(probes):
+                least = far.argmin(1)
+                far[np.arange(n), least] = np.inf
+                near.append((b, hashed(point + roots[least], t * blocks + b + 1)))
+        total = np.sum(own, axis=0, dtype=np.uint64)
+        out[:, t, 0] = mixed(total).view(np.int64)
+        for i, (b, h) in enumerate(near, 1):
+            out[:, t, i] = mixed(total - own[b] + h).view(np.int64)
     return out
 
 
@@ -74,24 +103,27 @@ def _met(a: np.ndarray, b: np.ndarray, own: bool) -> np.ndarray:
     return same if own else same | (a[:, :, :1] == b[:, :, 1:]).any(2) | (b[:, :, :1] == a[:, :, 1:]).any(2)
 
 
-def _links(x: np.ndarray, at: np.ndarray, owns: np.ndarray, side: np.ndarray, table: int, cell: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _links(x: np.ndarray, owns: np.ndarray, side: np.ndarray, table: int, cell: int, least: float, cells_of) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (rows of x) that this cell counts: cosine reached, met here, nowhere before.
 
-    ``side``: 0 both, 1 first block, 2 second block; rows of two blocks are compared across only.
+    ``side``: 0 both, 1 first block, 2 second block; rows of two blocks are compared across only. ``cells_of`` gives
+    the cells of rows in the tables up to this one.
     """
     left, right = [], []
     for i in range(0, len(x), 512):
-        j = np.arange(i, len(x))
-        close = x[i : i + 512] @ x[j].T >= least
-        a, b = np.nonzero(close)
+        a, b = np.nonzero(x[i : i + 512] @ x[i:].T >= least)
         a, b = a + i, b + i
         ok = (a < b) & (owns[a] | owns[b]) & ((side[a] == 0) | (side[a] != side[b]))
         left.append(a[ok])
         right.append(b[ok])
     a, b = np.concatenate(left), np.concatenate(right)
+    if not len(a):
+        return a, b
+    some, number = np.unique(np.r_[a, b], return_inverse=True)
+    at = cells_of(x[some])
     keep = np.ones(len(a), bool)
     for s in range(0, len(a), 100_000):
-        p, q = at[a[s : s + 100_000]], at[b[s : s + 100_000]]
+        p, q = at[number[: len(a)][s : s + 100_000]], at[number[len(a) :][s : s + 100_000]]
         before = _met(p[:, :table], q[:, :table], False).any(1)
         first, second = p[:, table], q[:, table]
         here = np.where(  # where they meet in this table: at the first's own cell, the second's, or either
@@ -101,68 +133,74 @@ def _links(x: np.ndarray, at: np.ndarray, owns: np.ndarray, side: np.ndarray, ta
     return a[keep], b[keep]
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE) -> DataFrame:
+def _unit_rows(v: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, unit vectors) of the lists of each length."""
+    sizes = np.diff(v.offsets.to_numpy())
+    flat, starts = v.values.to_numpy(zero_copy_only=False), v.offsets.to_numpy()[:-1]
+    for d in np.unique(sizes).tolist():
+        pick = np.flatnonzero(sizes == d)
+        x = flat[starts[pick][:, None] + np.arange(d)]
+        x = x / np.abs(x).max(1, keepdims=True)
+        yield pick, x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def near_vectors(vectors: DataFrame, least: float = 0.95, tables: int | None = None, blocks: int | None = None, probes: int = PROBES, scale: float = SCALE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row (vec_id, embedding).
 
     Links are pairs of cosine ``least`` or more in double precision. Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing, nor do vectors of different lengths. Equal vectors link with each other
-    and share the links of their class. A null id counts as the smallest; every row is returned.
+    and share the links of their class. A null id counts as the smallest; every row is returned, rows that repeat an id
+    too, and an empty table gives none. ``tables`` and ``blocks`` follow from the number of vectors if not given.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
     rows = vectors.select(key("vec_id").alias("k"), F.col("embedding").cast("array<double>").alias("v"))
     usable = F.col("v").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("v", F.when(usable, F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))))
-    good = rows.where("v is not null")
-    classes, classes_path = saved(good.groupBy("v").agg(F.min("k").alias("rep"), F.count("*").alias("n")), "vectors")
+    good = rows.where("v is not null").withColumn("code", F.concat_ws(" ", F.xxhash64("v"), F.xxhash64(F.lit(1), "v")))
+    # a class goes by its number, as different vectors may share an id; 128 bits stand for its numbers
+    classes = good.groupBy("code").agg(F.min("k").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
+    classes, classes_path = saved(classes.withColumn("c", F.monotonically_increasing_id()), "vectors")
+    planned = plan(classes.count())
+    tables, blocks = tables or planned[0], blocks or planned[1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = 1 + blocks * probes
         for batch in batches:
-            v, rep, n = batch.columns
-            sizes = np.diff(v.offsets.to_numpy())
-            for d in np.unique(sizes).tolist():
-                pick = np.flatnonzero(sizes == d)
-                x = np.stack([v[int(i)].values.to_numpy(zero_copy_only=False) for i in pick])
-                x = x / np.abs(x).max(1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                found = cells(x, tables, probes, scale, seed=5)
-                flat = found.reshape(len(pick), -1)
-                many = tables * (1 + probes)
-                for s in range(0, len(pick), 256):
-                    m = len(pick[s : s + 256])
+            c = batch.column(0).to_numpy()
+            for pick, x in _unit_rows(batch.column(1)):
+                for s in range(0, len(pick), 500):
+                    found = cells(x[s : s + 500], tables, blocks, probes, scale)
+                    n = len(found) * tables * many
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(flat[s : s + m].reshape(-1)), pa.array(np.tile(np.repeat(np.arange(tables), 1 + probes), m), pa.int32()), pa.array(np.tile(np.arange(many) % (1 + probes) == 0, m)),
-                        pa.array(np.repeat(rep.to_numpy()[pick[s : s + m]], many)), pa.array(np.repeat(n.to_numpy()[pick[s : s + m]], many)),
-                        pa.array([r.tobytes() for r in x[s : s + m] for _ in range(many)], pa.binary()), pa.array([r.tobytes() for r in flat[s : s + m] for _ in range(many)], pa.binary()),
-                    ], names=["cell", "t", "owns", "rep", "n", "x", "at"])
+                        pa.array(found.reshape(-1)), pa.array(np.tile(np.repeat(np.arange(tables), many), len(found)), pa.int32()),
+                        pa.array(np.arange(n) % many == 0), pa.array(np.repeat(c[pick[s : s + 500]], tables * many)),
+                    ], names=["cell", "t", "owns", "c"])
 
-    placed = classes.mapInArrow(place, "cell long, t int, owns boolean, rep long, n long, x binary, at binary")
+    placed = classes.select("c", "v").mapInArrow(place, "cell long, t int, owns boolean, c long")
     # cells where nobody meets are left out; large ones are dealt as pairs of blocks
-    sizes = placed.groupBy("cell", "t").agg(F.count("*").alias("rows"), F.bool_or("owns").alias("any_own")).where("rows > 1 and any_own")
-    sizes = sizes.select("cell", "t", F.expr(f"(rows + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
-    dealt = placed.join(sizes, ["cell", "t"]).withColumn("block", F.expr("pmod(xxhash64(rep), blocks)"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("rows"), F.bool_or("owns").alias("any_own")).where("rows > 1 and any_own")
+    sizes, sizes_path = saved(sizes.select("cell", "rows", F.expr(f"(rows + {BLOCK - 1}) div {BLOCK}").alias("cuts")), "vector-cells")
+    met = attach(placed, sizes.select("cell", "cuts"), "cell", hot=hot_keys(sizes, "cell", "rows"))
+    dealt = met.join(classes.select("c", "n", "v"), "c").withColumn("block", F.expr("pmod(xxhash64(c), cuts)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, cuts - 1)"))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     dealt = dealt.withColumn("side", F.expr("case when low = high then 0 when block = low then 1 else 2 end"))
-    dealt = dealt.select("cell", "t", "low", "high", "side", "owns", "rep", "n", "x", "at").repartition("cell", "t", "low", "high").sortWithinPartitions("cell", "t", "low", "high")
+    dealt = dealt.select("cell", "low", "high", "t", "side", "owns", "c", "n", "v").repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def count(rows: pa.Table) -> pa.RecordBatch | None:
             rows = rows.combine_chunks()
-            col = {c: rows.column(c) for c in rows.column_names}
-            rep, n, owns, side = (col[c].to_numpy() for c in ("rep", "n", "owns", "side"))
-            raw = col["x"].to_pylist()
-            at = np.frombuffer(b"".join(col["at"].to_pylist()), np.int64).reshape(len(rep), tables, 1 + probes)
-            links, roots = np.zeros(len(rep), np.int64), rep.copy()
-            for width in {len(r) for r in raw}:
-                pick = np.flatnonzero([len(r) == width for r in raw])
-                x = np.frombuffer(b"".join(raw[i] for i in pick), np.float64).reshape(len(pick), -1)
-                a, b = _links(x, at[pick], owns[pick], side[pick], col["t"][0].as_py(), col["cell"][0].as_py(), least)
+            c, n, owns, side = (rows.column(x).to_numpy() for x in ("c", "n", "owns", "side"))
+            cell, t = rows.column("cell")[0].as_py(), rows.column("t")[0].as_py()
+            links, roots = np.zeros(len(c), np.int64), c.copy()
+            for pick, x in _unit_rows(rows.column("v").chunk(0)):
+                a, b = _links(x, owns[pick], side[pick], t, cell, least, lambda some: cells(some, t + 1, blocks, probes, scale))
                 if not len(a):
                     continue
                 a, b = pick[a], pick[b]
                 np.add.at(links, a, n[b])
                 np.add.at(links, b, n[a])
-                while True:  # the smallest vector along the links of this task
+                while True:  # the first class along the links of this task
                     low = np.minimum(roots[a], roots[b])
                     new = roots.copy()
                     np.minimum.at(new, a, low)
@@ -171,12 +209,12 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, tables: int = TABLES,
                         break
                     roots = new
             hit = links > 0
-            return pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(links[hit]), pa.array(roots[hit])], names=["rep", "links", "root"]) if hit.any() else None
+            return pa.RecordBatch.from_arrays([pa.array(c[hit]), pa.array(links[hit]), pa.array(roots[hit])], names=["c", "links", "root"]) if hit.any() else None
 
         held: list[pa.Table] = []
         last = None
         for batch in batches:
-            group = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], 1)
+            group = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
             cuts = np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
                 if b > a:
@@ -189,11 +227,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, tables: int = TABLES,
         if held and (out := count(pa.concat_tables(held))) is not None:
             yield out
 
-    links, links_path = saved(dealt.mapInArrow(compare, "rep long, links long, root long"), "vector-links")
-    labels, _ = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vector-components")
-    counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    found = classes.join(counts, "rep", "left").join(labels, F.col("rep") == F.col("node"), "left")
-    found = found.select("v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root"))
-    out = good.join(found, "v").select("k", "n_links", "root")
+    links, links_path = saved(dealt.mapInArrow(compare, "c long, links long, root long"), "vector-links")
+    labels, labels_path = components(links.select(F.col("c").alias("a"), F.col("root").alias("b")), "vector-components")
+    members = labels.join(classes.select("c", "rep"), F.col("node") == F.col("c")).select("c", "rep", "root")
+    smallest = members.groupBy("root").agg(F.min("rep").alias("component"))
+    members = attach(members.select("c", "root"), smallest, "root").select("c", "component")
+    counts = links.groupBy("c").agg(F.sum("links").alias("links"))
+    found = classes.select("code", "c", "n", "rep").join(counts, "c", "left").join(members, "c", "left")
+    found = found.select("code", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("root"))
+    found, _ = saved(found, "vector-classes")
+    remove(spark, classes_path, sizes_path, links_path, labels_path)
+    out = attach(good.select("k", "code"), found.drop("n"), "code", hot=hot_keys(found, "code", "n")).select("k", "n_links", "root")
     out = out.unionByName(rows.where("v is null").select("k", F.lit(0).cast("long").alias("n_links"), F.col("k").alias("root")))
     return out.select(unkey("k").alias("vec_id"), "n_links", unkey("root").alias("component_id"), (F.col("k") == F.col("root")).alias("kept"))
