@@ -6,9 +6,11 @@ that agree in J of their shingles miss all tables with a probability of about 2
 
 A signature that no other text has cannot be part of a shared key, so keys are formed from signatures that recur. Copies
 of one shingle set are one class from the start. Links are sought in rounds: each text is first compared with the
-smallest text with which it shares most keys, then with the smallest of every bucket it is in, and last with all that
-hang together with it by buckets and are still of another group, block by block. Texts of one group need no comparison
-with each other, so a large group of near copies costs about one comparison a text. No bucket is gathered in one task.
+smallest text with which it shares most keys, then with the smallest of every bucket it is in. What a bucket then still
+holds of different groups is compared within the bucket, block by block. Buckets that share their first signature are
+one unit of that work, so a text is sent to ``bands`` units at most, and a pair that shares several keys is compared in
+the unit of the first signature alone. Texts of one group need no comparison with each other, so a large group of near
+copies costs about one comparison a text. No bucket is gathered in one task.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import WordHashes, bounded_batches, components, hashed_texts, key, mixed, remove, saved, slices, text_hash, unkey
+from scenelake.llm.common import WordHashes, attach, bounded_batches, components, fresh, hashed_texts, hot_keys, key, mixed, remove, saved, slices, text_hash, unkey
 
 BANDS = 10
 #: Pairs that share the text of their first document in one task.
@@ -82,14 +84,15 @@ def _sketches(docs: DataFrame, bands: int, size: int) -> DataFrame:
     return hashed_texts(docs).mapInArrow(sketch, "k long, text_hash long, n_shingles long, e1 long, e2 long, signatures array<long>")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, percent: int, size: int, paths: list[str]) -> DataFrame:
     """The pairs (a, b) of which 100 * intersection >= percent * union on full sets.
 
     The text of ``a`` is sent once for each 500 of its pairs, so a text with many partners is dealt to many tasks.
     """
     chunks = F.expr(f"pmod(xxhash64(b), (n_pairs + {_CHUNK - 1}) div {_CHUNK})")
-    counts = pairs.groupBy("a").agg(F.count("*").alias("n_pairs"))
-    left = pairs.join(counts, "a").withColumn("chunk", chunks).join(texts.select(F.col("k").alias("b"), F.col("body").alias("body_b")), "b")
+    counts, counts_path = saved(pairs.groupBy("a").agg(F.count("*").alias("n_pairs")), "near-counts")
+    paths.append(counts_path)
+    left = attach(pairs, counts, "a", hot=hot_keys(counts, "a", "n_pairs")).withColumn("chunk", chunks).join(texts.select(F.col("k").alias("b"), F.col("body").alias("body_b")), "b")
     heads = counts.join(texts.select(F.col("k").alias("a"), F.col("body").alias("body_a")), "a")
     heads = heads.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (n_pairs + {_CHUNK - 1}) div {_CHUNK} - 1L)"))).select("a", "chunk", "body_a")
     both = left.select("a", "b", "chunk", "body_b").join(heads, ["a", "chunk"]).select("a", "b", "body_a", "body_b")
@@ -111,12 +114,13 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Data
     return both.mapInArrow(compare, "a long, b long, ok boolean")
 
 
-def _across(docs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """Links (a, b) between different groups (root) of a cluster; docs: (k, root, cluster).
+def _across(docs: DataFrame, texts: DataFrame, percent: int, size: int, bands: int) -> DataFrame:
+    """Links (a, b) between the groups of texts that share a signature and a key; docs: (k, root, cluster), the cluster
+    being a signature of the first collection, texts: (k, body, signatures).
 
     Members of a cluster's largest group are compared with the others only. The others are dealt in blocks of about
     ROWS documents, all documents in blocks of about COLUMNS, and a task compares a block of each by an index from
-    shingles to the documents that hold them; it emits no more links than documents.
+    shingles to the documents that hold them; it emits no more links than documents, as pairs of groups.
     """
     sizes = docs.groupBy("cluster", "root").count()
     sizes = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.sum("count").alias("n"), F.max("count").alias("most"))
@@ -126,12 +130,12 @@ def _across(docs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataF
     in_row, in_column = F.expr("pmod(xxhash64(k), rows)"), F.expr("pmod(xxhash64(k, 1), columns)")
     left = placed.where("root <> largest").select("cluster", "k", "root", in_row.alias("i"), F.explode(F.expr("sequence(0L, columns - 1)")).alias("j"), F.lit(0).alias("side"))
     right = placed.select("cluster", "k", "root", F.explode(F.expr("sequence(0L, rows - 1)")).alias("i"), in_column.alias("j"), F.lit(1).alias("side"))
-    both = left.unionByName(right).join(texts, "k").select("cluster", "i", "j", "side", "k", "root", "body")
+    both = left.unionByName(right).join(texts, "k").select("cluster", "i", "j", "side", "root", "body", "signatures")
     both = both.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        unit, keys, roots, sets, index = None, [], [], [], None
+        unit, marks, roots, sets, index = None, [], [], [], None
         up: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -141,33 +145,39 @@ def _across(docs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataF
 
         for batch in batches:
             made = []
-            for cluster, i, j, side, k, root, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for n, (cluster, i, j, side, root, body) in enumerate(zip(*[c.to_pylist() for c in batch.columns[:6]], strict=True)):
+                mark = batch.column(6)[n].values.to_numpy()
                 if unit != (cluster, i, j):
-                    unit, keys, roots, sets, index = (cluster, i, j), [], [], [], None
+                    unit, marks, roots, sets, index = (cluster, i, j), [], [], [], None
                     up.clear()
-                found = shingle_set(known.of(body.lower().split()), size)
                 if not side:
-                    keys.append(k)
+                    marks.append(mark)
                     roots.append(root)
-                    sets.append(found)
+                    sets.append(shingle_set(known.of(body.lower().split()), size))
                     continue
-                if not keys:
+                if not roots:
                     continue
                 if index is None:
                     every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
                     order = np.argsort(every, kind="stable")
-                    index = every[order], owner[order], np.array([len(s) for s in sets]), np.array(roots)
-                shingles, owner, lengths, own_roots = index
+                    index = every[order], owner[order], np.array([len(s) for s in sets]), np.array(roots), np.stack(marks)
+                shingles, owner, lengths, own_roots, own_marks = index
+                same = own_marks == mark
+                # pairs that share a key, of another group, and no signature of the first collection before this one
+                meet = same[:, bands:].any(1) & (mark[same[:, :bands].argmax(1)] == cluster) & (own_roots != root)
+                if not meet.any():
+                    continue
+                found = shingle_set(known.of(body.lower().split()), size)
                 a, b = np.searchsorted(shingles, found), np.searchsorted(shingles, found, side="right")
                 n = b - a
                 at = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                 common = np.bincount(owner[at], minlength=len(lengths))
-                ok = (common > 0) & (100 * common >= percent * (lengths + len(found) - common)) & (own_roots != root)
+                ok = meet & (common > 0) & (100 * common >= percent * (lengths + len(found) - common))
                 for r in np.flatnonzero(ok).tolist():
                     x, y = top(roots[r]), top(root)
                     if x != y:
                         up[max(x, y)] = min(x, y)
-                        made.append((keys[r], k))
+                        made.append((roots[r], root))
             yield pa.RecordBatch.from_arrays([pa.array([m[c] for m in made], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     return both.mapInArrow(compare, "a long, b long")
@@ -184,63 +194,54 @@ def _grouped(docs: DataFrame, percent: int, size: int, bands: int) -> DataFrame:
 
     # signatures that recur, by class
     each = classes.select(F.col("rep").alias("k"), F.posexplode("signatures").alias("place", "signature"))
-    again = each.groupBy("signature").count().where("count > 1").select("signature")
-    live = each.join(again, "signature").groupBy("k").agg(F.collect_list(F.struct("place", "signature")).alias("s"))
+    again, again_path = saved(each.groupBy("signature").count().where("count > 1"), "signatures-again")
+    live = attach(each, again.select("signature"), "signature", hot=hot_keys(again, "signature", "count"))
+    live = live.groupBy("k").agg(F.collect_list(F.struct("place", "signature")).alias("s"))
     pairs_of = F.expr(f"""flatten(transform(filter(s, x -> x.place < {bands}), x ->
-        transform(filter(s, y -> y.place >= {bands}), y -> xxhash64(x.signature, y.signature))))""")
-    keys, keys_path = saved(live.select("k", F.explode(pairs_of).alias("bucket")), "buckets-all")
-    hubs = keys.groupBy("bucket").agg(F.min("k").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
-    members, members_path = saved(keys.join(hubs, "bucket"), "buckets")
-    remove(spark, keys_path)
+        transform(filter(s, y -> y.place >= {bands}), y -> struct(xxhash64(x.signature, y.signature) AS bucket, x.signature AS half))))""")
+    keys, keys_path = saved(live.select("k", F.inline(pairs_of)), "buckets-all")
+    hubs, hubs_path = saved(keys.groupBy("bucket").agg(F.min("k").alias("hub"), F.count("*").alias("n")).where("n > 1"), "buckets-hubs")
+    hot = hot_keys(hubs, "bucket", "n")
+    members, members_path = saved(attach(keys, hubs.select("bucket", "hub"), "bucket", hot=hot), "buckets")
+    remove(spark, again_path, keys_path, hubs_path)
 
     wanted = members.select("k").distinct()
-    wanted = wanted.join(classes.select(F.col("rep").alias("k"), F.col("own.k").alias("id"), F.col("own.text_hash").alias("text_hash")), "k")
+    wanted = wanted.join(classes.select(F.col("rep").alias("k"), F.col("own.k").alias("id"), F.col("own.text_hash").alias("text_hash"), "signatures"), "k")
     bodies = hashed_texts(docs).withColumnRenamed("k", "id").join(wanted, ["id", "text_hash"])
-    texts, texts_path = saved(bodies.select("k", "body").dropDuplicates(["k"]), "bucket-texts")
+    texts, texts_path = saved(bodies.select("k", "body", "signatures").dropDuplicates(["k"]), "bucket-texts")
 
-    none = spark.createDataFrame([], "a long, b long, ok boolean")
-    tried, paths = none, []
+    paths: list[str] = []
 
-    def labels_of() -> tuple[DataFrame, str]:
-        return components(tried.where("ok").select("a", "b"), "near-components")
-
-    def attempt(pairs: DataFrame) -> None:
-        nonlocal tried
-        new = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        got, path = saved(_linked(new, texts, percent, size), "near-links")
-        tried = tried.unionByName(got)
+    def attempt(pairs: DataFrame) -> DataFrame:
+        got, path = saved(_linked(pairs, texts, percent, size, paths), "near-links")
         paths.append(path)
-
-    def labelled(labels: DataFrame) -> DataFrame:
-        """Members of buckets in which several groups meet, with the group of each."""
-        got = members.join(labels, members.k == labels.node, "left").select("bucket", "k", "hub", F.coalesce("root", "k").alias("root"))
-        mixed_ = got.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        return got.join(mixed_.select("bucket"), "bucket", "left_semi")
+        return got.where("ok").select("a", "b")
 
     stars = members.where("k <> hub").groupBy("k", "hub").count()
     best = stars.groupBy("k").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
-    attempt(best.select(F.col("hub").alias("a"), F.col("k").alias("b")))
-    labels, path = labels_of()
-    star_of = labelled(labels)
-    heads = labels.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    star_of = star_of.where("k <> hub").join(heads, "hub", "left").where("root <> coalesce(hub_root, hub)")
-    attempt(star_of.select(F.col("hub").alias("a"), F.col("k").alias("b")).distinct())
-    remove(spark, path)
-    labels, path = labels_of()
-    met, met_path = saved(labelled(labels).select("k", "hub", "root").distinct(), "near-met")
-    # each text hangs on its smallest hub, and that on the text's other hubs, which many texts have in common
-    hung = met.select("k", "hub", F.min("hub").over(Window.partitionBy("k")).alias("low"))
-    hung = hung.select(F.col("low").alias("a"), F.col("hub").alias("b")).unionByName(hung.select(F.col("low").alias("a"), F.col("k").alias("b"))).distinct()
-    clusters, clusters_path = components(hung, "near-clusters")
-    docs_of = met.select("k", "root").distinct().join(clusters.toDF("node", "cluster"), F.col("k") == F.col("node")).select("k", "root", "cluster")
-    links, links_path = saved(_across(docs_of, texts, percent, size), "near-across")
-    tried = tried.unionByName(links.select("a", "b", F.lit(True).alias("ok")))
-    remove(spark, path)
-    labels, _ = labels_of()
-    remove(spark, texts_path, members_path, met_path, clusters_path, links_path, *paths)
+    links = attempt(best.select(F.col("hub").alias("a"), F.col("k").alias("b")))
+    # then all other hubs, less those that hang on the same first hub as the text itself
+    star, star_path = saved(links.select(F.col("b").alias("k"), F.col("a").alias("head")), "near-stars")
+    paths.append(star_path)
+    others = stars.select("k", "hub").join(best, ["k", "hub"], "left_anti").join(star, "k", "left").select("k", "hub", F.coalesce("head", "k").alias("own"))
+    others = attach(others, star.select(F.col("k").alias("hub"), F.col("head").alias("hub_head")), "hub", "left")
+    links = links.unionByName(attempt(others.where("own <> coalesce(hub_head, hub)").select(F.col("hub").alias("a"), F.col("k").alias("b"))))
+    labels, path = components(links, "near-components")
+    paths.append(path)
+    got = members.join(labels, members.k == labels.node, "left").select("bucket", "half", "k", F.coalesce("root", "k").alias("root"))
+    several = got.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    units = attach(got, several.select("bucket"), "bucket", hot=hot).select("k", "root", F.col("half").alias("cluster")).distinct()
+    units, units_path = saved(units, "near-units")
+    across, across_path = saved(_across(units, texts, percent, size, bands), "near-across")
+    # groups that the last round joined: their roots hang together, and their members follow
+    joined, joined_path = components(across, "near-joined")
+    labels = labels.unionByName(joined.select("node", F.col("node").alias("root")).join(labels.select("node"), "node", "left_anti"))
+    labels = attach(labels, joined.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
+    labels, path = saved(labels.select("node", F.coalesce("last", "root").alias("root")), "near-groups")
+    remove(spark, texts_path, members_path, units_path, across_path, joined_path, *paths)
 
     heads = labels.join(classes.select("own", "rep"), labels.node == F.col("rep")).groupBy("root").agg(F.min("own").alias("head"))
-    heads = labels.join(heads, "root").select("node", "head")
+    heads = attach(labels, heads, "root").select("node", "head")
     owners = classes.select("e1", "e2", "own", "rep").join(heads, F.col("rep") == F.col("node"), "left")
     owners = owners.select("e1", "e2", F.coalesce("head", "own").alias("head"))
     # texts without shingles share a digest and are no class: they bypass the join
@@ -263,12 +264,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, bands: in
 
 def keep_first(docs: DataFrame, percent: int = 75, size: int = 5, bands: int = BANDS) -> DataFrame:
     """The documents, all columns, that are the first of their group of near duplicates."""
-    rows = _grouped(docs, percent, size, bands).groupBy(F.col("k").alias("_k"), F.col("text_hash").alias("_text"))
+    k, text, again = fresh(docs, "_k", "_text", "_again")
+    rows = _grouped(docs, percent, size, bands).groupBy(F.col("k").alias(k), F.col("text_hash").alias(text))
     # one of the rows that agree in id and text is kept, but all of those without shingles
-    kept = rows.agg(F.max("kept").alias("_kept"), ((F.count("*") > 1) & (F.max("n_shingles") > 0)).alias("_again")).where("_kept")
-    kept, _ = saved(kept.select("_k", "_text", "_again"), "near-kept")
-    keyed = docs.withColumns({"_k": key(), "_text": text_hash()})
-    out = keyed.join(kept.where("not _again"), ["_k", "_text"], "left_semi")
-    if kept.where("_again").limit(1).count():
-        out = out.unionByName(keyed.join(kept.where("_again"), ["_k", "_text"], "left_semi").dropDuplicates(["_k", "_text"]))
+    kept = rows.agg(F.max("kept").alias("kept"), ((F.count("*") > 1) & (F.max("n_shingles") > 0)).alias(again)).where("kept").drop("kept")
+    kept, _ = saved(kept, "near-kept")
+    keyed = docs.withColumns({k: key(), text: text_hash()})
+    out = keyed.join(kept.where(~F.col(again)), [k, text], "left_semi")
+    if kept.where(again).limit(1).count():
+        out = out.unionByName(keyed.join(kept.where(again), [k, text], "left_semi").dropDuplicates([k, text]))
     return out.select(*docs.columns)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import attach, key, ranked, remove, saved, unkey
+from scenelake.llm.common import attach, fresh, key, ranked, remove, saved, unkey
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -47,7 +47,7 @@ def with_ordinal(df: DataFrame, column: str, name: str) -> DataFrame:
 
     Values are ranked by a distributed sort and joined back by value, frequent values by broadcast.
     """
-    value = f"_{name}"
+    (value,) = fresh(df, f"_{name}")
     df = df.withColumn(value, F.coalesce(F.col(column).cast("string"), F.lit("")))
     places, _ = ranked(df.select(value).distinct(), value, name="values")
     return attach(df, places.withColumnRenamed("rank", name), value).drop(value)
@@ -144,10 +144,12 @@ def write_shards(docs: DataFrame, path: str, shards: int = 24, bits: int = 7) ->
     """Writes the documents, all columns, as one folder a shard (shard=N), each in the order of the curve.
 
     Files so hold narrow ranges of lang, source and size, and readers skip those whose statistics exclude a filter.
-    Rows that agree in id and text share a place. Columns called shard or _slot are not written.
+    Rows that agree in id and text share a place. A column called shard is replaced.
     """
-    placed = _placed(docs, shards, bits).groupBy("k", "copy_of").agg(F.min(F.struct("shard", "slot")).alias("place"))
-    placed = placed.select(F.col("k").alias("_k"), F.col("copy_of").alias("_copy"), F.col("place.shard").alias("shard"), F.col("place.slot").alias("_slot"))
-    copy = F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256).substr(1, 32)
-    rows = docs.drop("shard", "_slot").withColumns({"_k": key(), "_copy": copy}).join(placed, ["_k", "_copy"])
-    rows.repartition(shards, "shard").sortWithinPartitions("shard", "_slot").drop("_k", "_copy", "_slot").write.partitionBy("shard").parquet(path)
+    docs = docs.drop("shard")
+    k, copy, slot = fresh(docs.withColumn("shard", F.lit(0)), "_k", "_copy", "_slot")
+    placed = _placed(docs, shards, bits).groupBy(F.col("k").alias(k), F.col("copy_of").alias(copy)).agg(F.min(F.struct("shard", "slot")).alias("place"))
+    placed = placed.select(k, copy, F.col("place.shard").alias("shard"), F.col("place.slot").alias(slot))
+    text = F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256).substr(1, 32)
+    rows = docs.withColumns({k: key(), copy: text}).join(placed, [k, copy])
+    rows.repartition(shards, "shard").sortWithinPartitions("shard", slot).drop(k, copy, slot).write.partitionBy("shard").parquet(path)
