@@ -29,17 +29,19 @@ def overlap_moments(pairs: DataFrame) -> DataFrame:
     return pairs.join(means, keys).groupBy(*keys, *kept).agg(*sums, square)
 
 
-def _sim3(row: pd.Series, least: int = 10) -> np.ndarray:
-    m = np.eye(4)
-    if row["n"] < least:
-        return m
-    h = np.array([[row[f"h{i}{j}"] for j in range(3)] for i in range(3)])
-    u, s, vt = np.linalg.svd(h)
-    flip = np.array([1.0, 1.0, np.sign(np.linalg.det(vt.T @ u.T))])
-    r = vt.T @ np.diag(flip) @ u.T
-    scale = (s * flip).sum() / (row["square"] / (row["n"] + 1e-6) * row["n"] + 1e-6)
-    m[:3, :3] = scale * r
-    m[:3, 3] = np.array([row[f"mt{c}"] for c in "xyz"]) - scale * r @ np.array([row[f"ms{c}"] for c in "xyz"])
+def _sim3(n: np.ndarray, ms: np.ndarray, mt: np.ndarray, h: np.ndarray, square: np.ndarray, least: int = 10) -> np.ndarray:
+    """Similarities (rows, 4, 4) from counts, means (rows, 3), cross sums (rows, 3, 3) and variance sums of the source."""
+    m = np.tile(np.eye(4), (len(n), 1, 1))
+    ok = np.flatnonzero(n >= least)
+    if len(ok):
+        u, s, vt = np.linalg.svd(h[ok])
+        v, ut = vt.transpose(0, 2, 1), u.transpose(0, 2, 1)
+        flip = np.ones((len(ok), 3))
+        flip[:, 2] = np.sign(np.linalg.det(v @ ut))
+        r = (v * flip[:, None, :]) @ ut
+        scale = (s * flip).sum(1) / (square[ok] / (n[ok] + 1e-6) * n[ok] + 1e-6)
+        m[ok, :3, :3] = scale[:, None, None] * r
+        m[ok, :3, 3] = mt[ok] - (m[ok, :3, :3] @ ms[ok][:, :, None])[:, :, 0]
     return m
 
 
@@ -48,9 +50,7 @@ def sim3_of(source: np.ndarray, target: np.ndarray, least: int = 10) -> np.ndarr
     n = source.shape[1]
     ms, mt = source.sum(1) / (n + 1e-6), target.sum(1) / (n + 1e-6)
     s, t = source - ms[:, None], target - mt[:, None]
-    h = s @ t.T
-    row = {"n": n, "square": (s**2).sum()} | {f"ms{c}": ms[i] for i, c in enumerate("xyz")} | {f"mt{c}": mt[i] for i, c in enumerate("xyz")}
-    return _sim3(row | {f"h{i}{j}": h[i, j] for i in range(3) for j in range(3)}, least)
+    return _sim3(np.array([n]), ms[None], mt[None], (s @ t.T)[None], np.array([(s**2).sum()]), least)[0]
 
 
 def sim3(moments: DataFrame) -> DataFrame:
@@ -58,7 +58,10 @@ def sim3(moments: DataFrame) -> DataFrame:
 
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"scene": part["scene"], "chunk": part["chunk"], "n": part["n"], "m": [_sim3(r).ravel().tolist() for _, r in part.iterrows()]})
+            of = lambda names: part[names].to_numpy(float)  # noqa: B023, E731
+            h = of([f"h{i}{j}" for i in range(3) for j in range(3)]).reshape(-1, 3, 3)
+            m = _sim3(part["n"].to_numpy(float), of([f"ms{c}" for c in "xyz"]), of([f"mt{c}" for c in "xyz"]), h, part["square"].to_numpy(float))
+            yield pd.DataFrame({"scene": part["scene"], "chunk": part["chunk"], "n": part["n"], "m": list(m.reshape(-1, 16))})
 
     kind = dict(moments.dtypes)
     return moments.mapInPandas(solve, f"scene {kind['scene']}, chunk {kind['chunk']}, n long, m array<double>")
@@ -83,16 +86,25 @@ def compose(steps: DataFrame, chunks: DataFrame, least: int = 10) -> DataFrame:
 
 
 def repair_rotations(cameras: DataFrame, column: str = "r") -> DataFrame:
-    """Adds ``rotation`` (nearest proper rotation of the row-normalised 3x3), ``residual`` before and ``repaired``."""
+    """Adds ``rotation`` (nearest proper rotation of the row-normalised 3x3), ``residual`` before and ``repaired``.
+
+    What is null, not nine numbers or not finite has null for both and counts as not repaired. Columns of these names
+    in the input are replaced.
+    """
 
     @F.pandas_udf("struct<rotation:array<double>,residual:double,repaired:boolean>")
     def fix(r: pd.Series) -> pd.DataFrame:
-        m = np.stack([np.asarray(x, float).reshape(3, 3) for x in r])
-        m = m / np.maximum(np.linalg.norm(m, axis=2, keepdims=True), 1e-12)
-        residual = np.abs(m @ m.transpose(0, 2, 1) - np.eye(3)).max((1, 2))
-        u, _, vt = np.linalg.svd(m)
-        u[:, :, 2] *= np.sign(np.linalg.det(u @ vt))[:, None]
-        return pd.DataFrame({"rotation": [x.ravel().tolist() for x in u @ vt], "residual": residual, "repaired": residual > 1e-6})
-
-    fixed = cameras.withColumn("_f", fix(column))
-    return fixed.select(*cameras.columns, "_f.rotation", "_f.residual", "_f.repaired")
+        good = [i for i, x in enumerate(r) if x is not None and len(x) == 9 and np.isfinite(np.asarray(x, float)).all()]
+        out = pd.DataFrame({"rotation": pd.Series([None] * len(r), dtype=object), "residual": pd.Series([None] * len(r), dtype=object), "repaired": False})
+        if good:
+            m = np.stack([np.asarray(r.iloc[i], float).reshape(3, 3) for i in good])
+            m = m / np.maximum(np.linalg.norm(m, axis=2, keepdims=True), 1e-12)
+            residual = np.abs(m @ m.transpose(0, 2, 1) - np.eye(3)).max((1, 2))
+            u, _, vt = np.linalg.svd(m)
+            u[:, :, 2] *= np.sign(np.linalg.det(u @ vt))[:, None]
+            for i, fixed, off in zip(good, u @ vt, residual, strict=True):
+                out.at[i, "rotation"], out.at[i, "residual"], out.at[i, "repaired"] = fixed.ravel().tolist(), float(off), bool(off > 1e-6)
+        return out
+
+    kept = [c for c in cameras.columns if c not in ("rotation", "residual", "repaired")]
+    return cameras.select(*kept, fix(column).alias("rotation_")).select(*kept, "rotation_.*")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenelake.functions.geometry import cross, ratio, unit
+from scenelake.functions.geometry import cross, finite, ratio, unit
 
 FRAME = ("scene", "frame")
 
@@ -24,9 +24,21 @@ def _along(axis: str, radius: int | None = None):
     return w.rangeBetween(-radius, radius) if radius is not None else w
 
 
-def _pooled(df: DataFrame, out: str, value: Column, how, radius: int) -> DataFrame:
-    df = df.withColumn("_row", how(value).over(_along("u", radius)))
-    return df.withColumn(out, how("_row").over(_along("v", radius))).drop("_row")
+def _pooled(df: DataFrame, radius: int, first: str = "u", **pools) -> DataFrame:
+    """Adds each pool's (value, function) over the square around a pixel; two windows serve all of them."""
+    rows = {f"_{out}": how(value).over(_along(first, radius)) for out, (value, how) in pools.items()}
+    second = _along("v" if first == "u" else "u", radius)
+    return df.withColumns(rows).withColumns({out: how(f"_{out}").over(second) for out, (_, how) in pools.items()}).drop(*rows)
+
+
+def _near(df: DataFrame, axis: str, value: Column, radius: int, **names: int) -> DataFrame:
+    """Adds the value of the pixel that stands so many steps along an axis, null where there is none.
+
+    Places are compared, so sparse frames give no neighbour across a hole.
+    """
+    here = F.struct(F.col(axis).alias("i"), value.alias("p"))
+    moved = {n: (F.lead(here, k) if k > 0 else F.lag(here, -k)).over(_along(axis)) for n, k in names.items()}
+    return df.withColumns(moved).withColumns({n: F.when(F.col(n)["i"] == F.col(axis) + k, F.col(n)["p"]) for n, k in names.items()})
 
 
 def above(score: Column, threshold: float) -> Column:
@@ -42,20 +54,17 @@ def displayed(conf: Column, percent: float | None = 10) -> Column:
 def depth_edges(px: DataFrame, rtol: float = 0.03, atol: float | None = None, kernel: int = 3, depth: str = "d", valid: str = "valid") -> DataFrame:
     """Adds ``depth_edge``: the spread of valid depths around a pixel is large, absolutely or against its own depth."""
     d, r = F.when(F.col(valid), F.col(depth)), kernel // 2
-    px = _pooled(_pooled(px, "_max", d, F.max, r), "_min", d, F.min, r)
-    spread = F.coalesce(F.col("_max") - F.col("_min"), F.lit(float("-inf")))
+    px = _pooled(px, r, _most=(d, F.max), _least=(d, F.min))
+    spread = F.coalesce(F.col("_most") - F.col("_least"), F.lit(float("-inf")))
     edge = ratio(spread, F.col(depth)) > rtol
-    return px.withColumn("depth_edge", edge | (spread > atol) if atol is not None else edge).drop("_max", "_min")
+    return px.withColumn("depth_edge", edge | (spread > atol) if atol is not None else edge).drop("_most", "_least")
 
 
 def normals(px: DataFrame, point: tuple[str, str, str] = ("lx", "ly", "lz"), valid: str = "valid") -> DataFrame:
     """Adds ``nx, ny, nz`` and ``has_normal`` from the four cross products of differences to neighbours."""
     here = F.struct(F.col(valid).alias("ok"), *[F.when(F.col(valid), F.col(c)).otherwise(0.0).alias(c) for c in point])
     px = px.withColumn("_p", here)
-    for name, axis, move, step in (("_up", "v", F.lag, -1), ("_left", "u", F.lag, -1), ("_down", "v", F.lead, 1), ("_right", "u", F.lead, 1)):
-        near = move(F.struct(F.col(axis).alias("i"), F.col("_p").alias("p"))).over(_along(axis))
-        px = px.withColumn(name, near)
-        px = px.withColumn(name, F.when(F.col(name)["i"] == F.col(axis) + step, F.col(name)["p"]))
+    px = _near(_near(px, "v", F.col("_p"), 1, _up=-1, _down=1), "u", F.col("_p"), 1, _left=-1, _right=1)
     delta = {n: tuple(F.coalesce(F.col(n)[c], F.lit(0.0)) - F.col("_p")[c] for c in point) for n in ("_up", "_left", "_down", "_right")}
     ok = {n: F.coalesce(F.col(n)["ok"], F.lit(False)) for n in delta}
     parts, oks = [], []
@@ -74,16 +83,19 @@ def normal_edges(px: DataFrame, degrees: float = 5.0, kernel: int = 3) -> DataFr
     A pixel without a normal has a zero vector and so stands at a right angle to all, which spreads as well.
     """
     r = kernel // 2
-    row = F.collect_list(F.struct("nx", "ny", "nz", "has_normal")).over(_along("u", r))
-    around = F.flatten(F.collect_list("_row").over(_along("v", r)))
-    px = px.withColumn("_row", row).withColumn("_around", around)
-
-    def wider(most: Column, n: Column) -> Column:
-        dot = F.col("nx") * n["nx"] + F.col("ny") * n["ny"] + F.col("nz") * n["nz"]
-        return F.greatest(most, F.when(n["has_normal"], F.acos(F.least(F.greatest(dot, F.lit(-1.0)), F.lit(1.0)))).otherwise(0.0))
-
-    px = px.withColumn("_angle", F.aggregate("_around", F.lit(0.0), wider)).drop("_row", "_around")
-    px = _pooled(px, "_most", F.col("_angle"), F.max, r)
+    steps = [k for k in range(-r, r + 1) if k]
+    normal = ("nx", "ny", "nz")
+    px = px.withColumn("_n", F.struct(F.col("has_normal").alias("ok"), *normal))
+    px = _near(px, "u", F.col("_n"), r, **{f"_u{i}": k for i, k in enumerate(steps)})
+    row = F.struct(F.col("_n").alias("c"), *[F.col(f"_u{i}").alias(f"c{i}") for i in range(len(steps))])
+    px = px.withColumn("_row", row).drop("_n", *[f"_u{i}" for i in range(len(steps))])
+    px = _near(px, "v", F.col("_row"), r, **{f"_v{i}": k for i, k in enumerate(steps)})
+    around = [F.col(x)[c] for x in ("_row", *[f"_v{i}" for i in range(len(steps))]) for c in ("c", *[f"c{i}" for i in range(len(steps))])]
+    # the angle grows as the dot product falls, so one arc cosine of the least product is enough; least() skips nulls
+    dots = [F.when(n["ok"], F.col("nx") * n["nx"] + F.col("ny") * n["ny"] + F.col("nz") * n["nz"]) for n in around]
+    angle = F.acos(F.least(F.greatest(F.least(*dots, F.lit(1.0)), F.lit(-1.0)), F.lit(1.0)))
+    px = px.withColumn("_angle", angle).drop("_row", *[f"_v{i}" for i in range(len(steps))])
+    px = _pooled(px, r, "v", _most=(F.col("_angle"), F.max))
     return px.withColumn("normal_edge", (F.col("_most") > F.radians(F.lit(degrees))) & F.col("has_normal")).drop("_angle", "_most")
 
 
@@ -104,18 +116,49 @@ def suppress(px: DataFrame) -> DataFrame:
     return px.withColumn("conf", F.when(F.col("edge"), 0.0).otherwise(F.col("conf")))
 
 
-def top_share(px: DataFrame, share: float = 0.1, least: int = 10) -> DataFrame:
-    """``accepted`` stays, but a frame with fewer than ``least`` accepted pixels takes its top share by confidence.
+def top_share(px: DataFrame, share: float = 0.1, least: int = 10, chunk: tuple[str, ...] = ("scene", "chunk")) -> DataFrame:
+    """``accepted`` stays, but in a chunk of fewer than ``least`` accepted pixels each frame takes its top share.
 
-    Ties at the last place stay; a frame of too few pixels for a first place takes none.
+    Pixels count by chunk, ranks by frame of the chunk. Ties at the last place stay; a frame of too few pixels for a
+    first place takes none. The counts are a grouped sum, of one row a chunk, that joins back.
     """
-    frame = Window.partitionBy(*FRAME)
-    n, accepted = F.count("*").over(frame), F.count_if("accepted").over(frame)
-    rank = F.rank().over(frame.orderBy(F.desc("conf")))
-    return px.withColumn("accepted", F.when(accepted < least, rank <= F.floor(n * share)).otherwise(F.col("accepted")))
+    few = px.groupBy(*chunk).agg((F.count_if("accepted") < least).alias("_few"))
+    frame = Window.partitionBy(*chunk, "frame")
+    first = F.rank().over(frame.orderBy(F.desc("conf"))) <= F.floor(F.count("*").over(frame) * share)
+    px = px.join(few, list(chunk)).withColumn("_first", first)
+    return px.withColumn("accepted", F.when(F.col("_few"), F.col("_first")).otherwise(F.col("accepted"))).drop("_few", "_first")
 
 
 def drop_lone_pose(frames: DataFrame) -> DataFrame:
     """Clears has_pose in scenes where exactly one frame carries a pose."""
     n = F.sum(F.col("has_pose").cast("int")).over(Window.partitionBy("scene"))
     return frames.withColumn("has_pose", F.col("has_pose") & (n != 1))
+
+
+def valid_points(depth: Column, x: Column, y: Column, z: Column, mask: Column) -> Column:
+    """Finite coordinates and a finite positive depth inside the mask."""
+    return finite(depth, x, y, z) & (depth > 0) & F.coalesce(mask, F.lit(False))
+
+
+def frame_of_label(label: str | None) -> int | None:
+    """The frame that a label such as "3: name.png" means; None, no filter, for "All" and what has no number."""
+    head = (label or "").split(":")[0].strip()
+    return int(head) if head.lstrip("+-").isdigit() else None
+
+
+def select_frame(df: DataFrame, label: str | None) -> DataFrame:
+    """The rows of one frame, or all; tables that are partitioned by frame read that partition alone."""
+    frame = frame_of_label(label)
+    return df if frame is None else df.where(F.col("frame") == frame)
+
+
+def first_frames(df: DataFrame, most: int) -> DataFrame:
+    """Rows of the first ``most`` frames of each scene."""
+    return df.where(F.col("frame") < most)
+
+
+def named(df: DataFrame, names: list[str] | DataFrame | None, column: str = "name") -> DataFrame:
+    """Rows whose name is in a list, or in the column of a table (a semi join); all without names."""
+    if isinstance(names, DataFrame):
+        return df.join(names.select(column), column, "left_semi")
+    return df.where(F.col(column).isin(list(names))) if names else df

@@ -2,28 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 
 def interval_sample(df: DataFrame, by: str, order: list[str], step: int, offset: int = 0) -> DataFrame:
-    """Every ``step``-th row of each sequence; ``offset`` 0 keeps the first, 1 counts from one (the step-th first)."""
+    """Every ``step``-th row of each sequence; ``offset`` 0 keeps the first, 1 counts from one (the step-th first).
+
+    Nulls in ``by`` are one sequence; nulls in ``order`` come first; rows that tie in all of it stand in any order.
+    """
     if step < 1:
         raise ValueError("step must be positive")
     place = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1 + offset
-    return df.withColumn("place", place).where(F.col("place") % step == 0)
+    return df.withColumn("_place", place).where(F.col("_place") % step == 0).drop("_place")
+
+
+def default_interval(path: Column, interval: Column | None = None, fps: Column | None = None) -> Column:
+    """The sampling interval of a source: the given one if positive, else one frame a second where the rate is known,
+    else 10 for videos (.mp4) and 1 for folders."""
+    rule = F.when(F.lower(path).endswith(".mp4"), 10).otherwise(1)
+    if fps is not None:
+        rule = F.when(fps >= 1, F.floor(fps).cast("int")).otherwise(rule)
+    return rule if interval is None else F.when(interval > 0, interval).otherwise(rule)
 
 
-def assign_chunks(frames: DataFrame, size: int = 16, overlap: int = 6) -> DataFrame:
+def assign_chunks(frames: DataFrame, size: int = 16, overlap: int = 6, table: DataFrame | None = None) -> DataFrame:
     """Adds ``chunk`` and ``pos``: chunks start every size - overlap frames; the last is the first to reach the end.
 
-    A frame is repeated for each of its chunks, which are at most size / (size - overlap), rounded up.
+    A frame is repeated for each of its chunks, which are at most size / (size - overlap), rounded up. The length of a
+    scene is its largest frame number plus 1 in ``table`` (a narrow table of frames, so that wide rows are not
+    counted), or in the rows themselves; it is one row a scene, and joins them.
     """
     if not 0 < overlap < size:
         raise ValueError("0 < overlap < size is needed")
     hop = size - overlap
-    total = (F.max("frame").over(Window.partitionBy("scene")) + 1).cast("long")
-    frames = frames.withColumn("_last", F.greatest(F.lit(0), F.ceil((total - size) / hop)).cast("long"))
+    total = (F.max("frame") + 1).cast("long")
+    last = (frames if table is None else table).groupBy("scene").agg(F.greatest(F.lit(0), F.ceil((total - size) / hop)).cast("long").alias("_last"))
+    frames = frames.join(last, "scene")
     first = F.greatest(F.lit(0), F.ceil((F.col("frame") - size + 1) / hop)).cast("long")
     last = F.least(F.floor(F.col("frame") / hop).cast("long"), F.col("_last"))
     frames = frames.withColumn("chunk", F.explode(F.sequence(first, last))).drop("_last")
@@ -55,3 +71,37 @@ def tile_stats(px: DataFrame, side: int) -> DataFrame:
     """Mean, least and largest depth and the number of valid pixels of each side x side tile."""
     tiled = px.withColumns({"tv": F.expr(f"v div {side}"), "tu": F.expr(f"u div {side}")})
     return tiled.groupBy("scene", "frame", "tv", "tu").agg(F.avg("d").alias("mean_d"), F.min("d").alias("min_d"), F.max("d").alias("max_d"), F.count_if("valid").alias("n_valid"))
+
+
+def pixel_grid(frames: DataFrame, height: int, width: int) -> DataFrame:
+    """A row for each pixel of each frame: v, u and the homogeneous centre (px, py, 1)."""
+    rows = frames.withColumn("v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(height - 1).cast("long"))))
+    rows = rows.withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))))
+    return rows.withColumns({"px": F.col("u") + 0.5, "py": F.col("v") + 0.5, "pw": F.lit(1.0)})
+
+
+@F.udtf(returnType=StructType([StructField(n, LongType()) for n in ("v", "u")] + [StructField(n, DoubleType()) for n in ("px", "py", "pw")]))
+class PixelGrid:
+    """pixel_grid(height, width) for SQL: the pixels of a frame by rows."""
+
+    def eval(self, height: int, width: int):
+        for v in range(height):
+            for u in range(width):
+                yield v, u, u + 0.5, v + 0.5, 1.0
+
+
+@F.udtf(returnType=StructType([StructField(n, LongType()) for n in ("chunk", "pos")]))
+class ChunkIds:
+    """chunk_ids(frame, frames, size, overlap) for SQL: the chunks that a frame of a scene belongs to."""
+
+    def eval(self, frame: int, frames: int, size: int, overlap: int):
+        hop = size - overlap
+        last = max(0, -(-(frames - size) // hop))
+        for chunk in range(max(0, -(-(frame - size + 1) // hop)), min(frame // hop, last) + 1):
+            yield chunk, frame - chunk * hop
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Makes pixel_grid and chunk_ids known to the session's SQL."""
+    spark.udtf.register("pixel_grid", PixelGrid)
+    spark.udtf.register("chunk_ids", ChunkIds)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def score_chunks(chunked: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], schema: str, priors: tuple[str, ...] = ()) -> DataFrame:
@@ -28,3 +29,36 @@ def score_batches(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame],
                 yield scorer(batch.iloc[at : at + size].reset_index(drop=True))
 
     return df.mapInPandas(run, schema)
+
+
+def score_in_order(chunked: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], schema: str, inject: tuple[str, ...], overlap: int = 6, threshold: float = 0.05) -> DataFrame:
+    """Runs ``scorer`` chunk after chunk, each with what the one before found for the frames they share.
+
+    ``inject`` names what is handed on: pose, depth, ray (or intrinsic, the same). The scorer's rows have scene, chunk,
+    frame and, where they are injected, columns pose, depth, ray, and conf. They come back with the next chunk as
+    prior_pose, prior_depth and prior_ray (null for frames that are new); a prior depth is 0 where conf is not above
+    ``threshold``. All scenes advance side by side; each step is checkpointed, so a lost executor costs one step.
+    """
+    unknown = set(inject) - {"pose", "depth", "ray", "intrinsic"}
+    if unknown:
+        raise ValueError(f"cannot inject {sorted(unknown)}")
+    kinds = [k for k in ("pose", "depth", "ray") if k in inject or (k == "ray" and "intrinsic" in inject)]
+    last = chunked.agg(F.max("chunk")).first()[0]
+    done, before = None, None
+    for chunk in range(0, -1 if last is None else last + 1):
+        part = chunked.where(F.col("chunk") == chunk)
+        if before is None:
+            kind = dict(chunked.sparkSession.createDataFrame([], schema).dtypes)
+            part = part.withColumns({f"prior_{k}": F.lit(None).cast(kind[k]) for k in kinds})
+        else:
+            part = part.join(before, ["scene", "frame"], "left")
+        found = score_chunks(part, scorer, schema, tuple(f"prior_{k}" for k in kinds)).checkpoint()
+        done = found if done is None else done.unionByName(found)
+        # the last frames of this chunk are the first of the next
+        ends = found.groupBy("scene").agg(F.max("frame").alias("_end"))
+        before = found.join(ends, "scene").where(F.col("frame") > F.col("_end") - overlap)
+        value = {k: F.col(k) for k in kinds}
+        if "depth" in value and "conf" in found.columns:
+            value["depth"] = F.when(~F.isnan("conf") & (F.col("conf") > threshold), F.col("depth")).otherwise(0.0)
+        before = before.select("scene", "frame", *[value[k].alias(f"prior_{k}") for k in kinds])
+    return chunked.sparkSession.createDataFrame([], schema) if done is None else done

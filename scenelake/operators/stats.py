@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scenelake.functions.geometry import hsv_channel, quantize
+
 
 def depth_factor(px: DataFrame, how: str = "mean") -> DataFrame:
     """Mean or lower median of each scene's positive depths; 1 where there are none."""
@@ -13,8 +15,24 @@ def depth_factor(px: DataFrame, how: str = "mean") -> DataFrame:
     return px.groupBy("scene").agg(F.coalesce(found, F.lit(1.0)).alias("factor"))
 
 
+def hue_colors(points: DataFrame, box: DataFrame) -> DataFrame:
+    """Adds ``hue`` and red, green, blue (bytes) by the place of x, y, z in the cloud's box, which is one row."""
+    part = {c: (F.col(c) - F.col(f"{c}_low")) / (F.col(f"{c}_high") - F.col(f"{c}_low") + 1e-8) for c in "xyz"}
+    points = points.join(F.broadcast(box)).withColumn("hue", 0.7 * part["x"] + 0.2 * part["y"] + 0.1 * part["z"])
+    colors = {n: quantize(hsv_channel(F.col("hue"), i)) for i, n in enumerate(("red", "green", "blue"))}
+    return points.withColumns(colors).drop(*box.columns)
+
+
+def extent(points: DataFrame) -> DataFrame:
+    """One row: x_low, x_high and so on, the least and largest coordinates."""
+    return points.agg(*[f(c).alias(f"{c}_{n}") for c in "xyz" for n, f in (("low", F.min), ("high", F.max))])
+
+
 def normalize_depth(px: DataFrame, how: str = "mean") -> DataFrame:
-    """Depths divided by their scene's factor; the factors are one row a scene and join by it."""
+    """Depths divided by their scene's factor plus 1e-8; the factors are one row a scene and join by it.
+
+    Null and non-positive depths do not enter a factor and are divided all the same; a null scene has no rows.
+    """
     return px.join(depth_factor(px, how), "scene").withColumn("d", F.col("d") / (F.col("factor") + 1e-8))
 
 
@@ -25,8 +43,15 @@ def pose_scale(cameras: DataFrame, static: float = 0.02) -> DataFrame:
     return out.select("scene", F.when(F.col("most") >= static, F.col("mean")).otherwise(1.0).alias("scale"))
 
 
-def recover_intrinsics(px: DataFrame, width: int, height: int, centered: bool = False) -> DataFrame:
-    """Focal lengths and principal points by least squares of pixels on ray slopes, by frame."""
+def recover_intrinsics(px: DataFrame, width: int, height: int, centered: bool = False, ndc: bool = False) -> DataFrame:
+    """Focal lengths and principal points by least squares of pixels on ray slopes, by frame.
+
+    ``ndc`` gives them for coordinates from -1 to 1 along either side. A frame whose slopes are all equal has nulls.
+    """
+    if ndc:
+        found = recover_intrinsics(px, width, height, centered)
+        sides = {"x": width, "y": height}
+        return found.withColumns({f"{a}{c}": F.col(f"{a}{c}") * 2 / (n - 1) - (1 if a == "c" else 0) for c, n in sides.items() for a in "fc"})
     z = F.abs("lz") + 1e-10
     px = px.withColumns({"_x": F.col("lx") / z, "_y": F.col("ly") / z, "_u": F.col("u").cast("double"), "_v": F.col("v").cast("double")})
     if centered:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scenelake.functions import geometry as geo
-from scenelake.operators import align, masks, sampling, scoring, stats, warp
+from scenelake.operators import align, cameras as views, masks, sampling, scoring, stats, warp
 from scenelake.streaming import frames as arriving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,7 +46,8 @@ def cameras(fr: DataFrame) -> DataFrame:
     zero, one = F.lit(0.0), F.lit(1.0)
     pose = F.array(F.cos(a), zero, F.sin(a), F.col("frame") * 0.2, zero, one, zero, zero, -F.sin(a), zero, F.cos(a), F.col("frame") * 0.1, zero, zero, zero, one)
     flag = F.when(F.col("scene") == 9, F.col("frame") == 0).otherwise(F.col("frame") % 4 == 0)
-    return fr.select("scene", "frame", pose.alias("pose"), (F.col("frame") % 3 != 2).alias("has_depth"), flag.alias("has_pose"))
+    k = F.array(*[F.lit(x) for x in (8.0, 0.0, 3.5, 0.0, 8.0, 3.5, 0.0, 0.0, 1.0)])
+    return fr.select("scene", "frame", pose.alias("pose"), k.alias("k"), (F.col("frame") % 3 != 2).alias("has_depth"), flag.alias("has_pose"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,7 @@ def world(px: DataFrame) -> DataFrame:
 _PX = """WITH fr AS (SELECT label AS scene, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, embedding AS e FROM embeddings),
 px0 AS (SELECT scene, frame, (i // 8)::BIGINT AS v, (i % 8)::BIGINT AS u, e[i + 1]::DOUBLE AS raw,
   exp(least(0.1::DOUBLE * e[i + 1]::DOUBLE, 15.0::DOUBLE)) AS lz, 1 / (1 + exp(-10::DOUBLE * e[64 - i]::DOUBLE)) AS conf FROM fr, range(64) t(i)),
-px AS (SELECT *, CASE WHEN raw < -0.4 THEN 0::DOUBLE ELSE lz END AS d, NOT raw < -0.4 AS valid,
+px AS MATERIALIZED (SELECT *, CASE WHEN raw < -0.4 THEN 0::DOUBLE ELSE lz END AS d, NOT raw < -0.4 AS valid,
   (u - 3.5::DOUBLE) / 8 * lz AS lx, (v - 3.5::DOUBLE) / 8 * lz AS ly FROM px0),
 cam AS (SELECT scene, frame, cos(frame * 0.05::DOUBLE) AS c, sin(frame * 0.05::DOUBLE) AS s, frame * 0.2::DOUBLE AS tx, frame * 0.1::DOUBLE AS tz,
   frame % 3 <> 2 AS has_depth, CASE WHEN scene = 9 THEN frame = 0 ELSE frame % 4 = 0 END AS has_pose FROM fr),
@@ -140,18 +141,18 @@ def chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_PX + f"SELECT scene, frame, v, u, {_r('c * ((u - 3.5) * d / 8) + s * d + tx', 'x')}, {_r('(v - 3.5) * d / 8', 'y')}, {_r('-s * ((u - 3.5) * d / 8) + c * d + tz', 'z')}, d > 0 AND d < 1.02 AS usable FROM px JOIN cam USING (scene, frame)")
 def unproject_world(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depths to world points by integer pixel places, with a far limit."""
-    px = pixels(spark, sf_dir).withColumns({"lx": (F.col("u") - 3.5) * F.col("d") / 8, "ly": (F.col("v") - 3.5) * F.col("d") / 8, "lz": F.col("d")})
-    return world(px).select("scene", "frame", "v", "u", r4("x", "x"), r4("y", "y"), r4("z", "z"), ((F.col("d") > 0) & (F.col("d") < 1.02)).alias("usable"))
+    """Depths to world points by integer pixel places and the table of cameras, with a far limit."""
+    out = views.depth_to_world(pixels(spark, sf_dir), cameras(frames(spark, sf_dir)), z_far=1.02)
+    return out.select("scene", "frame", "v", "u", r4("x", "x"), r4("y", "y"), r4("z", "z"), "usable")
 
 
-@_query(_PX + f"SELECT scene, frame, {_r('c', 'r00')}, {_r('s', 'r02')}, {_r('tx', 'tx')}, {_r('tz', 'tz')} FROM cam")
+@_query(_PX + f"""SELECT scene, frame, {_r('c', 'r00')}, {_r('s', 'r02')}, {_r('cos(0.35::DOUBLE) * tx - sin(0.35::DOUBLE) * tz', 'tx')},
+{_r('sin(0.35::DOUBLE) * tx + cos(0.35::DOUBLE) * tz', 'tz')} FROM cam""")
 def relative_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Poses seen from the first frame of their scene, which stands at the origin here."""
-    cam = cameras(frames(spark, sf_dir))
-    first = cam.where("frame = 0").select("scene", geo.se3_inverse(F.col("pose")).alias("inv"))
-    m = cam.join(first, "scene").withColumn("m", geo.matmul4(F.col("inv"), F.col("pose")))
-    return m.select("scene", "frame", r4(F.col("m")[0], "r00"), r4(F.col("m")[2], "r02"), r4(F.col("m")[3], "tx"), r4(F.col("m")[11], "tz"))
+    """Poses seen from the first frame of their scene, on a trajectory that starts at its eighth camera."""
+    later = cameras(frames(spark, sf_dir).withColumn("frame", F.col("frame") + 7))
+    m = views.relative_poses(later.withColumn("frame", F.col("frame") - 7))
+    return m.select("scene", "frame", r4(F.col("pose")[0], "r00"), r4(F.col("pose")[2], "r02"), r4(F.col("pose")[3], "tx"), r4(F.col("pose")[11], "tz"))
 
 
 @_query(_PX + f""", ry AS (SELECT scene, frame, v, u, (u + 0.5 - 3.5) / 8 AS a, (v + 0.5 - 3.5) / 8 AS b, c, s, tx, tz FROM px JOIN cam USING (scene, frame)),
@@ -159,11 +160,9 @@ rd AS (SELECT *, sqrt(a * a + b * b + 1) AS n FROM ry), dr AS (SELECT *, (c * a
 SELECT scene, frame, v, u, {_r('dx', 'dx')}, {_r('dy', 'dy')}, {_r('dz', 'dz')}, {_r('-tz * dy', 'mx')}, {_r('tz * dx - tx * dz', 'my')}, {_r('tx * dy', 'mz')} FROM dr""")
 def plucker_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit directions through pixel centres and their moments about the world's origin."""
-    a = F.col("frame") * 0.05
-    px = pixels(spark, sf_dir).select("scene", "frame", "v", "u", ((F.col("u") + 0.5 - 3.5) / 8).alias("a"), ((F.col("v") + 0.5 - 3.5) / 8).alias("b"), (F.col("frame") * 0.2).alias("tx"), (F.col("frame") * 0.1).alias("tz"))
-    d = geo.unit(F.cos(a) * F.col("a") + F.sin(a), F.col("b"), -F.sin(a) * F.col("a") + F.cos(a))
-    m = geo.cross((F.col("tx"), F.lit(0.0), F.col("tz")), d)
-    return px.select("scene", "frame", "v", "u", *[r4(x, n) for x, n in zip((*d, *m), ("dx", "dy", "dz", "mx", "my", "mz"), strict=True)])
+    px = views.with_cameras(pixels(spark, sf_dir).select("scene", "frame", "v", "u"), cameras(frames(spark, sf_dir)))
+    ray = geo.plucker(F.col("pose"), F.col("k"), F.col("u"), F.col("v"))
+    return px.select("scene", "frame", "v", "u", *[r4(x, n) for x, n in zip(ray, ("dx", "dy", "dz", "mx", "my", "mz"), strict=True)])
 
 
 @_query(_PX + f"SELECT scene, frame, v, u, {_r('conf', 'conf')} FROM px WHERE conf > 0.1")
@@ -173,7 +172,7 @@ def conf_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_PX + f"SELECT scene, frame, v, u, {_r('conf', 'conf')} FROM px WHERE conf >= 0.25 AND conf > 1e-5 AND frame = 3")
 def display_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels(spark, sf_dir).where(masks.displayed(F.col("conf"), 25) & (F.col("frame") == 3)).select("scene", "frame", "v", "u", r4("conf", "conf"))
+    return masks.select_frame(pixels(spark, sf_dir).where(masks.displayed(F.col("conf"), 25)), "3: frame.png").select("scene", "frame", "v", "u", r4("conf", "conf"))
 
 
 @_query(_PX + "SELECT scene, frame, has_pose AND sum(has_pose::INT) OVER (PARTITION BY scene) <> 1 AS has_pose FROM cam")
@@ -246,16 +245,35 @@ def depth_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.stretch_depth(pixels(spark, sf_dir)).select("scene", "frame", "v", "u", r4("gray", "gray"))
 
 
-@_query(f"""WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE / 1000 AS y, l_discount::DOUBLE AS z FROM lineitem),
-b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM p)
-SELECT l_orderkey, l_linenumber, {_r('0.7 * (x - x0) / (x1 - x0 + 1e-8) + 0.2 * (y - y0) / (y1 - y0 + 1e-8) + 0.1 * (z - z0) / (z1 - z0 + 1e-8)', 'hue')} FROM p, b""")
-def hue_color(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hues of points by their place in the cloud's box, on ``lineitem`` as a cloud; the box is one row."""
+_CLOUD = """WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE / 1000 AS y, l_discount::DOUBLE AS z FROM lineitem),
+b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM p),
+h AS (SELECT l_orderkey, l_linenumber, 0.7 * ((x - x0) / (x1 - x0 + 1e-8)) + 0.2 * ((y - y0) / (y1 - y0 + 1e-8)) + 0.1 * ((z - z0) / (z1 - z0 + 1e-8)) AS hue FROM p, b)
+"""
+
+
+def _hues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as a cloud of points, coloured by their place in its box, which is one row."""
     p = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice").cast("double") / 1000).alias("y"), F.col("l_discount").cast("double").alias("z"))
-    box = p.agg(*[f(c).alias(f"{c}{i}") for c in "xyz" for i, f in ((0, F.min), (1, F.max))])
-    part = lambda c: (F.col(c) - F.col(f"{c}0")) / (F.col(f"{c}1") - F.col(f"{c}0") + 1e-8)
-    hue = 0.7 * (F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0") + 1e-8) + 0.2 * part("y") + 0.1 * part("z")
-    return p.join(F.broadcast(box)).select("l_orderkey", "l_linenumber", r4(hue, "hue"))
+    return stats.hue_colors(p, stats.extent(p))
+
+
+@_query(_CLOUD + f"SELECT l_orderkey, l_linenumber, {_r('hue', 'hue')} FROM h")
+def hue_color(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hues(spark, sf_dir).select("l_orderkey", "l_linenumber", r4("hue", "hue"))
+
+
+_HSV = """, g AS (SELECT *, (floor(hue * 6)::INT) % 6 AS s, hue * 6 - floor(hue * 6) AS f FROM h),
+c AS (SELECT *, 0.8::DOUBLE * (1 - 0.9::DOUBLE) AS p, 0.8::DOUBLE * (1 - 0.9::DOUBLE * f) AS q, 0.8::DOUBLE * (1 - 0.9::DOUBLE * (1 - f)) AS t FROM g)
+SELECT l_orderkey, l_linenumber, """ + ", ".join(
+    f"floor(least(greatest(255 * (CASE s {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(order))} END), 0), 255))::INT AS {name}"
+    for name, order in (("red", ("0.8::DOUBLE", "q", "p", "p", "t", "0.8::DOUBLE")), ("green", ("t", "0.8::DOUBLE", "0.8::DOUBLE", "q", "p", "p")), ("blue", ("p", "p", "t", "0.8::DOUBLE", "0.8::DOUBLE", "q")))
+) + " FROM c"
+
+
+@_query(_CLOUD + _HSV)
+def colored_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of the colours of an uncoloured cloud."""
+    return _hues(spark, sf_dir).select("l_orderkey", "l_linenumber", "red", "green", "blue")
 
 
 @_query(_PX + f"SELECT scene, frame, v // 4 AS tv, u // 4 AS tu, {_r('avg(d)', 'mean_d')}, {_r('min(d)', 'min_d')}, {_r('max(d)', 'max_d')}, count(*) FILTER (valid) AS n_valid FROM px GROUP BY ALL")
@@ -268,19 +286,23 @@ def resample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.resample_nearest(pixels(spark, sf_dir), 8, 6).select("scene", "frame", "tv", "tu", r4("d", "d"))
 
 
-@_query(_PX + """, a AS (SELECT scene, frame, v, u, conf > 0.99 AS accepted, rank() OVER (PARTITION BY scene, frame ORDER BY conf DESC) AS k,
-count(*) FILTER (conf > 0.99) OVER (PARTITION BY scene, frame) AS n FROM px)
-SELECT scene, frame, v, u, CASE WHEN n < 10 THEN k <= 6 ELSE accepted END AS accepted FROM a""")
+@_query(_PX + _EDGES + """, t AS (SELECT scene, max(frame) + 1 AS n FROM fr GROUP BY scene),
+ch AS (SELECT fr.scene, frame, c AS chunk FROM fr JOIN t USING (scene), range(1000) g(c) WHERE frame >= 10 * c AND frame < 10 * c + 16 AND c <= greatest(0, ceil((n - 16) / 10.0))),
+cf AS (SELECT scene, frame, chunk, v, u, CASE WHEN edge THEN 0 ELSE conf END AS conf FROM ed JOIN ch USING (scene, frame)),
+rk AS (SELECT *, rank() OVER (PARTITION BY scene, chunk, frame ORDER BY conf DESC) AS k, count(*) FILTER (conf > 0.9985) OVER (PARTITION BY scene, chunk) AS n FROM cf)
+SELECT scene, chunk, frame, v, u, CASE WHEN n < 10 THEN k <= 6 ELSE conf > 0.9985 END AS accepted FROM rk""")
 def topk_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = pixels(spark, sf_dir).withColumn("accepted", F.col("conf") > 0.99)
-    return masks.top_share(px).select("scene", "frame", "v", "u", "accepted")
+    """Accepted pixels after edges lose their confidence; chunks with hardly any take each frame's top tenth instead."""
+    px = masks.suppress(masks.edges(pixels(spark, sf_dir)))
+    px = sampling.assign_chunks(px, table=frames(spark, sf_dir)).withColumn("accepted", masks.above(F.col("conf"), 0.9985))
+    return masks.top_share(px).select("scene", "chunk", "frame", "v", "u", "accepted")
 
 
 def _chunk_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points as each chunk would see them: turned, scaled and moved by the chunk's number."""
-    px = sampling.assign_chunks(world(pixels(spark, sf_dir)))
+    px = sampling.assign_chunks(world(pixels(spark, sf_dir)), table=frames(spark, sf_dir))
     s, k = 1 + 0.1 * F.col("chunk"), F.col("chunk") * 0.3
-    px = px.withColumn("accepted", F.col("conf") > 0.1)
+    px = px.withColumns({"accepted": F.col("conf") > 0.1, **{f"world_{c}": F.col(c) for c in "xyz"}})
     return px.withColumns({"x": s * (F.cos(k) * F.col("x") - F.sin(k) * F.col("y")) + F.col("chunk"), "y": s * (F.sin(k) * F.col("x") + F.cos(k) * F.col("y")), "z": s * F.col("z") - F.col("chunk")})
 
 
@@ -299,29 +321,50 @@ def overlap_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("scene", "chunk", "n", r4("msx", "mean_source_x"), r4("mtx", "mean_target_x"), r4("h00", "h00"))
 
 
-@_query()
+def _expected(chunk: Column) -> list[Column]:
+    """The planted similarity from a chunk to the one before, as twelve numbers.
+
+    Chunk c holds (1 + 0.1 c) times the points turned by 0.3 c about z, moved by (c, 0, -c).
+    """
+    s, t = (1 + 0.1 * (chunk - 1)) / (1 + 0.1 * chunk), F.lit(-0.3)
+    rows = [[s * F.cos(t), -s * F.sin(t), F.lit(0.0)], [s * F.sin(t), s * F.cos(t), F.lit(0.0)], [F.lit(0.0), F.lit(0.0), s]]
+    moved = [chunk * 1.0, F.lit(0.0), chunk * -1.0]
+    at = [chunk - 1, F.lit(0.0), 1 - chunk]
+    return [x for i in range(3) for x in (*rows[i], at[i] - sum((rows[i][j] * moved[j] for j in (1, 2)), rows[i][0] * moved[0]))]
+
+
+@_query(_PAIRS + "SELECT scene, chunk, n, 0::BIGINT AS thousandths_off FROM mo")
 def sim3_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Common pixels of each chunk, and how far its similarity is from the planted one, in whole thousandths."""
     steps = align.sim3(align.overlap_moments(align.overlap_pairs(_chunk_points(spark, sf_dir))))
-    return steps.select("scene", "chunk", "n", *[r4(F.col("m")[i], f"m{i}") for i in range(12)])
+    planted = [F.abs(F.col("m")[i] - x) for i, x in enumerate(_expected(F.col("chunk")))]
+    return steps.select("scene", "chunk", "n", F.floor(F.greatest(*planted) * 1000).cast("long").alias("thousandths_off"))
 
 
-@_query(_CHUNKS + f", one AS (SELECT scene, frame, chunk FROM ch WHERE chunk = 0 OR pos >= 6) SELECT scene, frame, v, u, chunk, {_r('x', 'x')}, {_r('y', 'y')}, {_r('z', 'z')} FROM w JOIN one USING (scene, frame)")
+@_query(_CHUNKS + ", one AS (SELECT scene, frame, chunk FROM ch WHERE chunk = 0 OR pos >= 6) SELECT scene, frame, v, u, chunk, 0::BIGINT AS thousandths_off FROM w JOIN one USING (scene, frame)")
 def trajectory_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks in frames of their own, aligned by their overlaps: the world's points come back."""
+    """Chunks in frames of their own, aligned by their overlaps, and how far each point is from where it was in the
+    world before it was moved with its chunk, in whole thousandths."""
     points = _chunk_points(spark, sf_dir)
     steps = align.sim3(align.overlap_moments(align.overlap_pairs(points)))
     placed = align.compose(steps, sampling.assign_chunks(frames(spark, sf_dir).drop("e")))
     kept = sampling.drop_overlap(points).join(placed, ["scene", "chunk"])
-    x, y, z = geo.transform(F.col("m"), F.col("x"), F.col("y"), F.col("z"))
-    return kept.select("scene", "frame", "v", "u", "chunk", r4(x, "x"), r4(y, "y"), r4(z, "z"))
+    moved = geo.transform(F.col("m"), F.col("x"), F.col("y"), F.col("z"))
+    off = F.greatest(*[F.abs(a - F.col(f"world_{c}")) for a, c in zip(moved, "xyz", strict=True)])
+    return kept.select("scene", "frame", "v", "u", "chunk", F.floor(off * 1000).cast("long").alias("thousandths_off"))
 
 
-@_query()
+@_query("""WITH r AS (SELECT label AS scene, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, embedding[1:9]::DOUBLE[] AS e FROM embeddings),
+n AS (SELECT scene, frame, [e[i] / sqrt(e[(i - 1) // 3 * 3 + 1] ** 2 + e[(i - 1) // 3 * 3 + 2] ** 2 + e[(i - 1) // 3 * 3 + 3] ** 2) for i in range(1, 10)] AS e FROM r),
+d AS (SELECT scene, frame, greatest(abs(e[1] * e[4] + e[2] * e[5] + e[3] * e[6]), abs(e[1] * e[7] + e[2] * e[8] + e[3] * e[9]), abs(e[4] * e[7] + e[5] * e[8] + e[6] * e[9])) AS residual FROM n)
+SELECT scene, frame, round(residual, 4) + 0.0 AS residual, residual > 1e-6 AS repaired, 1::DOUBLE AS det, true AS proper FROM d""")
 def rotation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far nine numbers are from a rotation, and that the repaired ones are one."""
     r = frames(spark, sf_dir).select("scene", "frame", F.transform(F.slice("e", 1, 9), lambda x: x.cast("double")).alias("r"))
-    fixed = align.repair_rotations(r)
-    det = sum((F.col("rotation")[i] * (F.col("rotation")[3 + (i + 1) % 3] * F.col("rotation")[6 + (i + 2) % 3] - F.col("rotation")[3 + (i + 2) % 3] * F.col("rotation")[6 + (i + 1) % 3]) for i in range(3)), F.lit(0.0))
-    return fixed.select("scene", "frame", r4("residual", "residual"), "repaired", r4(det, "det"))
+    fixed, m = align.repair_rotations(r), lambda i, j: F.col("rotation")[3 * i + j]
+    det = sum((m(0, i) * (m(1, (i + 1) % 3) * m(2, (i + 2) % 3) - m(1, (i + 2) % 3) * m(2, (i + 1) % 3)) for i in range(3)), F.lit(0.0))
+    off = F.greatest(*[F.abs(sum((m(i, k) * m(j, k) for k in (1, 2)), m(i, 0) * m(j, 0)) - float(i == j)) for i in range(3) for j in range(i, 3)])
+    return fixed.select("scene", "frame", r4("residual", "residual"), "repaired", r4(det, "det"), (off < 1e-9).alias("proper"))
 
 
 _LONG = "WITH fr AS (SELECT label AS scene, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, embedding AS e FROM embeddings), l AS (SELECT scene, frame, i::INT AS i, e[i + 1]::DOUBLE AS x, e[1]::DOUBLE AS s FROM fr, range(64) t(i)) "
@@ -422,6 +465,6 @@ def _first_frames(rows: pd.DataFrame) -> pd.DataFrame:
 @_query(_CHUNKS + f", s AS (SELECT scene, chunk, frame, e[1]::DOUBLE AS x FROM ch JOIN fr USING (scene, frame)) SELECT scene, chunk, frame, {_r('x - avg(x) OVER (PARTITION BY scene, chunk)', 'score')} FROM s")
 def chunk_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scorer of the user's that sees all frames of a chunk at once."""
-    chunked = sampling.assign_chunks(frames(spark, sf_dir)).withColumnRenamed("e", "input_e")
+    chunked = sampling.assign_chunks(frames(spark, sf_dir), table=frames(spark, sf_dir)).withColumnRenamed("e", "input_e")
     out = scoring.score_chunks(chunked, _first_frames, "scene long, chunk long, frame long, score double")
     return out.select("scene", "chunk", "frame", r4("score", "score"))

@@ -54,8 +54,13 @@ def read_conditions(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def with_conditions(frames: DataFrame, priors: dict[str, DataFrame]) -> DataFrame:
-    """Frames with the per-frame priors they have, by source frame number; has_<name> tells which those are."""
-    for name in ("poses", "intrinsics"):
+    """Frames with the per-frame priors they have, by source frame number; has_<name> tells which those are.
+
+    Depths are a table of pixels: frames get the flag here, pixels the values by ``with_depths``.
+    """
+    for name in PRIORS:
+        if name == "depths" and name in priors:  # by pixel: the frames that have any
+            priors = priors | {name: priors[name].select("scene", "frame").distinct()}
         flag = f"has_{name}"
         if name in priors:
             frames = frames.join(priors[name].withColumn(flag, F.lit(True)), ["scene", "frame"], "left")
@@ -84,9 +89,9 @@ def read_capacity(spark: SparkSession, path: str) -> DataFrame:
 def capacity_metrics(trials: DataFrame, total_mb: float, model_mb: float) -> DataFrame:
     """The last trial that succeeded for each model and resolution, with its ratios; null where none did.
 
-    Trials: model, resolution, tiles_per_image, n, ok, peak_mb, time_s.
+    Of several trials of one size the one with the largest peak, then time, counts. Trials: model, resolution, tiles_per_image, n, ok, peak_mb, time_s.
     """
-    best = trials.groupBy("model", "resolution", "tiles_per_image").agg(F.max_by(F.struct("n", "peak_mb", "time_s"), F.when(F.col("ok"), F.col("n"))).alias("b"))
+    best = trials.groupBy("model", "resolution", "tiles_per_image").agg(F.max(F.when(F.col("ok"), F.struct("n", "peak_mb", "time_s"))).alias("b"))
     n, peak, time = F.col("b.n"), F.col("b.peak_mb"), F.col("b.time_s")
     return best.select(
         "model", "resolution", n.alias("max_n"), (n * F.col("tiles_per_image")).alias("total_tiles"), (100 * peak / total_mb).alias("util_pct"),

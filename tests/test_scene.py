@@ -5,11 +5,13 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from scenelake.operators import align, sampling
-from scenelake.plans import scene
+from scenelake.functions import geometry as geo
+from scenelake.operators import align, masks, sampling, scoring
+from scenelake.plans import scene, views
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("embeddings", "events", "lineitem")
+TABLES = ("embeddings", "events", "lineitem", "nation", "part")
+QUERIES, SQL = scene.QUERIES | views.QUERIES, scene.SQL | views.SQL
 
 
 def rows(frame: pd.DataFrame) -> pd.DataFrame:
@@ -17,18 +19,18 @@ def rows(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.sort_values(list(frame.columns)).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", sorted(scene.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = rows(con.execute(scene.SQL[name]).df())
-    got = rows(scene.QUERIES[name](spark, SF).toPandas())
+    want = rows(con.execute(SQL[name]).df())
+    got = rows(QUERIES[name](spark, SF).toPandas())
     assert list(got.columns) == list(want.columns)
     assert len(got) == len(want) > 0
     for c in got.columns:
         if got[c].dtype == float or want[c].dtype == float:
-            assert np.allclose(got[c].astype(float), want[c].astype(float), atol=1.01e-4), c
+            assert np.allclose(got[c].astype(float), want[c].astype(float), atol=1.01e-4, equal_nan=True), c
         else:
             assert (got[c] == want[c]).all(), c
 
@@ -61,3 +63,33 @@ def test_planted_similarity(spark):
 def test_rotations_are_proper(spark):
     out = scene.rotation_repair(spark, SF).toPandas()
     assert (out["det"] == 1).all()
+
+
+def test_ordered_scoring_rejects_unknown_priors(spark):
+    with pytest.raises(ValueError):
+        scoring.score_in_order(spark.range(0), lambda rows: rows, "scene long", ("colour",))
+
+
+def test_sql_functions_equal_the_operators(spark):
+    sampling.register_functions(spark)
+    frames = spark.range(45).selectExpr("0L AS scene", "id AS frame")
+    frames.createOrReplaceTempView("few_frames")
+    got = spark.sql("SELECT frame, c.chunk, c.pos FROM few_frames, LATERAL chunk_ids(frame, 45, 16, 6) c").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, sampling.assign_chunks(frames).select("frame", "chunk", "pos").collect()))
+    grid = spark.sql("SELECT * FROM pixel_grid(2, 3)").collect()
+    assert sorted(map(tuple, grid)) == sorted(map(tuple, sampling.pixel_grid(spark.range(1), 2, 3).select("v", "u", "px", "py", "pw").collect()))
+
+
+def test_rotation_repair_and_inverse_take_nulls(spark):
+    eye = [float(i % 4 == 0) for i in range(9)]
+    df = spark.createDataFrame([(0, eye), (1, None), (2, [1.0]), (3, [float("nan")] * 9)], "id long, r array<double>")
+    got = {r["id"]: r for r in align.repair_rotations(df).collect()}
+    assert got[0]["rotation"] == eye and not got[0]["repaired"]
+    assert all(got[i]["rotation"] is None and got[i]["residual"] is None and not got[i]["repaired"] for i in (1, 2, 3))
+    m = spark.createDataFrame([(0, np.diag([2.0, 4.0, 1.0, 1.0]).ravel().tolist()), (1, None), (2, [0.0] * 16), (3, [float("inf")] * 16)], "id long, m array<double>")
+    out = {r["id"]: r["i"] for r in m.select("id", geo.inverse4("m").alias("i")).collect()}
+    assert out[0][0] == 0.5 and out[0][5] == 0.25 and out[1] is out[2] is out[3] is None
+
+
+def test_labels_name_frames():
+    assert [masks.frame_of_label(x) for x in ("3: a.png", "All", None, "x: 3", " 12 ", "")] == [3, None, None, None, 12, None]
