@@ -259,6 +259,21 @@ def span_hashes(h: np.ndarray, width: int, base: int = 0x9E3779B97F4A7C15) -> np
         have *= 2
 
 
+def stable_order(h: np.ndarray) -> np.ndarray:
+    """The stable order of unsigned 64-bit numbers: their leading bits and their places are sorted as one number.
+
+    Where numbers differ in trailing bits only, which is rare for hashes, they are sorted in full.
+    """
+    if not len(h):
+        return np.zeros(0, np.int64)
+    bits = np.uint64(len(h).bit_length())
+    packed = h << np.uint64(64 - max(1, int(h.max()).bit_length())) >> bits << bits | np.arange(len(h), dtype=np.uint64)
+    packed.sort()
+    order = (packed & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    in_order = h[order]
+    return order if (in_order[1:] >= in_order[:-1]).all() else np.argsort(h, kind="stable")
+
+
 def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 

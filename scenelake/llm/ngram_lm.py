@@ -1,16 +1,20 @@
-"""Interpolated modified Kneser-Ney language model of word pairs, counted in Spark and read as mapped sorted arrays.
-
-A model is a folder of plain little-endian arrays:
-
-* ``word-B.u64``, ``word-B.count``: hashes of the training tokens whose top bits are B, sorted, and their counts. A
-  word's number is its place among all of them.
-* ``pair-B.u64``, ``pair-B.count``: mixed numbers of word pairs, (previous << 32 | next) through a bijection of 64-bit
-  values, by their top bits, sorted, and their counts. The mixing deals pairs evenly however frequent a word is.
-* ``stat-B.u32``: for each word, how many pairs it begins that occur once, twice and more, and how many it ends.
-
-Counting is two shuffles, of word counts and of blocks of sorted pair counts; tasks add up what they can before. Hashes
-of words are 64 bits wide; words of the same hash would count as one. Workers map the arrays of a shared file system and
-look sorted keys up in them, so a machine's workers share the pages; a store that is not mounted is read into memory.
+"""Interpolated modified Kneser-Ney language model, counted in Spark and read as mapped sorted arrays of hashes.
+
+A model is a folder of files of plain little-endian arrays, each file a range of hashes:
+
+* ``word-B``: sorted 64-bit hashes of the training tokens and their counts. A word's number is its place among all.
+* ``top-B`` (order 3): sorted hashes of word triples, 48 bits each, and how often each occurs; B is a range of the
+  hashes of their first two words, so all that follows a context is in one file.
+* ``context-B`` (order 3): for the contexts that occur more than once, how often, and how many words follow them once,
+  twice and more often. A context that occurs once needs no row: its pair is known, and one word follows it once.
+* ``pair-B``: sorted hashes of word pairs and their counts: how many words stand before the pair (order 3), or how often
+  it occurs (order 2).
+* ``stat-B``: for each word the same about the pairs that it begins, and how many words stand before it.
+
+Texts are read twice: to count words, and to turn them into word numbers, which are stored. Counting then is a shuffle
+of blocks of sorted grams for each order and one of word statistics; tasks add up what they can before. Word pairs are
+exact, being mixed by a bijection of their two numbers; triples and words are 64-bit hashes. Counts have no upper limit:
+those of 255 and more stand in lists of their own. Workers map the files, so a machine's workers share the pages.
 """
 
 from __future__ import annotations
@@ -21,20 +25,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyarrow import fs as pafs
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import WordHashes, bounded_batches, keyed_texts, mixed, partitions, remainder, scratch_path, slices, unkey
-from scenelake.llm.token_store import _opened
+from scenelake.llm.common import NULL_ID, WordHashes, bounded_batches, keyed_texts, mapped_arrays, mixed, partitions, remainder, remove, saved, scratch_path, slices, stable_order, unkey, write_arrays
 
-#: Pairs that a task holds before it adds them up, and that a file of pairs holds about.
+#: Tokens that a task holds before it adds up their grams, and that a file holds about.
 HELD = 3_000_000
 #: Words in a block of statistics.
 BLOCK = 1 << 18
 END = b"\n"  # no word holds a line feed
-_A, _B = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+#: The number of a word that training has not seen.
+UNKNOWN = 2**32 - 1
+_A, _B, _C = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD1342543DE82EF95
+_KINDS = ("n1", "n2", "n3", "total")
 
 
 def unmixed(h: np.ndarray) -> np.ndarray:
@@ -45,68 +49,128 @@ def unmixed(h: np.ndarray) -> np.ndarray:
     return undo(h, 30)
 
 
-def _write(uri: str, name: str, array: np.ndarray) -> None:
-    fs, root = _opened(uri)
-    own = f"{root}/_{name}-{TaskContext.get().taskAttemptId()}.tmp"
-    with fs.open_output_stream(own) as out:
-        out.write(np.ascontiguousarray(array).data)
-    fs.move(own, f"{root}/{name}")
-
-
-def _mapped(uri: str, name: str, kind: str) -> np.ndarray:
-    fs, root = _opened(uri)
-    path = f"{root}/{name}"
-    info = fs.get_file_info(path)
-    if info.type == pafs.FileType.NotFound or not info.size:
-        return np.zeros(0, kind)
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, kind, "r")
-    with fs.open_input_file(path) as source:
-        return np.frombuffer(source.read(), kind)
-
-
-class Sorted:
-    """Sorted 64-bit keys with counts in 2**bits files by their top bits."""
-
-    def __init__(self, uri: str, kind: str, bits: int):
-        self.uri, self.kind, self.bits = uri, kind, bits
-        self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def file(self, b: int) -> tuple[np.ndarray, np.ndarray]:
-        if b not in self.open:
-            self.open[b] = _mapped(self.uri, f"{self.kind}-{b:05d}.u64", "<u8"), _mapped(self.uri, f"{self.kind}-{b:05d}.count", "<u4")
-        return self.open[b]
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(file, place or -1, count or 0) of keys, which must be sorted."""
-        files = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
-        place, count = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-        cuts = np.searchsorted(files, np.arange((1 << self.bits) + 1))
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            some, (have, counts) = slice(cuts[b], cuts[b + 1]), self.file(b)
-            if len(have):
-                at = np.minimum(np.searchsorted(have, keys[some]), len(have) - 1)
-                hit = have[at] == keys[some]
-                place[some], count[some] = np.where(hit, at, -1), np.where(hit, counts[at], 0)
-        return files, place, count
+def _power(n: float) -> int:
+    return max(0, int(np.ceil(np.log2(max(1.0, n)))))
+
+
+def _file(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(1) >> np.uint64(63 - bits)).astype(np.int64)
+
+
+def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, number of each key among them)."""
+    order = stable_order(keys)
+    in_order = keys[order]
+    new = np.r_[True, in_order[1:] != in_order[:-1]] if len(keys) else np.zeros(0, bool)
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return in_order[new], number
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = stable_order(keys)
+    keys, counts = keys[order], counts[order].astype(np.int64)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+
+
+def _squeezed(*arrays: np.ndarray) -> bytes:
+    """Whole numbers, byte by byte, compressed; the first array is sorted and stored as differences."""
+    parts = [np.diff(arrays[0], prepend=np.uint64(0)).astype("<u8"), *(np.asarray(a).astype("<u8") for a in arrays[1:])]
+    head = np.array([len(parts), *(len(a) for a in parts)], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.view(np.uint8).reshape(-1, 8).T.tobytes() for a in parts))
+
+
+def _loosened(blob: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    sizes, at, out = np.frombuffer(raw, "<i8", n, 8).tolist(), 8 + 8 * n, []
+    for size in sizes:
+        out.append(np.frombuffer(raw, np.uint8, 8 * size, at).reshape(8, size).T.copy().view("<u8").reshape(-1))
+        at += 8 * size
+    out[0] = np.cumsum(out[0], dtype=np.uint64)
+    return out
+
+
+def _counted(name: str, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts as bytes; 255 stands for what is listed apart."""
+    big = np.flatnonzero(counts >= 255)
+    return {name: np.minimum(counts, 255).astype(np.uint8), f"{name}_at": big.astype("<u4"), f"{name}_big": counts[big].astype("<u8")}
+
+
+def _counts(arrays: dict[str, np.ndarray], name: str, places: np.ndarray) -> np.ndarray:
+    out = arrays[name][places].astype(np.int64)
+    big = np.flatnonzero(out == 255)
+    if len(big):
+        out[big] = arrays[f"{name}_big"][np.searchsorted(arrays[f"{name}_at"], places[big])]
+    return out
+
+
+def _keys48(composite: np.ndarray) -> dict[str, np.ndarray]:
+    return {"high": (composite >> np.uint64(16) & np.uint64(0xFFFFFFFF)).astype("<u4"), "low": (composite & np.uint64(0xFFFF)).astype("<u2")}
+
+
+class Grams:
+    """Sorted 48-bit hashes with counts in files; a key is its file's number and 48 bits behind it."""
+
+    def __init__(self, uri: str, kind: str, names: tuple[str, ...]):
+        self.uri, self.kind, self.names = uri, kind, names
+        self.open: dict[int, dict] = {}
+
+    def find(self, keys: np.ndarray) -> dict[str, np.ndarray]:
+        """Counts, 0 where there is none, of keys in ascending order."""
+        out = {n: np.zeros(len(keys), np.int64) for n in self.names}
+        files = (keys >> np.uint64(48)).astype(np.int64)
+        cuts = np.r_[0, np.flatnonzero(np.diff(files)) + 1, len(files)]
+        for a, b in itertools.pairwise(cuts.tolist()):
+            if a == b:
+                continue
+            f = int(files[a])
+            if f not in self.open:
+                self.open[f] = mapped_arrays(self.uri, f"{self.kind}-{f:05d}") or {}
+            have = self.open[f]
+            if not have or not len(have["high"]):
+                continue
+            wanted = _keys48(keys[a:b])
+            at, place, last = np.searchsorted(have["high"], wanted["high"]), np.full(b - a, -1, np.int64), len(have["high"]) - 1
+            going = np.arange(b - a)
+            while len(going):  # leading halves that agree are few
+                here = np.minimum(at[going], last)
+                same = (have["high"][here] == wanted["high"][going]) & (at[going] <= last)
+                hit = same & (have["low"][here] == wanted["low"][going])
+                place[going[hit]] = here[hit]
+                going = going[same & ~hit]
+                at[going] += 1
+            found = np.flatnonzero(place >= 0)
+            for n in self.names:
+                out[n][a + found] = _counts(have, n, place[found])
+        return out
 
 
 class Vocabulary:
     """Numbers and counts of words by their hashes."""
 
     def __init__(self, uri: str, sizes: list[int]):
-        self.words = Sorted(uri, "word", (len(sizes) - 1).bit_length())
-        self.first = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+        self.uri, self.bits, self.first = uri, (len(sizes) - 1).bit_length(), np.r_[0, np.cumsum(sizes)].astype(np.int64)
+        self.open: dict[int, dict] = {}
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number or -1, count or 0) of hashes in any order."""
-        unique, back = np.unique(hashes, return_inverse=True)
-        files, place, count = self.words.find(unique)
-        return np.where(place < 0, -1, self.first[files] + place)[back], count[back]
-
-
-def _power(n: float) -> int:
-    return max(0, int(np.ceil(np.log2(max(1.0, n)))))
+        """(number or UNKNOWN, count or 0) of hashes in any order."""
+        unique, back = _unique(hashes)
+        number, count = np.full(len(unique), UNKNOWN, np.int64), np.zeros(len(unique), np.int64)
+        files = _file(unique, self.bits)
+        for a, b in itertools.pairwise([0, *(np.flatnonzero(np.diff(files)) + 1).tolist(), len(files)]):
+            if a == b:
+                continue
+            f = int(files[a])
+            if f not in self.open:
+                self.open[f] = mapped_arrays(self.uri, f"word-{f:05d}") or {}
+            if self.open[f]:
+                have = self.open[f]["hash"]
+                at = np.minimum(np.searchsorted(have, unique[a:b]), len(have) - 1)
+                hit = np.flatnonzero(have[at] == unique[a:b])
+                number[a + hit], count[a + hit] = self.first[f] + at[hit], self.open[f]["count"][at[hit]]
+        return number[back], count[back]
 
 
 def _token_hashes(bodies: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -116,31 +180,24 @@ def _token_hashes(bodies: list[bytes], known: WordHashes) -> tuple[np.ndarray, n
     return known.of(list(itertools.chain.from_iterable((*x, END) for x in lists))), sizes
 
 
-def _pairs(numbers: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
-    """Mixed pairs of each token with the one before, ``start`` before the first; -1 counts as a number of its own."""
-    before = np.r_[start, numbers[:-1]]
-    before[np.r_[0, np.cumsum(sizes)[:-1]]] = start
-    return mixed(before.astype(np.uint64) << np.uint64(32) | (numbers.astype(np.uint64) & np.uint64(0xFFFFFFFF)))
+def _before(numbers: np.ndarray, sizes: np.ndarray, start: int, steps: int) -> np.ndarray:
+    """The number so many steps before each token of its text, ``start`` before the first."""
+    out = np.full(len(numbers), start, np.uint64)
+    out[steps:] = numbers[: max(0, len(numbers) - steps)]
+    first = np.r_[0, np.cumsum(sizes)[:-1]]
+    for i in range(steps):
+        out[(first + i)[i < sizes]] = start
+    return out
 
 
-def _squeezed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte by byte, and counts, compressed."""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
-    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(keys)).tobytes() + steps.T.tobytes() + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mixed(a << np.uint64(32) | b)
 
 
-def _loosened(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    steps = np.frombuffer(raw, np.uint8, 8 * n, 8).reshape(8, n).T.copy().view("<u8")[:, 0]
-    return np.cumsum(steps, dtype=np.uint64), np.frombuffer(raw, np.uint8, 4 * n, 8 + 8 * n).reshape(4, n).T.copy().view("<u4")[:, 0]
-
-
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order].astype(np.int64)
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+def _triples(context: np.ndarray, numbers: np.ndarray, bits: int) -> np.ndarray:
+    """Keys of triples: the file of the context, and 48 bits of a hash of all three."""
+    h = mixed(context * np.uint64(_C) + numbers)
+    return _file(context, bits).astype(np.uint64) << np.uint64(48) | h >> np.uint64(16)
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
@@ -157,61 +214,65 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[li
         yield last, [list(c) for c in zip(*held, strict=True)]
 
 
+def _blobs(keys: np.ndarray, bits: int, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(b, blob) of sorted keys and what belongs to them, by file."""
+    cuts = np.r_[0, np.flatnonzero(np.diff(_file(keys, bits))) + 1, len(keys)]
+    for a, b in itertools.pairwise(cuts.tolist()):
+        if b > a:
+            yield pa.RecordBatch.from_arrays([pa.array([int(_file(keys[a : a + 1], bits)[0])]), pa.array([_squeezed(*(x[a:b] for x in (keys, *more)))], pa.binary())], names=["b", "blob"])
+
+
+def discounts(n: list[int]) -> np.ndarray:
+    """D(0), D(1), D(2) and D(3 or more) from how many grams have counts 1 to 4."""
+    n1, n2, n3, n4 = (float(x) for x in n)
+    y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+    d = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+    return np.array([0.0, *[min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d, strict=True)]])
+
+
 class Model:
     """What the driver and the closures know of a model: a few numbers and the sizes of its files."""
 
-    def __init__(self, uri: str):
-        self.uri = uri
+    def __init__(self, uri: str, order: int):
+        self.uri, self.order = uri, order
 
-    def tables(self) -> tuple[Vocabulary, Sorted]:
-        return Vocabulary(self.uri, self.sizes), Sorted(self.uri, "pair", self.pair_bits)
 
-    def discounts(self, n: list[int]) -> np.ndarray:
-        """D(0), D(1), D(2) and D(3 or more) from how many have counts 1 to 4."""
-        n1, n2, n3, n4 = (float(x) for x in n)
-        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
-        d = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-        return np.array([0.0, *[min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d, strict=True)]])
+def _sums(rows: DataFrame, names: list[str]) -> dict[str, int]:
+    return rows.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first().asDict()
 
 
-def train(docs: DataFrame, divisor: int = 7, held: int = 2) -> Model:
-    """Counts the documents whose remainder is not ``held`` into a new model in the shared folder."""
-    spark: SparkSession = docs.sparkSession
-    bounded_batches(spark)
-    model = Model(scratch_path(spark, "ngram-model"))
-    uri, bodies = model.uri, keyed_texts(docs.where(remainder(divisor) != held))
-    fs, root = _opened(uri)
-    fs.create_dir(root, recursive=True)
-
-    bits = min(16, _power(partitions(spark)))
+def _count_words(bodies: DataFrame, model: Model) -> None:
+    """Writes the word files and sets sizes, n_words and n_tokens."""
+    bits, uri = min(16, _power(partitions(bodies.sparkSession))), model.uri
 
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held_, n = WordHashes(), [], 0
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, n = WordHashes(), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys, counts = np.unique(np.concatenate(held_), return_counts=True)
+            h = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            keys, counts = h[first], np.diff(np.r_[first, len(h)])
             for i in range(0, len(keys), 100_000):
                 some = keys[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array((some >> np.uint64(1) >> np.uint64(63 - bits)).astype(np.int64)), pa.array(some.view(np.int64)), pa.array(counts[i : i + 100_000])], names=["b", "h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(_file(some, bits)), pa.array(some.view(np.int64)), pa.array(counts[i : i + 100_000])], names=["b", "h", "n"])
 
         for batch in batches:
             for some in slices(batch):
                 hashes, _ = _token_hashes(some.column(1).to_pylist(), known)
-                held_.append(hashes)
+                held.append(hashes)
                 n += len(hashes)
                 if n >= 2 * HELD:
                     yield from flush()
-                    held_, n = [], 0
-        if held_:
+                    held, n = [], 0
+        if held:
             yield from flush()
 
-    def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def files() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             last, h, n = None, [], []
             for batch in batches:
                 b, hs, ns = (c.to_numpy() for c in batch.columns)
-                cuts = [0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)]
-                for i, j in itertools.pairwise(cuts):
+                for i, j in itertools.pairwise([0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)]):
                     if j > i:
                         if last is not None and b[i] != last:
                             yield last, np.concatenate(h), np.concatenate(n)
@@ -223,130 +284,266 @@ def train(docs: DataFrame, divisor: int = 7, held: int = 2) -> Model:
                 yield last, np.concatenate(h), np.concatenate(n)
 
         for b, h, n in files():
-            _write(uri, f"word-{b:05d}.u64", h.view("<u8"))
-            _write(uri, f"word-{b:05d}.count", np.minimum(n, 2**32 - 1).astype("<u4"))
+            order = np.argsort(h.view(np.uint64))
+            write_arrays(uri, f"word-{b:05d}", {"hash": h.view("<u8")[order], "count": n.astype("<u8")[order]})
             yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([len(h)]), pa.array([int(n.sum())])], names=["b", "words", "tokens"])
 
-    words = bodies.mapInArrow(count_words, "b long, h long, n long").groupBy("b", "h").agg(F.sum("n").alias("n"))
-    words = words.repartition("b").sortWithinPartitions("b", "h").mapInArrow(write_words, "b long, words long, tokens long").collect()
+    words = bodies.mapInArrow(count, "b long, h long, n long").groupBy("b", "h").agg(F.sum("n").alias("n"))
+    words = words.repartition("b").sortWithinPartitions("b").mapInArrow(write, "b long, words long, tokens long").collect()
     sizes = dict.fromkeys(range(1 << bits), 0) | {r["b"]: r["words"] for r in words}
     model.sizes = [sizes[b] for b in range(1 << bits)]
     model.n_words, model.n_tokens = sum(model.sizes), sum(r["tokens"] for r in words)
-    if model.n_words >= 2**32 - 2:
+    if model.n_words >= UNKNOWN - 1:
         raise ValueError("the vocabulary needs wider numbers")
-    start = model.n_words  # the number before the first word
-    model.pair_bits = pair_bits = min(24, _power(model.n_tokens / HELD))
-    vocabulary = lambda: Vocabulary(uri, model.sizes)
+    model.bits = min(16, _power(model.n_tokens / HELD))
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table, held_, n = WordHashes(), vocabulary(), [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            keys, counts = np.unique(np.concatenate(held_), return_counts=True)
-            b = (keys >> np.uint64(1) >> np.uint64(63 - pair_bits)).astype(np.int64)
-            cuts = np.searchsorted(b, np.arange((1 << pair_bits) + 1))
-            for i in np.flatnonzero(np.diff(cuts)).tolist():
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([_squeezed(keys[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]])], pa.binary())], names=["b", "pairs"])
+def _numbered(docs: DataFrame, model: Model, divisor: int, held: int) -> tuple[DataFrame, str]:
+    """(k, held_out, n_tokens, n_known, base_score, numbers) of every document, stored; numbers are 32-bit."""
+    uri, sizes_, n, v = model.uri, model.sizes, model.n_tokens, model.n_words
 
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, table = WordHashes(), Vocabulary(uri, sizes_)
         for batch in batches:
             for some in slices(batch):
                 hashes, sizes = _token_hashes(some.column(1).to_pylist(), known)
-                held_.append(_pairs(table.find(hashes)[0], sizes, start))
-                n += len(hashes)
-                if n >= HELD:
-                    yield from flush()
-                    held_, n = [], 0
-        if held_:
+                numbers, counts = table.find(hashes)
+                first = np.r_[0, np.cumsum(sizes)[:-1]]
+                raw, stops = memoryview(numbers.astype("<u4")).cast("B"), (4 * np.cumsum(sizes)).tolist()
+                lists = pa.array([bytes(raw[b - 4 * m : b]) for b, m in zip(stops, sizes.tolist(), strict=True)], pa.binary())
+                total = lambda x: pa.array(np.add.reduceat(x, first))  # noqa: B023, E731
+                base = np.log10((counts + 1.0) / (n + v + 1.0))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(sizes), total((counts > 0).astype(np.int64)), total(base), lists], names=["k", "held_out", "n_tokens", "n_known", "base_score", "numbers"])
+
+    rows = keyed_texts(docs).withColumn("held_out", remainder_of_key(divisor) == held)
+    return saved(rows.mapInArrow(number, "k long, held_out boolean, n_tokens long, n_known long, base_score double, numbers binary"), "numbers")
+
+
+def remainder_of_key(divisor: int) -> Column:
+    """remainder() of an id whose null is replaced."""
+    return F.crc32(F.when(F.col("k") == NULL_ID, F.lit("")).otherwise(F.col("k").cast("string")).cast("binary")) % divisor
+
+
+def _batches_of_numbers(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, numbers, sizes) of bounded parts of batches with a column of numbers."""
+    for batch in batches:
+        for some in slices(batch, batch.schema.names[at]):
+            raw = some.column(at).to_pylist()
+            yield some, np.frombuffer(b"".join(raw), "<u4").astype(np.uint64), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+
+
+def _write_top(rows: DataFrame, model: Model) -> tuple[DataFrame, list[str]]:
+    """Counts triples and writes top and context files; returns (b, blob) of the pairs that end them, by pair."""
+    uri, start, bits = model.uri, model.n_words, model.bits
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            context, numbers = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            contexts, rank = _unique(context)
+            both = np.sort(rank.astype(np.uint64) << np.uint64(32) | numbers)
+            first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+            counts, both = np.diff(np.r_[first, len(both)]), both[first]
+            follow = np.searchsorted(both >> np.uint64(32), np.arange(len(contexts) + 1, dtype=np.uint64))
+            cuts = np.r_[0, np.flatnonzero(np.diff(_file(contexts, bits))) + 1, len(contexts)]
+            for a, b in itertools.pairwise(cuts.tolist()):
+                if b > a:
+                    i, j = follow[a], follow[b]
+                    blob = _squeezed(contexts[a:b], np.diff(follow[a : b + 1]), both[i:j] & np.uint64(0xFFFFFFFF), counts[i:j])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(_file(contexts[a : a + 1], bits)[0])]), pa.array([blob], pa.binary())], names=["b", "blob"])
+
+        for _, numbers, sizes in _batches_of_numbers(batches, 0):
+            one, two = (_before(numbers, sizes, start, i) for i in (1, 2))
+            held.append((_pairs(two, one), numbers))
+            n += len(numbers)
+            if n >= HELD:
+                yield from flush()
+                held, n = [], 0
+        if held:
             yield from flush()
 
-    def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, (_, blobs) in _by_bucket(batches):
-            parts = [_loosened(x) for x in blobs]
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f, (_, blobs) in _by_bucket(batches):
+            context, numbers, counts = [], [], []
+            for keys, follow, w, c in map(_loosened, blobs):
+                context.append(np.repeat(keys, follow.astype(np.int64)))
+                numbers.append(w)
+                counts.append(c)
+            contexts, rank = _unique(np.concatenate(context))
+            both, counts = _summed(rank.astype(np.uint64) << np.uint64(32) | np.concatenate(numbers), np.concatenate(counts))
+            rank, numbers = (both >> np.uint64(32)).astype(np.int64), both & np.uint64(0xFFFFFFFF)
+            keys = _triples(contexts[rank], numbers, bits)
+            order = stable_order(keys)
+            write_arrays(uri, f"top-{f:05d}", _keys48(keys[order]) | _counted("count", counts[order]))
+            stats = {"total": np.bincount(rank, counts, len(contexts)).astype(np.int64)}
+            stats |= {f"n{i}": np.bincount(rank, np.minimum(counts, 3) == i, len(contexts)).astype(np.int64) for i in (1, 2, 3)}
+            middle = unmixed(contexts)
+            kept = np.flatnonzero((stats["total"] > 1) | (middle & np.uint64(0xFFFFFFFF) == start))
+            columns = {k: x for n in _KINDS for k, x in _counted(n, stats[n][kept]).items()}
+            write_arrays(uri, f"context-{f:05d}", _keys48(_composite(contexts[kept], bits)) | columns)
+            made = [np.count_nonzero(counts == i) for i in (1, 2, 3, 4)]
+            ends = _pairs(middle[rank] & np.uint64(0xFFFFFFFF), numbers)
+            ends, times = _summed(ends, np.ones(len(ends), np.int64))
+            for i, row in enumerate(_blobs(ends, bits, times)):
+                yield pa.RecordBatch.from_arrays([*row.columns, *[pa.array([0 if i else int(x)]) for x in made]], names=["b", "blob", "n1", "n2", "n3", "n4"])
+
+    blobs = rows.select("numbers").mapInArrow(count, "b long, blob binary").repartition(1 << bits, "b").sortWithinPartitions("b")
+    pairs, path = saved(blobs.mapInArrow(write, "b long, blob binary, n1 long, n2 long, n3 long, n4 long"), "pairs")
+    found = _sums(pairs, ["n1", "n2", "n3", "n4"])
+    model.top_discounts = discounts([found[f"n{i}"] for i in (1, 2, 3, 4)])
+    return pairs.select("b", "blob"), [path]
+
+
+def _composite(h: np.ndarray, bits: int) -> np.ndarray:
+    """A hash's file and the 48 bits behind it."""
+    return _file(h, bits).astype(np.uint64) << np.uint64(48) | (h << np.uint64(bits)) >> np.uint64(16)
+
+
+def _raw_pairs(rows: DataFrame, model: Model) -> DataFrame:
+    """(b, blob) of all pairs as they occur."""
+    start, bits = model.n_words, model.bits
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for _, numbers, sizes in _batches_of_numbers(batches, 0):
+            held.append(_pairs(_before(numbers, sizes, start, 1), numbers))
+            n += len(numbers)
+            if n >= HELD:
+                yield from _blobs(*(lambda k, c: (k, bits, c))(*_summed(np.concatenate(held), np.ones(n, np.int64))))
+                held, n = [], 0
+        if held:
+            yield from _blobs(*(lambda k, c: (k, bits, c))(*_summed(np.concatenate(held), np.ones(n, np.int64))))
+
+    return rows.select("numbers").mapInArrow(count, "b long, blob binary")
+
+
+def _write_pairs(blobs: DataFrame, model: Model) -> None:
+    """Writes pair and statistics files and sets the discounts of pairs and words."""
+    uri, bits = model.uri, model.bits
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f, (_, found) in _by_bucket(batches):
+            parts = [_loosened(x) for x in found]
             keys, counts = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
-            _write(uri, f"pair-{b:05d}.u64", keys.astype("<u8"))
-            _write(uri, f"pair-{b:05d}.count", np.minimum(counts, 2**32 - 1).astype("<u4"))
+            write_arrays(uri, f"pair-{f:05d}", _keys48(_composite(keys, bits)) | _counted("count", counts))
             plain = unmixed(keys)
-            before, after = (plain >> np.uint64(32)).astype(np.int64), (plain & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            # rows: number * 4 + what is counted, of words before (pairs seen once, twice, more) and after (any)
-            rows, times = np.unique(np.r_[before * 4 + np.minimum(counts, 3) - 1, after * 4 + 3], return_counts=True)
-            block = rows // (4 * BLOCK)
-            cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
+            first, second = (plain >> np.uint64(32)).astype(np.int64), (plain & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            # rows: number * 5 + what is counted: pairs that a word begins, seen once, twice, more, and their sum; pairs it ends
+            rows, times = _summed(np.r_[first * 5 + np.minimum(counts, 3) - 1, first * 5 + 3, second * 5 + 4].astype(np.uint64), np.r_[np.ones(len(first), np.int64), counts, np.ones(len(first), np.int64)])
+            block = (rows // np.uint64(5 * BLOCK)).astype(np.int64)
             made = [np.count_nonzero(counts == i) for i in (1, 2, 3, 4)]
-            for i, j in itertools.pairwise(cuts.tolist()):
-                extra = made if i == 0 else [0] * 4
-                yield pa.RecordBatch.from_arrays([pa.array([int(block[i])]), pa.array([_squeezed(rows[i:j].astype(np.uint64), times[i:j])], pa.binary()), *[pa.array([int(x)]) for x in extra]], names=["b", "stats", "n1", "n2", "n3", "n4"])
+            for i, (a, b) in enumerate(itertools.pairwise(np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(block)].tolist())):
+                yield pa.RecordBatch.from_arrays([pa.array([int(block[a])]), pa.array([_squeezed(rows[a:b], times[a:b])], pa.binary()), *[pa.array([0 if i else int(x)]) for x in made]], names=["b", "stats", "n1", "n2", "n3", "n4"])
 
     def write_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, columns in _by_bucket(batches):
-            table = np.zeros(4 * BLOCK, np.int64)
+            table = np.zeros(5 * BLOCK, np.int64)
             for blob in columns[1]:
                 rows, times = _loosened(blob)
-                table[rows.astype(np.int64) - 4 * BLOCK * b] += times
-            _write(uri, f"stat-{b:05d}.u32", table.astype("<u4"))
-            ends = table[3::4]
+                table[rows.astype(np.int64) - 5 * BLOCK * b] += times.astype(np.int64)
+            write_arrays(uri, f"stat-{b:05d}", {k: x for i, n in enumerate((*_KINDS, "ends")) for k, x in _counted(n, table[i::5]).items()})
+            ends = table[4::5]
             numbers = [*(sum(c) for c in columns[2:]), int(ends.sum()), *(np.count_nonzero(ends == i) for i in (1, 2, 3, 4)), np.count_nonzero(ends >= 3)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in numbers], names=["n1", "n2", "n3", "n4", "pairs", "e1", "e2", "e3", "e4", "e3_up"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in numbers], names=names)
 
-    pairs = bodies.mapInArrow(count_pairs, "b long, pairs binary").repartition(max(partitions(spark), 1 << pair_bits), "b").sortWithinPartitions("b")
-    stats = pairs.mapInArrow(write_pairs, "b long, stats binary, n1 long, n2 long, n3 long, n4 long").repartition("b").sortWithinPartitions("b")
     names = ["n1", "n2", "n3", "n4", "pairs", "e1", "e2", "e3", "e4", "e3_up"]
-    sums = stats.mapInArrow(write_stats, ", ".join(f"{n} long" for n in names)).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
-    model.pair_discounts = model.discounts(sums[:4])
-    model.end_discounts = model.discounts(sums[5:9])
-    model.n_pairs, model.ends_left = sums["pairs"], float(model.end_discounts[1:] @ np.array([sums["e1"], sums["e2"], sums["e3_up"]], float))
-    model.n_docs = bodies.count()
-    return model
+    pairs = blobs.repartition(1 << bits, "b").sortWithinPartitions("b")
+    stats = pairs.mapInArrow(write, "b long, stats binary, n1 long, n2 long, n3 long, n4 long").repartition("b").sortWithinPartitions("b")
+    stats, path = saved(stats.mapInArrow(write_stats, ", ".join(f"{n} long" for n in names)), "word-stats")
+    found = _sums(stats, names)
+    remove(blobs.sparkSession, path)
+    model.pair_discounts = discounts([found[f"n{i}"] for i in (1, 2, 3, 4)])
+    model.end_discounts = discounts([found[f"e{i}"] for i in (1, 2, 3, 4)])
+    model.n_pairs, model.ends_left = found["pairs"], float(model.end_discounts[1:] @ np.array([found["e1"], found["e2"], found["e3_up"]], float))
 
 
-def scores(docs: DataFrame, divisor: int = 7, held: int = 2, model: Model | None = None) -> DataFrame:
+def train(docs: DataFrame, divisor: int = 7, held: int = 2, order: int = 3) -> tuple[Model, DataFrame]:
+    """A model of the documents whose remainder is not ``held``, in the shared folder, and the numbers of all documents.
+
+    Null and empty texts are their end alone; rows that repeat an id count each for itself; no documents give a model
+    that knows nothing.
+    """
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
+    spark: SparkSession = docs.sparkSession
+    bounded_batches(spark)
+    model = Model(scratch_path(spark, "ngram-model"), order)
+    _count_words(keyed_texts(docs.where(remainder(divisor) != held)), model)
+    numbered, _ = _numbered(docs, model, divisor, held)
+    rows = numbered.where("not held_out")
+    if order == 3:
+        pairs, paths = _write_top(rows, model)
+    else:
+        pairs, paths = _raw_pairs(rows, model), []
+    _write_pairs(pairs, model)
+    remove(spark, *paths)
+    return model, numbered
+
+
+def _probabilities(model: Model, numbers: np.ndarray, sizes: np.ndarray, files: dict) -> np.ndarray:
+    """The probability of each token after those before it in its text."""
+    start, v, bits = model.n_words, model.n_words, model.bits
+    one = _before(numbers, sizes, start, 1)
+    first = np.r_[0, np.cumsum(sizes)[:-1]]
+    pairs, number = _unique(_composite(_pairs(one, numbers), bits))
+    count = files["pair"].find(pairs)["count"][number]
+
+    def of(name: str, words: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(words), np.int64)
+        for b in np.unique(words[words < v] // np.uint64(BLOCK)).tolist() + ([v // BLOCK] if (words == v).any() else []):
+            if b not in files["stat"]:
+                files["stat"][b] = mapped_arrays(model.uri, f"stat-{int(b):05d}") or {}
+            if files["stat"][b]:
+                pick = np.flatnonzero((words // np.uint64(BLOCK) == b) & (words != UNKNOWN))
+                out[pick] = _counts(files["stat"][b], name, (words[pick] % np.uint64(BLOCK)).astype(np.int64))
+        return out
+
+    words, place = _unique(np.r_[one, numbers])
+    before, here = place[: len(one)], place[len(one) :]
+    left = sum(of(f"n{i}", words) * model.pair_discounts[i] for i in (1, 2, 3))[before]
+    total, ends = of("total", words)[before], of("ends", words)[here]
+    uniform = (model.ends_left / model.n_pairs if model.n_pairs else 1.0) / (v + 1)
+    low = np.maximum(ends - model.end_discounts[np.minimum(ends, 3)], 0) / max(1, model.n_pairs) + uniform
+    p = np.where(total > 0, (np.maximum(count - model.pair_discounts[np.minimum(count, 3)], 0) + left * low) / np.maximum(total, 1), low)
+    if model.order == 2:
+        return p
+    # a token's context is the pair of the token before it, or two starts
+    context = files["context"].find(pairs)
+    seen = files["pair"].find(pairs)["count"] > 0
+    alone = seen & (context["total"] == 0)
+    context["n1"], context["total"] = context["n1"] + alone, context["total"] + alone
+    starts = _composite(_pairs(np.array([start], np.uint64), np.array([start], np.uint64)), bits)
+    begin = files["context"].find(starts)
+    at = np.r_[0, number[:-1]]
+    stats = {n: context[n][at] for n in _KINDS}
+    for n in _KINDS:
+        stats[n][first] = begin[n][0]
+    keys, number = _unique(_triples(_pairs(_before(numbers, sizes, start, 2), one), numbers, bits))
+    count, d = files["top"].find(keys)["count"][number], model.top_discounts
+    left = sum(stats[f"n{i}"] * d[i] for i in (1, 2, 3))
+    return np.where(stats["total"] > 0, (np.maximum(count - d[np.minimum(count, 3)], 0) + left * p) / np.maximum(stats["total"], 1), p)
+
+
+def scores(docs: DataFrame, divisor: int = 7, held: int = 2, order: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every document.
 
     Tokens are the white-space words (A-Z folded) and one end. ``score`` is the log10 probability of the text under the
-    interpolated modified Kneser-Ney model of order 2, unknown words sharing a uniform part; ``base_score`` that of
-    add-one counts. Null and empty texts have the end alone. Every row is returned, whatever its id; with nothing to
-    learn from, known counts are 0 and the uniform part is all.
+    interpolated modified Kneser-Ney model of ``order`` 2 or 3, unknown words sharing a uniform part; ``base_score``
+    that of add-one counts. Null and empty texts have the end alone. Every row is returned, whatever its id; with
+    nothing to learn from, known counts are 0 and the uniform part is all.
     """
-    model = model or train(docs, divisor, held)
+    model, numbered = train(docs, divisor, held, order)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (words, pairs) = WordHashes(), model.tables()
-        start, n, v = model.n_words, model.n_tokens, model.n_words
-        d, e = model.pair_discounts, model.end_discounts
-        uniform = (model.ends_left / model.n_pairs if model.n_pairs else 1.0) / (v + 1)
-        blocks: dict[int, np.ndarray] = {}
-
-        def stats(numbers: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(numbers), 4), np.int64)
-            for b in np.unique(numbers[numbers >= 0] // BLOCK).tolist():
-                if b not in blocks:
-                    blocks[b] = _mapped(model.uri, f"stat-{b:05d}.u32", "<u4").reshape(-1, 4)
-                pick = np.flatnonzero(numbers // BLOCK == b)
-                if len(blocks[b]):
-                    out[pick] = blocks[b][numbers[pick] % BLOCK]
-            return out
+        files = {k: Grams(model.uri, k, n) for k, n in (("pair", ("count",)), ("top", ("count",)), ("context", _KINDS))} | {"stat": {}}
+        for some, numbers, sizes in _batches_of_numbers(batches, 5):
+            p = _probabilities(model, numbers, sizes, files)
+            total = np.add.reduceat(np.log10(np.maximum(p, 1e-300)), np.r_[0, np.cumsum(sizes)[:-1]])
+            yield pa.RecordBatch.from_arrays([*some.columns[:5], pa.array(total)], names=["k", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-        for batch in batches:
-            for some in slices(batch):
-                hashes, sizes = _token_hashes(some.column(1).to_pylist(), known)
-                numbers, counts = words.find(hashes)
-                first = np.r_[0, np.cumsum(sizes)[:-1]]
-                base = np.log10((counts + 1.0) / (n + v + 1.0))
-                before, times = np.r_[start, numbers[:-1]], np.r_[model.n_docs, counts[:-1]]
-                before[first], times[first] = start, model.n_docs
-                unique, back = np.unique(_pairs(numbers, sizes, start), return_inverse=True)
-                seen = pairs.find(unique)[2][back]
-                seen = np.where((before < 0) | (numbers < 0), 0, seen)
-                some_numbers, where = np.unique(np.r_[before, numbers], return_inverse=True)
-                table = stats(some_numbers)[where]
-                begins, ends = table[: len(before), :3], table[len(before) :, 3]
-                lower = np.maximum(ends - e[np.minimum(ends, 3)], 0) / max(1, model.n_pairs) + uniform
-                left = begins @ d[1:]
-                p = np.where(times > 0, (np.maximum(seen - d[np.minimum(seen, 3)], 0) + left * lower) / np.maximum(times, 1), lower)
-                total = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes), pa.array(total((counts > 0).astype(np.int64))), pa.array(total(base)), pa.array(total(np.log10(np.maximum(p, 1e-300))))], names=["k", "n_tokens", "n_known", "base_score", "score"])
-
-    out = keyed_texts(docs).mapInArrow(score, "k long, n_tokens long, n_known long, base_score double, score double").withColumn("doc_id", unkey("k"))
+    out = numbered.mapInArrow(score, "k long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(
-        "doc_id", (remainder(divisor) == held).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"),
-        "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+        unkey("k").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )

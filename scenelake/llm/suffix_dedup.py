@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import bounded_batches, fresh, hashed_texts, key, mixed, partitions, remove, saved, text_hash, unkey
+from scenelake.llm.common import bounded_batches, fresh, hashed_texts, key, mixed, partitions, remove, saved, stable_order, text_hash, unkey
 
 #: Bytes of text in a chunk; a longer text is cut, its parts overlapping by a window less one byte.
 CHUNK = 2 << 20
@@ -67,20 +67,9 @@ class Prefixes:
         return (self.sums[places + depth] - self.sums[places]) * self.down[places]
 
 
-def _order(h: np.ndarray) -> np.ndarray:
-    """The stable order of hashes: leading bits and places are sorted as one number, which hardly ever fails to do."""
-    n = len(h)
-    bits = np.uint64(n.bit_length())
-    packed = h >> bits << bits | np.arange(n, dtype=np.uint64)
-    packed.sort()
-    order = (packed & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
-    in_order = h[order]
-    return order if (in_order[1:] >= in_order[:-1]).all() else np.argsort(h, kind="stable")
-
-
 def _order_checked(h: np.ndarray, checks: np.ndarray) -> np.ndarray:
     """The stable order by hash and then check; hashes that agree hardly ever differ in the check."""
-    order = _order(h)
+    order = stable_order(h)
     same = h[order][1:] == h[order][:-1]
     return np.lexsort((checks, h)) if (checks[order][1:][same] != checks[order][:-1][same]).any() else order
 
@@ -104,7 +93,7 @@ class _Values:
 
     def __init__(self, hashes: np.ndarray, checks: np.ndarray | None, width: int, buckets: int):
         h = hashes >> np.uint64(64 - width) if width < 64 else hashes
-        order = _order(h << np.uint64(64 - width)) if checks is None else _order_checked(h, checks)
+        order = stable_order(h) if checks is None else _order_checked(h, checks)
         h, c = h[order], None if checks is None else checks[order]
         new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
         if c is not None and len(h):
@@ -139,10 +128,9 @@ def _recurring(chunks: list[int], values: list[np.ndarray], checks: list[np.ndar
     rank = np.argsort(chunks, kind="stable").tolist()  # from here on the lowest chunk comes first
     chunks, values, checks = [chunks[i] for i in rank], [values[i] for i in rank], checks and [checks[i] for i in rank]
     every = np.concatenate(values)
-    low = every.min()
-    spread = every - low << np.uint64(64 - max(1, int(every.max() - low).bit_length()))  # the leading bits differ
+    spread = every - every.min()  # all lie in one range
     if checks is None:
-        order = _order(spread)
+        order = stable_order(spread)
         same = every[order][1:] == every[order][:-1]
         hit = np.r_[False, same] | np.r_[same, False]
     else:

@@ -344,18 +344,62 @@ def test_hilbert_neighbours_touch():
     assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
 
 
-def test_language_model(docs, empty):
-    got = {rank(r["doc_id"]): r for r in ngram_lm.scores(docs).collect()}
+def kneser_ney(texts: list[list[str]], order: int):
+    """Brute force: the probability of a word after others, by recursion over the orders."""
+    pad = [" "] * (order - 1)
+    grams = [tuple((pad + ws)[i : i + order]) for ws in texts for i in range(len(ws))]
+    counts = {order: collections.Counter(grams)}
+    for n in range(order - 1, 0, -1):
+        counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
+    d, after = {}, {}
+    for n, c in counts.items():
+        d[n] = ngram_lm.discounts([sum(x == i for x in c.values()) for i in (1, 2, 3, 4)])
+        after[n] = collections.defaultdict(list)
+        for g, x in c.items():
+            after[n][g[:-1]].append(x)
+    words = len(counts[1])
+
+    def p(gram: tuple) -> float:
+        n = len(gram)
+        if not n:
+            return 1 / (words + 1)
+        rest, total = after[n].get(gram[:-1], []), sum(after[n].get(gram[:-1], []))
+        if not total:
+            return p(gram[1:])
+        c = counts[n][gram]
+        return (max(c - d[n][min(c, 3)], 0) + sum(d[n][min(x, 3)] for x in rest) * p(gram[1:])) / total
+
+    return p
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model(docs, empty, order):
+    got = {rank(r["doc_id"]): r for r in ngram_lm.scores(docs, order=order).collect()}
     split = {rank(r[0]): [*re.findall(r"[^\x20\x09-\x0D]+", low(r[1])), "\n"] for r in ROWS}
     held = {rank(r[0]): zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 == 2 for r in ROWS}
     counts = collections.Counter(w for k, ws in split.items() if not held[k] for w in ws)
     n, v = sum(counts.values()), len(counts)
+    p = kneser_ney([ws for k, ws in split.items() if not held[k]], order)
     for k, ws in split.items():
         base = sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in ws)
         assert got[k]["held_out"] == held[k] and got[k]["train_tokens"] == n
         assert (got[k]["n_tokens"], got[k]["n_known"]) == (len(ws), sum(w in counts for w in ws))
-        assert got[k]["base_score"] == pytest.approx(base) and got[k]["score"] < 0
-    assert ngram_lm.scores(empty).count() == 0
+        assert got[k]["base_score"] == pytest.approx(base)
+        # words that training has not seen share what is left over for one
+        padded = [" "] * (order - 1) + [w if w in counts else None for w in ws]
+        assert got[k]["score"] == pytest.approx(sum(np.log10(p(tuple(padded[i : i + order]))) for i in range(len(ws))), rel=1e-9)
+    assert ngram_lm.scores(empty, order=order).count() == 0
+    if order == 3:
+        twice = ngram_lm.scores(docs.unionByName(docs)).collect()
+        assert len(twice) == 2 * len(ROWS) and {r["train_tokens"] for r in twice} == {2 * n}
+        assert all(r["score"] == 0 and r["n_known"] == 0 for r in ngram_lm.scores(docs.where("doc_id = 1"), divisor=1, held=0).collect())
+
+
+def test_counts_have_no_upper_limit(spark):
+    counts = np.array([1, 254, 255, 256, 2**32 - 1, 2**32, 2**40], np.int64)
+    path = scratch_path(spark, "counts")
+    common.write_arrays(path, "x", ngram_lm._counted("n", counts))
+    assert (ngram_lm._counts(common.mapped_arrays(path, "x"), "n", np.arange(len(counts))) == counts).all()
 
 
 @pytest.mark.parametrize("scores", [quality.quality_scores, toxicity.toxicity])
