@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scenelake.llm import decontaminate, embedding_dedup, minhash_dedup, ngram_lm, packing, pipeline, quality, sharding, suffix_dedup, token_store, toxicity
+from scenelake.llm import decontaminate, embedding_dedup, minhash_dedup, ngram_lm, oracles, packing, pipeline, quality, sharding, suffix_dedup, token_store, toxicity
 from scenelake.llm.common import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,7 +22,7 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return found.drop("starts", "stops")
+    return found.drop("starts", "stops", "longest")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 } | {"pipeline": pipeline.run}
 
 #: DuckDB SQL where it can say the same over the whole tables.
-ORACLE_SQL: dict[str, str] = {
+ORACLE_SQL: dict[str, str] = oracles.SQL | {
     "op5_embedding_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], x -> x * x))) AS n FROM embeddings),
