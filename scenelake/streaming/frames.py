@@ -44,40 +44,81 @@ def _edges(d: np.ndarray, rtol: float) -> np.ndarray:
     return np.where(d > 0, spread > rtol * np.where(d > 0, d, 1), spread > 0)
 
 
-def frame_counts(stream: DataFrame, height: int, width: int, threshold: float = 0.1, rtol: float = 0.03, late: str = "1 minute") -> DataFrame:
-    """scene, frame, n_valid, n_accepted, n_edge, complete for frames put together from pixels (scene, frame, ts, v, u, d, conf).
-
-    A frame is counted when its last pixel has come, or as incomplete once the watermark has passed its latest
-    time by ``late``; its state is then dropped. A frame's state holds its height * width pixels.
+def _shifted(x: np.ndarray, dv: int, du: int) -> np.ndarray:
+    """Values of the pixel so many rows and columns on, 0 outside of the frame."""
+    out = np.zeros_like(x)
+    h, w = x.shape[:2]
+    out[max(0, -dv) : h - max(0, dv), max(0, -du) : w - max(0, du)] = x[max(0, dv) : h - max(0, -dv), max(0, du) : w - max(0, -du)]
+    return out
+
+
+def _normal_edges(points: np.ndarray, valid: np.ndarray, degrees: float) -> np.ndarray:
+    """Normal edges of one frame (height, width, 3), as the batch stencil finds them."""
+    own = np.where(valid[..., None], points, 0.0)
+    steps = [(-1, 0), (0, -1), (1, 0), (0, 1)]
+    delta = [_shifted(own, *s) - own for s in steps]
+    ok = [_shifted(valid, *s) for s in steps]
+    total, some = np.zeros_like(own), np.zeros_like(valid)
+    for i in range(4):
+        both, c = ok[i] & ok[(i + 1) % 4] & valid, np.cross(delta[i], delta[(i + 1) % 4])
+        total += np.where(both[..., None], c / np.maximum(np.linalg.norm(c, axis=2, keepdims=True), 1e-12), 0.0)
+        some |= both
+    normal = total / np.maximum(np.linalg.norm(total, axis=2, keepdims=True), 1e-12)
+    around = [(dv, du) for dv in (-1, 0, 1) for du in (-1, 0, 1)]
+    least = np.ones(valid.shape)
+    for s in around:
+        least = np.where(_shifted(some, *s), np.minimum(least, (normal * _shifted(normal, *s)).sum(2)), least)
+    angle = np.arccos(np.clip(least, -1, 1))
+    return (np.maximum.reduce([_shifted(angle, *s) for s in around]) > np.radians(degrees)) & some
+
+
+def frame_counts(stream: DataFrame, height: int, width: int, threshold: float = 0.1, rtol: float = 0.03, late: str = "1 minute", degrees: float = 5.0) -> DataFrame:
+    """scene, frame, n_valid, n_accepted, n_edge, n_normal, n_final, complete for frames put together from pixels
+    (scene, frame, ts, v, u, d, conf and, for the normal and final edges, lx and ly; without them these are null).
+
+    A frame is counted when its last pixel has come, or as incomplete once the watermark has passed its latest time by
+    ``late``. Its state holds its height * width pixels, and after it was counted only that it was, until the watermark
+    has passed; pixels that come again change nothing. Null depths, confidences and coordinates count as 0; of pixels
+    that come twice the last counts; those outside of the frame and without a time are dropped.
     """
-    out = "scene long, frame long, n_valid long, n_accepted long, n_edge long, complete boolean"
-    held = "at array<long>, d array<double>, conf array<double>, last long"
-
-    def result(key: tuple, at: list, d: list, conf: list) -> pd.DataFrame:
-        depth, sure = np.zeros(height * width), np.zeros(height * width)
-        depth[at], sure[at] = d, conf
-        edge = _edges(depth.reshape(height, width), rtol).ravel()
-        valid = depth > 0
-        return pd.DataFrame([(*key, int(valid.sum()), int((valid & (sure > threshold)).sum()), int((edge & valid).sum()), len(set(at)) == height * width)], columns=["scene", "frame", "n_valid", "n_accepted", "n_edge", "complete"])
+    out = "scene long, frame long, n_valid long, n_accepted long, n_edge long, n_normal long, n_final long, complete boolean"
+    held = "at array<long>, values array<double>, last long, counted boolean"
+    pointed = {"lx", "ly"} <= set(stream.columns)
+    wanted = ["d", "conf", *(["lx", "ly"] if pointed else [])]
+
+    def result(key: tuple, at: list, values: list) -> pd.DataFrame:
+        table = np.zeros((height * width, len(wanted)))
+        table[at] = np.array(values, float).reshape(-1, len(wanted))
+        d, sure = table[:, 0].reshape(height, width), table[:, 1].reshape(height, width)
+        valid, edge = d > 0, _edges(d, rtol)
+        n_normal = n_final = None
+        if pointed:
+            normal = _normal_edges(np.stack([table[:, 2].reshape(height, width), table[:, 3].reshape(height, width), d], 2), valid, degrees)
+            n_normal, n_final = int((normal & valid).sum()), int((normal & edge & valid).sum())
+        row = (*key, int(valid.sum()), int((valid & (sure > threshold)).sum()), int((edge & valid).sum()), n_normal, n_final, len(set(at)) == height * width)
+        return pd.DataFrame([row], columns=["scene", "frame", "n_valid", "n_accepted", "n_edge", "n_normal", "n_final", "complete"]).astype({"n_normal": "Int64", "n_final": "Int64"})
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, d, conf, last = (list(state.get[0]), list(state.get[1]), list(state.get[2]), state.get[3]) if state.exists else ([], [], [], 0)
+        at, values, last, counted = (list(state.get[0]), list(state.get[1]), state.get[2], state.get[3]) if state.exists else ([], [], 0, False)
         if state.hasTimedOut:
             state.remove()
-            yield result(key, at, d, conf)
+            if not counted:
+                yield result(key, at, values)
             return
         for p in parts:
-            at += (p["v"] * width + p["u"]).tolist()
-            d += p["d"].fillna(0.0).tolist()
-            conf += p["conf"].fillna(0.0).tolist()
-            last = max(last, int(p["ts"].max().timestamp() * 1000))
-        if len(set(at)) == height * width:
-            if state.exists:
-                state.remove()
-            yield result(key, at, d, conf)
+            p = p[(p["v"] >= 0) & (p["v"] < height) & (p["u"] >= 0) & (p["u"] < width)]
+            if len(p):
+                last = max(last, int(p["ts"].max().timestamp() * 1000))
+                at += (p["v"] * width + p["u"]).astype(int).tolist()
+                values += p[wanted].fillna(0.0).to_numpy(float).ravel().tolist()
+        done = not counted and len(set(at)) == height * width
+        if counted or done:
+            state.update(([], [], last, True))
         else:
-            state.update((at, d, conf, last))
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
+            state.update((at, values, last, False))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
+        if done:
+            yield result(key, at, values)
 
-    stream = stream.select("scene", "frame", "ts", "v", "u", "d", "conf").withWatermark("ts", late)
+    stream = stream.where("ts IS NOT NULL").select("scene", "frame", "ts", "v", "u", *wanted).withWatermark("ts", late)
     return stream.groupBy("scene", "frame").applyInPandasWithState(run, out, held, "append", GroupStateTimeout.EventTimeTimeout)

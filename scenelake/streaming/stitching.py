@@ -28,16 +28,16 @@ def _unpacked(heads: list[int], values: list[float]) -> Frames:
     return frames
 
 
-def _points(row: pd.Series) -> np.ndarray:
+def _points(x: list | None, y: list | None, z: list | None, accepted: list | None) -> np.ndarray:
     """x, y, z and the flag of each pixel; a pixel with a null or a number that is not finite is not accepted."""
-    if any(row[c] is None for c in ("x", "y", "z", "accepted")):
+    if any(c is None for c in (x, y, z, accepted)):
         return np.zeros((4, 0))
-    xyz = np.array([pd.to_numeric(pd.Series(list(row[c]), dtype=object)).to_numpy(float) for c in "xyz"])
-    sure = np.array([bool(v) for v in row["accepted"]]) & np.isfinite(xyz).all(0)
+    xyz = np.array([[np.nan if v is None else v for v in c] for c in (x, y, z)], float)
+    sure = np.array([bool(v) for v in accepted], bool) & np.isfinite(xyz).all(0)
     return np.vstack([xyz, sure])
 
 
-def stitch(stream: DataFrame, overlap: int = 6, least: int = 10) -> DataFrame:
+def stitch(stream: DataFrame, overlap: int = 6, least: int = 10, ahead: int = 8) -> DataFrame:
     """scene, chunk, frame, m, x, y, z, accepted, late for every frame once, in the frame of chunk 0.
 
     Rows are whole frames of a chunk: scene, chunk (from 0), frame, n_frames (frames of that chunk), and arrays x, y, z
@@ -49,7 +49,8 @@ def stitch(stream: DataFrame, overlap: int = 6, least: int = 10) -> DataFrame:
     The state of a scene holds its product of transforms, the last ``overlap`` frames of the chunk placed last, and
     what has come of later chunks. Frames of a placed chunk that come again are dropped and counted in ``late`` (so
     far, by scene); of frames that come twice before, the first counts. Rows with a null chunk, frame or n_frames are
-    dropped. Chunks that never become complete are not returned, nor are those after them.
+    dropped. A chunk that is not complete when a frame comes that is ``ahead`` chunks further is placed with the frames
+    it has, so a scene's state never holds more than that many chunks; until then it and those after it wait.
     """
     scene = dict(stream.dtypes)["scene"]
     out = f"scene {scene}, chunk long, frame long, m array<double>, x array<double>, y array<double>, z array<double>, accepted array<boolean>, late long"
@@ -69,20 +70,20 @@ def stitch(stream: DataFrame, overlap: int = 6, least: int = 10) -> DataFrame:
             flat, chunk, late, heads, points = state.get
             m, frames = np.array(flat).reshape(4, 4), _unpacked(heads, points)
         for part in parts:
-            for _, row in part.dropna(subset=["chunk", "frame", "n_frames"]).iterrows():
-                if row["chunk"] < chunk:
+            for c, f, n, *arrays in part.dropna(subset=["chunk", "frame", "n_frames"])[["chunk", "frame", "n_frames", "x", "y", "z", "accepted"]].itertuples(index=False):
+                if c < chunk:
                     late += 1
                 else:
-                    frames.setdefault((int(row["chunk"]), int(row["frame"])), (int(row["n_frames"]), _points(row)))
-        made = []
-        while own := sorted(f for c, f in frames if c == chunk):
-            if len(own) < frames[chunk, own[0]][0]:
+                    frames.setdefault((int(c), int(f)), (int(n), _points(*arrays)))
+        made, furthest = [], max((c for c, _ in frames), default=0)
+        while (own := sorted(f for c, f in frames if c == chunk)) or chunk + ahead <= furthest:
+            if (not own or len(own) < frames[chunk, own[0]][0]) and chunk + ahead > furthest:
                 break
             m = place(frames, chunk, m)
             for f in own[overlap if chunk else 0 :]:
                 p = frames[chunk, f][1]
                 made.append((key[0], chunk, f, m.ravel().tolist(), *(m[:3, :3] @ p[:3] + m[:3, 3:]).tolist(), (p[3] > 0).tolist(), late))
-            frames = {k: v for k, v in frames.items() if k[0] > chunk or (k[0] == chunk and k[1] in own[-overlap:])}
+            frames = {k: v for k, v in frames.items() if k[0] > chunk or (k[0] == chunk and k[1] in own[len(own) - overlap :])}
             chunk += 1
         state.update((m.ravel().tolist(), chunk, late, *_packed(frames)))
         yield pd.DataFrame(made, columns=["scene", "chunk", "frame", "m", "x", "y", "z", "accepted", "late"])

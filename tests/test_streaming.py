@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 
-from scenelake.operators import align
+from scenelake.operators import align, masks
 from scenelake.streaming import frames, stitching
 
 
@@ -73,6 +73,33 @@ def test_stitch_counts_late_frames(spark, tmp_path):
     assert got["chunk"].tolist() == [0, 1] and got["late"].tolist() == [0, 1]
 
 
+def test_stitch_does_not_wait_for_ever(spark, tmp_path):
+    """Chunk 1 never becomes complete; it is placed as it is when chunk 3 comes."""
+    schema = "scene string, chunk long, frame long, n_frames long, x array<double>, y array<double>, z array<double>, accepted array<boolean>"
+    one = lambda chunk, n: ("s", chunk, chunk, n, [1.0], [2.0], [3.0], [True])
+    stream = source(spark, tmp_path, [[one(0, 1)], [one(1, 2), one(2, 1)], [one(3, 1)]], schema)
+    got = run(stitching.stitch(stream, overlap=0, ahead=2), tmp_path, "not_for_ever")
+    assert sorted(got["chunk"]) == [0, 1, 2, 3]
+
+
+def test_normal_edges_equal_the_batch(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = []
+    for frame in range(3):
+        for v in range(6):
+            for u in range(6):
+                d = 0.0 if rng.random() < 0.1 else 1 + 0.02 * rng.random()
+                rows.append((0, frame, dt.datetime(2024, 1, 1), v, u, d, 0.5, (u - 2.5) / 6 * d, (v - 2.5) / 6 * d))
+    schema = "scene long, frame long, ts timestamp, v long, u long, d double, conf double, lx double, ly double"
+    batch = spark.createDataFrame(rows, schema).selectExpr("*", "d AS lz", "d > 0 AS valid")
+    want = {r["frame"]: (r["n_valid"], r["n_depth"], r["n_normal"], r["n_final"]) for r in masks.edge_counts(masks.edges(batch)).collect()}
+    outside = [(0, 0, dt.datetime(2024, 1, 1), 9, 0, 1.0, 1.0, 0.0, 0.0), (0, 0, dt.datetime(2024, 1, 1), -1, 0, 1.0, 1.0, 0.0, 0.0)]
+    stream = source(spark, tmp_path, [rows[:50] + outside, rows[50:], rows[:40]], schema)
+    got = run(frames.frame_counts(stream, 6, 6), tmp_path, "normals_counted")
+    assert len(got) == 3 and got["complete"].all()
+    assert {r["frame"]: (r["n_valid"], r["n_edge"], r["n_normal"], r["n_final"]) for _, r in got.iterrows()} == want
+
+
 def test_frame_counts(spark, tmp_path):
     rng = np.random.default_rng(3)
     d = np.where(rng.random((4, 4)) < 0.2, 0.0, rng.random((4, 4)) + 1)
