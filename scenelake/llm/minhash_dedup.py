@@ -114,7 +114,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int, size: int, paths:
     return both.mapInArrow(compare, "a long, b long, ok boolean")
 
 
-def _across(docs: DataFrame, texts: DataFrame, percent: int, size: int, bands: int) -> DataFrame:
+def _across(docs: DataFrame, texts: DataFrame, percent: int, size: int, bands: int, paths: list[str]) -> DataFrame:
     """Links (a, b) between the groups of texts that share a signature and a key; docs: (k, root, cluster), the cluster
     being a signature of the first collection, texts: (k, body, signatures).
 
@@ -124,7 +124,9 @@ def _across(docs: DataFrame, texts: DataFrame, percent: int, size: int, bands: i
     """
     sizes = docs.groupBy("cluster", "root").count()
     sizes = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.sum("count").alias("n"), F.max("count").alias("most"))
-    placed = docs.join(sizes, "cluster").where("n > most")
+    sizes, path = saved(sizes.where("n > most"), "near-sizes")
+    paths.append(path)
+    placed = attach(docs, sizes, "cluster", hot=hot_keys(sizes, "cluster", "n"))
     blocks = lambda n, of: F.expr(f"({n} + {of - 1}) div {of}")
     placed = placed.withColumns({"rows": blocks("(n - most)", _ROWS), "columns": blocks("n", _COLUMNS)})
     in_row, in_column = F.expr("pmod(xxhash64(k), rows)"), F.expr("pmod(xxhash64(k, 1), columns)")
@@ -232,7 +234,7 @@ def _grouped(docs: DataFrame, percent: int, size: int, bands: int) -> DataFrame:
     several = got.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     units = attach(got, several.select("bucket"), "bucket", hot=hot).select("k", "root", F.col("half").alias("cluster")).distinct()
     units, units_path = saved(units, "near-units")
-    across, across_path = saved(_across(units, texts, percent, size, bands), "near-across")
+    across, across_path = saved(_across(units, texts, percent, size, bands, paths), "near-across")
     # groups that the last round joined: their roots hang together, and their members follow
     joined, joined_path = components(across, "near-joined")
     labels = labels.unionByName(joined.select("node", F.col("node").alias("root")).join(labels.select("node"), "node", "left_anti"))
