@@ -21,10 +21,11 @@ def frame_catalog(spark: SparkSession, path: str) -> DataFrame:
     return files.select("scene", frame.cast("long").alias("frame"), "path", "length")
 
 
-def decode_frames(files: DataFrame, decode: Callable[[bytes], tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+def decode_frames(files: DataFrame, decode: Callable[[bytes], tuple[int, int]], store: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(good, bad) of rows with path and content: good with width and height, bad with the decoder's error.
 
-    One unreadable file costs its own row alone; null contents are bad.
+    One unreadable file costs its own row alone; null contents are bad. With ``store``, a path, the outcome is written
+    there once and both tables read it; without it, each runs the decoder when it is used.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -38,6 +39,9 @@ def decode_frames(files: DataFrame, decode: Callable[[bytes], tuple[int, int]])
             yield pd.DataFrame(rows, columns=["path", "width", "height", "error"]).astype({"width": "Int64", "height": "Int64"})
 
     out = files.select("path", "content").mapInPandas(run, "path string, width long, height long, error string")
+    if store is not None:
+        out.write.mode("overwrite").parquet(store)
+        out = files.sparkSession.read.parquet(store)
     return out.where("error IS NULL").drop("error"), out.where("error IS NOT NULL").select("path", "error")
 
 

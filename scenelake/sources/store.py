@@ -53,10 +53,13 @@ class _Files(WriterCommitMessage):
 
 
 class _PlyWriter(DataSourceArrowWriter):
-    """Tasks write whole files under temporary names; the commit gives them their own."""
+    """Tasks write whole files under temporary names; the commit gives them their own.
+
+    Temporary names begin with the job's, so what tasks that died have left goes at the end, either way.
+    """
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.job = path, uuid.uuid4().hex
 
     def _folder(self):
         from pyarrow import fs
@@ -69,7 +72,7 @@ class _PlyWriter(DataSourceArrowWriter):
         names, held, count = [], [], 0
 
         def flush() -> None:
-            name = f"{uuid.uuid4().hex}.ply"
+            name = f"{self.job}-{uuid.uuid4().hex}.ply"
             kinds = {"<f4": "float", "|u1": "uchar"}
             fields = "".join(f"property {kinds[_VERTEX[n].str]} {n}\n" for n in _VERTEX.names)
             with store.open_output_stream(f"{folder}/_{name}") as out:
@@ -94,15 +97,22 @@ class _PlyWriter(DataSourceArrowWriter):
             flush()
         return _Files(names)
 
+    def _sweep(self) -> None:
+        from pyarrow import fs
+
+        store, folder = self._folder()
+        for info in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            if info.base_name.startswith(f"_{self.job}-"):
+                store.delete_file(info.path)
+
     def commit(self, messages: list[_Files | None]) -> None:
         store, folder = self._folder()
         for name in (n for m in messages if m for n in m.names):
             store.move(f"{folder}/_{name}", f"{folder}/{name}")
+        self._sweep()
 
     def abort(self, messages: list[_Files | None]) -> None:
-        store, folder = self._folder()
-        for name in (n for m in messages if m for n in m.names):
-            store.delete_file(f"{folder}/_{name}")
+        self._sweep()
 
 
 class PlySink(DataSource):

@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from scenelake import params
 from scenelake.functions import geometry as geo
 from scenelake.operators import align, masks, sampling, scoring
 from scenelake.plans import scene, views
@@ -93,3 +94,13 @@ def test_rotation_repair_and_inverse_take_nulls(spark):
 
 def test_labels_name_frames():
     assert [masks.frame_of_label(x) for x in ("3: a.png", "All", None, "x: 3", " 12 ", "")] == [3, None, None, None, 12, None]
+
+
+def test_parameters(spark):
+    p = params.Parameters()
+    assert [p.step("a.MP4"), p.step("a"), p.step("a", 29.9), params.Parameters(interval=3).step("a.mp4")] == [10, 1, 29, 3]
+    frames = spark.range(45).selectExpr("0 AS scene", "id AS frame")
+    assert sampling.assign_chunks(frames, **p.chunks()).count() == sampling.assign_chunks(frames).count()
+    for bad in ({"overlap": 16}, {"inject": ("colour",)}):
+        with pytest.raises(ValueError):
+            params.Parameters(**bad)

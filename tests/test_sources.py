@@ -26,7 +26,8 @@ def test_catalog_and_decoder(spark, tmp_path):
         return 4, 3
 
     good, bad = frames.decode_frames(spark.read.format("binaryFile").load(str(tmp_path / "a")), decode)
-    assert good.count() == 3 and [tuple(r)[1] for r in bad.collect()] == ["ValueError: not a picture"]
+    again, _ = frames.decode_frames(spark.read.format("binaryFile").load(str(tmp_path / "a")), decode, store=str(tmp_path / "decoded"))
+    assert again.count() == 3 and good.count() == 3 and [tuple(r)[1] for r in bad.collect()] == ["ValueError: not a picture"]
 
 
 def test_conditions(spark, tmp_path):
