@@ -9,12 +9,14 @@ Conventions that every operator of this subpackage follows:
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import os
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -88,8 +90,29 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_SCOPES = threading.local()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for made in getattr(_SCOPES, "open", []):
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes, at its end, the scratch tables that operators of this thread have made within it.
+
+    Results are read from such tables, so they must have been written, or otherwise used up, before the end.
+    """
+    made: list[str] = []
+    _SCOPES.open = [*getattr(_SCOPES, "open", []), made]
+    try:
+        yield made
+    finally:
+        _SCOPES.open = [x for x in _SCOPES.open if x is not made]
+        remove(spark, *made)
 
 
 def saved(df: DataFrame, name: str, *by: str) -> tuple[DataFrame, str]:
