@@ -8,11 +8,42 @@ from pyspark.sql import functions as F
 from scenelake.functions.geometry import hsv_channel, quantize
 
 
+def exact_quantiles(df: DataFrame, by: list[str], column: str, quantiles: list[float], lower: bool = False, accuracy: int = 10_000) -> DataFrame:
+    """(by, quantiles): exact quantiles of each group's values, however large a group is; nulls are left out.
+
+    Mergeable approximate percentiles first give a narrow bracket around each quantile, of about 4 / ``accuracy`` of
+    the group. A second pass counts what is below it and gathers what is inside, next to which the neighbours on either
+    side are enough. Values between two ranks are interpolated, or with ``lower`` taken from the lower one.
+    """
+    values = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_x"))
+    slack = 2 / accuracy
+    ends = [p for q in quantiles for p in (max(0.0, q - slack), min(1.0, q + slack))]
+    rough = values.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_x", ends, accuracy).alias("_e"))
+    brackets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("q"), F.col("_e")[2 * i].alias("low"), F.col("_e")[2 * i + 1].alias("high")) for i, q in enumerate(quantiles)])
+    rough = rough.select(*by, "_n", brackets.alias("_b"))
+    x = F.col("_x")
+    rows = values.join(rough, by).select(*by, "_n", "_x", F.explode("_b").alias("_b"))
+    found = rows.groupBy(*by, "_n", F.col("_b.i").alias("_i"), F.col("_b.q").alias("_q")).agg(
+        F.count_if(x < F.col("_b.low")).alias("_below"), F.max(F.when(x < F.col("_b.low"), x)).alias("_prior"), F.min(F.when(x > F.col("_b.high"), x)).alias("_next"),
+        F.array_sort(F.collect_list(F.when((x >= F.col("_b.low")) & (x <= F.col("_b.high")), x))).alias("_in"),
+    )
+    place = F.col("_q") * (F.col("_n") - 1)
+    around = F.array_compact(F.concat(F.array("_prior"), F.col("_in"), F.array("_next")))
+    first = F.greatest(F.col("_below") - 1, F.lit(0))  # the rank of what stands first in ``around``
+    at = lambda rank: F.get(around, (rank - first).cast("int"))
+    low = at(F.floor(place))
+    value = low if lower else low + (place - F.floor(place)) * (F.coalesce(at(F.floor(place) + 1), low) - low)
+    pairs = found.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", value.alias("v")))).alias("_v"))
+    return pairs.select(*by, F.transform("_v", lambda s: s["v"]).alias("quantiles"))
+
+
 def depth_factor(px: DataFrame, how: str = "mean") -> DataFrame:
     """Mean or lower median of each scene's positive depths; 1 where there are none."""
     d = F.when(F.col("d") > 0, F.col("d"))
-    found = F.avg(d) if how == "mean" else F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN d > 0 THEN d END)")
-    return px.groupBy("scene").agg(F.coalesce(found, F.lit(1.0)).alias("factor"))
+    if how == "mean":
+        return px.groupBy("scene").agg(F.coalesce(F.avg(d), F.lit(1.0)).alias("factor"))
+    found = exact_quantiles(px.select("scene", d.alias("d")), ["scene"], "d", [0.5], lower=True)
+    return px.select("scene").distinct().join(found, "scene", "left").select("scene", F.coalesce(F.col("quantiles")[0], F.lit(1.0)).alias("factor"))
 
 
 def hue_colors(points: DataFrame, box: DataFrame) -> DataFrame:
@@ -64,9 +95,18 @@ def recover_intrinsics(px: DataFrame, width: int, height: int, centered: bool =
 
 
 def bounding_box(points: DataFrame, by: list[str], columns: tuple[str, str, str] = ("x", "y", "z"), low: float = 0.05, high: float = 0.95, exact: bool = True) -> DataFrame:
-    """Percentiles of each axis and the box's diagonal; ``exact=False`` uses mergeable approximate percentiles."""
-    of = (lambda c: F.percentile(c, [low, high])) if exact else (lambda c: F.percentile_approx(c, [low, high], 100_000))
-    box = points.groupBy(*by).agg(*[of(c).alias(f"_{c}") for c in columns])
+    """Percentiles of each axis and the box's diagonal; ``exact=False`` uses mergeable approximate percentiles.
+
+    Exact ones take two passes and never gather a group. Null coordinates are left out of their axis; a group without
+    any number on an axis has no exact box.
+    """
+    if exact:
+        box = None
+        for c in columns:
+            found = exact_quantiles(points, by, c, [low, high]).withColumnRenamed("quantiles", f"_{c}")
+            box = found if box is None else box.join(found, by)
+    else:
+        box = points.groupBy(*by).agg(*[F.percentile_approx(c, [low, high], 100_000).alias(f"_{c}") for c in columns])
     sides = [(F.col(f"_{c}")[1] - F.col(f"_{c}")[0]) ** 2 for c in columns]
     return box.select(*by, *[F.col(f"_{c}")[i].alias(f"{c}_{n}") for c in columns for i, n in ((0, "low"), (1, "high"))], F.sqrt(sides[0] + sides[1] + sides[2]).alias("scale"))
 

@@ -7,7 +7,7 @@ import pytest
 
 from scenelake import params
 from scenelake.functions import geometry as geo
-from scenelake.operators import align, masks, sampling, scoring
+from scenelake.operators import align, masks, sampling, scoring, stats
 from scenelake.plans import scene, views
 
 SF = "/root/testdata/sf0.001"
@@ -104,3 +104,16 @@ def test_parameters(spark):
     for bad in ({"overlap": 16}, {"inject": ("colour",)}):
         with pytest.raises(ValueError):
             params.Parameters(**bad)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 500])
+def test_quantiles_are_exact(spark, n):
+    rng = np.random.default_rng(n)
+    x = np.round(rng.normal(size=n), 1)  # with ties
+    df = spark.createDataFrame([(0, float(v)) for v in x] + [(0, None), (1, 7.0), (2, None)], "g int, x double")
+    qs = [0.0, 0.05, 0.5, 0.95, 1.0]
+    for accuracy in (10_000, 20):
+        got = {r["g"]: r["quantiles"] for r in stats.exact_quantiles(df, ["g"], "x", qs, accuracy=accuracy).collect()}
+        assert np.allclose(got[0], np.quantile(x, qs)) and got[1] == [7.0] * 5 and 2 not in got
+        low = stats.exact_quantiles(df, ["g"], "x", [0.5], lower=True, accuracy=accuracy).where("g = 0").first()["quantiles"]
+        assert low == [np.sort(x)[(n - 1) // 2]]
