@@ -17,6 +17,7 @@ blocks is a task's work of its own.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from scenelake.llm.common import attach, bounded_batches, components, hot_keys, key, mixed, remove, saved, unkey
 
 PROBES, SCALE, BLOCK = 2, 4.5, 1500
+#: Cells of up to SMALL rows are compared together, POOL rows of them at a time.
+SMALL, POOL = 64, 8_000
 #: Chances, at these settings and a cosine of 0.95, that a block has the same point, and that only a probe finds it
 #: (measured on random pairs); and of how many more vectors another block makes up for.
 _SAME, _PROBED, _PER_BLOCK = 0.375, 0.41, 150
@@ -43,6 +46,7 @@ def plan(n: int, missed: float = 1e-4) -> tuple[int, int]:
     return math.ceil(math.log(missed) / math.log(1 - meet)), blocks
 
 
+@functools.cache
 def _roots() -> np.ndarray:
     """The 240 lattice points next to the origin."""
     ints = [[s if k == i else t if k == j else 0 for k in range(8)] for i, j in itertools.combinations(range(8), 2) for s in (1, -1) for t in (1, -1)]
@@ -66,10 +70,18 @@ def decode(x: np.ndarray) -> np.ndarray:
     return np.where((((x - a) ** 2).sum(1) <= ((x - b) ** 2).sum(1))[:, None], a, b)
 
 
+@functools.lru_cache(maxsize=16)
+def _frames(d: int, n: int, scale: float, seed: int) -> list[np.ndarray]:
+    """n projections of d dimensions to eight."""
+    rng = np.random.default_rng([seed, d])
+    return [np.linalg.qr(rng.normal(size=(max(d, 8), 8)))[0][:d] * scale * np.sqrt(max(d, 8) / 64) for _ in range(n)]
+
+
 def cells(vectors: np.ndarray, tables: int, blocks: int, probes: int, scale: float, seed: int = 5) -> np.ndarray:
     """(rows, tables, 1 + blocks * probes) hashes of each row's own cell and of the neighbouring ones it probes."""
     n, d = vectors.shape
-    rng, roots = np.random.default_rng([seed, d]), _roots()
+    roots, frames = _roots(), _frames(d, tables * blocks, scale, seed)
+    lengths = (roots**2).sum(1)
     out = np.empty((n, tables, 1 + blocks * probes), np.int64)
 
     def hashed(points: np.ndarray, place: int) -> np.ndarray:
@@ -81,10 +93,9 @@ def cells(vectors: np.ndarray, tables: int, blocks: int, probes: int, scale: flo
     for t in range(tables):
         own, near = [], []
         for b in range(blocks):
-            frame = np.linalg.qr(rng.normal(size=(max(d, 8), 8)))[0][:d] * scale * np.sqrt(max(d, 8) / 64)
-            x = vectors @ frame
+            x = vectors @ frames[t * blocks + b]
             point = decode(x)
-            far = (roots**2).sum(1) - 2 * (x - point) @ roots.T  # squared distance to point + root, less what is the same for all
+            far = lengths - 2 * (x - point) @ roots.T  # squared distance to point + root, less what is the same for all
             own.append(hashed(point, t * blocks + b + 1))
             for _ in range(probes):
                 least = far.argmin(1)
@@ -97,17 +108,15 @@ def cells(vectors: np.ndarray, tables: int, blocks: int, probes: int, scale: flo
     return out
 
 
-def _met(a: np.ndarray, b: np.ndarray, own: bool) -> np.ndarray:
+def _met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether pairs of (tables, 1 + probes) rows meet, by table."""
-    same = a[:, :, 0] == b[:, :, 0]
-    return same if own else same | (a[:, :, :1] == b[:, :, 1:]).any(2) | (b[:, :, :1] == a[:, :, 1:]).any(2)
+    return (a[:, :, 0] == b[:, :, 0]) | (a[:, :, :1] == b[:, :, 1:]).any(2) | (b[:, :, :1] == a[:, :, 1:]).any(2)
 
 
-def _links(x: np.ndarray, owns: np.ndarray, side: np.ndarray, table: int, cell: int, least: float, cells_of) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (rows of x) that this cell counts: cosine reached, met here, nowhere before.
+def _close(x: np.ndarray, owns: np.ndarray, side: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one cell that reach the cosine, of which one owns the cell.
 
-    ``side``: 0 both, 1 first block, 2 second block; rows of two blocks are compared across only. ``cells_of`` gives
-    the cells of rows in the tables up to this one.
+    ``side``: 0 both, 1 first block, 2 second block; rows of two blocks are compared across only.
     """
     left, right = [], []
     for i in range(0, len(x), 512):
@@ -116,21 +125,39 @@ def _links(x: np.ndarray, owns: np.ndarray, side: np.ndarray, table: int, cell:
         ok = (a < b) & (owns[a] | owns[b]) & ((side[a] == 0) | (side[a] != side[b]))
         left.append(a[ok])
         right.append(b[ok])
-    a, b = np.concatenate(left), np.concatenate(right)
-    if not len(a):
-        return a, b
-    some, number = np.unique(np.r_[a, b], return_inverse=True)
-    at = cells_of(x[some])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _close_in_small(x: np.ndarray, owns: np.ndarray, unit: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same for the rows of many small cells, each cell's rows together and under a number of its own."""
+    left, right = [], []
+    for step in range(1, len(x)):
+        a = np.flatnonzero(unit[:-step] == unit[step:])
+        if not len(a):
+            break
+        a = a[owns[a] | owns[a + step]]
+        a = a[np.einsum("ij,ij->i", x[a], x[a + step]) >= least]
+        left.append(a)
+        right.append(a + step)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _first_meetings(a: np.ndarray, b: np.ndarray, x: np.ndarray, table: np.ndarray, cell: np.ndarray, cells_of) -> np.ndarray:
+    """Which pairs meet in the row's table and cell before any other; ``cells_of`` gives the cells of vectors."""
     keep = np.ones(len(a), bool)
-    for s in range(0, len(a), 100_000):
-        p, q = at[number[: len(a)][s : s + 100_000]], at[number[len(a) :][s : s + 100_000]]
-        before = _met(p[:, :table], q[:, :table], False).any(1)
-        first, second = p[:, table], q[:, table]
+    for s in range(0, len(a), 50_000):
+        i, j = a[s : s + 50_000], b[s : s + 50_000]
+        some, number = np.unique(np.r_[i, j], return_inverse=True)
+        at = cells_of(x[some])
+        p, q, t = at[number[: len(i)]], at[number[len(i) :]], table[i]
+        before = (_met(p, q) & (np.arange(at.shape[1]) < t[:, None])).any(1)
+        first, second = p[np.arange(len(i)), t], q[np.arange(len(i)), t]
         here = np.where(  # where they meet in this table: at the first's own cell, the second's, or either
             (first[:, :1] == second).any(1), np.where((second[:, :1] == first).any(1), np.minimum(first[:, 0], second[:, 0]), first[:, 0]), second[:, 0]
         )
-        keep[s : s + 100_000] = ~before & (here == cell)
-    return a[keep], b[keep]
+        keep[s : s + 50_000] = ~before & (here == cell[i])
+    return keep
 
 
 def _unit_rows(v: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -188,19 +215,19 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, tables: int | None = N
     dealt = dealt.select("cell", "low", "high", "t", "side", "owns", "c", "n", "v").repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def count(rows: pa.Table) -> pa.RecordBatch | None:
-            rows = rows.combine_chunks()
-            c, n, owns, side = (rows.column(x).to_numpy() for x in ("c", "n", "owns", "side"))
-            cell, t = rows.column("cell")[0].as_py(), rows.column("t")[0].as_py()
+        def count(units: list[list[pa.RecordBatch]], small: bool) -> pa.RecordBatch | None:
+            rows = pa.Table.from_batches([h for held in units for h in held]).combine_chunks()
+            unit = np.repeat(np.arange(len(units)), [sum(h.num_rows for h in held) for held in units])
+            cell, t, side, owns, c, n = (rows.column(x).to_numpy() for x in ("cell", "t", "side", "owns", "c", "n"))
             links, roots = np.zeros(len(c), np.int64), c.copy()
             for pick, x in _unit_rows(rows.column("v").chunk(0)):
-                a, b = _links(x, owns[pick], side[pick], t, cell, least, lambda some: cells(some, t + 1, blocks, probes, scale))
-                if not len(a):
-                    continue
-                a, b = pick[a], pick[b]
+                a, b = _close_in_small(x, owns[pick], unit[pick], least) if small else _close(x, owns[pick], side[pick], least)
+                if len(a):
+                    ok = _first_meetings(a, b, x, t[pick], cell[pick], lambda some: cells(some, tables, blocks, probes, scale))
+                    a, b = pick[a[ok]], pick[b[ok]]
                 np.add.at(links, a, n[b])
                 np.add.at(links, b, n[a])
-                while True:  # the first class along the links of this task
+                while len(a):  # the first class along the links of this task
                     low = np.minimum(roots[a], roots[b])
                     new = roots.copy()
                     np.minimum.at(new, a, low)
@@ -211,21 +238,29 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, tables: int | None = N
             hit = links > 0
             return pa.RecordBatch.from_arrays([pa.array(c[hit]), pa.array(links[hit]), pa.array(roots[hit])], names=["c", "links", "root"]) if hit.any() else None
 
-        held: list[pa.Table] = []
-        last = None
-        for batch in batches:
-            group = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
+        held: list[pa.RecordBatch] = []  # rows of the cell that is being read
+        pool: list[list[pa.RecordBatch]] = []  # small cells
+        last, pooled = None, 0
+        for batch in itertools.chain(batches, [None]):
+            group = np.zeros((1, 3), np.int64) if batch is None else np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
             cuts = np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
-                if b > a:
-                    if last is not None and last != tuple(group[a]):
-                        if (out := count(pa.concat_tables(held))) is not None:
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)], strict=True):
+                if batch is None or last != (now := tuple(group[a].tolist())):
+                    rows = sum(h.num_rows for h in held)
+                    if held and rows <= SMALL and last[1] == last[2]:  # a part of a large cell that meets itself will do as well
+                        pool.append(held)
+                        pooled += rows
+                    elif held and (out := count([held], False)) is not None:
+                        yield out
+                    held = []
+                    if pool and (batch is None or pooled >= POOL):
+                        if (out := count(pool, True)) is not None:
                             yield out
-                        held = []
-                    last = tuple(group[a])
-                    held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
-        if held and (out := count(pa.concat_tables(held))) is not None:
-            yield out
+                        pool, pooled = [], 0
+                    if batch is None:
+                        break
+                    last = now
+                held.append(batch.slice(a, b - a))
 
     links, links_path = saved(dealt.mapInArrow(compare, "c long, links long, root long"), "vector-links")
     labels, labels_path = components(links.select(F.col("c").alias("a"), F.col("root").alias("b")), "vector-components")
