@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenelake.llm.common import bounded_batches, key, keyed_texts, mixed, remainder, slices, unkey
@@ -24,6 +24,8 @@ from scenelake.llm.common import bounded_batches, key, keyed_texts, mixed, remai
 BITS = 18
 #: Labelled rows that are learnt from, at most: those with the least hashes of their ids.
 MOST_LABELLED = 6_000
+#: Bytes of their texts, at most, but for the last of them.
+MOST_BYTES = 32 << 20
 _PAIR = struct.Struct("<QQ")
 _MARKS = re.compile(rb"[^0-9A-Za-z\x80-\xff]+")
 
@@ -100,16 +102,21 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, rounds: int
     return weights(np.arange(size)).astype(np.float32)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, divisor: int, held: int, most: int = MOST_LABELLED) -> DataFrame:
-    """(k, body, y) of at most ``most`` labelled documents that may be learnt from, half of them of either label.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, divisor: int, held: int, most: int = MOST_LABELLED, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(k, body, y) of at most ``most`` labelled documents that may be learnt from, half of them of either label, and
+    of so many of these as have ``most_bytes`` of text: the sample is bounded, as one task learns from it.
 
     The ids and labels taken are so few that they are broadcast; texts are not shuffled. Null labels and ids teach
-    nothing; of several labels of one id the largest counts.
+    nothing; of several labels of one id the largest counts; rows that repeat an id are all taken.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (remainder(divisor) != held))
     usable = usable.groupBy(key().alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
     halves = [usable.where(y).orderBy(F.xxhash64("k"), "k").limit(most // 2) for y in ("y <= 0", "y > 0")]
     taken = halves[0].unionByName(halves[1])
+    sizes = keyed_texts(docs).select("k", F.octet_length("body").cast("long").alias("size")).join(F.broadcast(taken), "k")
+    sizes = sizes.groupBy("k", "y").agg(F.sum("size").alias("size"))  # a row for each of the few taken
+    before = F.sum("size").over(Window.orderBy(F.xxhash64("k"), "k")) - F.col("size")
+    taken = sizes.withColumn("before", before).where(F.col("before") < most_bytes).select("k", "y")
     return keyed_texts(docs).join(F.broadcast(taken), "k")
 
 

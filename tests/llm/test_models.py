@@ -70,6 +70,14 @@ def test_quality_is_learnt_from_text_alone(spark):
     assert kept == {i for i, r in out.items() if r["predicted"]}
 
 
+def test_the_sample_is_bounded_in_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(200)] + [(7, "y" * 100), (None, "z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    of = lambda **bounds: quality.labelled(docs, labels, "quality", 10**9, -1, **bounds).collect()
+    assert len(of()) == 201 and collections.Counter(r["y"] for r in of(most=40)) in ({0: 20, 1: 20}, {0: 20, 1: 21})
+    assert 20 <= len(of(most_bytes=2000)) <= 22 and len(of(most_bytes=1)) in (1, 2)
+
+
 def test_noisy_or_equals_plain_loops():
     rng = np.random.default_rng(5)
     rows = []
