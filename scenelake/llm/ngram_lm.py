@@ -2,7 +2,8 @@
 
 A model is a folder of files of plain little-endian arrays, each file a range of hashes:
 
-* ``word-B``: sorted 64-bit hashes of the training tokens and their counts. A word's number is its place among all.
+* ``word-B``: sorted 64-bit hashes of the training tokens, their counts and their numbers: 0 for the most frequent word,
+  then 1 and so on, so that blocks of grams, which are sorted by the numbers in them, compress well.
 * ``top-B`` (order 3): sorted hashes of word triples, 48 bits each, and how often each occurs; B is a range of the
   hashes of their first two words, so all that follows a context is in one file.
 * ``context-B`` (order 3): for the contexts that occur more than once, how often, and how many words follow them once,
@@ -12,8 +13,8 @@ A model is a folder of files of plain little-endian arrays, each file a range of
 * ``stat-B``: for each word the same about the pairs that it begins, and how many words stand before it.
 
 Texts are read twice: to count words, and to turn them into word numbers, which are stored. Counting then is a shuffle
-of blocks of sorted grams for each order and one of word statistics; tasks add up what they can before. Word pairs are
-exact, being mixed by a bijection of their two numbers; triples and words are 64-bit hashes. Counts have no upper limit:
+of blocks of sorted grams for each order and one of word statistics; tasks add up what they can before. Words are known
+by 64-bit hashes, pairs are counted exactly, and files keep 48 bits of the hashes of pairs and triples. Counts have no upper limit:
 those of 255 and more stand in lists of their own. Workers map the files, so a machine's workers share the pages.
 """
 
@@ -28,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import NULL_ID, WordHashes, bounded_batches, keyed_texts, mapped_arrays, mixed, partitions, remainder, remove, saved, scratch_path, slices, stable_order, unkey, write_arrays
+from scenelake.llm.common import NULL_ID, WordHashes, bounded_batches, keyed_texts, mapped_arrays, mixed, partitions, ranked, remainder, remove, saved, scratch_path, slices, stable_order, unkey, write_arrays
 
 #: Tokens that a task holds before it adds up their grams, and that a file holds about.
 HELD = 3_000_000
@@ -37,18 +38,10 @@ BLOCK = 1 << 18
 END = b"\n"  # no word holds a line feed
 #: The number of a word that training has not seen.
 UNKNOWN = 2**32 - 1
-_A, _B, _C = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD1342543DE82EF95
+_C = 0xD1342543DE82EF95
 _KINDS = ("n1", "n2", "n3", "total")
 
 
-def unmixed(h: np.ndarray) -> np.ndarray:
-    """The inverse of mixed()."""
-    undo = lambda x, s: x ^ (x >> np.uint64(s)) ^ (x >> np.uint64(2 * s)) if 3 * s > 63 else x ^ (x >> np.uint64(s)) ^ (x >> np.uint64(2 * s)) ^ (x >> np.uint64(3 * s))
-    h = undo(h, 31) * np.uint64(pow(_B, -1, 1 << 64))
-    h = undo(h, 27) * np.uint64(pow(_A, -1, 1 << 64))
-    return undo(h, 30)
-
-
 def _power(n: float) -> int:
     return max(0, int(np.ceil(np.log2(max(1.0, n)))))
 
@@ -150,8 +143,8 @@ class Grams:
 class Vocabulary:
     """Numbers and counts of words by their hashes."""
 
-    def __init__(self, uri: str, sizes: list[int]):
-        self.uri, self.bits, self.first = uri, (len(sizes) - 1).bit_length(), np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    def __init__(self, uri: str, bits: int):
+        self.uri, self.bits = uri, bits
         self.open: dict[int, dict] = {}
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +162,7 @@ class Vocabulary:
                 have = self.open[f]["hash"]
                 at = np.minimum(np.searchsorted(have, unique[a:b]), len(have) - 1)
                 hit = np.flatnonzero(have[at] == unique[a:b])
-                number[a + hit], count[a + hit] = self.first[f] + at[hit], self.open[f]["count"][at[hit]]
+                number[a + hit], count[a + hit] = self.open[f]["number"][at[hit]], self.open[f]["count"][at[hit]]
         return number[back], count[back]
 
 
@@ -191,11 +184,11 @@ def _before(numbers: np.ndarray, sizes: np.ndarray, start: int, steps: int) -> n
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mixed(a << np.uint64(32) | b)
+    return a << np.uint64(32) | b
 
 
 def _triples(context: np.ndarray, numbers: np.ndarray, bits: int) -> np.ndarray:
-    """Keys of triples: the file of the context, and 48 bits of a hash of all three."""
+    """Keys of triples, from the mixed pair before and a word: the file of the pair, and 48 bits of a hash of all three."""
     h = mixed(context * np.uint64(_C) + numbers)
     return _file(context, bits).astype(np.uint64) << np.uint64(48) | h >> np.uint64(16)
 
@@ -214,12 +207,20 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[li
         yield last, [list(c) for c in zip(*held, strict=True)]
 
 
-def _blobs(keys: np.ndarray, bits: int, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(b, blob) of sorted keys and what belongs to them, by file."""
-    cuts = np.r_[0, np.flatnonzero(np.diff(_file(keys, bits))) + 1, len(keys)]
+def _dealt(pairs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, cuts): pairs by their file, those of a file in the order they had; and where files begin and end."""
+    files = _file(mixed(pairs), bits).astype(np.uint16)
+    order = np.argsort(files, kind="stable")
+    return order, np.r_[0, np.flatnonzero(np.diff(files[order].astype(np.int64))) + 1, len(pairs)]
+
+
+def _blobs(pairs: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """(b, blob) of sorted pairs and their counts, by file."""
+    order, cuts = _dealt(pairs, bits)
+    pairs, counts = pairs[order], counts[order]
     for a, b in itertools.pairwise(cuts.tolist()):
         if b > a:
-            yield pa.RecordBatch.from_arrays([pa.array([int(_file(keys[a : a + 1], bits)[0])]), pa.array([_squeezed(*(x[a:b] for x in (keys, *more)))], pa.binary())], names=["b", "blob"])
+            yield pa.RecordBatch.from_arrays([_file(mixed(pairs[a : a + 1]), bits), pa.array([_squeezed(pairs[a:b], counts[a:b])], pa.binary())], names=["b", "blob"])
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -242,7 +243,7 @@ def _sums(rows: DataFrame, names: list[str]) -> dict[str, int]:
 
 
 def _count_words(bodies: DataFrame, model: Model) -> None:
-    """Writes the word files and sets sizes, n_words and n_tokens."""
+    """Writes the word files and sets word_bits, n_words and n_tokens, and bits, which make as many files of grams."""
     bits, uri = min(16, _power(partitions(bodies.sparkSession))), model.uri
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,49 +269,50 @@ def _count_words(bodies: DataFrame, model: Model) -> None:
             yield from flush()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def files() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-            last, h, n = None, [], []
-            for batch in batches:
-                b, hs, ns = (c.to_numpy() for c in batch.columns)
-                for i, j in itertools.pairwise([0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)]):
-                    if j > i:
-                        if last is not None and b[i] != last:
-                            yield last, np.concatenate(h), np.concatenate(n)
-                            h, n = [], []
-                        last = int(b[i])
-                        h.append(hs[i:j])
-                        n.append(ns[i:j])
-            if h:
-                yield last, np.concatenate(h), np.concatenate(n)
-
-        for b, h, n in files():
+        def made(b: int, held: list) -> pa.RecordBatch:
+            h, n, number = (np.concatenate([x[i] for x in held]) for i in (0, 1, 2))
             order = np.argsort(h.view(np.uint64))
-            write_arrays(uri, f"word-{b:05d}", {"hash": h.view("<u8")[order], "count": n.astype("<u8")[order]})
-            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([len(h)]), pa.array([int(n.sum())])], names=["b", "words", "tokens"])
-
-    words = bodies.mapInArrow(count, "b long, h long, n long").groupBy("b", "h").agg(F.sum("n").alias("n"))
-    words = words.repartition("b").sortWithinPartitions("b").mapInArrow(write, "b long, words long, tokens long").collect()
-    sizes = dict.fromkeys(range(1 << bits), 0) | {r["b"]: r["words"] for r in words}
-    model.sizes = [sizes[b] for b in range(1 << bits)]
-    model.n_words, model.n_tokens = sum(model.sizes), sum(r["tokens"] for r in words)
+            write_arrays(uri, f"word-{b:05d}", {"hash": h.view("<u8")[order], "count": n.astype("<u8")[order], "number": number.astype("<u4")[order]})
+            return pa.RecordBatch.from_arrays([pa.array([len(h)]), pa.array([int(n.sum())])], names=["words", "tokens"])
+
+        last, held = None, []
+        for batch in batches:
+            b, *columns = (c.to_numpy() for c in batch.columns)
+            for i, j in itertools.pairwise([0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)]):
+                if j > i:
+                    if held and b[i] != last:
+                        yield made(last, held)
+                        held = []
+                    last = int(b[i])
+                    held.append([c[i:j] for c in columns])
+        if held:
+            yield made(last, held)
+
+    words, words_path = saved(bodies.mapInArrow(count, "b long, h long, n long").groupBy("b", "h").agg(F.sum("n").alias("n")), "words")
+    numbers, numbers_path = ranked(words.withColumn("less", -F.col("n")), "less", "h", name="words-ranked")
+    dealt = numbers.select("b", "h", "n", "rank").repartition("b").sortWithinPartitions("b")
+    made, made_path = saved(dealt.mapInArrow(write, "words long, tokens long"), "words-made")
+    found = _sums(made, ["words", "tokens"])
+    remove(bodies.sparkSession, words_path, numbers_path, made_path)
+    model.word_bits, model.n_words, model.n_tokens = bits, found["words"], found["tokens"]
     if model.n_words >= UNKNOWN - 1:
         raise ValueError("the vocabulary needs wider numbers")
     model.bits = min(16, _power(model.n_tokens / HELD))
 
 
 def _numbered(docs: DataFrame, model: Model, divisor: int, held: int) -> tuple[DataFrame, str]:
-    """(k, held_out, n_tokens, n_known, base_score, numbers) of every document, stored; numbers are 32-bit."""
-    uri, sizes_, n, v = model.uri, model.sizes, model.n_tokens, model.n_words
+    """(k, held_out, n_tokens, n_known, base_score, numbers) of every document, stored; numbers are 32-bit, byte by byte."""
+    uri, bits, n, v = model.uri, model.word_bits, model.n_tokens, model.n_words
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table = WordHashes(), Vocabulary(uri, sizes_)
+        known, table = WordHashes(), Vocabulary(uri, bits)
         for batch in batches:
             for some in slices(batch):
                 hashes, sizes = _token_hashes(some.column(1).to_pylist(), known)
                 numbers, counts = table.find(hashes)
                 first = np.r_[0, np.cumsum(sizes)[:-1]]
-                raw, stops = memoryview(numbers.astype("<u4")).cast("B"), (4 * np.cumsum(sizes)).tolist()
-                lists = pa.array([bytes(raw[b - 4 * m : b]) for b, m in zip(stops, sizes.tolist(), strict=True)], pa.binary())
+                raw, stops = numbers.astype("<u4").view(np.uint8).reshape(-1, 4), np.cumsum(sizes).tolist()
+                lists = pa.array([raw[b - m : b].T.tobytes() for b, m in zip(stops, sizes.tolist(), strict=True)], pa.binary())
                 total = lambda x: pa.array(np.add.reduceat(x, first))  # noqa: B023, E731
                 base = np.log10((counts + 1.0) / (n + v + 1.0))
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(sizes), total((counts > 0).astype(np.int64)), total(base), lists], names=["k", "held_out", "n_tokens", "n_known", "base_score", "numbers"])
@@ -329,7 +331,8 @@ def _batches_of_numbers(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[
     for batch in batches:
         for some in slices(batch, batch.schema.names[at]):
             raw = some.column(at).to_pylist()
-            yield some, np.frombuffer(b"".join(raw), "<u4").astype(np.uint64), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+            flat = b"".join(np.frombuffer(r, np.uint8).reshape(4, -1).T.tobytes() for r in raw)
+            yield some, np.frombuffer(flat, "<u4").astype(np.uint64), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
 
 
 def _write_top(rows: DataFrame, model: Model) -> tuple[DataFrame, list[str]]:
@@ -342,16 +345,18 @@ def _write_top(rows: DataFrame, model: Model) -> tuple[DataFrame, list[str]]:
         def flush() -> Iterator[pa.RecordBatch]:
             context, numbers = (np.concatenate([h[i] for h in held]) for i in (0, 1))
             contexts, rank = _unique(context)
-            both = np.sort(rank.astype(np.uint64) << np.uint64(32) | numbers)
+            order, cuts = _dealt(contexts, bits)
+            contexts, place = contexts[order], np.empty(len(order), np.uint64)
+            place[order] = np.arange(len(order), dtype=np.uint64)
+            both = np.sort(place[rank] << np.uint64(32) | numbers)
             first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
             counts, both = np.diff(np.r_[first, len(both)]), both[first]
             follow = np.searchsorted(both >> np.uint64(32), np.arange(len(contexts) + 1, dtype=np.uint64))
-            cuts = np.r_[0, np.flatnonzero(np.diff(_file(contexts, bits))) + 1, len(contexts)]
             for a, b in itertools.pairwise(cuts.tolist()):
                 if b > a:
                     i, j = follow[a], follow[b]
                     blob = _squeezed(contexts[a:b], np.diff(follow[a : b + 1]), both[i:j] & np.uint64(0xFFFFFFFF), counts[i:j])
-                    yield pa.RecordBatch.from_arrays([pa.array([int(_file(contexts[a : a + 1], bits)[0])]), pa.array([blob], pa.binary())], names=["b", "blob"])
+                    yield pa.RecordBatch.from_arrays([_file(mixed(contexts[a : a + 1]), bits), pa.array([blob], pa.binary())], names=["b", "blob"])
 
         for _, numbers, sizes in _batches_of_numbers(batches, 0):
             one, two = (_before(numbers, sizes, start, i) for i in (1, 2))
@@ -373,19 +378,20 @@ def _write_top(rows: DataFrame, model: Model) -> tuple[DataFrame, list[str]]:
             contexts, rank = _unique(np.concatenate(context))
             both, counts = _summed(rank.astype(np.uint64) << np.uint64(32) | np.concatenate(numbers), np.concatenate(counts))
             rank, numbers = (both >> np.uint64(32)).astype(np.int64), both & np.uint64(0xFFFFFFFF)
-            keys = _triples(contexts[rank], numbers, bits)
+            keys = _triples(mixed(contexts)[rank], numbers, bits)
             order = stable_order(keys)
             write_arrays(uri, f"top-{f:05d}", _keys48(keys[order]) | _counted("count", counts[order]))
             stats = {"total": np.bincount(rank, counts, len(contexts)).astype(np.int64)}
             stats |= {f"n{i}": np.bincount(rank, np.minimum(counts, 3) == i, len(contexts)).astype(np.int64) for i in (1, 2, 3)}
-            middle = unmixed(contexts)
-            kept = np.flatnonzero((stats["total"] > 1) | (middle & np.uint64(0xFFFFFFFF) == start))
-            columns = {k: x for n in _KINDS for k, x in _counted(n, stats[n][kept]).items()}
-            write_arrays(uri, f"context-{f:05d}", _keys48(_composite(contexts[kept], bits)) | columns)
+            last = contexts & np.uint64(0xFFFFFFFF)
+            kept = np.flatnonzero((stats["total"] > 1) | (last == start))
+            hashes = mixed(contexts[kept])
+            order = stable_order(hashes)
+            columns = {k: x for n in _KINDS for k, x in _counted(n, stats[n][kept][order]).items()}
+            write_arrays(uri, f"context-{f:05d}", _keys48(_composite(hashes[order], bits)) | columns)
             made = [np.count_nonzero(counts == i) for i in (1, 2, 3, 4)]
-            ends = _pairs(middle[rank] & np.uint64(0xFFFFFFFF), numbers)
-            ends, times = _summed(ends, np.ones(len(ends), np.int64))
-            for i, row in enumerate(_blobs(ends, bits, times)):
+            ends, times = _summed(_pairs(last[rank], numbers), np.ones(len(rank), np.int64))
+            for i, row in enumerate(_blobs(ends, times, bits)):
                 yield pa.RecordBatch.from_arrays([*row.columns, *[pa.array([0 if i else int(x)]) for x in made]], names=["b", "blob", "n1", "n2", "n3", "n4"])
 
     blobs = rows.select("numbers").mapInArrow(count, "b long, blob binary").repartition(1 << bits, "b").sortWithinPartitions("b")
@@ -410,10 +416,10 @@ def _raw_pairs(rows: DataFrame, model: Model) -> DataFrame:
             held.append(_pairs(_before(numbers, sizes, start, 1), numbers))
             n += len(numbers)
             if n >= HELD:
-                yield from _blobs(*(lambda k, c: (k, bits, c))(*_summed(np.concatenate(held), np.ones(n, np.int64))))
+                yield from _blobs(*_summed(np.concatenate(held), np.ones(n, np.int64)), bits)
                 held, n = [], 0
         if held:
-            yield from _blobs(*(lambda k, c: (k, bits, c))(*_summed(np.concatenate(held), np.ones(n, np.int64))))
+            yield from _blobs(*_summed(np.concatenate(held), np.ones(n, np.int64)), bits)
 
     return rows.select("numbers").mapInArrow(count, "b long, blob binary")
 
@@ -426,9 +432,10 @@ def _write_pairs(blobs: DataFrame, model: Model) -> None:
         for f, (_, found) in _by_bucket(batches):
             parts = [_loosened(x) for x in found]
             keys, counts = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
-            write_arrays(uri, f"pair-{f:05d}", _keys48(_composite(keys, bits)) | _counted("count", counts))
-            plain = unmixed(keys)
-            first, second = (plain >> np.uint64(32)).astype(np.int64), (plain & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            hashes = mixed(keys)
+            order = stable_order(hashes)
+            write_arrays(uri, f"pair-{f:05d}", _keys48(_composite(hashes[order], bits)) | _counted("count", counts[order]))
+            first, second = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
             # rows: number * 5 + what is counted: pairs that a word begins, seen once, twice, more, and their sum; pairs it ends
             rows, times = _summed(np.r_[first * 5 + np.minimum(counts, 3) - 1, first * 5 + 3, second * 5 + 4].astype(np.uint64), np.r_[np.ones(len(first), np.int64), counts, np.ones(len(first), np.int64)])
             block = (rows // np.uint64(5 * BLOCK)).astype(np.int64)
@@ -486,7 +493,7 @@ def _probabilities(model: Model, numbers: np.ndarray, sizes: np.ndarray, files:
     start, v, bits = model.n_words, model.n_words, model.bits
     one = _before(numbers, sizes, start, 1)
     first = np.r_[0, np.cumsum(sizes)[:-1]]
-    pairs, number = _unique(_composite(_pairs(one, numbers), bits))
+    pairs, number = _unique(_composite(mixed(_pairs(one, numbers)), bits))
     count = files["pair"].find(pairs)["count"][number]
 
     def of(name: str, words: np.ndarray) -> np.ndarray:
@@ -513,13 +520,13 @@ def _probabilities(model: Model, numbers: np.ndarray, sizes: np.ndarray, files:
     seen = files["pair"].find(pairs)["count"] > 0
     alone = seen & (context["total"] == 0)
     context["n1"], context["total"] = context["n1"] + alone, context["total"] + alone
-    starts = _composite(_pairs(np.array([start], np.uint64), np.array([start], np.uint64)), bits)
+    starts = _composite(mixed(_pairs(np.array([start], np.uint64), np.array([start], np.uint64))), bits)
     begin = files["context"].find(starts)
     at = np.r_[0, number[:-1]]
     stats = {n: context[n][at] for n in _KINDS}
     for n in _KINDS:
         stats[n][first] = begin[n][0]
-    keys, number = _unique(_triples(_pairs(_before(numbers, sizes, start, 2), one), numbers, bits))
+    keys, number = _unique(_triples(mixed(_pairs(_before(numbers, sizes, start, 2), one)), numbers, bits))
     count, d = files["top"].find(keys)["count"][number], model.top_discounts
     left = sum(stats[f"n{i}"] * d[i] for i in (1, 2, 3))
     return np.where(stats["total"] > 0, (np.maximum(count - d[np.minimum(count, 3)], 0) + left * p) / np.maximum(stats["total"], 1), p)

@@ -7,7 +7,8 @@ _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 OP1 = """
 WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 n AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
-w AS MATERIALIZED (SELECT doc_id, pos, hash(substr(h, 2 * pos + 1, 200)) AS g FROM n, unnest(range(n - 99)) t(pos)),
+s AS MATERIALIZED (SELECT doc_id, base, substr(h, 2 * base + 1, 2198) AS x FROM n, unnest(range(0, n, 1000)) t(base)),
+w AS MATERIALIZED (SELECT doc_id, base + i AS pos, hash(substr(x, 2 * i + 1, 200)) AS g FROM s, unnest(range(least(1000, length(x) // 2 - 99))) t(i)),
 f AS (SELECT g, min((doc_id, pos)) AS first FROM w GROUP BY g HAVING count(*) > 1),
 late AS MATERIALIZED (SELECT doc_id, pos FROM w JOIN f USING (g) WHERE (doc_id, pos) > first),
 edge AS (SELECT *, coalesce(pos > lag(pos) OVER p + 100, true) AS new FROM late WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),

@@ -71,7 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = oracles.SQL | {
     "op5_embedding_dedup": """
 WITH RECURSIVE v AS (
-  SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], x -> x * x))) AS n FROM embeddings),
+  SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum([x * x for x in embedding::DOUBLE[]])) AS n FROM embeddings),
 good AS (SELECT * FROM v WHERE n > 0 AND isfinite(n)),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id
   WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
