@@ -115,9 +115,10 @@ def unproject(d: Column, u: Column, v: Column, k: Column, focal: Column | None =
     return (u - k[2]) * d / fx, (v - k[5]) * d / fy, d
 
 
-def pixel_ray(k: Column, u: Column, v: Column) -> tuple[Column, Column, Column]:
-    """Ray through a pixel's centre by the inverse intrinsics, not of unit length; its last coordinate is 1."""
-    return tuple(apply_transform(inverse3(k), [u + 0.5, v + 0.5, F.lit(1.0)], 3))
+def pixel_ray(inverse: Column, u: Column, v: Column) -> tuple[Column, Column, Column]:
+    """Ray through a pixel's centre by the inverse intrinsics (made once a camera by inverse3), not of unit length; its
+    last coordinate is 1."""
+    return tuple(apply_transform(inverse, [u + 0.5, v + 0.5, F.lit(1.0)], 3))
 
 
 def slopes(x: Column, y: Column, z: Column) -> tuple[Column, Column]:
@@ -125,9 +126,9 @@ def slopes(x: Column, y: Column, z: Column) -> tuple[Column, Column]:
     return x / (z + 1e-6), y / (z + 1e-6)
 
 
-def plucker(pose: Column, k: Column, u: Column, v: Column) -> tuple[Column, ...]:
+def plucker(pose: Column, inverse: Column, u: Column, v: Column) -> tuple[Column, ...]:
     """Unit direction of a pixel's ray in the world, and its moment about the world's origin."""
-    x, y, z = pixel_ray(k, u, v)
+    x, y, z = pixel_ray(inverse, u, v)
     turned = [at(pose, i, 0) * x + at(pose, i, 1) * y + at(pose, i, 2) * z for i in range(3)]
     direction = unit(*turned)
     return *direction, *cross(tuple(at(pose, i, 3) for i in range(3)), direction)

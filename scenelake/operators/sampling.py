@@ -32,7 +32,8 @@ def assign_chunks(frames: DataFrame, size: int = 16, overlap: int = 6, table: Da
 
     A frame is repeated for each of its chunks, which are at most size / (size - overlap), rounded up. The length of a
     scene is its largest frame number plus 1 in ``table`` (a narrow table of frames, so that wide rows are not
-    counted), or in the rows themselves; it is one row a scene, and joins them.
+    counted), or in the rows themselves; it is one row a scene, and joins them. Rows with a null scene or frame are
+    left out; repeated rows are all assigned.
     """
     if not 0 < overlap < size:
         raise ValueError("0 < overlap < size is needed")

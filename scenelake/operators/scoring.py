@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,6 +33,18 @@ def score_batches(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame],
     return df.mapInPandas(run, schema)
 
 
+def _checkpointed(spark: SparkSession) -> None:
+    """Sees to a folder for checkpoints: the session's, or a new local one where all runs in one process."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+    spark.sparkContext.setCheckpointDir(base)
+
+
 def score_in_order(chunked: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], schema: str, inject: tuple[str, ...], overlap: int = 6, threshold: float = 0.05) -> DataFrame:
     """Runs ``scorer`` chunk after chunk, each with what the one before found for the frames they share.
 
@@ -42,6 +56,7 @@ def score_in_order(chunked: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataF
     unknown = set(inject) - {"pose", "depth", "ray", "intrinsic"}
     if unknown:
         raise ValueError(f"cannot inject {sorted(unknown)}")
+    _checkpointed(chunked.sparkSession)
     kinds = [k for k in ("pose", "depth", "ray") if k in inject or (k == "ray" and "intrinsic" in inject)]
     last = chunked.agg(F.max("chunk")).first()[0]
     done, before = None, None

@@ -49,7 +49,9 @@ def warp(px: DataFrame, pairs: DataFrame, k: tuple[float, float, float, float],
 
     px: scene, frame, v, u, d. pairs: scene, frame, other, m (4x4 from frame to other). k: fx, fy, cx, cy. A pixel
     counts if its depth is positive, it falls strictly inside the other image and the depth seen there differs by less
-    than ``threshold``, or weighs exp(-error / soft). ``mode`` bilinear or nearest; outside the image depths are 0.
+    than ``threshold``, or weighs exp(-error / soft). ``mode`` bilinear or nearest; outside the image depths are 0. A
+    pixel with a null depth, or of a frame with a null matrix, has null places and does not count; frames without a
+    pair have no rows; pixels that occur twice count twice.
     """
     if mode not in ("bilinear", "nearest"):
         raise ValueError(f"unknown mode {mode}")
@@ -73,7 +75,7 @@ def warp(px: DataFrame, pairs: DataFrame, k: tuple[float, float, float, float],
     )
     error = F.when(F.col("bd") != 0, F.abs(F.try_divide(F.col("bd") - F.col("z"), F.col("bd")))).otherwise(float("inf"))
     inside = (F.col("px") > 0) & (F.col("px") < width - 1) & (F.col("py") > 0) & (F.col("py") < height - 1) & (F.col("d") > 0)
-    mask = inside & (F.col("error") < threshold) if soft is None else F.when(inside, F.exp(-F.col("error") / soft)).otherwise(0.0)
+    mask = F.coalesce(inside & (F.col("error") < threshold), F.lit(False)) if soft is None else F.coalesce(F.when(inside, F.exp(-F.col("error") / soft)), F.lit(0.0))
     return got.withColumn("error", error).select("scene", "frame", "other", "v", "u", (2 * F.col("px") / width - 1).alias("wx"), (2 * F.col("py") / height - 1).alias("wy"), "error", mask.alias("mask"))
 
 

@@ -160,7 +160,8 @@ rd AS (SELECT *, sqrt(a * a + b * b + 1) AS n FROM ry), dr AS (SELECT *, (c * a
 SELECT scene, frame, v, u, {_r('dx', 'dx')}, {_r('dy', 'dy')}, {_r('dz', 'dz')}, {_r('-tz * dy', 'mx')}, {_r('tz * dx - tx * dz', 'my')}, {_r('tx * dy', 'mz')} FROM dr""")
 def plucker_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit directions through pixel centres and their moments about the world's origin."""
-    px = views.with_cameras(pixels(spark, sf_dir).select("scene", "frame", "v", "u"), cameras(frames(spark, sf_dir)))
+    inverse = cameras(frames(spark, sf_dir)).withColumn("k", geo.inverse3(F.col("k")))
+    px = views.with_cameras(pixels(spark, sf_dir).select("scene", "frame", "v", "u"), inverse)
     ray = geo.plucker(F.col("pose"), F.col("k"), F.col("u"), F.col("v"))
     return px.select("scene", "frame", "v", "u", *[r4(x, n) for x, n in zip(ray, ("dx", "dy", "dz", "mx", "my", "mz"), strict=True)])
 

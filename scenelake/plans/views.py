@@ -43,7 +43,8 @@ def global_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_PX + f"SELECT scene, frame, v, u, {_r('(u + 0.5::DOUBLE - 3.5) / 8 / (1 + 1e-6::DOUBLE)', 'sx')}, {_r('(v + 0.5::DOUBLE - 3.5) / 8 / (1 + 1e-6::DOUBLE)', 'sy')} FROM px")
 def ray_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rays through pixel centres by the inverse intrinsics, as slopes."""
-    px = views.with_cameras(pixels(spark, sf_dir).select("scene", "frame", "v", "u"), cameras(frames(spark, sf_dir)))
+    inverse = cameras(frames(spark, sf_dir)).withColumn("k", geo.inverse3(F.col("k")))
+    px = views.with_cameras(pixels(spark, sf_dir).select("scene", "frame", "v", "u"), inverse)
     sx, sy = geo.slopes(*geo.pixel_ray(F.col("k"), F.col("u"), F.col("v")))
     return px.select("scene", "frame", "v", "u", r4(sx, "sx"), r4(sy, "sy"))
 
@@ -218,8 +219,6 @@ def _following(rows: pd.DataFrame) -> pd.DataFrame:
 SELECT scene, chunk, frame, {_r('CASE WHEN NOT again THEN e[1]::DOUBLE WHEN e[1] > 0 THEN e[1]::DOUBLE + 1 ELSE 1 END', 'depth')} FROM ch JOIN fr USING (scene, frame)""")
 def ordered_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scorer of the user's whose chunks get the depths that the chunk before found sure, and 0 for the others."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/spark-checkpoints"))
     chunked = sampling.assign_chunks(frames(spark, sf_dir), table=frames(spark, sf_dir)).withColumnRenamed("e", "input_e")
     out = scoring.score_in_order(chunked, _following, "scene long, chunk long, frame long, depth double, conf double", ("depth",))
     return out.select("scene", "chunk", "frame", r4("depth", "depth"))
