@@ -9,13 +9,14 @@ from scenelake.llm.queries import ORACLE_SQL, QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(n for n in ORACLE_SQL if n != "op5_embedding_dedup"))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = con.execute(ORACLE_SQL[name]).df().sort_values("doc_id").reset_index(drop=True)
-    got = QUERIES[name](spark, SF).toPandas().sort_values("doc_id").reset_index(drop=True)
+    by = "vec_id" if "vec_id" in ORACLE_SQL[name] else "doc_id"
+    want = con.execute(ORACLE_SQL[name]).df().sort_values(by).reset_index(drop=True)
+    got = QUERIES[name](spark, SF).toPandas().sort_values(by).reset_index(drop=True)
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want) > 0
     for c in got.columns:
         same = np.isclose(got[c], want[c], rtol=1e-9, atol=0) if got[c].dtype == float else got[c] == want[c]
