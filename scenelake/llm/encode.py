@@ -80,7 +80,7 @@ class Pieces(dict):
 class Encoder:
     """Encodes lists of texts to little-endian uint32 ids."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -50,7 +50,7 @@ class _Words(dict):
     """Hashes of the folded word and of its form, as 16 bytes, for a bounded number of words at once."""
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= 400_000:
+        if len(self) >= 250_000:
             self.clear()
         value = self[word] = _PAIR.pack(xxhash.xxh3_64_intdigest(word.lower()), _form(word))
         return value

@@ -5,7 +5,7 @@ pass a group of equal suffixes is exactly one repeated window. The digits are th
 extends the prefix by one digit: suffixes are dealt by a hash of their first 33, 66 and at last all 100 bytes, and what
 is alone in its group is unique and leaves the sort with all that it could have become.
 
-Texts are packed once, in the order of ids, into chunks of about 2 MiB, and a pass never moves a suffix: a chunk sends
+Texts are packed once, in the order of ids, into chunks of about 1 MiB, and a pass never moves a suffix: a chunk sends
 the sorted distinct prefix hashes of its suffixes, as differences, to the tasks that own ranges of hashes, and gets one
 bit for each back. So a passage counts once a chunk however often it stands there, no group is ever gathered, and a hot
 passage brings its owner no more than one hash from each chunk.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from scenelake.llm.common import bounded_batches, fresh, hashed_texts, key, mixed, partitions, remove, saved, stable_order, text_hash, unkey
 
 #: Bytes of text in a chunk; a longer text is cut, its parts overlapping by a window less one byte.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Hashes that an owner's task looks at together, about.
 OWNED = 4_000_000
 #: One suffix in 2**SAMPLE takes part in the first two passes.
