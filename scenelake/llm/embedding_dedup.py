@@ -35,8 +35,8 @@ SMALL, POOL = 64, 8_000
 #: Chances, at these settings and a cosine of 0.95, that a block has the same point, and that only a probe finds it
 #: (measured on random pairs); and of how many more vectors another block makes up for.
 _SAME, _PROBED, _PER_BLOCK = 0.375, 0.41, 150
-#: Up to so many vectors one block is enough.
-ONE_BLOCK = 20_000
+#: Up to so many vectors one block is enough: each then meets some seventy strangers, as it does at any size.
+ONE_BLOCK = 2_000
 
 
 def plan(n: int, missed: float = 1e-4) -> tuple[int, int]:
