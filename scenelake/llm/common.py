@@ -159,10 +159,18 @@ def remainder(divisor: int, id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+#: Rows of a key that one task may always hold.
+TASK_ROWS = 64
+
+
 def hot_keys(df: DataFrame, key: str, count: str) -> list:
-    """Keys with more than a thousandth of the rows that ``count`` counts; df has one row a key. At most 1,000."""
+    """Keys with more rows, by ``count``, than a quarter of what a task holds on average; df has one row a key.
+
+    They are at most four times the tasks of a shuffle. Keys of at most TASK_ROWS rows are never among them.
+    """
     total = df.agg(F.sum(count)).first()[0] or 0
-    return [r[0] for r in df.where((F.col(count) * 1000 > total) & (F.col(count) > 1)).select(key).collect()]
+    least = max(TASK_ROWS, total // (4 * partitions(df.sparkSession)))
+    return [r[0] for r in df.where(F.col(count) > least).select(key).collect()]
 
 
 #: Tasks over which the rows of a frequent key are spread.
@@ -172,16 +180,19 @@ SALTS = 256
 def attach(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
     """left join right on ``key``, of which ``right`` has one row each and ``left`` has no nulls.
 
-    Keys with more than a thousandth of the left rows are at most a thousand. Their left rows are dealt to SALTS groups
-    by a hash of the whole row, and their right rows are repeated for each, so no key brings all its rows to one task.
-    ``hot`` names those keys where they are known.
+    Keys that hold more than a fair share of a task (hot_keys) are at most four times the tasks. Their left rows are
+    dealt to SALTS groups by a hash of the whole row, and their right rows are repeated for each, so no key brings all
+    its rows to one task. ``hot`` names those keys where they are known.
     """
     hot = hot_keys(left.groupBy(key).count(), key, "count") if hot is None else hot
     if not hot:
         return left.join(right, key, how)
-    is_hot, salt = F.col(key).isin(hot), f"_salt_{key}"
-    left = left.withColumn(salt, F.when(is_hot, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(SALTS))).otherwise(0))
-    right = right.withColumn(salt, F.explode(F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
+    spark, salt, flag = left.sparkSession, f"_salt_{key}", f"_hot_{key}"
+    keys = F.broadcast(spark.createDataFrame([(k,) for k in hot], left.select(key).schema).withColumn(flag, F.lit(True)))
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(SALTS))
+    left = left.join(keys, key, "left").withColumn(salt, F.when(F.col(flag), spread).otherwise(0)).drop(flag)
+    every = F.when(F.col(flag), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    right = right.join(keys, key, "left").withColumn(salt, F.explode(every)).drop(flag)
     return left.join(right, [key, salt], how).drop(salt)
 
 
@@ -340,7 +351,7 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     Tasks first hang what their own edges join on its smallest node, which shortens long paths. Each round then hooks
     every node to the smallest label among its neighbours and follows labels twice; each round is written to the shared
     folder. The rows per round stay below those of the edges; nothing reaches the driver but whether a label changed
-    and which labels stand for more than a thousandth of the nodes. Joins by such a label are spread over many tasks.
+    and which labels stand for more nodes than a quarter of a task's share. Joins by such a label are spread over many tasks.
     Edges to the node itself or with nulls say nothing. Raises if ``rounds`` are not enough (labels settle in about
     the logarithm of the longest path).
     """
@@ -356,7 +367,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         if not total[1]:
             remove(spark, kept)
             return labels.select("node", "root"), path
-        hot = [r[0] for r in counts.where(F.col("n") * 1000 > total[0]).where("n > 1").select("root").collect()] if total[2] * 1000 > total[0] else []
+        least = max(TASK_ROWS, total[0] // (4 * partitions(spark)))
+        hot = [r[0] for r in counts.where(F.col("n") > least).select("root").collect()] if total[2] > least else []
         # the smallest label next to each node, given also to the node's present root
         near = attach(both, labels.select(F.col("node").alias("b"), "root"), "b", hot=hot).groupBy("a").agg(F.min("root").alias("low"))
         hooked = labels.join(near, labels.node == near.a).select("node", "root", F.least("root", "low").alias("low"))

@@ -87,4 +87,37 @@ SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, count(known)::BIGINT AS n
   sum(log10((coalesce(known, 0) + 1) / (n + v + 1)::DOUBLE)) AS base_score, sum(log10(p)) AS score, pow(10, -sum(log10(p)) / count(*)) AS perplexity
 FROM p3, tot GROUP BY doc_id, held_out"""
 
-SQL = {"op1_suffix_array_dedup": OP1, "op2_decontaminate": OP2, "op6_minhash_dedup": OP6, "op7_ngram_lm": OP7}
+_WS = r"\x20\x09-\x0D"
+
+#: The same crc32, of conversations' ids; a prefix is a list of turns, each a digest and its words.
+OP11 = rf"""
+WITH RECURSIVE bits AS (SELECT i AS n, i AS v, 0 AS k FROM range(256) t(i) UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crcs AS (SELECT conv_id, conv_id::VARCHAR AS s, 1 AS i, 4294967295::BIGINT AS c FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT conv_id, s, i + 1, xor(c >> 8, v) FROM crcs JOIN bits ON k = 8 AND n = xor(c & 255, ascii(s[i])::BIGINT) WHERE i <= length(s)),
+heads AS (SELECT conv_id, xor(c, 4294967295) % 4 AS h FROM crcs WHERE i = length(s) + 1),
+turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+marked AS (SELECT *, md5(octet_length(encode(role))::VARCHAR || ':' || role || text) AS m, len(regexp_extract_all(text, '[^{_WS}]+')) AS w FROM turns),
+own AS MATERIALIZED (SELECT conv_id, list({{'m': m, 'w': w}} ORDER BY turn NULLS FIRST, role, m) AS l FROM marked GROUP BY conv_id),
+built AS MATERIALIZED (SELECT o.conv_id, list_concat(coalesce(b.l, [])[1:h], o.l[h + 1:]) AS l FROM own o JOIN heads USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+paths AS MATERIALIZED (SELECT conv_id, d, l[1:d] AS p, len(l) AS n FROM built, unnest(range(len(l) + 1)) t(d)),
+nodes AS MATERIALIZED (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '') AS ends,
+  CASE WHEN d > 0 THEN (count(*) - 1) * p[-1].w ELSE 0 END AS saved FROM paths GROUP BY p, d),
+kids AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS MATERIALIZED (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (p, d)),
+sums AS (SELECT p[1:e] AS p, e AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM full_nodes, unnest(range(d + 1)) t(e) GROUP BY ALL)
+SELECT x.conv_id, x.d AS depth, up.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM full_nodes x JOIN sums USING (p, d) LEFT JOIN nodes up ON up.d = x.d - 1 AND up.p = x.p[1:x.d - 1]"""
+
+_CUT = "least(h1 % (len(u) + 1), h2 % (len(u) + 1))"
+_END = "greatest(h1 % (len(u) + 1), h2 % (len(u) + 1))"
+
+OP13 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[{_WS}]*[^{_WS}]+|[{_WS}]+') AS u, {", ".join(f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4))} FROM d),
+c AS (SELECT *, CASE WHEN t = '' OR h3 % 100 >= 50 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(u[1:{_CUT}], '') AS pre, array_to_string(u[{_CUT} + 1:{_END}], '') AS mid, array_to_string(u[{_END} + 1:], '') AS suf FROM u)
+SELECT doc_id, len(u)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM c"""
+
+SQL = {"op1_suffix_array_dedup": OP1, "op2_decontaminate": OP2, "op6_minhash_dedup": OP6, "op7_ngram_lm": OP7, "op11_prefix_trie": OP11, "op13_fill_in_middle": OP13}

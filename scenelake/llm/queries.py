@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scenelake.llm import decontaminate, embedding_dedup, minhash_dedup, ngram_lm, oracles, packing, pipeline, quality, sharding, suffix_dedup, token_store, toxicity
+from scenelake.llm import balanced_mix, decontaminate, embedding_dedup, infilling, minhash_dedup, ngram_lm, oracles, packing, pipeline, prefix_trie, quality, sharding, suffix_dedup, token_store, toxicity
 from scenelake.llm.common import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -59,11 +60,28 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_mix.mix(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the texts, and of what is restored from them."""
+    made = infilling.fill_in_middle(_table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    found = {"output_sha256": digest(F.col("output")), "restored_sha256": digest(infilling.restored(F.col("output"), F.col("form")))}
+    return made.withColumns(found).drop("output")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup, op2_decontaminate, op3_toxicity, op4_token_store, op5_embedding_dedup,
         op6_minhash_dedup, op7_ngram_lm, op8_quality, op9_hilbert_shards, op10_pack,
+        op11_prefix_trie, op12_cube_mix, op13_fill_in_middle,
     )
 } | {"pipeline": pipeline.run}
 
