@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scenelake.functions import geometry as geo
 from scenelake.operators import cameras as views
-from scenelake.operators import masks, sampling, scoring, stats
+from scenelake.operators import masks, sampling, stats, trajectory
 from scenelake.plans.scene import _CHUNKS, _EDGES, _PX, _r, cameras, frames, pixels, r4
 from scenelake.sources.frames import capacity_metrics
 
@@ -207,12 +207,15 @@ def capacity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("model", "resolution", F.col("max_n").cast("long").alias("max_n"), F.col("total_tiles").cast("long").alias("total_tiles"), r4("util_pct", "util_pct"), r4("mb_per_img", "mb_per_img"), r4("img_s", "img_s"))
 
 
+_ONE = {"pose": [np.eye(4).ravel().tolist()], "zero": [[0.0]]}
+
+
 def _following(rows: pd.DataFrame) -> pd.DataFrame:
-    """A frame's first number, or what the chunk before handed on for it, plus 1."""
-    before = rows["prior_depth"].to_numpy(float)
-    own = np.array([float(e[0]) for e in rows["input_e"]])
-    depth = np.where(np.isnan(before), own, before + 1)
-    return rows[["scene", "chunk", "frame"]].assign(depth=depth, conf=(own > 0).astype(float))
+    """Frames of one pixel: their first number as depth, or what the chunk before handed on for it, plus 1."""
+    own = [float(e[0]) for e in rows["input_e"]]
+    depth = [e if p is None else p[0] + 1 for e, p in zip(own, rows["prior_depth"], strict=True)]
+    n = len(rows)
+    return pd.DataFrame({"pose": _ONE["pose"] * n, "lx": _ONE["zero"] * n, "ly": _ONE["zero"] * n, "lz": [[d] for d in depth], "conf": [[float(e > 0)] for e in own]})
 
 
 @_query(_CHUNKS.replace("ch AS", "ch0 AS") + f""", ch AS (SELECT *, lag(chunk) OVER (PARTITION BY scene, frame ORDER BY chunk) IS NOT NULL AS again FROM ch0)
@@ -220,5 +223,39 @@ SELECT scene, chunk, frame, {_r('CASE WHEN NOT again THEN e[1]::DOUBLE WHEN e[1]
 def ordered_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scorer of the user's whose chunks get the depths that the chunk before found sure, and 0 for the others."""
     chunked = sampling.assign_chunks(frames(spark, sf_dir), table=frames(spark, sf_dir)).withColumnRenamed("e", "input_e")
-    out = scoring.score_in_order(chunked, _following, "scene long, chunk long, frame long, depth double, conf double", ("depth",))
-    return out.select("scene", "chunk", "frame", r4("depth", "depth"))
+    out = trajectory.in_order(chunked, _following, trajectory.Options(1, 1, ("depth",)), every=True)
+    return out.select("scene", "chunk", "frame", r4(F.col("depth")[0], "depth"))
+
+
+def _planted(rows: pd.DataFrame) -> pd.DataFrame:
+    """Cameras and points as each chunk would see them: turned, scaled and moved by its number. Poses that are handed on
+    are taken for the scene's own, rays that are handed on are counted up."""
+    chunk = int(rows["chunk"].iloc[0])
+    s, c, d = 1 + 0.1 * chunk, np.cos(0.3 * chunk), np.sin(0.3 * chunk)
+    seen = np.array([[s * c, -s * d, 0, chunk], [s * d, s * c, 0, 0], [0, 0, s, -chunk], [0, 0, 0, 1]])
+    i, out = np.arange(64), []
+    for f, e, pose, ray in zip(rows["frame"], rows["input_e"], rows["prior_pose"], rows["prior_ray"], strict=True):
+        e, a = np.asarray(e, float), 0.05 * f
+        z = np.exp(np.minimum(0.1 * e, 15.0))
+        own = np.array([[np.cos(a), 0, np.sin(a), 0.2 * f], [0, 1, 0, 0], [-np.sin(a), 0, np.cos(a), 0.1 * f], [0, 0, 0, 1]]) if pose is None else pose
+        out.append(((seen @ own).ravel(), (i % 8 - 3.5) / 8 * z, (i // 8 - 3.5) / 8 * z, z, 1 / (1 + np.exp(-10 * e[::-1])), [float(f)] if ray is None else ray + 1))
+    return pd.DataFrame(out, columns=["pose", "lx", "ly", "lz", "conf", "ray"])
+
+
+_SURE = _PX.replace("CASE WHEN raw < -0.4 THEN 0::DOUBLE ELSE lz END AS d, NOT raw < -0.4 AS valid", "lz AS d, conf > 0.05 AS valid") + _EDGES
+_SEEN = _CHUNKS[len(_PX) :].replace("ch AS", "ch0 AS") + ", ch AS (SELECT *, row_number() OVER (PARTITION BY scene, frame ORDER BY chunk) - 1 AS before FROM ch0)"
+
+
+@_query(_SURE + _SEEN + f""", ac AS (SELECT scene, frame, count(*) FILTER (conf > 0.05 AND NOT edge) AS n_accepted FROM ed GROUP BY scene, frame),
+mx AS (SELECT scene, frame, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM w GROUP BY scene, frame)
+SELECT scene, chunk, frame, before > 0 AS again, n_accepted, frame + before AS ray, {_r('c', 'r00')}, {_r('tx', 'tx')}, {_r('tz', 'tz')}, {_r('x', 'x')}, {_r('y', 'y')}, {_r('z', 'z')}
+FROM ch JOIN cam USING (scene, frame) JOIN ac USING (scene, frame) JOIN mx USING (scene, frame)""")
+def ordered_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks scored one after another with poses and rays of the chunk before, all in the scene of the first."""
+    chunked = sampling.assign_chunks(frames(spark, sf_dir), table=frames(spark, sf_dir)).withColumnRenamed("e", "input_e")
+    out = trajectory.in_order(chunked, _planted, trajectory.Options(8, 8, ("pose", "ray")), every=True)
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c)
+    return out.select(
+        "scene", "chunk", "frame", "again", F.size(F.filter("accepted", lambda a: a)).cast("long").alias("n_accepted"), F.col("ray")[0].cast("long").alias("ray"),
+        *[r4(F.col("pose")[i], n) for i, n in ((0, "r00"), (3, "tx"), (11, "tz"))], *[r4(mean(F.col(c)), c) for c in "xyz"],
+    )

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from scenelake.functions import arrays
+
 
 def interval_sample(stream: DataFrame, by: str, order: str, step: int, offset: int = 0) -> DataFrame:
     """Every ``step``-th row of each key, counted over all batches; the state is one number a key.
@@ -37,41 +39,6 @@ def hopping_counts(df: DataFrame, by: str, time: str, size: str, hop: str, late:
     return out.select(by, F.col("window.start").alias("start"), "n", "first")
 
 
-def _edges(d: np.ndarray, rtol: float) -> np.ndarray:
-    """Depth edges of one frame: the spread of the valid depths among the 3 x 3 around a pixel, against its own."""
-    near = lambda fill: np.lib.stride_tricks.sliding_window_view(np.pad(np.where(d > 0, d, fill), 1, constant_values=fill), (3, 3))
-    spread = near(-np.inf).max(axis=(2, 3)) - near(np.inf).min(axis=(2, 3))
-    return np.where(d > 0, spread > rtol * np.where(d > 0, d, 1), spread > 0)
-
-
-def _shifted(x: np.ndarray, dv: int, du: int) -> np.ndarray:
-    """Values of the pixel so many rows and columns on, 0 outside of the frame."""
-    out = np.zeros_like(x)
-    h, w = x.shape[:2]
-    out[max(0, -dv) : h - max(0, dv), max(0, -du) : w - max(0, du)] = x[max(0, dv) : h - max(0, -dv), max(0, du) : w - max(0, -du)]
-    return out
-
-
-def _normal_edges(points: np.ndarray, valid: np.ndarray, degrees: float) -> np.ndarray:
-    """Normal edges of one frame (height, width, 3), as the batch stencil finds them."""
-    own = np.where(valid[..., None], points, 0.0)
-    steps = [(-1, 0), (0, -1), (1, 0), (0, 1)]
-    delta = [_shifted(own, *s) - own for s in steps]
-    ok = [_shifted(valid, *s) for s in steps]
-    total, some = np.zeros_like(own), np.zeros_like(valid)
-    for i in range(4):
-        both, c = ok[i] & ok[(i + 1) % 4] & valid, np.cross(delta[i], delta[(i + 1) % 4])
-        total += np.where(both[..., None], c / np.maximum(np.linalg.norm(c, axis=2, keepdims=True), 1e-12), 0.0)
-        some |= both
-    normal = total / np.maximum(np.linalg.norm(total, axis=2, keepdims=True), 1e-12)
-    around = [(dv, du) for dv in (-1, 0, 1) for du in (-1, 0, 1)]
-    least = np.ones(valid.shape)
-    for s in around:
-        least = np.where(_shifted(some, *s), np.minimum(least, (normal * _shifted(normal, *s)).sum(2)), least)
-    angle = np.arccos(np.clip(least, -1, 1))
-    return (np.maximum.reduce([_shifted(angle, *s) for s in around]) > np.radians(degrees)) & some
-
-
 def frame_counts(stream: DataFrame, height: int, width: int, threshold: float = 0.1, rtol: float = 0.03, late: str = "1 minute", degrees: float = 5.0) -> DataFrame:
     """scene, frame, n_valid, n_accepted, n_edge, n_normal, n_final, complete for frames put together from pixels
     (scene, frame, ts, v, u, d, conf and, for the normal and final edges, lx and ly; without them these are null).
@@ -90,10 +57,10 @@ def frame_counts(stream: DataFrame, height: int, width: int, threshold: float =
         table = np.zeros((height * width, len(wanted)))
         table[at] = np.array(values, float).reshape(-1, len(wanted))
         d, sure = table[:, 0].reshape(height, width), table[:, 1].reshape(height, width)
-        valid, edge = d > 0, _edges(d, rtol)
+        valid, edge = d > 0, arrays.depth_edges(d, rtol)
         n_normal = n_final = None
         if pointed:
-            normal = _normal_edges(np.stack([table[:, 2].reshape(height, width), table[:, 3].reshape(height, width), d], 2), valid, degrees)
+            normal = arrays.normal_edges(np.stack([table[:, 2].reshape(height, width), table[:, 3].reshape(height, width), d], 2), valid, degrees)
             n_normal, n_final = int((normal & valid).sum()), int((normal & edge & valid).sum())
         row = (*key, int(valid.sum()), int((valid & (sure > threshold)).sum()), int((edge & valid).sum()), n_normal, n_final, len(set(at)) == height * width)
         return pd.DataFrame([row], columns=["scene", "frame", "n_valid", "n_accepted", "n_edge", "n_normal", "n_final", "complete"]).astype({"n_normal": "Int64", "n_final": "Int64"})

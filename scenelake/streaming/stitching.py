@@ -1,92 +1,133 @@
-"""Chunks of a scene that arrive as a stream, stitched to one trajectory as they become complete."""
+"""Chunks of a scene that arrive as a stream, placed by the machine of operators/trajectory.py as time goes on."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-from scenelake.operators.align import sim3_of
+from scenelake.operators import trajectory
 
-Frames = dict[tuple[int, int], tuple[int, np.ndarray]]
+#: The state store that keyed maps and timers need, and the setting that names it.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def _packed(frames: Frames) -> tuple[list[int], list[float]]:
-    """Frames as two flat arrays: chunk, frame, frames of the chunk and pixels of each; and their x, y, z and flags."""
-    heads = [v for (chunk, frame), (n, points) in frames.items() for v in (chunk, frame, n, points.shape[1])]
-    return heads, [v for _, points in frames.values() for v in points.ravel().tolist()]
+class _Stitcher(StatefulProcessor):
+    """State of a scene: the number of the next chunk and of late frames, the tail of the last chunk in the scene's
+    frame, the frames that wait for their chunk's turn, and a timer for each chunk that waits and for the scene."""
 
+    def __init__(self, inputs: dict[str, str], scorer: Callable | None, options: trajectory.Options, patience: int, idle: int):
+        self.inputs, self.scorer, self.options, self.patience, self.idle = inputs, scorer, options, patience, idle
 
-def _unpacked(heads: list[int], values: list[float]) -> Frames:
-    frames, at, flat = {}, 0, np.array(values, float)
-    for chunk, frame, n, pixels in np.array(heads, np.int64).reshape(-1, 4).tolist():
-        frames[chunk, frame] = (n, flat[at : at + 4 * pixels].reshape(4, pixels))
-        at += 4 * pixels
-    return frames
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "next long, late long, last long, ends long")
+        self.chunks = handle.getMapState("chunks", "chunk long", "frames long, size long, last long, due long")
+        fields = ", ".join(f"`{n}` {t}" for n, t in self.inputs.items())
+        self.waiting = handle.getMapState("waiting", "chunk long, frame long", fields)
+        self.tail = handle.getMapState("tail", "frame long", ", ".join(f"{n} {t}" for n, t in trajectory.FIELDS.items()))
 
+    def close(self) -> None:
+        pass
 
-def _points(x: list | None, y: list | None, z: list | None, accepted: list | None) -> np.ndarray:
-    """x, y, z and the flag of each pixel; a pixel with a null or a number that is not finite is not accepted."""
-    if any(c is None for c in (x, y, z, accepted)):
-        return np.zeros((4, 0))
-    xyz = np.array([[np.nan if v is None else v for v in c] for c in (x, y, z)], float)
-    sure = np.array([bool(v) for v in accepted], bool) & np.isfinite(xyz).all(0)
-    return np.vstack([xyz, sure])
-
-
-def stitch(stream: DataFrame, overlap: int = 6, least: int = 10, ahead: int = 8) -> DataFrame:
-    """scene, chunk, frame, m, x, y, z, accepted, late for every frame once, in the frame of chunk 0.
-
-    Rows are whole frames of a chunk: scene, chunk (from 0), frame, n_frames (frames of that chunk), and arrays x, y, z
-    and accepted of one length, in pixel order. A chunk is placed when all its frames have come and the one before is
-    placed: ``m`` takes it to the frame of chunk 0, through the similarity that the accepted pixels of the frames it
-    shares with the chunk before give. With fewer than ``least`` of them it stands in the global frame itself. The
-    first ``overlap`` frames of later chunks are not returned again.
-
-    The state of a scene holds its product of transforms, the last ``overlap`` frames of the chunk placed last, and
-    what has come of later chunks. Frames of a placed chunk that come again are dropped and counted in ``late`` (so
-    far, by scene); of frames that come twice before, the first counts. Rows with a null chunk, frame or n_frames are
-    dropped. A chunk that is not complete when a frame comes that is ``ahead`` chunks further is placed with the frames
-    it has, so a scene's state never holds more than that many chunks; until then it and those after it wait.
-    """
-    scene = dict(stream.dtypes)["scene"]
-    out = f"scene {scene}, chunk long, frame long, m array<double>, x array<double>, y array<double>, z array<double>, accepted array<boolean>, late long"
-    held = "m array<double>, next long, late long, heads array<long>, points array<double>"
-
-    def place(frames: Frames, chunk: int, m: np.ndarray) -> np.ndarray:
-        if not chunk:
-            return np.eye(4)
-        pairs = [(frames[chunk, f][1], p) for (c, f), (_, p) in sorted(frames.items()) if c == chunk - 1 and (chunk, f) in frames]
-        pairs = [(s[:3, both], t[:3, both]) for s, t in pairs if s.shape == t.shape for both in [(s[3] > 0) & (t[3] > 0)]]
-        source, target = (np.concatenate([p[i] for p in pairs] or [np.zeros((3, 0))], axis=1) for i in (0, 1))
-        return m @ sim3_of(source, target, least) if source.shape[1] >= least else np.eye(4)
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        m, chunk, late, frames = np.eye(4), 0, 0, {}
-        if state.exists:
-            flat, chunk, late, heads, points = state.get
-            m, frames = np.array(flat).reshape(4, 4), _unpacked(heads, points)
-        for part in parts:
-            for c, f, n, *arrays in part.dropna(subset=["chunk", "frame", "n_frames"])[["chunk", "frame", "n_frames", "x", "y", "z", "accepted"]].itertuples(index=False):
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        chunk, late, last, ends = self.place.get() if self.place.exists() else (0, 0, -1, -1)
+        for part in rows:
+            for at, c, f, n, *values in zip(part["ms"], part["chunk"], part["frame"], part["n_frames"], *[part[i] for i in self.inputs], strict=True):
+                c, f, at = int(c), int(f), int(at)
+                last = max(last, at)
                 if c < chunk:
                     late += 1
-                else:
-                    frames.setdefault((int(c), int(f)), (int(n), _points(*arrays)))
-        made, furthest = [], max((c for c, _ in frames), default=0)
-        while (own := sorted(f for c, f in frames if c == chunk)) or chunk + ahead <= furthest:
-            if (not own or len(own) < frames[chunk, own[0]][0]) and chunk + ahead > furthest:
-                break
-            m = place(frames, chunk, m)
-            for f in own[overlap if chunk else 0 :]:
-                p = frames[chunk, f][1]
-                made.append((key[0], chunk, f, m.ravel().tolist(), *(m[:3, :3] @ p[:3] + m[:3, 3:]).tolist(), (p[3] > 0).tolist(), late))
-            frames = {k: v for k, v in frames.items() if k[0] > chunk or (k[0] == chunk and k[1] in own[len(own) - overlap :])}
+                    continue
+                frames, size, newest, due = self.chunks.getValue((c,)) if self.chunks.containsKey((c,)) else (0, int(n), -1, -1)
+                if not self.waiting.containsKey((c, f)):
+                    self.waiting.updateValue((c, f), tuple(v.tolist() if isinstance(v, np.ndarray) else v for v in values))
+                    frames += 1
+                self.chunks.updateValue((c,), (frames, size, max(newest, at), due))
+        self._time_chunks(timerValues)
+        self.place.update((chunk, late, last, ends))
+        yield from self._advance(key, timerValues)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.place.exists():  # a timer may outlive its scene
+            yield from self._advance(key, timerValues)
+
+    def _time_chunks(self, timers: TimerValues) -> None:
+        """A timer for every chunk that waits, ``patience`` after its newest frame."""
+        for (c,), (frames, size, newest, due) in list(self.chunks.iterator()):
+            if newest + self.patience != due:
+                if due >= 0:
+                    self.handle.deleteTimer(due)
+                due = newest + self.patience
+                self.chunks.updateValue((c,), (frames, size, newest, due))
+        for *_, due in list(self.chunks.values()):  # chunks may share a time, so all that are due are set anew
+            self.handle.registerTimer(max(due, timers.getCurrentWatermarkInMs() + 1))
+
+    def _advance(self, key: tuple, timers: TimerValues) -> Iterator[pd.DataFrame]:
+        """Places the chunks that are complete, and those up to the last that time has closed, in order."""
+        chunk, late, last, ends = self.place.get()
+        now = timers.getCurrentWatermarkInMs()
+        known = {c: v for (c,), v in self.chunks.iterator()}
+        closed = max((c for c, v in known.items() if v[3] <= now), default=-1)
+        while chunk <= closed or (chunk in known and known[chunk][0] >= known[chunk][1]):
+            chunk = chunk if chunk in known else min(c for c in known if c > chunk)
+            yield self._placed(key, chunk, late)
+            del known[chunk]
+            self.chunks.removeKey((chunk,))
             chunk += 1
-        state.update((m.ravel().tolist(), chunk, late, *_packed(frames)))
-        yield pd.DataFrame(made, columns=["scene", "chunk", "frame", "m", "x", "y", "z", "accepted", "late"])
-
-    frames = stream.select("scene", "chunk", "frame", "n_frames", "x", "y", "z", "accepted")
-    return frames.groupBy("scene").applyInPandasWithState(run, out, held, "append", GroupStateTimeout.NoTimeout)
+        if not known and last + self.idle <= now:  # nothing waits and nothing has come for long: the scene is over
+            self.place.clear()
+            for state in (self.chunks, self.waiting, self.tail):
+                state.clear()
+            return
+        if not known and ends != last + self.idle:
+            if ends >= 0:
+                self.handle.deleteTimer(ends)
+            ends = last + self.idle
+            self.handle.registerTimer(max(ends, now + 1))
+        self.place.update((chunk, late, last, ends))
+
+    def _placed(self, key: tuple, chunk: int, late: int) -> pd.DataFrame:
+        own = sorted(f for c, f in self.waiting.keys() if c == chunk)
+        rows = pd.DataFrame([(f, *self.waiting.getValue((chunk, f))) for f in own], columns=["frame", *self.inputs]).assign(scene=key[0], chunk=chunk)
+        before = {f: trajectory.unflat(v) for (f,), v in self.tail.iterator()}
+        frames = trajectory.scored(rows, self.scorer, before, self.options) if self.scorer else trajectory.given(rows)
+        m, moved, tail = trajectory.placed(frames, before, self.options.overlap, self.options.least)
+        self.tail.clear()
+        for f, s in tail.items():
+            self.tail.updateValue((f,), trajectory.flat(s))
+        for f in own:
+            self.waiting.removeKey((chunk, f))
+        return pd.DataFrame([(key[0], chunk, f, m.ravel().tolist(), *trajectory.flat(s), late) for f, s in moved.items() if f not in before], columns=["scene", "chunk", "frame", "m", *trajectory.FIELDS, "late"])
+
+
+def stitch(stream: DataFrame, options: trajectory.Options, scorer: Callable[[pd.DataFrame], pd.DataFrame] | None = None, delay: str = "1 minute", patience: int = 60_000, idle: int = 3_600_000) -> DataFrame:
+    """scene, chunk, frame, m, FIELDS of trajectory and late for every frame once, in the frame of chunk 0.
+
+    Rows are whole frames of a chunk: scene, chunk (from 0), frame, n_frames (frames of that chunk), ts, and what
+    trajectory.in_order takes. A chunk is placed when the one before is and all its frames have come. What is missing
+    is waited for until the watermark, ``delay`` behind the latest time, has passed the newest frame of that chunk or of
+    a later one by ``patience`` milliseconds; then the chunks up to that one are placed with the frames they have, and
+    those of which nothing has come are passed over. So what comes within that time has its place in any order of
+    arrival, and the last chunk of a scene comes out too. A frame of a chunk that is placed already is dropped and
+    counted in ``late`` (so far, by scene), and so is one that comes behind the watermark, uncounted. Of frames that
+    come twice the first counts. Rows with a null scene, chunk, frame, n_frames or ts are dropped.
+
+    The state of a scene is the frames that wait, the tail of the last chunk and a few numbers; it ends when nothing
+    waits and nothing has come for ``idle`` milliseconds of event time. Needs the state store STORE names.
+    """
+    if idle < patience:
+        raise ValueError("a scene cannot end before its chunks do")
+    if stream.isStreaming and stream.sparkSession.conf.get(STORE[0]) != STORE[1]:
+        raise ValueError(f"set {STORE[0]} to {STORE[1]}")
+    kinds = dict(stream.dtypes)
+    names = [c for c in stream.columns if c.startswith("input_")] if scorer else [c for c in ("x", "y", "z", "accepted", "pose") if c in kinds]
+    inputs = {c: kinds[c] for c in names}
+    out = f"scene {kinds['scene']}, chunk long, frame long, m array<double>, " + ", ".join(f"{n} {t}" for n, t in trajectory.FIELDS.items()) + ", late long"
+    rows = stream.select("scene", *[F.col(c).cast("long").alias(c) for c in ("chunk", "frame", "n_frames")], "ts", F.unix_millis("ts").alias("ms"), *names).dropna(subset=["scene", "chunk", "frame", "n_frames", "ts"])
+    machine = _Stitcher(inputs, scorer, options, patience, idle)
+    return rows.withWatermark("ts", delay).groupBy("scene").transformWithStateInPandas(machine, out, "append", "EventTime")

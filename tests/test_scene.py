@@ -7,7 +7,7 @@ import pytest
 
 from scenelake import params
 from scenelake.functions import geometry as geo
-from scenelake.operators import align, masks, sampling, scoring, stats
+from scenelake.operators import align, masks, sampling, stats, trajectory
 from scenelake.plans import scene, views
 
 SF = "/root/testdata/sf0.001"
@@ -68,7 +68,8 @@ def test_rotations_are_proper(spark):
 
 def test_ordered_scoring_rejects_unknown_priors(spark):
     with pytest.raises(ValueError):
-        scoring.score_in_order(spark.range(0), lambda rows: rows, "scene long", ("colour",))
+        trajectory.Options(8, 8, ("colour",))
+    assert trajectory.Options(8, 8, ("intrinsic", "pose")).kinds == ("pose", "ray")
 
 
 def test_sql_functions_equal_the_operators(spark):
