@@ -10,11 +10,9 @@ Conventions that every operator of this subpackage follows:
 from __future__ import annotations
 
 import contextlib
-import hashlib
 import json
 import os
 import re
-import shutil
 import tempfile
 import threading
 import uuid
@@ -225,27 +223,47 @@ def write_arrays(uri: str, name: str, arrays: dict[str, np.ndarray]) -> None:
 def mapped_arrays(uri: str, name: str) -> dict[str, np.ndarray] | None:
     """The arrays of a file, mapped and so shared by the workers of a machine; None where there is no such file.
 
-    A file of a store that is not mounted is first copied to the machine's own disk, once for all its workers.
+    A file of a store that is not mounted is read into memory.
     """
     fs, root = opened(uri)
     path = f"{root}/{name}"
     if fs.get_file_info(path).type == pafs.FileType.NotFound:
         return None
-    if not isinstance(fs, pafs.LocalFileSystem):
-        digest = hashlib.sha256(f"{uri}/{name}".encode()).hexdigest()[:32]
-        local = os.path.join(tempfile.gettempdir(), f"mapped-{digest}")
-        if not os.path.exists(local):
-            with fs.open_input_stream(path) as source, open(f"{local}-{os.getpid()}", "wb") as out:
-                shutil.copyfileobj(source, out, 1 << 22)
-            os.replace(f"{local}-{os.getpid()}", local)
-        path = local
-    raw = np.memmap(path, np.uint8, "r")
+    if isinstance(fs, pafs.LocalFileSystem):
+        raw = np.memmap(path, np.uint8, "r")
+    else:
+        with fs.open_input_file(path) as source:
+            raw = np.frombuffer(source.read_buffer(), np.uint8)
     size = int(bytes(raw[:15]))
     start = -(-(16 + size) // 64) * 64
     head = json.loads(bytes(raw[16 : 16 + size]))
     return {n: raw[start + at : start + at + np.dtype(kind).itemsize * k].view(kind) for n, (kind, k, at) in head.items()}
 
 
+class Mapped(dict):
+    """The arrays of numbered files by their number, empty where there is no file.
+
+    At most ``files`` are open at once, below what a process may map, and of those that are read into memory at most
+    ``most`` bytes; those opened first are let go.
+    """
+
+    def __init__(self, uri: str, name: str, files: int = 8192, most: int = 256 << 20):
+        super().__init__()
+        self.uri, self.name, self.files, self.most, self.held = uri, name, files, most, 0
+
+    def __missing__(self, number: int) -> dict[str, np.ndarray]:
+        found = mapped_arrays(self.uri, self.name.format(number)) or {}
+        self.held += self._bytes(found)
+        while self and (len(self) >= self.files or self.held > self.most):
+            self.held -= self._bytes(self.pop(next(iter(self))))
+        self[number] = found
+        return found
+
+    @staticmethod
+    def _bytes(found: dict[str, np.ndarray]) -> int:
+        return sum(0 if isinstance(a, np.memmap) else a.nbytes for a in found.values())
+
+
 # --- hashing of words ---------------------------------------------------------------------------------------------
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import WordHashes, bounded_batches, keyed_texts, mapped_arrays, mixed, partitions, scratch_path, slices, span_hashes, unkey, write_arrays
+from scenelake.llm.common import Mapped, WordHashes, bounded_batches, keyed_texts, mapped_arrays, mixed, partitions, scratch_path, slices, span_hashes, unkey, write_arrays
 
 #: Bytes of item text in a shard, about; an automaton of so much text has some 200,000 states in 12 MB.
 SHARD_BYTES = 1 << 20
@@ -199,7 +199,7 @@ class Model:
 
     def __init__(self, uri: str, window: int, short: list[int], bits: int):
         self.uri, self.window, self.short, self.bits = uri, window, short, bits
-        self.index: dict[int, dict] = {}
+        self.index = Mapped(uri, "index-{:05d}")
         self.open: dict[int, Automaton] = {}
 
     def _shard(self, i: int) -> Automaton:
@@ -214,10 +214,8 @@ class Model:
         places, shards = [], []
         files = (hashes >> np.uint64(1) >> np.uint64(63 - self.bits)).astype(np.int64)
         for b in np.unique(files).tolist():
-            if b not in self.index:
-                self.index[b] = mapped_arrays(self.uri, f"index-{b:05d}") or {}
-            if self.index[b]:
-                keys, shard = self.index[b]["hash"], self.index[b]["shard"]
+            if found := self.index[b]:
+                keys, shard = found["hash"], found["shard"]
                 own = np.flatnonzero(files == b) if self.bits else np.arange(len(hashes))
                 at = np.searchsorted(keys, hashes[own])
                 hit = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == hashes[own])

@@ -245,9 +245,11 @@ def _grouped(docs: DataFrame, percent: int, size: int, bands: int) -> DataFrame:
     heads = labels.join(classes.select("own", "rep"), labels.node == F.col("rep")).groupBy("root").agg(F.min("own").alias("head"))
     heads = attach(labels, heads, "root").select("node", "head")
     owners = classes.select("e1", "e2", "own", "rep").join(heads, F.col("rep") == F.col("node"), "left")
-    owners = owners.select("e1", "e2", F.coalesce("head", "own").alias("head"))
-    # texts without shingles share a digest and are no class: they bypass the join
-    some = sketches.where("n_shingles > 0").join(owners, ["e1", "e2"]).select("k", "text_hash", "n_shingles", F.col("head.k").alias("component"), (F.col("row") == F.col("head.row")).alias("kept"))
+    digest = F.struct("e1", "e2").alias("digest")
+    owners = owners.select(digest, F.coalesce("head", "own").alias("head"))
+    # texts without shingles share a digest and are no class: they bypass the join; a text of many copies is spread
+    some = sketches.where("n_shingles > 0").select("k", "text_hash", "row", "n_shingles", digest)
+    some = attach(some, owners, "digest").select("k", "text_hash", "n_shingles", F.col("head.k").alias("component"), (F.col("row") == F.col("head.row")).alias("kept"))
     return some.unionByName(sketches.where("n_shingles = 0").select("k", "text_hash", "n_shingles", F.col("k").alias("component"), F.lit(True).alias("kept")))
 
 

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import NULL_ID, WordHashes, bounded_batches, keyed_texts, mapped_arrays, mixed, partitions, ranked, remainder, remove, saved, scratch_path, slices, stable_order, unkey, write_arrays
+from scenelake.llm.common import NULL_ID, Mapped, WordHashes, bounded_batches, keyed_texts, mixed, partitions, ranked, remainder, remove, saved, scratch_path, slices, stable_order, unkey, write_arrays
 
 #: Tokens that a task holds before it adds up their grams, and that a file holds about.
 HELD = 3_000_000
@@ -108,7 +108,7 @@ class Grams:
 
     def __init__(self, uri: str, kind: str, names: tuple[str, ...]):
         self.uri, self.kind, self.names = uri, kind, names
-        self.open: dict[int, dict] = {}
+        self.open = Mapped(uri, f"{kind}-{{:05d}}")
 
     def find(self, keys: np.ndarray) -> dict[str, np.ndarray]:
         """Counts, 0 where there is none, of keys in ascending order."""
@@ -118,10 +118,7 @@ class Grams:
         for a, b in itertools.pairwise(cuts.tolist()):
             if a == b:
                 continue
-            f = int(files[a])
-            if f not in self.open:
-                self.open[f] = mapped_arrays(self.uri, f"{self.kind}-{f:05d}") or {}
-            have = self.open[f]
+            have = self.open[int(files[a])]
             if not have or not len(have["high"]):
                 continue
             wanted = _keys48(keys[a:b])
@@ -145,7 +142,7 @@ class Vocabulary:
 
     def __init__(self, uri: str, bits: int):
         self.uri, self.bits = uri, bits
-        self.open: dict[int, dict] = {}
+        self.open = Mapped(uri, "word-{:05d}")
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number or UNKNOWN, count or 0) of hashes in any order."""
@@ -155,14 +152,11 @@ class Vocabulary:
         for a, b in itertools.pairwise([0, *(np.flatnonzero(np.diff(files)) + 1).tolist(), len(files)]):
             if a == b:
                 continue
-            f = int(files[a])
-            if f not in self.open:
-                self.open[f] = mapped_arrays(self.uri, f"word-{f:05d}") or {}
-            if self.open[f]:
-                have = self.open[f]["hash"]
+            if found := self.open[int(files[a])]:
+                have = found["hash"]
                 at = np.minimum(np.searchsorted(have, unique[a:b]), len(have) - 1)
                 hit = np.flatnonzero(have[at] == unique[a:b])
-                number[a + hit], count[a + hit] = self.open[f]["number"][at[hit]], self.open[f]["count"][at[hit]]
+                number[a + hit], count[a + hit] = found["number"][at[hit]], found["count"][at[hit]]
         return number[back], count[back]
 
 
@@ -193,6 +187,10 @@ def _triples(context: np.ndarray, numbers: np.ndarray, bits: int) -> np.ndarray:
     return _file(context, bits).astype(np.uint64) << np.uint64(48) | h >> np.uint64(16)
 
 
+#: Tasks that add up the statistics of one block of words.
+STAT_PARTS = 32
+
+
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
     """Rows of each bucket (first column), which must come together: columns as lists."""
     last, held = None, []
@@ -443,20 +441,39 @@ def _write_pairs(blobs: DataFrame, model: Model) -> None:
             for i, (a, b) in enumerate(itertools.pairwise(np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(block)].tolist())):
                 yield pa.RecordBatch.from_arrays([pa.array([int(block[a])]), pa.array([_squeezed(rows[a:b], times[a:b])], pa.binary()), *[pa.array([0 if i else int(x)]) for x in made]], names=["b", "stats", "n1", "n2", "n3", "n4"])
 
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(block, its table, sums of the other columns), added up as rows come; a block's rows must come together."""
+        last, table, sums = None, None, None
+        for batch in batches:
+            for b, blob, *counts in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("b", "stats", "n1", "n2", "n3", "n4")), strict=True):
+                if b.as_py() != last:
+                    if last is not None:
+                        yield last, table, sums
+                    last, table, sums = b.as_py(), np.zeros(5 * BLOCK, np.int64), np.zeros(4, np.int64)
+                rows, times = _loosened(blob.as_py())
+                table[rows.astype(np.int64) - 5 * BLOCK * last] += times.astype(np.int64)
+                sums += [c.as_py() for c in counts]
+        if last is not None:
+            yield last, table, sums
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, table, sums in tables(batches):
+            rows = np.flatnonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([_squeezed((rows + 5 * BLOCK * b).astype(np.uint64), table[rows])], pa.binary()), *[pa.array([int(x)]) for x in sums]], names=["b", "stats", "n1", "n2", "n3", "n4"])
+
     def write_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, columns in _by_bucket(batches):
-            table = np.zeros(5 * BLOCK, np.int64)
-            for blob in columns[1]:
-                rows, times = _loosened(blob)
-                table[rows.astype(np.int64) - 5 * BLOCK * b] += times.astype(np.int64)
+        for b, table, sums in tables(batches):
             write_arrays(uri, f"stat-{b:05d}", {k: x for i, n in enumerate((*_KINDS, "ends")) for k, x in _counted(n, table[i::5]).items()})
             ends = table[4::5]
-            numbers = [*(sum(c) for c in columns[2:]), int(ends.sum()), *(np.count_nonzero(ends == i) for i in (1, 2, 3, 4)), np.count_nonzero(ends >= 3)]
+            numbers = [*sums.tolist(), int(ends.sum()), *(np.count_nonzero(ends == i) for i in (1, 2, 3, 4)), np.count_nonzero(ends >= 3)]
             yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in numbers], names=names)
 
     names = ["n1", "n2", "n3", "n4", "pairs", "e1", "e2", "e3", "e4", "e3_up"]
     pairs = blobs.repartition(1 << bits, "b").sortWithinPartitions("b")
-    stats = pairs.mapInArrow(write, "b long, stats binary, n1 long, n2 long, n3 long, n4 long").repartition("b").sortWithinPartitions("b")
+    kind = "b long, stats binary, n1 long, n2 long, n3 long, n4 long"
+    # the block of the most frequent words has rows from every pair file: they are added up by parts of the files first
+    stats = pairs.mapInArrow(write, kind).withColumn("part", F.pmod(F.crc32("stats"), F.lit(STAT_PARTS)))
+    stats = stats.repartition("b", "part").sortWithinPartitions("b", "part").mapInArrow(add_up, kind).repartition("b").sortWithinPartitions("b")
     stats, path = saved(stats.mapInArrow(write_stats, ", ".join(f"{n} long" for n in names)), "word-stats")
     found = _sums(stats, names)
     remove(blobs.sparkSession, path)
@@ -499,11 +516,9 @@ def _probabilities(model: Model, numbers: np.ndarray, sizes: np.ndarray, files:
     def of(name: str, words: np.ndarray) -> np.ndarray:
         out = np.zeros(len(words), np.int64)
         for b in np.unique(words[words < v] // np.uint64(BLOCK)).tolist() + ([v // BLOCK] if (words == v).any() else []):
-            if b not in files["stat"]:
-                files["stat"][b] = mapped_arrays(model.uri, f"stat-{int(b):05d}") or {}
-            if files["stat"][b]:
+            if stat := files["stat"][int(b)]:
                 pick = np.flatnonzero((words // np.uint64(BLOCK) == b) & (words != UNKNOWN))
-                out[pick] = _counts(files["stat"][b], name, (words[pick] % np.uint64(BLOCK)).astype(np.int64))
+                out[pick] = _counts(stat, name, (words[pick] % np.uint64(BLOCK)).astype(np.int64))
         return out
 
     words, place = _unique(np.r_[one, numbers])
@@ -543,7 +558,7 @@ def scores(docs: DataFrame, divisor: int = 7, held: int = 2, order: int = 3) ->
     model, numbered = train(docs, divisor, held, order)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = {k: Grams(model.uri, k, n) for k, n in (("pair", ("count",)), ("top", ("count",)), ("context", _KINDS))} | {"stat": {}}
+        files = {k: Grams(model.uri, k, n) for k, n in (("pair", ("count",)), ("top", ("count",)), ("context", _KINDS))} | {"stat": Mapped(model.uri, "stat-{:05d}")}
         for some, numbers, sizes in _batches_of_numbers(batches, 5):
             p = _probabilities(model, numbers, sizes, files)
             total = np.add.reduceat(np.log10(np.maximum(p, 1e-300)), np.r_[0, np.cumsum(sizes)[:-1]])
