@@ -1,4 +1,7 @@
-"""Stencils on whole frames that are held as arrays, the same as the windows over pixel tables in operators/masks.py."""
+"""Stencils on whole frames that are held as arrays, the same as the windows over pixel tables in operators/masks.py.
+
+Rows and columns of a frame are the first two axes; further ones, such as one for many frames, go along.
+"""
 
 from __future__ import annotations
 
@@ -19,35 +22,35 @@ def shifted(x: np.ndarray, dv: int, du: int, fill: float = 0) -> np.ndarray:
 
 
 def depth_edges(d: np.ndarray, rtol: float = 0.03) -> np.ndarray:
-    """Depth edges of one frame: the spread of the positive depths among the 3 x 3 around a pixel, against its own."""
+    """Depth edges: the spread of the positive depths among the 3 x 3 around a pixel, against its own."""
     most = np.maximum.reduce([shifted(np.where(d > 0, d, -np.inf), *s, fill=-np.inf) for s in AROUND])
     least = np.minimum.reduce([shifted(np.where(d > 0, d, np.inf), *s, fill=np.inf) for s in AROUND])
     return np.where(d > 0, most - least > rtol * np.where(d > 0, d, 1), most - least > 0)
 
 
 def normals(points: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Normals (height, width, 3) from the four cross products of differences to neighbours, and where there are any."""
+    """Normals (height, width, ..., 3) from the four cross products of differences to neighbours, and where there are any."""
     own = np.where(valid[..., None], points, 0.0)
     delta = [shifted(own, *s) - own for s in BESIDE]
     ok = [shifted(valid, *s) for s in BESIDE]
     total, some = np.zeros_like(own), np.zeros_like(valid)
     for i in range(4):
         both, c = ok[i] & ok[(i + 1) % 4] & valid, np.cross(delta[i], delta[(i + 1) % 4])
-        total += np.where(both[..., None], c / np.maximum(np.linalg.norm(c, axis=2, keepdims=True), 1e-12), 0.0)
+        total += np.where(both[..., None], c / np.maximum(np.linalg.norm(c, axis=-1, keepdims=True), 1e-12), 0.0)
         some |= both
-    return total / np.maximum(np.linalg.norm(total, axis=2, keepdims=True), 1e-12), some
+    return total / np.maximum(np.linalg.norm(total, axis=-1, keepdims=True), 1e-12), some
 
 
 def normal_edges(points: np.ndarray, valid: np.ndarray, degrees: float = 5.0) -> np.ndarray:
-    """Normal edges of one frame: the largest angle to a valid neighbour's normal, spread to the neighbours, is large.
+    """Normal edges: the largest angle to a valid neighbour's normal, spread to the neighbours, is large.
 
     The product of a normal with a neighbour's is the neighbour's with it, so four of the eight are computed.
     """
     normal, some = normals(points, valid)
-    least = np.where(some, np.minimum(1.0, (normal * normal).sum(2)), 1.0)
+    least = np.where(some, np.minimum(1.0, (normal * normal).sum(-1)), 1.0)
     for s in AROUND[5:]:
         back = (-s[0], -s[1])
-        dot = (normal * shifted(normal, *s)).sum(2)
+        dot = (normal * shifted(normal, *s)).sum(-1)
         least = np.where(shifted(some, *s), np.minimum(least, dot), least)
         least = np.where(shifted(some, *back), np.minimum(least, shifted(dot, *back)), least)
     angle = np.arccos(np.clip(least, -1, 1))

@@ -188,6 +188,18 @@ def projection(k: Column | None, view: Column) -> Column:
     return matmul4(lift_intrinsics(k), view)
 
 
+def inverse_projection(k: Column | None, view: Column) -> Column:
+    """4x4 world-from-image matrix, the inverse of projection: closed forms, for rigid views and intrinsics without skew."""
+    back = se3_inverse(view)
+    return back if k is None else matmul4(back, lift_intrinsics(invert_intrinsics(k)))
+
+
+def pose_matrix(rotation: Column, t: Column) -> Column:
+    """4x4 pose of a rotation (nine numbers) and a translation (three); null where either is null or of another size."""
+    rows = [x for i in range(3) for x in (*[F.get(rotation, F.lit(3 * i + j)) for j in range(3)], F.get(t, F.lit(i)))]
+    return F.when((F.size(rotation) == 9) & (F.size(t) == 3), F.array(*rows, *[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)]))
+
+
 def target_size(width: Column, height: Column, limit: int = 255_000, tile: int = 14) -> tuple[Column, Column]:
     """Sides, multiples of ``tile``, of about the frame's shape with at most ``limit`` pixels.
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scenelake.functions.geometry import pose_matrix
+
 
 def overlap_pairs(points: DataFrame) -> DataFrame:
     """(scene, chunk, sx..sz, tx..tz): accepted pixels of a chunk with the same frame and pixel of the chunk before."""
@@ -108,3 +110,11 @@ def repair_rotations(cameras: DataFrame, column: str = "r") -> DataFrame:
 
     kept = [c for c in cameras.columns if c not in ("rotation", "residual", "repaired")]
     return cameras.select(*kept, fix(column).alias("rotation_")).select(*kept, "rotation_.*")
+
+
+def repaired_poses(cameras: DataFrame, rotation: str = "r", translation: str = "t") -> DataFrame:
+    """Adds ``pose``, the 4x4 matrix of the repaired rotation and the translation, and what repair_rotations adds.
+
+    Null where the nine numbers cannot be repaired or the translation is not three numbers.
+    """
+    return repair_rotations(cameras, rotation).withColumn("pose", pose_matrix(F.col("rotation"), F.col(translation)))

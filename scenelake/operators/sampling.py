@@ -57,23 +57,44 @@ def trailing(chunked: DataFrame, size: int = 16, overlap: int = 6) -> DataFrame:
     return chunked.where(F.col("pos") >= size - overlap)
 
 
-def resample_nearest(px: DataFrame, source: int, target: int) -> DataFrame:
-    """Pixels of a square frame of another size, each from the nearest one; rows are made by source pixel alone.
+def sides(size: int | tuple[int, int]) -> tuple[int, int]:
+    """Height and width; one number means a square."""
+    return (size, size) if isinstance(size, int) else size
 
-    A source pixel serves the target places whose floor(place * source / target) it is, so nothing is joined.
+
+def resample_nearest(px: DataFrame, source: int | tuple[int, int], target: int | tuple[int, int]) -> DataFrame:
+    """Pixels of a frame of another size (height and width, or the side of a square), each from the nearest one.
+
+    A source pixel serves the target places whose floor(place * source / target) it is, along either axis, so rows are
+    made by source pixel alone and nothing is joined. Pixels outside of the frame and with null places make none.
     """
-    span = lambda c: F.sequence(F.ceil(F.col(c) * target / source).cast("long"), (F.ceil((F.col(c) + 1) * target / source) - 1).cast("long"))
-    some = lambda c: F.ceil(F.col(c) * target / source) <= F.ceil((F.col(c) + 1) * target / source) - 1
-    px = px.where(some("v") & some("u"))
-    return px.withColumn("tv", F.explode(span("v"))).withColumn("tu", F.explode(span("u")))
+    spans = {}
+    for c, n, m in zip("vu", sides(source), sides(target), strict=True):
+        inside = (F.col(c) >= 0) & (F.col(c) < n)
+        low, high = F.ceil(F.col(c) * m / n).cast("long"), (F.ceil((F.col(c) + 1) * m / n) - 1).cast("long")
+        px, spans[f"t{c}"] = px.where(inside & (low <= high)), F.sequence(low, high)
+    for c, span in spans.items():
+        px = px.withColumn(c, F.explode(span))
+    return px
 
 
 def tile_stats(px: DataFrame, side: int) -> DataFrame:
-    """Mean, least and largest depth and the number of valid pixels of each side x side tile."""
+    """Mean, least and largest depth and the number of valid pixels of each side x side tile.
+
+    Null depths are left out of their tile, null flags are not valid. Where frames' sides must be multiples of
+    ``side``, ask check_tiles.
+    """
     tiled = px.withColumns({"tv": F.expr(f"v div {side}"), "tu": F.expr(f"u div {side}")})
     return tiled.groupBy("scene", "frame", "tv", "tu").agg(F.avg("d").alias("mean_d"), F.min("d").alias("min_d"), F.max("d").alias("max_d"), F.count_if("valid").alias("n_valid"))
 
 
+def check_tiles(frames: DataFrame, side: int = 14) -> DataFrame:
+    """frames with their height and width; reading it fails, naming the sides, at a frame that tiles do not fill."""
+    whole = (F.col("height") % side == 0) & (F.col("width") % side == 0)
+    said = F.concat(F.lit("sides "), F.coalesce(F.col("height").cast("string"), F.lit("null")), F.lit(" x "), F.coalesce(F.col("width").cast("string"), F.lit("null")), F.lit(f" are not multiples of {side}"))
+    return frames.where(F.when(whole, True).otherwise(F.raise_error(said).cast("boolean")))
+
+
 def pixel_grid(frames: DataFrame, height: int, width: int) -> DataFrame:
     """A row for each pixel of each frame: v, u and the homogeneous centre (px, py, 1)."""
     rows = frames.withColumn("v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(height - 1).cast("long"))))

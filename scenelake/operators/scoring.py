@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 
 def score_chunks(chunked: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], schema: str, priors: tuple[str, ...] = ()) -> DataFrame:
@@ -28,3 +31,22 @@ def score_batches(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame],
                 yield scorer(batch.iloc[at : at + size].reset_index(drop=True))
 
     return df.mapInPandas(run, schema)
+
+
+def score_tensors(df: DataFrame, make: Callable[[], Callable], inputs: dict[str, list[int] | None], name: str, kind: DataType, size: int = 64) -> DataFrame:
+    """Adds ``name``: what a function that ``make`` builds, once for each worker, says of the columns ``inputs``.
+
+    It gets arrays of at most ``size`` rows, one for each column in order, in the shapes given (None for numbers), and
+    returns an array with as many rows. Rows are scored one by one, so no shuffle is needed. A row with a null in one of
+    the columns has null and is not scored; a column called ``name`` is replaced.
+    """
+    if size < 1:
+        raise ValueError("size must be positive")
+    shapes = list(inputs.values())
+    udf = predict_batch_udf(make, return_type=kind, batch_size=size, input_tensor_shapes=shapes if any(s is not None for s in shapes) else None)
+    known = F.lit(True)
+    for c in inputs:
+        known = known & F.col(c).isNotNull()
+    df = df.drop(name) if name not in inputs else df
+    good, bad = df.where(known), df.where(~known)
+    return good.withColumn(name, udf(*[F.col(c) for c in inputs])).unionByName(bad.withColumn(name, F.lit(None).cast(kind)))

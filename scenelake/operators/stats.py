@@ -2,39 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenelake.functions.geometry import hsv_channel, quantize
 
 
-def exact_quantiles(df: DataFrame, by: list[str], column: str, quantiles: list[float], lower: bool = False, accuracy: int = 10_000) -> DataFrame:
+#: Tasks that share the rows of a group in joins with what is known of it.
+SALTS = 32
+
+
+def _joined(left: DataFrame, right: DataFrame, by: list[str], salt: Column) -> DataFrame:
+    """left join right (one row for each ``by``), a group's rows dealt by ``salt`` to SALTS tasks."""
+    left = left.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int"))
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [*by, "_salt"]).drop("_salt")
+
+
+def exact_quantiles(df: DataFrame, by: list[str], column: str, quantiles: list[float], lower: bool = False, accuracy: int = 10_000, cells: int = 1000) -> DataFrame:
     """(by, quantiles): exact quantiles of each group's values, however large a group is; nulls are left out.
 
-    Mergeable approximate percentiles first give a narrow bracket around each quantile, of about 4 / ``accuracy`` of
-    the group. A second pass counts what is below it and gathers what is inside, next to which the neighbours on either
-    side are enough. Values between two ranks are interpolated, or with ``lower`` taken from the lower one.
+    Ranks are found by narrowing, with counts of distinct values in place of rows, so ties cost one row. Mergeable
+    approximate percentiles give a bracket around each quantile, of about 4 / ``accuracy`` of the group; the distinct
+    values in it are counted, and cut at their own percentiles into ``cells``, of which the one that holds the rank is
+    listed: some 4 / accuracy / cells of the group's values at most. No join brings a group to one task. Values between
+    two ranks are interpolated, or with ``lower`` taken from the lower one. NaN counts as the largest value, groups are
+    told apart as GROUP BY does, but a group with a null key has no row.
     """
-    values = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_x"))
+    names = [f"_by{i}" for i in range(len(by))]
+    values = df.where(F.col(column).isNotNull()).select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], (F.col(column).cast("double") + 0.0).alias("_x"))
     slack = 2 / accuracy
     ends = [p for q in quantiles for p in (max(0.0, q - slack), min(1.0, q + slack))]
-    rough = values.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_x", ends, accuracy).alias("_e"))
+    rough = values.groupBy(*names).agg(F.count("*").alias("_n"), F.percentile_approx("_x", ends, accuracy).alias("_e"))
     brackets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("q"), F.col("_e")[2 * i].alias("low"), F.col("_e")[2 * i + 1].alias("high")) for i, q in enumerate(quantiles)])
-    rough = rough.select(*by, "_n", brackets.alias("_b"))
-    x = F.col("_x")
-    rows = values.join(rough, by).select(*by, "_n", "_x", F.explode("_b").alias("_b"))
-    found = rows.groupBy(*by, "_n", F.col("_b.i").alias("_i"), F.col("_b.q").alias("_q")).agg(
-        F.count_if(x < F.col("_b.low")).alias("_below"), F.max(F.when(x < F.col("_b.low"), x)).alias("_prior"), F.min(F.when(x > F.col("_b.high"), x)).alias("_next"),
-        F.array_sort(F.collect_list(F.when((x >= F.col("_b.low")) & (x <= F.col("_b.high")), x))).alias("_in"),
-    )
-    place = F.col("_q") * (F.col("_n") - 1)
-    around = F.array_compact(F.concat(F.array("_prior"), F.col("_in"), F.array("_next")))
-    first = F.greatest(F.col("_below") - 1, F.lit(0))  # the rank of what stands first in ``around``
-    at = lambda rank: F.get(around, (rank - first).cast("int"))
-    low = at(F.floor(place))
-    value = low if lower else low + (place - F.floor(place)) * (F.coalesce(at(F.floor(place) + 1), low) - low)
-    pairs = found.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", value.alias("v")))).alias("_v"))
-    return pairs.select(*by, F.transform("_v", lambda s: s["v"]).alias("quantiles"))
+    rows = _joined(values, rough.select(*names, "_n", brackets.alias("_b")), names, F.monotonically_increasing_id())
+    x, key = F.col("_x"), [*names, "_i"]
+    rows = rows.select(*names, "_n", "_x", F.inline("_b")).withColumnRenamed("i", "_i")
+    side = F.when(x < F.col("low"), -1).when(x > F.col("high"), 1).otherwise(0)
+    # one row for each distinct value of a bracket, one for all below and one for all above
+    counted = rows.withColumns({"_side": side, "_v": F.when(side == 0, x)}).groupBy(*key, "_n", "q", "_side", "_v").agg(F.count("*").alias("_c"), F.max("_x").alias("_top"), F.min("_x").alias("_bottom"))
+    of = lambda value, which: F.max(F.when(F.col("_side") == which, F.col(value)))
+    known = counted.groupBy(*key, "_n", "q").agg(F.coalesce(of("_c", -1), F.lit(0)).alias("_below"), of("_top", -1).alias("_prior"), of("_bottom", 1).alias("_next"))
+    inside = counted.where("_side = 0")
+    parts = [i / cells for i in range(1, cells)]
+    cuts = inside.groupBy(*key).agg(F.percentile_approx("_v", parts, 10 * cells).alias("_cuts"))
+    celled = _joined(inside.select(*key, "_v", "_c"), cuts, key, F.xxhash64("_v")).select(*key, "_v", "_c", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_cell"))
+    sums = celled.groupBy(*key, "_cell").agg(F.sum("_c").alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.partitionBy(*key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("_start", before)
+    place = F.col("q") * (F.col("_n") - 1)
+    ranks = F.array(F.floor(place).cast("long"), F.least(F.floor(place) + 1, F.col("_n") - 1).cast("long"))
+    wanted = known.select(*key, "_below", F.posexplode(ranks).alias("_which", "_rank")).withColumn("_rank", F.col("_rank") - F.col("_below")).drop("_below")
+    cell = sums.join(wanted, key).where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_s")))
+    chosen = cell.select(*key, "_cell", "_which", (F.col("_rank") - F.col("_start")).alias("_left"))
+    listed = celled.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int")).join(chosen.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*key, "_cell", "_salt"])
+    listed = listed.groupBy(*key, "_which", "_left").agg(F.array_sort(F.collect_list(F.struct("_v", "_c"))).alias("_in"))
+    # the first value at which more are counted than are left
+    start = F.struct(F.col("_left").alias("left"), F.lit(None).cast("double").alias("v"))
+    step = lambda a, s: F.when(a["v"].isNotNull(), a).otherwise(F.struct((a["left"] - s["_c"]).alias("left"), F.when(a["left"] < s["_c"], s["_v"]).alias("v")))
+    found = listed.select(*key, "_which", F.aggregate("_in", start, step)["v"].alias("_value"))
+    both = found.groupBy(*key).agg(*[F.max(F.when(F.col("_which") == w, F.col("_value"))).alias(f"_v{w}") for w in (0, 1)])
+    out = known.join(both, key, "left")
+    # a rank just outside of its bracket is that of the neighbour
+    at = lambda w, rank: F.coalesce(F.col(f"_v{w}"), F.when(rank < F.col("_below"), F.col("_prior")).otherwise(F.col("_next")))
+    low, high = at(0, ranks[0]), at(1, ranks[1])
+    value = low if lower else low + (place - F.floor(place)) * F.when(place > F.floor(place), high - low).otherwise(0.0)
+    pairs = out.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("_i", value.alias("v")))).alias("_v"))
+    return pairs.select(*[F.col(n).alias(c) for n, c in zip(names, by, strict=True)], F.transform("_v", lambda s: s["v"]).alias("quantiles"))
 
 
 def depth_factor(px: DataFrame, how: str = "mean") -> DataFrame:
@@ -121,6 +155,16 @@ def stretch_depth(px: DataFrame, low: float = 0.02, high: float = 0.98) -> DataF
     return px.withColumn("gray", F.when(F.col("valid"), gray).otherwise(0.0)).drop("_b")
 
 
+def ramp_colors(px: DataFrame, gray: str = "gray", valid: str = "valid") -> DataFrame:
+    """Adds red, green and blue (bytes) by three ramps over stretched depths; invalid pixels are black.
+
+    Null depths count as 0, a null flag as invalid; columns of these names in the input are replaced.
+    """
+    x = F.coalesce(F.col(gray), F.lit(0.0))
+    ramps = {"red": 1.5 * x, "green": 1.5 * x - 0.35, "blue": 1.2 - 1.2 * x}
+    return px.withColumns({n: F.when(F.col(valid), quantize(r)).otherwise(0) for n, r in ramps.items()})
+
+
 def softmax_pool(scored: DataFrame, group: str, score: str, vector: str) -> DataFrame:
     """(group, i, value): vectors averaged by the softmax of their scores, element by element."""
     most = scored.groupBy(group).agg(F.max(score).alias("_most"))
@@ -134,12 +178,20 @@ def mean_vector(vectors: DataFrame, group: str, vector: str) -> DataFrame:
     return vectors.select(group, F.posexplode(vector).alias("i", "_x")).groupBy(group, "i").agg(F.avg(F.col("_x").cast("double")).alias("value"))
 
 
-def frame_similarity(frames: DataFrame, vector: str) -> DataFrame:
-    """(scene, frame, score): scaled dot products of a frame's vector with all of its scene, averaged.
+def frame_similarity(tokens: DataFrame, q: str = "q", k: str = "k", heads: int = 1) -> DataFrame:
+    """(scene, frame, score): how much a frame's tokens attend to those of all frames of its scene.
 
-    The sum over the other frames is the dot product with the scene's summed vector, so no pair is formed.
+    ``tokens`` has a row a token with vectors q and k of all heads side by side. The products q k over the square root
+    of a head's width are summed over heads, averaged over the tokens of both frames, and summed over the scene's
+    frames, the frame itself included. All of that is linear: it is the product of the frame's mean q with the sum of
+    its scene's mean k, so no pair of tokens or frames is formed. Frames count alike, however many tokens they have.
+    Tokens with null vectors are left out, repeated ones weigh in a frame's mean; a null scene has no rows.
     """
-    long = frames.select("scene", "frame", F.posexplode(vector).alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    sums = long.groupBy("scene", "i").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
-    width = F.count("*")
-    return long.join(sums, ["scene", "i"]).groupBy("scene", "frame").agg((F.sum(F.col("x") * F.col("s")) / F.max("n") / F.sqrt(width)).alias("score"))
+
+    def means(vector: str, name: str) -> DataFrame:
+        long = tokens.where(F.col(vector).isNotNull()).select("scene", "frame", F.posexplode(vector).alias("i", "x"))
+        return long.groupBy("scene", "frame", "i").agg(F.avg(F.col("x").cast("double")).alias(name))
+
+    sums = means(k, "k").groupBy("scene", "i").agg(F.sum("k").alias("k"))
+    scale = F.sqrt(F.count("*") / heads)
+    return means(q, "q").join(sums, ["scene", "i"]).groupBy("scene", "frame").agg((F.sum(F.col("q") * F.col("k")) / scale).alias("score"))

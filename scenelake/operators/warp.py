@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenelake.functions.geometry import transform
+from scenelake.operators.sampling import sides
 
 
 def _targets(c: str, source: int, target: int) -> Column:
@@ -19,14 +20,16 @@ def _targets(c: str, source: int, target: int) -> Column:
     return F.when(low <= high, F.filter(found, lambda x: x["w"] > 0))
 
 
-def resample_bilinear(px: DataFrame, source: int, target: int, value: str = "d") -> DataFrame:
-    """scene, frame, tv, tu and the value of square frames of another size, linear with half-pixel centres.
+def resample_bilinear(px: DataFrame, source: int | tuple[int, int], target: int | tuple[int, int], value: str = "d") -> DataFrame:
+    """scene, frame, tv, tu and the value of frames of another size (height and width, or the side of a square), linear
+    with half-pixel centres.
 
-    Each source pixel gives its share to the places around it, so the sums are partly made before the shuffle and
-    nothing is joined.
+    Each source pixel gives its share, along either axis, to the places around it, so the sums are partly made before
+    the shuffle and nothing is joined. Null values count as 0, rows with null keys or outside of the frame give nothing.
     """
-    px = px.select("scene", "frame", "u", value, F.explode(_targets("v", source, target)).alias("a"))
-    px = px.select("scene", "frame", value, "a", F.explode(_targets("u", source, target)).alias("b"))
+    (sv, su), (tv, tu) = sides(source), sides(target)
+    px = px.where((F.col("v") >= 0) & (F.col("v") < sv) & (F.col("u") >= 0) & (F.col("u") < su)).select("scene", "frame", "u", F.coalesce(F.col(value), F.lit(0.0)).alias(value), F.explode(_targets("v", sv, tv)).alias("a"))
+    px = px.select("scene", "frame", value, "a", F.explode(_targets("u", su, tu)).alias("b"))
     share = F.col("a.w") * F.col("b.w") * F.col(value)
     return px.groupBy("scene", "frame", F.col("a.t").alias("tv"), F.col("b.t").alias("tu")).agg(F.sum(share).alias(value))
 
@@ -44,10 +47,11 @@ def mask_priors(prior: DataFrame, previous: DataFrame, threshold: float) -> Data
     return seen.withColumn("d", F.when(~F.isnan("_conf") & (F.col("_conf") > threshold), F.col("d")).otherwise(0.0)).drop("_conf")
 
 
-def warp(px: DataFrame, pairs: DataFrame, k: tuple[float, float, float, float], height: int, width: int, threshold: float = 0.05, soft: float | None = None, mode: str = "bilinear") -> DataFrame:
+def warp(px: DataFrame, pairs: DataFrame, k: tuple[float, float, float, float] | DataFrame, height: int, width: int, threshold: float = 0.05, soft: float | None = None, mode: str = "bilinear") -> DataFrame:
     """scene, frame, other, v, u, wx, wy (in -1..1), error and mask (or its soft form) of pixels moved into other frames.
 
-    px: scene, frame, v, u, d. pairs: scene, frame, other, m (4x4 from frame to other). k: fx, fy, cx, cy. A pixel
+    px: scene, frame, v, u, d. pairs: scene, frame, other, m (4x4 from frame to other). k: fx, fy, cx, cy of all frames,
+    or a table scene, frame, k (3x3) that joins both sides of a pair; pairs of a frame without one have no rows. A pixel
     counts if its depth is positive, it falls strictly inside the other image and the depth seen there differs by less
     than ``threshold``, or weighs exp(-error / soft). ``mode`` bilinear or nearest; outside the image depths are 0. A
     pixel with a null depth, or of a frame with a null matrix, has null places and does not count; frames without a
@@ -55,13 +59,21 @@ def warp(px: DataFrame, pairs: DataFrame, k: tuple[float, float, float, float],
     """
     if mode not in ("bilinear", "nearest"):
         raise ValueError(f"unknown mode {mode}")
-    fx, fy, cx, cy = k
+    if isinstance(k, DataFrame):
+        own = k.select("scene", "frame", F.col("k").alias("k0"))
+        seen_by = k.select("scene", F.col("frame").alias("other"), F.col("k").alias("k1"))
+        pairs = pairs.select("scene", "frame", "other", "m").join(own, ["scene", "frame"]).join(seen_by, ["scene", "other"])
+    else:
+        same = F.array(*[F.lit(float(x)) for x in (k[0], 0, k[2], 0, k[1], k[3], 0, 0, 1)])
+        pairs = pairs.select("scene", "frame", "other", "m", same.alias("k0"), same.alias("k1"))
+    fx, cx, fy, cy = (F.col("k0")[i] for i in (0, 2, 4, 5))
     d = F.col("d")
     x0, y0 = (F.col("u") + 0.5 - cx) / fx * d, (F.col("v") + 0.5 - cy) / fy * d
     moved = px.select("scene", "frame", "v", "u", "d").join(pairs, ["scene", "frame"])
     x, y, z = transform(F.col("m"), x0, y0, d)
-    moved = moved.select("scene", "frame", "other", "v", "u", "d", x.alias("x"), y.alias("y"), z.alias("z"))
-    moved = moved.withColumns({"px": (fx * F.col("x") + cx * F.col("z")) / (F.col("z") + 1e-4), "py": (fy * F.col("y") + cy * F.col("z")) / (F.col("z") + 1e-4)})
+    moved = moved.select("scene", "frame", "other", "v", "u", "d", "k1", x.alias("x"), y.alias("y"), z.alias("z"))
+    fx, cx, fy, cy = (F.col("k1")[i] for i in (0, 2, 4, 5))
+    moved = moved.withColumns({"px": (fx * F.col("x") + cx * F.col("z")) / (F.col("z") + 1e-4), "py": (fy * F.col("y") + cy * F.col("z")) / (F.col("z") + 1e-4)}).drop("k1")
     if mode == "nearest":
         corner = lambda c: F.array(F.struct(F.floor(c).alias("i"), F.lit(1.0).alias("w")))
     else:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scenelake.functions import geometry as geo
-from scenelake.operators import align, cameras as views, masks, sampling, scoring, stats, warp
+from scenelake.operators import align, cameras as views, masks, sampling, scoring, stats, warp, whole
 from scenelake.streaming import frames as arriving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,14 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.withColumns({"d": d, "lx": (F.col("u") - 3.5) / 8 * F.col("lz"), "ly": (F.col("v") - 3.5) / 8 * F.col("lz")}).withColumn("valid", F.col("d") > 0)
 
 
+def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scene, frame and arrays e, d, lx, ly, lz of whole frames, as pixels() has them."""
+    fr = frames(spark, sf_dir).withColumn("e", F.transform("e", lambda x: x.cast("double")))
+    fr = fr.withColumn("lz", F.transform("e", lambda x: F.exp(F.least(0.1 * x, F.lit(15.0)))))
+    d = F.zip_with("e", "lz", lambda x, z: geo.sanitize_depth(F.when(x < -0.4, 0.0).otherwise(z)))
+    return fr.withColumns({"d": d, "lx": F.transform("lz", lambda z, i: (i % 8 - 3.5) / 8 * z), "ly": F.transform("lz", lambda z, i: (F.floor(i / 8) - 3.5) / 8 * z)})
+
+
 def world(px: DataFrame) -> DataFrame:
     """Global points; the pose follows from the frame number, so it is computed in the row instead of joined."""
     a, f = F.col("frame") * 0.05, F.col("frame")
@@ -199,7 +207,10 @@ def normal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_PX + _EDGES + """SELECT scene, frame, count(*) FILTER (valid) AS n_valid, count(*) FILTER (depth_edge AND valid) AS n_depth,
 count(*) FILTER (normal_edge AND valid) AS n_normal, count(*) FILTER (edge AND valid) AS n_final FROM ed GROUP BY scene, frame""")
 def edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masks.edge_counts(masks.edges(pixels(spark, sf_dir)))
+    return whole.edge_counts(grids(spark, sf_dir), 8, 8)
+
+
+QUERIES["edge_counts_by_pixel"], SQL["edge_counts_by_pixel"] = (lambda spark, sf_dir: masks.edge_counts(masks.edges(pixels(spark, sf_dir)))), SQL["edge_counts"]
 
 
 for _how, _sql in (("mean", "avg(d) FILTER (d > 0)"), ("median", "quantile_disc(d, 0.5) FILTER (d > 0)")):
@@ -246,6 +257,13 @@ def depth_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.stretch_depth(pixels(spark, sf_dir)).select("scene", "frame", "v", "u", r4("gray", "gray"))
 
 
+@_query(SQL["depth_stretch"].rsplit("SELECT", 1)[0] + """, x AS (SELECT px.*, least(greatest((d - lo) / (hi - lo), 0::DOUBLE), 1::DOUBLE) AS x FROM px JOIN g USING (scene, frame))
+SELECT scene, frame, v, u, """ + ", ".join(f"CASE WHEN valid THEN floor(least(greatest(255 * ({ramp}), 0), 255))::INT ELSE 0 END AS {n}" for n, ramp in (("red", "1.5::DOUBLE * x"), ("green", "1.5::DOUBLE * x - 0.35::DOUBLE"), ("blue", "1.2::DOUBLE - 1.2::DOUBLE * x"))) + " FROM x")
+def depth_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three colour ramps over the stretched depths, black where there is none."""
+    return stats.ramp_colors(stats.stretch_depth(pixels(spark, sf_dir))).select("scene", "frame", "v", "u", "red", "green", "blue")
+
+
 _CLOUD = """WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE / 1000 AS y, l_discount::DOUBLE AS z FROM lineitem),
 b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM p),
 h AS (SELECT l_orderkey, l_linenumber, 0.7 * ((x - x0) / (x1 - x0 + 1e-8)) + 0.2 * ((y - y0) / (y1 - y0 + 1e-8)) + 0.1 * ((z - z0) / (z1 - z0 + 1e-8)) AS hue FROM p, b)
@@ -371,9 +389,16 @@ def rotation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LONG = "WITH fr AS (SELECT label AS scene, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, embedding AS e FROM embeddings), l AS (SELECT scene, frame, i::INT AS i, e[i + 1]::DOUBLE AS x, e[1]::DOUBLE AS s FROM fr, range(64) t(i)) "
 
 
-@_query(_LONG + f", sm AS (SELECT scene, i, sum(x) AS t, count(*) AS n FROM l GROUP BY scene, i) SELECT scene, frame, {_r('sum(x * t) / max(n) / 8', 'score')} FROM l JOIN sm USING (scene, i) GROUP BY scene, frame")
+@_query(_PX + f""", tk AS (SELECT scene, frame, t, h, e[16 * t + 8 * h + 1:16 * t + 8 * h + 8]::DOUBLE[] AS q, list_reverse(e[16 * t + 8 * h + 1:16 * t + 8 * h + 8])::DOUBLE[] AS k FROM fr, range(4) a(t), range(2) b(h)),
+pairs AS (SELECT a.scene, a.frame, b.frame AS other, a.t, b.t AS s, sum(list_dot_product(a.q, b.k) / sqrt(8::DOUBLE)) AS p FROM tk a JOIN tk b ON a.scene = b.scene AND a.h = b.h GROUP BY ALL),
+means AS (SELECT scene, frame, other, avg(p) AS p FROM pairs GROUP BY ALL)
+SELECT scene, frame, {_r('sum(p)', 'score')} FROM means GROUP BY scene, frame""")
 def frame_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.frame_similarity(frames(spark, sf_dir), "e").select("scene", "frame", r4("score", "score"))
+    """Frames of four tokens with two heads of eight numbers, the keys in reverse; the SQL forms the pairs."""
+    part = lambda t, h: F.slice("e", 16 * t + 8 * h + 1, 8)
+    tokens = [F.struct(F.concat(part(t, 0), part(t, 1)).alias("q"), F.concat(F.reverse(part(t, 0)), F.reverse(part(t, 1))).alias("k")) for t in range(4)]
+    tk = frames(spark, sf_dir).select("scene", "frame", F.inline(F.array(*tokens)))
+    return stats.frame_similarity(tk, heads=2).select("scene", "frame", r4("score", "score"))
 
 
 @_query(_LONG + f", m AS (SELECT scene, max(s) AS m FROM l GROUP BY scene) SELECT scene, i, {_r('sum(exp(s - m) * x) / sum(exp(s - m))', 'value')} FROM l JOIN m USING (scene) GROUP BY scene, i")
@@ -401,8 +426,7 @@ def tile_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warp.expand_tiles(tiles, 8, "e").select("scene", "frame", F.col("v").cast("long").alias("v"), F.col("u").cast("long").alias("u"), r4(F.col("value").cast("double"), "raw"))
 
 
-@_query(_PX + f"""SELECT a.scene, a.frame, a.v, a.u, {_r('CASE WHEN b.conf > 0.5 THEN a.d ELSE 0 END', 'd')} FROM px a
-LEFT JOIN px b ON b.scene = a.scene AND b.frame = a.frame AND b.v = a.v AND b.u = a.u AND b.frame % 2 = 0""")
+@_query(_PX + f"SELECT scene, frame, v, u, {_r('CASE WHEN frame % 2 = 0 AND conf > 0.5 THEN d ELSE 0 END', 'd')} FROM px")
 def prior_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth priors where an earlier pass over the even frames was sure."""
     px = pixels(spark, sf_dir)
@@ -429,6 +453,101 @@ def warp_covisible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("scene", "frame", "v", "u", r4("wx", "wx"), r4("wy", "wy"), F.col("mask").alias("seen"))
 
 
+@_query(_PX + f"""SELECT scene, frame, a AS tv, b AS tu, {_r('d', 'd')} FROM (SELECT * FROM px WHERE u < 6) px
+JOIN (SELECT a, b FROM range(5) x(a), range(13) y(b)) g ON v = (a * 8) // 5 AND u = (b * 6) // 13""")
+def resample_nearest_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 8 x 6 as 5 x 13."""
+    out = sampling.resample_nearest(pixels(spark, sf_dir).where("u < 6"), (8, 6), (5, 13))
+    return out.select("scene", "frame", "tv", "tu", r4("d", "d"))
+
+
+def _weights(name: str, source: int, target: int) -> str:
+    """Weights of the places of one axis, as SQL."""
+    at = f"least(greatest((t + 0.5::DOUBLE) * {source} / {target} - 0.5::DOUBLE, 0), {source - 1})"
+    return f"{name} AS (SELECT t, i, 1 - abs({at} - i) AS w FROM range({target}) x(t), range({source}) y(i) WHERE abs({at} - i) < 1)"
+
+
+for _name, _target in (("resample_bilinear_sides", (6, 12)), ("resample_bilinear_shrunk", (12, 3))):
+    QUERIES[_name] = lambda spark, sf_dir, target=_target: warp.resample_bilinear(pixels(spark, sf_dir).where("v < 5"), (5, 8), target).select("scene", "frame", "tv", "tu", r4("d", "d"))
+    SQL[_name] = _PX + f""", {_weights('wv', 5, _target[0])}, {_weights('wu', 8, _target[1])}
+SELECT scene, frame, wv.t AS tv, wu.t AS tu, {_r('sum(wv.w * wu.w * d)', 'd')} FROM px JOIN wv ON wv.i = v JOIN wu ON wu.i = u GROUP BY ALL"""
+
+
+def _moved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frame and the next of its scene, with the way from one camera to the other."""
+    cam = cameras(frames(spark, sf_dir)).select("scene", "frame", "pose")
+    nxt = cam.select("scene", (F.col("frame") - 1).alias("frame"), F.col("frame").alias("other"), geo.se3_inverse(F.col("pose")).alias("inv"))
+    return cam.join(nxt, ["scene", "frame"]).select("scene", "frame", "other", geo.matmul4(F.col("inv"), F.col("pose")).alias("m"))
+
+
+def _zooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intrinsics that change from frame to frame."""
+    f = F.col("frame")
+    k = [8 + 0.1 * (f % 5), F.lit(0.0), 4 - 0.1 * (f % 3), F.lit(0.0), 8 + 0.2 * (f % 4), 3 + 0.1 * (f % 2), F.lit(0.0), F.lit(0.0), F.lit(1.0)]
+    return frames(spark, sf_dir).select("scene", "frame", F.array(*k).alias("k"))
+
+
+#: Frames of 6 x 8 under intrinsics that differ by frame; nr has the depth by linear sampling, ns that of the nearest pixel.
+_ZOOM = _PX + """, kk AS (SELECT scene, frame, 8 + 0.1::DOUBLE * (frame % 5) AS fx, 8 + 0.2::DOUBLE * (frame % 4) AS fy, 4 - 0.1::DOUBLE * (frame % 3) AS cx, 3 + 0.1::DOUBLE * (frame % 2) AS cy FROM fr),
+p6 AS MATERIALIZED (SELECT * FROM px WHERE v < 6),
+lo AS (SELECT p6.scene, p6.frame, v, u, d, (u + 0.5::DOUBLE - k.cx) / k.fx * d AS x, (v + 0.5::DOUBLE - k.cy) / k.fy * d AS y FROM p6 JOIN kk k USING (scene, frame)),
+mv AS (SELECT lo.*, a.c * x + a.s * d + a.tx - b.tx AS gx, -a.s * x + a.c * d + a.tz - b.tz AS gz, b.c AS c, b.s AS s FROM lo JOIN cam a USING (scene, frame) JOIN cam b ON b.scene = lo.scene AND b.frame = lo.frame + 1),
+pr AS (SELECT mv.scene, mv.frame, v, u, d, s * gx + c * gz AS z, (k.fx * (c * gx - s * gz) + k.cx * (s * gx + c * gz)) / (s * gx + c * gz + 1e-4::DOUBLE) AS x2,
+  (k.fy * y + k.cy * (s * gx + c * gz)) / (s * gx + c * gz + 1e-4::DOUBLE) AS y2 FROM mv JOIN kk k ON k.scene = mv.scene AND k.frame = mv.frame + 1),
+nr AS MATERIALIZED (SELECT pr.scene, pr.frame, pr.v, pr.u, pr.d, x2, y2, z, coalesce(sum((1 - abs(y2 - 0.5::DOUBLE - q.v)) * (1 - abs(x2 - 0.5::DOUBLE - q.u)) * q.d), 0) AS bd FROM pr
+  LEFT JOIN p6 q ON q.scene = pr.scene AND q.frame = pr.frame + 1 AND abs(y2 - 0.5::DOUBLE - q.v) < 1 AND abs(x2 - 0.5::DOUBLE - q.u) < 1 GROUP BY ALL),
+ns AS MATERIALIZED (SELECT pr.*, coalesce(q.d, 0) AS bd FROM pr LEFT JOIN p6 q ON q.scene = pr.scene AND q.frame = pr.frame + 1 AND q.v = floor(y2) AND q.u = floor(x2)),
+"""
+
+
+def _judged(name: str, source: str) -> str:
+    inside = "x2 > 0 AND x2 < 7 AND y2 > 0 AND y2 < 5 AND d > 0"
+    return f"{name} AS (SELECT *, {inside} AS inside, abs((bd - z) / nullif(bd, 0)) AS error, {inside} AND coalesce(abs((bd - z) / nullif(bd, 0)) < 0.05::DOUBLE, false) AS seen FROM {source})"
+
+
+def _warped(spark: SparkSession, sf_dir: str, f, **kwargs) -> DataFrame:
+    return f(pixels(spark, sf_dir).where("v < 6"), _moved_pairs(spark, sf_dir), _zooms(spark, sf_dir), 6, 8, **kwargs)
+
+
+_PLACES = f"{_r('2 * x2 / 8 - 1', 'wx')}, {_r('2 * y2 / 6 - 1', 'wy')}"
+
+
+@_query(_ZOOM + _judged("j", "nr") + f" SELECT scene, frame, v, u, {_PLACES}, seen FROM j")
+def warp_by_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """warp_covisible on frames of 6 x 8 whose intrinsics differ on either side of a pair."""
+    return _warped(spark, sf_dir, warp.warp).select("scene", "frame", "v", "u", r4("wx", "wx"), r4("wy", "wy"), F.col("mask").alias("seen"))
+
+
+@_query(_ZOOM + _judged("j", "ns") + f" SELECT scene, frame, v, u, {_PLACES}, seen FROM j")
+def warp_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the nearest pixel."""
+    return _warped(spark, sf_dir, warp.warp, mode="nearest").select("scene", "frame", "v", "u", r4("wx", "wx"), r4("wy", "wy"), F.col("mask").alias("seen"))
+
+
+@_query(_ZOOM + _judged("j", "nr") + f" SELECT scene, frame, v, u, {_r('CASE WHEN inside AND error IS NOT NULL THEN exp(-error / 0.1::DOUBLE) ELSE 0 END', 'weight')} FROM j")
+def warp_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as weights."""
+    return _warped(spark, sf_dir, warp.warp, soft=0.1).select("scene", "frame", "v", "u", r4("mask", "weight"))
+
+
+@_query(_ZOOM + _judged("j", "nr") + ", " + _judged("n", "ns") + """ SELECT scene, frame, v, u, j.seen OR n.seen AS seen, j.seen AS linear FROM j JOIN n USING (scene, frame, v, u)""")
+def warp_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linear sampling, filled by the nearest pixel where only that holds, and where the linear one holds."""
+    px, pairs, k = pixels(spark, sf_dir).where("v < 6"), _moved_pairs(spark, sf_dir), _zooms(spark, sf_dir)
+    out = warp.warp_combined(px, pairs, k, 6, 8)
+    linear = warp.warp(px, pairs, k, 6, 8).select("scene", "frame", "v", "u", F.col("mask").alias("linear"))
+    return out.join(linear, ["scene", "frame", "v", "u"]).select("scene", "frame", "v", "u", F.col("mask").alias("seen"), "linear")
+
+
+@_query(_PX + f"""SELECT scene, frame, {_r('c / 8', 'q00')}, {_r('-c * 3.5 / 8 + s', 'q02')}, {_r('tx', 'q03')}, 0::BIGINT AS off FROM cam""")
+def inverse_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """World-from-image matrices, and how far from the identity their products with the projections are."""
+    cam = cameras(frames(spark, sf_dir)).withColumn("view", geo.se3_inverse(F.col("pose")))
+    cam = cam.withColumns({"p": geo.projection(F.col("k"), F.col("view")), "q": geo.inverse_projection(F.col("k"), F.col("view"))})
+    one = F.aggregate(F.transform(geo.matmul4(F.col("q"), F.col("p")), lambda x, i: F.abs(x - F.when(i % 5 == 0, 1.0).otherwise(0.0))), F.lit(0.0), lambda a, x: F.greatest(a, x))
+    return cam.select("scene", "frame", *[r4(F.col("q")[i], f"q0{i}") for i in (0, 2, 3)], F.floor(one * 1e9).cast("long").alias("off"))
+
+
 @_query(_PX + f"SELECT scene, frame, {_r('8 * c + 3.5 * s', 'p00')}, {_r('-8 * s + 3.5 * c', 'p02')}, {_r('-(8 * c + 3.5 * s) * tx - (-8 * s + 3.5 * c) * tz', 'p03')} FROM cam")
 def projection_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image-from-world matrices of all cameras."""

@@ -8,10 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from scenelake.functions import arrays
+from scenelake.operators import whole
 
 
 def interval_sample(stream: DataFrame, by: str, order: str, step: int, offset: int = 0) -> DataFrame:
@@ -89,3 +91,17 @@ def frame_counts(stream: DataFrame, height: int, width: int, threshold: float =
 
     stream = stream.where("ts IS NOT NULL").select("scene", "frame", "ts", "v", "u", *wanted).withWatermark("ts", late)
     return stream.groupBy("scene", "frame").applyInPandasWithState(run, out, held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def count_whole_frames(stream: DataFrame, path: str, checkpoint: str, height: int, width: int, rtol: float = 0.03, degrees: float = 5.0) -> StreamingQuery:
+    """Starts a query that counts the edges of frames that arrive as rows with arrays (whole.edge_counts) and writes the
+    counts of each batch under ``path``, in a folder of the batch's number.
+
+    A batch that runs again, after a failure before its commit, replaces its own folder and no other, so each batch is
+    there once. Frames that come again in a later batch are counted again. All that is there is one Parquet table.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        whole.edge_counts(batch, height, width, rtol, degrees).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
