@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from scenelake.llm.common import attach, key, mixed, ranked, saved, unkey
 
 #: Documents of one flight.
-GROUP = 65_536
+GROUP = 4096
 #: Documents of a source that are kept for the landing, besides the two that a flight leaves.
 LAND = 14
 #: Weights of the sources in their order, repeating, and the most that a source is repeated.
