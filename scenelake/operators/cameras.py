@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenelake.functions import geometry as geo
+from scenelake.functions.naming import keeps_columns
 
 FRAME = ["scene", "frame"]
 
@@ -41,6 +42,7 @@ def depth_to_world(px: DataFrame, cameras: DataFrame, z_far: float = 0.0, focal:
     return px.withColumns(dict(zip("xyz", point, strict=True))).withColumn("usable", F.coalesce(usable, F.lit(False))).drop("pose", "k")
 
 
+@keeps_columns
 def metric_points(points: DataFrame, scales: DataFrame, columns: tuple[str, ...] = ("x", "y", "z", "lx", "ly", "lz")) -> DataFrame:
     """Points times exp(raw) of their scene; ``scales`` has scene and raw. Scenes without a scale stay as they are."""
     metric = F.coalesce(F.exp("_raw"), F.lit(1.0))
@@ -48,6 +50,7 @@ def metric_points(points: DataFrame, scales: DataFrame, columns: tuple[str, ...]
     return points.withColumns({c: F.col(c) * metric for c in columns if c in points.columns}).drop("_raw")
 
 
+@keeps_columns
 def metric_poses(cameras: DataFrame, scales: DataFrame) -> DataFrame:
     """Poses whose translations are multiplied by exp(raw) of their scene."""
     metric = F.coalesce(F.exp("_raw"), F.lit(1.0))
@@ -59,6 +62,7 @@ def _moved(pose: Column, scale: Column) -> Column:
     return F.transform(pose, lambda x, i: F.when(i.isin(3, 7, 11), x * scale).otherwise(x))
 
 
+@keeps_columns
 def relative_poses(cameras: DataFrame) -> DataFrame:
     """Poses as seen from the first frame of their scene, which is one row a scene and joins the others."""
     first = cameras.groupBy("scene").agg(F.min_by("pose", "frame").alias("_first"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenelake.functions.geometry import cross, finite, ratio, unit
+from scenelake.functions.naming import keeps_columns
 
 FRAME = ("scene", "frame")
 
@@ -51,6 +52,7 @@ def displayed(conf: Column, percent: float | None = 10) -> Column:
     return ~F.isnan(conf) & (conf >= (10 if percent is None else percent) / 100) & (conf > 1e-5)
 
 
+@keeps_columns
 def depth_edges(px: DataFrame, rtol: float = 0.03, atol: float | None = None, kernel: int = 3, depth: str = "d", valid: str = "valid") -> DataFrame:
     """Adds ``depth_edge``: the spread of valid depths around a pixel is large, absolutely or against its own depth."""
     d, r = F.when(F.col(valid), F.col(depth)), kernel // 2
@@ -60,6 +62,7 @@ def depth_edges(px: DataFrame, rtol: float = 0.03, atol: float | None = None, ke
     return px.withColumn("depth_edge", edge | (spread > atol) if atol is not None else edge).drop("_most", "_least")
 
 
+@keeps_columns
 def normals(px: DataFrame, point: tuple[str, str, str] = ("lx", "ly", "lz"), valid: str = "valid") -> DataFrame:
     """Adds ``nx, ny, nz`` and ``has_normal`` from the four cross products of differences to neighbours."""
     here = F.struct(F.col(valid).alias("ok"), *[F.when(F.col(valid), F.col(c)).otherwise(0.0).alias(c) for c in point])
@@ -77,6 +80,7 @@ def normals(px: DataFrame, point: tuple[str, str, str] = ("lx", "ly", "lz"), val
     return px.drop("_p", *delta, "_n0", "_n1", "_n2")
 
 
+@keeps_columns
 def normal_edges(px: DataFrame, degrees: float = 5.0, kernel: int = 3) -> DataFrame:
     """Adds ``normal_edge``: the largest angle to a valid neighbour's normal, spread to the neighbours, is large.
 
@@ -116,6 +120,7 @@ def suppress(px: DataFrame) -> DataFrame:
     return px.withColumn("conf", F.when(F.col("edge"), 0.0).otherwise(F.col("conf")))
 
 
+@keeps_columns
 def top_share(px: DataFrame, share: float = 0.1, least: int = 10, chunk: tuple[str, ...] = ("scene", "chunk")) -> DataFrame:
     """``accepted`` stays, but in a chunk of fewer than ``least`` accepted pixels each frame takes its top share.
 

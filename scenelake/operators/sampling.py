@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from scenelake.functions.naming import keeps_columns
 
+
+@keeps_columns
 def interval_sample(df: DataFrame, by: str, order: list[str], step: int, offset: int = 0) -> DataFrame:
     """Every ``step``-th row of each sequence; ``offset`` 0 keeps the first, 1 counts from one (the step-th first).
 
@@ -27,6 +30,7 @@ def default_interval(path: Column, interval: Column | None = None, fps: Column |
     return rule if interval is None else F.when(interval > 0, interval).otherwise(rule)
 
 
+@keeps_columns
 def assign_chunks(frames: DataFrame, size: int = 16, overlap: int = 6, table: DataFrame | None = None) -> DataFrame:
     """Adds ``chunk`` and ``pos``: chunks start every size - overlap frames; the last is the first to reach the end.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenelake.functions.geometry import hsv_channel, quantize
+from scenelake.functions.naming import keeps_columns
 
 
 #: Tasks that share the rows of a group in joins with what is known of it.
@@ -96,9 +97,10 @@ def extent(points: DataFrame) -> DataFrame:
 def normalize_depth(px: DataFrame, how: str = "mean") -> DataFrame:
     """Depths divided by their scene's factor plus 1e-8; the factors are one row a scene and join by it.
 
-    Null and non-positive depths do not enter a factor and are divided all the same; a null scene has no rows.
+    Null and non-positive depths do not enter a factor and are divided all the same; a null scene has no rows. A column
+    called factor is replaced.
     """
-    return px.join(depth_factor(px, how), "scene").withColumn("d", F.col("d") / (F.col("factor") + 1e-8))
+    return px.drop("factor").join(depth_factor(px, how), "scene").withColumn("d", F.col("d") / (F.col("factor") + 1e-8))
 
 
 def pose_scale(cameras: DataFrame, static: float = 0.02) -> DataFrame:
@@ -145,6 +147,7 @@ def bounding_box(points: DataFrame, by: list[str], columns: tuple[str, str, str]
     return box.select(*by, *[F.col(f"_{c}")[i].alias(f"{c}_{n}") for c in columns for i, n in ((0, "low"), (1, "high"))], F.sqrt(sides[0] + sides[1] + sides[2]).alias("scale"))
 
 
+@keeps_columns
 def stretch_depth(px: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Adds ``gray``: depths between two percentiles of the frame's valid ones as 0..1, clipped; invalid ones are 0."""
     bounds = px.groupBy("scene", "frame").agg(F.percentile(F.when(F.col("valid"), F.col("d")), [low, high]).alias("_b"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenelake.functions.geometry import transform
+from scenelake.functions.naming import keeps_columns
 from scenelake.operators.sampling import sides
 
 
@@ -40,6 +41,7 @@ def expand_tiles(tiles: DataFrame, side: int, values: str = "values") -> DataFra
     return out.select("scene", "frame", (F.col("tv") * side + F.expr(f"i div {side}")).alias("v"), (F.col("tu") * side + F.col("i") % side).alias("u"), "value")
 
 
+@keeps_columns
 def mask_priors(prior: DataFrame, previous: DataFrame, threshold: float) -> DataFrame:
     """Prior depths, 0 where the earlier chunk's confidence at the same pixel is not above the threshold or unknown."""
     by = ["scene", "frame", "v", "u"]

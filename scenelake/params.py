@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+
+from scenelake.functions.geometry import target_size
+from scenelake.operators.masks import above
+from scenelake.operators.trajectory import Options
+
 
 @dataclass(frozen=True)
 class Parameters:
@@ -39,3 +45,15 @@ class Parameters:
         if self.interval > 0:
             return self.interval
         return int(fps) if fps is not None and fps >= 1 else 10 if path.lower().endswith(".mp4") else 1
+
+    def target(self, width: Column, height: Column) -> tuple[Column, Column]:
+        """The sides that frames are brought to, at most ``pixel_limit`` pixels."""
+        return target_size(width, height, self.pixel_limit)
+
+    def sure(self, conf: Column) -> Column:
+        """Confidences that count in one pass."""
+        return above(conf, self.conf)
+
+    def options(self, height: int, width: int) -> Options:
+        """For trajectory.in_order and stitching.stitch."""
+        return Options(height, width, self.inject, self.overlap, self.chunk_conf, self.rtol, self.degrees)
