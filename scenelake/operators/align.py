@@ -6,29 +6,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenelake.functions.geometry import pose_matrix
 
 
 def overlap_pairs(points: DataFrame) -> DataFrame:
-    """(scene, chunk, sx..sz, tx..tz): accepted pixels of a chunk with the same frame and pixel of the chunk before."""
-    own = points.where("accepted").select("scene", "chunk", "frame", "v", "u", *[F.col(c).alias(f"s{c}") for c in "xyz"])
-    before = points.where("accepted").select("scene", (F.col("chunk") + 1).alias("chunk"), "frame", "v", "u", *[F.col(c).alias(f"t{c}") for c in "xyz"])
-    return own.join(before, ["scene", "chunk", "frame", "v", "u"])
+    """(scene, chunk, sx..sz, tx..tz): accepted pixels of a chunk with the same frame and pixel of the chunk before.
+
+    A pixel's chunks stand side by side after one shuffle by pixel, so no table is joined with itself. Pixels with a
+    null flag are not accepted; of rows that repeat a chunk's pixel one is taken.
+    """
+    own = Window.partitionBy("scene", "frame", "v", "u").orderBy("chunk", *"xyz")
+    seen = points.where("accepted").select("scene", "chunk", *[F.col(c).alias(f"s{c}") for c in "xyz"], F.lag(F.struct("chunk", *"xyz")).over(own).alias("before"))
+    return seen.where(F.col("before.chunk") == F.col("chunk") - 1).select("scene", "chunk", "sx", "sy", "sz", *[F.col(f"before.{c}").alias(f"t{c}") for c in "xyz"])
 
 
 def overlap_moments(pairs: DataFrame) -> DataFrame:
-    """Counts, means, centred cross sums h00..h22 and the source's variance sum by chunk, in two phases."""
-    keys, axes = ["scene", "chunk"], [f"{a}{c}" for a in "st" for c in "xyz"]
-    n = F.count("*")
-    means = pairs.groupBy(*keys).agg(n.alias("n"), *[(F.sum(a) / (n + 1e-6)).alias(f"m{a}") for a in axes])
-    c = {a: F.col(a) - F.col(f"m{a}") for a in axes}
-    sums = [F.sum(c[f"s{a}"] * c[f"t{b}"]).alias(f"h{i}{j}") for i, a in enumerate("xyz") for j, b in enumerate("xyz")]
-    square = F.sum(c["sx"] ** 2 + c["sy"] ** 2 + c["sz"] ** 2).alias("square")
-    kept = ["n", *[f"m{a}" for a in axes]]
-    return pairs.join(means, keys).groupBy(*keys, *kept).agg(*sums, square)
+    """Counts, means, centred cross sums h00..h22 and the source's variance sum by chunk, in one mergeable aggregate.
+
+    Means are sums over n + 1e-6, and sums are centred at them: the covariances, which Spark merges about running
+    means, plus what that shift of the centre adds.
+    """
+    axes, n = [f"{a}{c}" for a in "st" for c in "xyz"], F.col("n")
+    crossed = [F.covar_pop(f"s{a}", f"t{b}").alias(f"h{i}{j}") for i, a in enumerate("xyz") for j, b in enumerate("xyz")]
+    found = pairs.groupBy("scene", "chunk").agg(F.count("*").alias("n"), *[F.avg(a).alias(f"m{a}") for a in axes], *crossed, *[F.var_pop(f"s{c}").alias(f"v{c}") for c in "xyz"])
+    shift = {a: F.col(f"m{a}") * (1e-6 / (n + 1e-6)) for a in axes}
+    sums = [(n * (F.col(f"h{i}{j}") + shift[f"s{a}"] * shift[f"t{b}"])).alias(f"h{i}{j}") for i, a in enumerate("xyz") for j, b in enumerate("xyz")]
+    square = [n * (F.col(f"v{c}") + shift[f"s{c}"] ** 2) for c in "xyz"]
+    means = [(F.col(f"m{a}") - shift[a]).alias(f"m{a}") for a in axes]
+    return found.select("scene", "chunk", "n", *means, *sums, (square[0] + square[1] + square[2]).alias("square"))
 
 
 def _sim3(n: np.ndarray, ms: np.ndarray, mt: np.ndarray, h: np.ndarray, square: np.ndarray, least: int = 10) -> np.ndarray:

@@ -134,6 +134,14 @@ def top_share(px: DataFrame, share: float = 0.1, least: int = 10, chunk: tuple[s
     return px.withColumn("accepted", F.when(F.col("_few"), F.col("_first")).otherwise(F.col("accepted"))).drop("_few", "_first")
 
 
+def without(px: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Pixels that are not in a table of rejected ones (scene, frame, v, u), such as edges that were stored.
+
+    Rejected pixels may repeat; a pixel with a null key is in no table and stays.
+    """
+    return px.join(rejected.select("scene", "frame", "v", "u"), ["scene", "frame", "v", "u"], "left_anti")
+
+
 def drop_lone_pose(frames: DataFrame) -> DataFrame:
     """Clears has_pose in scenes where exactly one frame carries a pose."""
     n = F.sum(F.col("has_pose").cast("int")).over(Window.partitionBy("scene"))

@@ -207,6 +207,20 @@ def capacity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("model", "resolution", F.col("max_n").cast("long").alias("max_n"), F.col("total_tiles").cast("long").alias("total_tiles"), r4("util_pct", "util_pct"), r4("mb_per_img", "mb_per_img"), r4("img_s", "img_s"))
 
 
+@_query(_PX + _EDGES + "SELECT scene, frame, v, u FROM ed WHERE conf > 0.1 AND NOT edge")
+def points_without_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sure pixels that a table of edges does not hold."""
+    px = pixels(spark, sf_dir)
+    return masks.without(px.where(masks.above(F.col("conf"), 0.1)), masks.edges(px).where("edge")).select("scene", "frame", "v", "u")
+
+
+@_query("SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
+def sources_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as sources that a table of nations selects."""
+    some = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_regionkey = 2").select(F.col("n_nationkey").alias("s_nationkey"))
+    return masks.named(spark.read.parquet(f"{sf_dir}/supplier.parquet"), some, "s_nationkey").select("s_suppkey", "s_name")
+
+
 _ONE = {"pose": [np.eye(4).ravel().tolist()], "zero": [[0.0]]}
 
 

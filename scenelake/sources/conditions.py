@@ -70,7 +70,8 @@ def convert_archives(spark: SparkSession, path: str, store: str) -> dict[str, Da
     of a wrong shape or type, or that cannot be read, goes to quarantine while the others stay; so does an archive that
     cannot be read, or whose members have different numbers of frames, and then none of its members counts. Depths that
     are not finite or not positive become 0. Objects in archives are never loaded. Without archives the tables are
-    empty, and files without a byte are passed over, as Spark does not read them. A frame of depths is one list until it is split into pixels, and an archive is read by one task.
+    empty, and files without a byte are passed over, as Spark does not read them. A frame of depths is one list until it
+    is split into pixels, and an archive is read by one task.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", "true").load(path)
     files.select("path", "content").mapInArrow(_parsed, _OUT).write.mode("overwrite").partitionBy("kind").parquet(f"{store.rstrip('/')}/parsed")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from scenelake.operators.masks import frame_of_label
+
 #: Vertices of one file, which a task holds at once.
 VERTICES = 1_000_000
 _VERTEX = np.dtype([(n, "<f4") for n in ("x", "y", "z", "nx", "ny", "nz")] + [(n, "u1") for n in ("red", "green", "blue")])
@@ -29,6 +31,25 @@ def read_scene(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def write_frames(df: DataFrame, path: str, size: int = 16) -> None:
+    """Stores rows by scene and bucket of ``size`` frames, so that a reader of one frame opens that bucket alone.
+
+    A bucket is written by one task and sorted by frame, so its row groups are pruned by frame too; a column called
+    bucket is replaced. Rows with a null frame are in a bucket of their own.
+    """
+    if size < 1:
+        raise ValueError("size must be positive")
+    df = df.withColumn("bucket", F.floor(F.col("frame") / size).cast("long"))
+    df.repartition("scene", "bucket").sortWithinPartitions("scene", "bucket", "frame").write.partitionBy("scene", "bucket").parquet(path)
+
+
+def read_frame(spark: SparkSession, path: str, label: str | None, size: int = 16) -> DataFrame:
+    """The stored rows of the frame that a label names, in every scene, or all; ``size`` as they were written."""
+    df = spark.read.parquet(path)
+    frame = frame_of_label(label)
+    return df.drop("bucket") if frame is None else df.where((F.col("bucket") == frame // size) & (F.col("frame") == frame)).drop("bucket")
+
+
 def write_summary(df: DataFrame, path: str) -> None:
     """One row a source: name, path, elapsed, stats, error; a failed source has an error and the status FAILED."""
     df.withColumn("status", F.when(F.col("error").isNull(), "OK").otherwise("FAILED")).write.mode("append").parquet(path)

@@ -13,7 +13,7 @@ from scenelake import params
 from scenelake.functions import arrays
 from scenelake.functions import geometry as geo
 from scenelake.operators import align, cameras, masks, sampling, scoring, stats, warp, whole
-from scenelake.sources import conditions
+from scenelake.sources import conditions, store
 from scenelake.streaming import frames
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -193,3 +193,42 @@ def test_parameters_reach_the_operators(spark):
     assert (o.height, o.width, o.kinds, o.overlap, o.threshold, o.rtol, o.degrees) == (4, 5, ("ray",), 3, 0.2, 0.03, 5.0)
     row = spark.range(1).select(*p.target(F.lit(1000), F.lit(1000)), p.sure(F.lit(0.3)).alias("no"), p.sure(F.lit(0.31)).alias("yes")).first()
     assert tuple(row) == (28, 28, False, True)
+
+
+def test_one_frame_reads_one_bucket(spark, tmp_path):
+    rows = [(s, f, v, f"x{f}") for s in (0, 1) for f in range(40) for v in range(3)] + [(0, None, 0, "n")]
+    df = spark.createDataFrame(rows, "scene long, frame long, v long, bucket string").repartition(6)
+    store.write_frames(df, str(tmp_path / "f"), 10)
+    got = store.read_frame(spark, str(tmp_path / "f"), "23: b.png", 10)
+    assert got.columns == ["frame", "v", "scene"] and sorted((r["scene"], r["frame"], r["v"]) for r in got.collect()) == [(s, 23, v) for s in (0, 1) for v in range(3)]
+    files = {r[0] for r in got.select(F.input_file_name()).collect()}
+    assert len(files) == 2 and all("/bucket=2/" in f for f in files)
+    opened = [p for p in got._jdf.queryExecution().executedPlan().collectLeaves().mkString("|").split("|") if "bucket" in p]
+    assert any("PartitionFilters" in p and "bucket" in p for p in opened)
+    assert store.read_frame(spark, str(tmp_path / "f"), "All", 10).count() == len(rows)
+
+
+def test_rejected_pixels_go(spark):
+    px = spark.createDataFrame([(0, 0, v, 0, 1.0) for v in range(3)] + [(0, 0, None, 0, 1.0)], PX)
+    rejected = spark.createDataFrame([(0, 0, 1, 0), (0, 0, 1, 0), (None, 0, 0, 0)], "scene long, frame long, v long, u long")
+    assert [r["v"] for r in masks.without(px, rejected).orderBy("v").collect()] == [None, 0, 2]
+    assert masks.without(px, rejected.limit(0)).count() == 4
+
+
+def test_overlaps_stand_side_by_side(spark):
+    """Pairs and moments against plain loops, with a chunk that is missing, pixels far from the origin and repeated rows."""
+    rng = np.random.default_rng(9)
+    rows = [("s", c, f, 0, u, *(1e4 + rng.normal(size=3)).tolist(), bool(rng.random() < 0.8)) for c in (0, 1, 2, 4) for f in range(c, c + 3) for u in range(12)]
+    df = spark.createDataFrame(rows + [("s", 1, 2, 0, 0, 1.0, 1.0, 1.0, None)], "scene string, chunk long, frame long, v long, u long, x double, y double, z double, accepted boolean")
+    have = {(r[1], r[2], r[4]): np.array(r[5:8]) for r in rows if r[8]}
+    got = {r["chunk"]: r for r in align.overlap_moments(align.overlap_pairs(df)).collect()}
+    assert sorted(got) == [1, 2]
+    for c in (1, 2):
+        keys = [(f, u) for (k, f, u) in have if k == c and (c - 1, f, u) in have]
+        s, t = (np.array([have[k, f, u] for f, u in keys]) for k in (c, c - 1))
+        n = len(keys)
+        ms, mt = s.sum(0) / (n + 1e-6), t.sum(0) / (n + 1e-6)
+        h = (s - ms).T @ (t - mt)
+        assert got[c]["n"] == n and np.allclose([got[c][f"ms{a}"] for a in "xyz"], ms) and np.allclose([got[c][f"mt{a}"] for a in "xyz"], mt)
+        assert np.allclose([[got[c][f"h{i}{j}"] for j in range(3)] for i in range(3)], h, atol=1e-5) and np.isclose(got[c]["square"], ((s - ms) ** 2).sum(), atol=1e-5)
+    assert align.overlap_moments(align.overlap_pairs(df.limit(0))).count() == 0

@@ -11,7 +11,7 @@ from scenelake.operators import align, masks, sampling, stats, trajectory
 from scenelake.plans import scene, views
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("embeddings", "events", "lineitem", "nation", "part")
+TABLES = ("embeddings", "events", "lineitem", "nation", "part", "supplier")
 QUERIES, SQL = scene.QUERIES | views.QUERIES, scene.SQL | views.SQL
 
 
