@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenelake.functions import geometry as geo
+from scenelake.functions.joins import spread_join
 from scenelake.functions.naming import keeps_columns
 
 FRAME = ["scene", "frame"]
@@ -46,7 +47,7 @@ def depth_to_world(px: DataFrame, cameras: DataFrame, z_far: float = 0.0, focal:
 def metric_points(points: DataFrame, scales: DataFrame, columns: tuple[str, ...] = ("x", "y", "z", "lx", "ly", "lz")) -> DataFrame:
     """Points times exp(raw) of their scene; ``scales`` has scene and raw. Scenes without a scale stay as they are."""
     metric = F.coalesce(F.exp("_raw"), F.lit(1.0))
-    points = points.join(scales.select("scene", F.col("raw").alias("_raw")), "scene", "left")
+    points = spread_join(points, scales.select("scene", F.col("raw").alias("_raw")), ["scene"], "left")
     return points.withColumns({c: F.col(c) * metric for c in columns if c in points.columns}).drop("_raw")
 
 

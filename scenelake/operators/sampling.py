@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from scenelake.functions.joins import spread_join
 from scenelake.functions.naming import keeps_columns
 
 
@@ -44,7 +45,7 @@ def assign_chunks(frames: DataFrame, size: int = 16, overlap: int = 6, table: Da
     hop = size - overlap
     total = (F.max("frame") + 1).cast("long")
     last = (frames if table is None else table).groupBy("scene").agg(F.greatest(F.lit(0), F.ceil((total - size) / hop)).cast("long").alias("_last"))
-    frames = frames.join(last, "scene")
+    frames = spread_join(frames, last, ["scene"])
     first = F.greatest(F.lit(0), F.ceil((F.col("frame") - size + 1) / hop)).cast("long")
     last = F.least(F.floor(F.col("frame") / hop).cast("long"), F.col("_last"))
     frames = frames.withColumn("chunk", F.explode(F.sequence(first, last))).drop("_last")

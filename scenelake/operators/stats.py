@@ -6,20 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenelake.functions.geometry import hsv_channel, quantize
+from scenelake.functions.joins import spread_join
 from scenelake.functions.naming import keeps_columns
 
 
-#: Tasks that share the rows of a group in joins with what is known of it.
-SALTS = 32
-
-
-def _joined(left: DataFrame, right: DataFrame, by: list[str], salt: Column) -> DataFrame:
-    """left join right (one row for each ``by``), a group's rows dealt by ``salt`` to SALTS tasks."""
-    left = left.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int"))
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, [*by, "_salt"]).drop("_salt")
-
-
 def exact_quantiles(df: DataFrame, by: list[str], column: str, quantiles: list[float], lower: bool = False, accuracy: int = 10_000, cells: int = 1000) -> DataFrame:
     """(by, quantiles): exact quantiles of each group's values, however large a group is; nulls are left out.
 
@@ -36,7 +26,7 @@ def exact_quantiles(df: DataFrame, by: list[str], column: str, quantiles: list[f
     ends = [p for q in quantiles for p in (max(0.0, q - slack), min(1.0, q + slack))]
     rough = values.groupBy(*names).agg(F.count("*").alias("_n"), F.percentile_approx("_x", ends, accuracy).alias("_e"))
     brackets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("q"), F.col("_e")[2 * i].alias("low"), F.col("_e")[2 * i + 1].alias("high")) for i, q in enumerate(quantiles)])
-    rows = _joined(values, rough.select(*names, "_n", brackets.alias("_b")), names, F.monotonically_increasing_id())
+    rows = spread_join(values, rough.select(*names, "_n", brackets.alias("_b")), names)
     x, key = F.col("_x"), [*names, "_i"]
     rows = rows.select(*names, "_n", "_x", F.inline("_b")).withColumnRenamed("i", "_i")
     side = F.when(x < F.col("low"), -1).when(x > F.col("high"), 1).otherwise(0)
@@ -47,7 +37,7 @@ def exact_quantiles(df: DataFrame, by: list[str], column: str, quantiles: list[f
     inside = counted.where("_side = 0")
     parts = [i / cells for i in range(1, cells)]
     cuts = inside.groupBy(*key).agg(F.percentile_approx("_v", parts, 10 * cells).alias("_cuts"))
-    celled = _joined(inside.select(*key, "_v", "_c"), cuts, key, F.xxhash64("_v")).select(*key, "_v", "_c", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_cell"))
+    celled = spread_join(inside.select(*key, "_v", "_c"), cuts, key).select(*key, "_v", "_c", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_cell"))
     sums = celled.groupBy(*key, "_cell").agg(F.sum("_c").alias("_s"))
     before = F.coalesce(F.sum("_s").over(Window.partitionBy(*key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.withColumn("_start", before)
@@ -56,7 +46,9 @@ def exact_quantiles(df: DataFrame, by: list[str], column: str, quantiles: list[f
     wanted = known.select(*key, "_below", F.posexplode(ranks).alias("_which", "_rank")).withColumn("_rank", F.col("_rank") - F.col("_below")).drop("_below")
     cell = sums.join(wanted, key).where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_s")))
     chosen = cell.select(*key, "_cell", "_which", (F.col("_rank") - F.col("_start")).alias("_left"))
-    listed = celled.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int")).join(chosen.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*key, "_cell", "_salt"])
+    # a cell may be chosen for two ranks
+    chosen = chosen.groupBy(*key, "_cell").agg(F.collect_list(F.struct("_which", "_left")).alias("_ranks"))
+    listed = spread_join(celled, chosen, [*key, "_cell"]).select(*key, "_v", "_c", F.inline("_ranks"))
     listed = listed.groupBy(*key, "_which", "_left").agg(F.array_sort(F.collect_list(F.struct("_v", "_c"))).alias("_in"))
     # the first value at which more are counted than are left
     start = F.struct(F.col("_left").alias("left"), F.lit(None).cast("double").alias("v"))
@@ -100,7 +92,7 @@ def normalize_depth(px: DataFrame, how: str = "mean") -> DataFrame:
     Null and non-positive depths do not enter a factor and are divided all the same; a null scene has no rows. A column
     called factor is replaced.
     """
-    return px.drop("factor").join(depth_factor(px, how), "scene").withColumn("d", F.col("d") / (F.col("factor") + 1e-8))
+    return spread_join(px.drop("factor"), depth_factor(px, how), ["scene"]).withColumn("d", F.col("d") / (F.col("factor") + 1e-8))
 
 
 def pose_scale(cameras: DataFrame, static: float = 0.02) -> DataFrame:
@@ -171,7 +163,7 @@ def ramp_colors(px: DataFrame, gray: str = "gray", valid: str = "valid") -> Data
 def softmax_pool(scored: DataFrame, group: str, score: str, vector: str) -> DataFrame:
     """(group, i, value): vectors averaged by the softmax of their scores, element by element."""
     most = scored.groupBy(group).agg(F.max(score).alias("_most"))
-    w = scored.join(most, group).withColumn("_w", F.exp(F.col(score) - F.col("_most")))
+    w = spread_join(scored, most, [group]).withColumn("_w", F.exp(F.col(score) - F.col("_most")))
     long = w.select(group, "_w", F.posexplode(vector).alias("i", "_x"))
     return long.groupBy(group, "i").agg((F.sum(F.col("_w") * F.col("_x").cast("double")) / F.sum("_w")).alias("value"))
 
@@ -197,4 +189,4 @@ def frame_similarity(tokens: DataFrame, q: str = "q", k: str = "k", heads: int =
 
     sums = means(k, "k").groupBy("scene", "i").agg(F.sum("k").alias("k"))
     scale = F.sqrt(F.count("*") / heads)
-    return means(q, "q").join(sums, ["scene", "i"]).groupBy("scene", "frame").agg((F.sum(F.col("q") * F.col("k")) / scale).alias("score"))
+    return spread_join(means(q, "q"), sums, ["scene", "i"]).groupBy("scene", "frame").agg((F.sum(F.col("q") * F.col("k")) / scale).alias("score"))
