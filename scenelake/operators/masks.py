@@ -54,7 +54,12 @@ def displayed(conf: Column, percent: float | None = 10) -> Column:
 
 @keeps_columns
 def depth_edges(px: DataFrame, rtol: float = 0.03, atol: float | None = None, kernel: int = 3, depth: str = "d", valid: str = "valid") -> DataFrame:
-    """Adds ``depth_edge``: the spread of valid depths around a pixel is large, absolutely or against its own depth."""
+    """Adds ``depth_edge``: the spread of valid depths around a pixel is large, absolutely or against its own depth.
+
+    A null flag is not valid; a null depth is left out of the spread around it and counts as 0 for itself, so that any
+    spread is an edge. Rows with a null v or u are a line of their own; repeated rows are all seen. A column of that
+    name is replaced.
+    """
     d, r = F.when(F.col(valid), F.col(depth)), kernel // 2
     px = _pooled(px, r, _most=(d, F.max), _least=(d, F.min))
     spread = F.coalesce(F.col("_most") - F.col("_least"), F.lit(float("-inf")))
@@ -64,15 +69,20 @@ def depth_edges(px: DataFrame, rtol: float = 0.03, atol: float | None = None, ke
 
 @keeps_columns
 def normals(px: DataFrame, point: tuple[str, str, str] = ("lx", "ly", "lz"), valid: str = "valid") -> DataFrame:
-    """Adds ``nx, ny, nz`` and ``has_normal`` from the four cross products of differences to neighbours."""
-    here = F.struct(F.col(valid).alias("ok"), *[F.when(F.col(valid), F.col(c)).otherwise(0.0).alias(c) for c in point])
+    """Adds ``nx, ny, nz`` and ``has_normal`` from the four cross products of differences to neighbours.
+
+    A null flag is not valid; null coordinates of a valid pixel make the normals around it null. Of rows that repeat a
+    pixel one is each other's neighbour, which is none. Columns of these names are replaced.
+    """
+    sure = F.coalesce(F.col(valid), F.lit(False))
+    here = F.struct(sure.alias("ok"), *[F.when(sure, F.col(c)).otherwise(0.0).alias(c) for c in point])
     px = px.withColumn("_p", here)
     px = _near(_near(px, "v", F.col("_p"), 1, _up=-1, _down=1), "u", F.col("_p"), 1, _left=-1, _right=1)
     delta = {n: tuple(F.coalesce(F.col(n)[c], F.lit(0.0)) - F.col("_p")[c] for c in point) for n in ("_up", "_left", "_down", "_right")}
     ok = {n: F.coalesce(F.col(n)["ok"], F.lit(False)) for n in delta}
     parts, oks = [], []
     for a, b in (("_up", "_left"), ("_left", "_down"), ("_down", "_right"), ("_right", "_up")):
-        oks.append(ok[a] & ok[b] & F.col(valid))
+        oks.append(ok[a] & ok[b] & sure)
         parts.append([F.when(oks[-1], x).otherwise(0.0) for x in unit(*cross(delta[a], delta[b]))])
     px = px.withColumns({f"_n{i}": parts[0][i] + parts[1][i] + parts[2][i] + parts[3][i] for i in range(3)})
     px = px.withColumn("has_normal", oks[0] | oks[1] | oks[2] | oks[3])

@@ -232,3 +232,18 @@ def test_overlaps_stand_side_by_side(spark):
         assert got[c]["n"] == n and np.allclose([got[c][f"ms{a}"] for a in "xyz"], ms) and np.allclose([got[c][f"mt{a}"] for a in "xyz"], mt)
         assert np.allclose([[got[c][f"h{i}{j}"] for j in range(3)] for i in range(3)], h, atol=1e-5) and np.isclose(got[c]["square"], ((s - ms) ** 2).sum(), atol=1e-5)
     assert align.overlap_moments(align.overlap_pairs(df.limit(0))).count() == 0
+
+
+def test_stencils_take_nulls_repeats_and_nothing(spark):
+    rows = [(0, 0, v, u, None if (v, u) == (1, 1) else 1.0 + v * u, 1.0, 1.0, 1.0, None if (v, u) == (2, 2) else True) for v in range(3) for u in range(3)]
+    rows += [(0, 0, 0, 0, 1.0, 1.0, 1.0, 1.0, True), (0, 0, None, 0, 1.0, 1.0, 1.0, 1.0, True)]
+    px = spark.createDataFrame(rows, "scene long, frame long, v long, u long, d double, lx double, ly double, lz double, valid boolean")
+    got = masks.edges(px)
+    by_place = {(r["v"], r["u"]): r for r in got.collect()}
+    assert got.count() == len(rows) and all(r[c] is not None for r in by_place.values() for c in ("depth_edge", "has_normal", "normal_edge", "edge"))
+    assert not by_place[2, 2]["has_normal"] and by_place[1, 1]["depth_edge"] and not by_place[None, 0]["edge"]
+    counts = masks.edge_counts(got).first()
+    assert counts["n_valid"] == 10 and counts["n_final"] <= min(counts["n_depth"], counts["n_normal"])
+    none = px.limit(0).selectExpr("*", "d AS conf", "0L AS chunk", "valid AS accepted")
+    for out in (masks.edges(none), masks.edge_counts(masks.edges(none)), masks.top_share(none), stats.stretch_depth(none), sampling.tile_stats(none, 2), warp.mask_priors(none, none, 0.5), stats.recover_intrinsics(none, 2, 2), sampling.assign_chunks(none.drop("chunk"))):
+        assert out.count() == 0
