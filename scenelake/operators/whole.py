@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from scenelake.functions import arrays
 
@@ -59,3 +60,36 @@ def frame_edges(frames: DataFrame, height: int, width: int, rtol: float = 0.03,
 def edge_counts(frames: DataFrame, height: int, width: int, rtol: float = 0.03, degrees: float = 5.0) -> DataFrame:
     """scene, frame, n_valid, n_depth, n_normal and n_final of frame_edges."""
     return frame_edges(frames, height, width, rtol, degrees).select("scene", "frame", *COUNTS)
+
+
+def with_edges(px: DataFrame, height: int, width: int, rtol: float = 0.03, degrees: float = 5.0) -> DataFrame:
+    """Pixels, all columns, with depth_edge, normal_edge and edge as masks.edges adds them, frame by frame as arrays.
+
+    One shuffle brings a frame's pixels to a task, which holds height * width of them; masks.edges needs no size and
+    sorts its windows nine times instead. Pixels without a place in the frame have no edge and are no neighbours; of
+    pixels that repeat a place the last one given is seen. Null flags and depths that are null or not positive are not
+    valid. Columns of these names are replaced.
+    """
+    flags = ("depth_edge", "normal_edge", "edge")
+    px = px.drop(*flags)
+
+    def run(table: pa.Table) -> pa.Table:
+        number = lambda c: table[c].cast(pa.float64()).to_numpy()
+        v, u = np.nan_to_num(number("v"), nan=-1).astype(np.int64), np.nan_to_num(number("u"), nan=-1).astype(np.int64)
+        inside = (v >= 0) & (v < height) & (u >= 0) & (u < width)
+        v, u = v[inside], u[inside]
+        d, points, valid = np.zeros((height, width)), np.zeros((height, width, 3)), np.zeros((height, width), bool)
+        d[v, u] = np.nan_to_num(number("d")[inside])
+        valid[v, u] = table["valid"].fill_null(False).to_numpy()[inside]
+        for i, c in enumerate(("lx", "ly", "lz")):
+            points[v, u, i] = number(c)[inside]
+        valid &= d > 0
+        found = [arrays.depth_edges(np.where(valid, d, 0.0), rtol), arrays.normal_edges(points, valid, degrees)]
+        for name, flag in zip(flags, [*found, found[0] & found[1]], strict=True):
+            out = np.zeros(len(inside), bool)
+            out[inside] = flag[v, u]
+            table = table.append_column(name, pa.array(out))
+        return table
+
+    kind = StructType([*px.schema.fields, *[StructField(n, BooleanType()) for n in flags]])
+    return px.groupBy("scene", "frame").applyInArrow(run, kind)

@@ -312,7 +312,7 @@ rk AS (SELECT *, rank() OVER (PARTITION BY scene, chunk, frame ORDER BY conf DES
 SELECT scene, chunk, frame, v, u, CASE WHEN n < 10 THEN k <= 6 ELSE conf > 0.9985 END AS accepted FROM rk""")
 def topk_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted pixels after edges lose their confidence; chunks with hardly any take each frame's top tenth instead."""
-    px = masks.suppress(masks.edges(pixels(spark, sf_dir)))
+    px = masks.suppress(whole.with_edges(pixels(spark, sf_dir), 8, 8))
     px = sampling.assign_chunks(px, table=frames(spark, sf_dir)).withColumn("accepted", masks.above(F.col("conf"), 0.9985))
     return masks.top_share(px).select("scene", "chunk", "frame", "v", "u", "accepted")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scenelake.functions import geometry as geo
 from scenelake.operators import cameras as views
-from scenelake.operators import masks, sampling, stats, trajectory
+from scenelake.operators import masks, sampling, stats, trajectory, whole
 from scenelake.plans.scene import _CHUNKS, _EDGES, _PX, _r, cameras, frames, pixels, r4
 from scenelake.sources.frames import capacity_metrics
 
@@ -185,7 +185,7 @@ def valid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_PX + _EDGES + f"SELECT scene, frame, v, u, {_r('CASE WHEN edge THEN 0 ELSE conf END', 'conf')} FROM ed")
 def suppressed_conf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidences, 0 at edges."""
-    return masks.suppress(masks.edges(pixels(spark, sf_dir))).select("scene", "frame", "v", "u", r4("conf", "conf"))
+    return masks.suppress(whole.with_edges(pixels(spark, sf_dir), 8, 8)).select("scene", "frame", "v", "u", r4("conf", "conf"))
 
 
 _BEST = """WITH t AS (SELECT l_returnflag AS model, l_linestatus AS resolution, 4 AS tiles, l_linenumber AS n, l_discount < 0.08 AND l_linenumber < 6 AND l_returnflag <> 'R' AS ok,

@@ -89,6 +89,12 @@ def test_whole_frames_equal_their_pixels(spark):
     for r in whole.frame_edges(spark.createDataFrame(rows, schema), 5, 7).collect():
         assert all((r["depth_edge"][i], r["normal_edge"][i], r["edge"][i]) == flags[r["frame"], i // 7, i % 7] for i in range(35))
     assert whole.edge_counts(spark.createDataFrame([], schema), 5, 7).count() == 0
+    extra = pixels.selectExpr("*", "v * 7 + u AS place", "'old' AS edge")
+    outside = spark.createDataFrame([(0, 0, None, 1, 9.0, 9.0, 9.0, 9.0, True), (0, 0, 9, 0, 9.0, 9.0, 9.0, 9.0, None)], pixels.schema).selectExpr("*", "-1L AS place", "'old' AS edge")
+    seen = whole.with_edges(extra.unionByName(outside), 5, 7).collect()
+    assert len(seen) == len(px) + 2 and all((r["depth_edge"], r["normal_edge"], r["edge"]) == flags.get((r["frame"], r["v"], r["u"]), (False,) * 3) for r in seen)
+    assert all(r["place"] == (-1 if r["v"] in (None, 9) else r["v"] * 7 + r["u"]) for r in seen)
+    assert whole.with_edges(extra.limit(0), 5, 7).count() == 0
     one = np.ones((1, 1))
     assert not arrays.depth_edges(one).any() and not arrays.normal_edges(np.ones((1, 1, 3)), one > 0).any()
 
