@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.llm.common import attach, fresh, key, ranked, remove, saved, unkey
+from scenelake.llm.common import attach, fresh, hot_keys, key, ranked, remove, saved, unkey
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -45,7 +45,7 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
 def with_ordinal(df: DataFrame, column: str, name: str) -> DataFrame:
     """Adds ``name``: the place of a text among the distinct values of its column, in their order; nulls count as "".
 
-    Values are ranked by a distributed sort and joined back by value, frequent values by broadcast.
+    Values are ranked by a distributed sort and joined back by value, frequent values spread over tasks.
     """
     (value,) = fresh(df, f"_{name}")
     df = df.withColumn(value, F.coalesce(F.col(column).cast("string"), F.lit("")))
@@ -105,14 +105,16 @@ def _placed(docs: DataFrame, shards: int, bits: int) -> DataFrame:
     rows = docs.select(
         key().alias("k"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).substr(1, 32).alias("copy_of"), "lang", "source",
     )
+    rows, rows_path = saved(rows, "shard-rows")  # the texts are read and hashed once
     # one row a group: the partial aggregate keeps a hot text to one row for each task
-    groups = rows.groupBy("copy_of").agg(F.min(F.struct("k", "lang", "source", "size")).alias("first"))
-    groups = groups.select("copy_of", F.col("first.k").alias("first_k"), *[F.col(f"first.{c}").alias(c) for c in ("lang", "source", "size")])
+    groups = rows.groupBy("copy_of").agg(F.min(F.struct("k", "lang", "source", "size")).alias("first"), F.count("*").alias("copies"))
+    groups = groups.select("copy_of", "copies", F.col("first.k").alias("first_k"), *[F.col(f"first.{c}").alias(c) for c in ("lang", "source", "size")])
     groups, groups_path = saved(with_ordinal(with_ordinal(groups, "lang", "lang_no"), "source", "source_no").drop("lang", "source"), "groups")
     groups = hilbert_order(groups, {"lang": F.col("lang_no"), "source": F.col("source_no"), "size": F.col("size")}, bits)
-    placed = attach(rows.select("k", "size", "text_crc32", "copy_of"), groups.select("copy_of", "hilbert", "first_k"), "copy_of")
+    hot = hot_keys(groups, "copy_of", "copies")
+    placed = attach(rows.select("k", "size", "text_crc32", "copy_of"), groups.select("copy_of", "hilbert", "first_k"), "copy_of", hot=hot)
     table, _ = ranked(placed, "hilbert", "first_k", "copy_of", "k", "size", "text_crc32", name="hilbert")
-    remove(docs.sparkSession, groups_path)
+    remove(docs.sparkSession, groups_path, rows_path)
 
     def inside(ranks: list[int]) -> set[int]:
         wanted = {x for r in ranks for x in (r - 1, r)}  # about 40 for each shard

@@ -311,6 +311,67 @@ def curve_place(first: dict, body: bytes, bits: int = 7) -> int:
     return int(sharding.hilbert_index(np.array([[0, 0, np.searchsorted(cuts, len(body) + 8, side="left")]]), bits)[0])
 
 
+def test_attach_spreads_a_key_with_most_rows(spark):
+    """Also a key of several columns, and right rows that are absent."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        left = spark.range(20_000).selectExpr("struct(CASE WHEN id < 15000 THEN 7 ELSE id END AS a, 'x' AS b) AS key", "id")
+        right = left.select("key").distinct().where("key.a % 2 = 1").selectExpr("key", "key.a * 2 AS value")
+        out = common.attach(left, right, "key", "left")
+        held = out.groupBy(F.spark_partition_id()).count().collect()
+        got = {r["id"]: r["value"] for r in out.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 20_000 and all(got[i] == 14 for i in range(15_000)) and got[15_000] is None and got[15_001] == 30_002
+    assert max(r["count"] for r in held) < 2 * 20_000 / 8
+
+
+def test_few_files_are_open_at_once(spark, tmp_path):
+    for i in range(5):
+        common.write_arrays(f"file://{tmp_path}", f"part-{i:03d}", {"x": np.arange(i + 1)})
+    found = common.Mapped(f"file://{tmp_path}", "part-{:03d}", files=2)
+    assert [found[i]["x"].tolist() for i in (0, 3, 1, 4, 0)] == [list(range(i + 1)) for i in (0, 3, 1, 4, 0)]
+    assert len(found) == 2 and found[9] == {} and len(found) == 2
+
+
+@pytest.mark.parametrize(("dimensions", "bits"), [(2, 1), (2, 4), (3, 1), (3, 3), (4, 2)])
+def test_the_curve_visits_every_cell_by_single_steps(dimensions, bits):
+    """What makes a Hilbert curve: all cells once, each next to the one before, and aligned blocks without a break."""
+    cells = np.array(list(itertools.product(range(1 << bits), repeat=dimensions)))
+    place = sharding.hilbert_index(cells, bits)
+    assert sorted(place) == list(range(len(cells)))
+    path = cells[np.argsort(place)]
+    assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
+    for b in range(1, bits):
+        blocks = (path >> b) @ (1 << bits * np.arange(dimensions))
+        assert (np.diff(blocks) != 0).sum() + 1 == len(np.unique(blocks))
+
+
+def test_shards_follow_the_curve_of_three_dimensions(spark):
+    """Order of documents of many languages, sources and sizes, by a curve that is looked up in its list of cells."""
+    rng, bits = random.Random(12), 2
+    rows = [(i, "t" * rng.randint(0, 60) + str(i), rng.choice(["de", "en", None, "fr"]), rng.choice([f"s{j}" for j in range(9)])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    path = [tuple(c) for c in sorted(itertools.product(range(4), repeat=3), key=lambda c: int(sharding.hilbert_index(np.array([c]), bits)[0]))]
+    columns = []
+    for values in ([r[2] or "" for r in rows], [r[3] for r in rows]):
+        names = sorted(set(values))
+        columns.append([names.index(v) for v in values])
+    columns.append([len(r[1].encode()) + 8 for r in rows])
+    cells = []
+    for values in columns:
+        ranked = sorted(values)
+        cuts = sorted({ranked[max(0, -(-i * len(ranked) // 4) - 1)] for i in (1, 2, 3)})
+        cells.append([sum(c < v for c in cuts) for v in values])
+    want = sorted(range(300), key=lambda i: (path.index(tuple(c[i] for c in cells)), i))
+    got = sharding.hilbert_shards(docs, 7, bits).orderBy("shard", "slot").collect()
+    assert [r["doc_id"] for r in got] == want
+
+
 def test_cuts_keep_groups_together():
     rng = random.Random(7)
     for _ in range(200):
