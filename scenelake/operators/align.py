@@ -40,7 +40,12 @@ def overlap_moments(pairs: DataFrame) -> DataFrame:
 
 
 def _sim3(n: np.ndarray, ms: np.ndarray, mt: np.ndarray, h: np.ndarray, square: np.ndarray, least: int = 10) -> np.ndarray:
-    """Similarities (rows, 4, 4) from counts, means (rows, 3), cross sums (rows, 3, 3) and variance sums of the source."""
+    """Similarities (rows, 4, 4) from counts, means (rows, 3), cross sums (rows, 3, 3) and variance sums of the source,
+    both about the means.
+
+    The reference adds 1e-6 to counts and variances against divisions by zero. In doubles that would bend each step by
+    up to 1e-6 of its size, which adds up along a scene, so it is left out; a source that is one point has scale 0.
+    """
     m = np.tile(np.eye(4), (len(n), 1, 1))
     ok = np.flatnonzero(n >= least)
     if len(ok):
@@ -49,7 +54,8 @@ def _sim3(n: np.ndarray, ms: np.ndarray, mt: np.ndarray, h: np.ndarray, square:
         flip = np.ones((len(ok), 3))
         flip[:, 2] = np.sign(np.linalg.det(v @ ut))
         r = (v * flip[:, None, :]) @ ut
-        scale = (s * flip).sum(1) / (square[ok] / (n[ok] + 1e-6) * n[ok] + 1e-6)
+        wide = square[ok] > 1e-28 * n[ok] * (ms[ok] ** 2).sum(1)  # more than the rounding of equal points
+        scale = np.where(wide, (s * flip).sum(1) / np.where(wide, square[ok], 1.0), 0.0)
         m[ok, :3, :3] = scale[:, None, None] * r
         m[ok, :3, 3] = mt[ok] - (m[ok, :3, :3] @ ms[ok][:, :, None])[:, :, 0]
     return m
@@ -58,7 +64,7 @@ def _sim3(n: np.ndarray, ms: np.ndarray, mt: np.ndarray, h: np.ndarray, square:
 def sim3_of(source: np.ndarray, target: np.ndarray, least: int = 10) -> np.ndarray:
     """The same for the common points (3, n) of one chunk and the one before, as a 4x4 matrix."""
     n = source.shape[1]
-    ms, mt = source.sum(1) / (n + 1e-6), target.sum(1) / (n + 1e-6)
+    ms, mt = source.sum(1) / max(n, 1), target.sum(1) / max(n, 1)
     s, t = source - ms[:, None], target - mt[:, None]
     return _sim3(np.array([n]), ms[None], mt[None], (s @ t.T)[None], np.array([(s**2).sum()]), least)[0]
 
@@ -69,8 +75,11 @@ def sim3(moments: DataFrame) -> DataFrame:
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             of = lambda names: part[names].to_numpy(float)  # noqa: B023, E731
-            h = of([f"h{i}{j}" for i in range(3) for j in range(3)]).reshape(-1, 3, 3)
-            m = _sim3(part["n"].to_numpy(float), of([f"ms{c}" for c in "xyz"]), of([f"mt{c}" for c in "xyz"]), h, part["square"].to_numpy(float))
+            n, h = part["n"].to_numpy(float), of([f"h{i}{j}" for i in range(3) for j in range(3)]).reshape(-1, 3, 3)
+            # from means over n + 1e-6, and sums about these, to the true means
+            ds, dt = (of([f"m{a}{c}" for c in "xyz"]) * (1e-6 / n)[:, None] for a in "st")
+            h, square = h - n[:, None, None] * ds[:, :, None] * dt[:, None, :], part["square"].to_numpy(float) - n * (ds**2).sum(1)
+            m = _sim3(n, of([f"ms{c}" for c in "xyz"]) + ds, of([f"mt{c}" for c in "xyz"]) + dt, h, square)
             yield pd.DataFrame({"scene": part["scene"], "chunk": part["chunk"], "n": part["n"], "m": list(m.reshape(-1, 16))})
 
     kind = dict(moments.dtypes)

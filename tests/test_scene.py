@@ -118,3 +118,15 @@ def test_quantiles_are_exact(spark, n):
         assert np.allclose(got[0], np.quantile(x, qs)) and got[1] == [7.0] * 5 and 2 not in got
         low = stats.exact_quantiles(df, ["g"], "x", [0.5], lower=True, accuracy=accuracy).where("g = 0").first()["quantiles"]
         assert low == [np.sort(x)[(n - 1) // 2]]
+
+
+def test_similarities_have_no_bias(spark):
+    rng = np.random.default_rng(2)
+    q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+    q *= np.sign(np.linalg.det(q))
+    s = 0.5 * rng.normal(size=(20, 3)) + [40, -30, 20]
+    t = 1.7 * s @ q.T + [1, -2, 3]
+    pairs = spark.createDataFrame(pd.DataFrame({"scene": 0, "chunk": 1, **{f"s{c}": s[:, i] for i, c in enumerate("xyz")}, **{f"t{c}": t[:, i] for i, c in enumerate("xyz")}}))
+    for m in (align.sim3_of(s.T, t.T), np.array(align.sim3(align.overlap_moments(pairs)).first()["m"]).reshape(4, 4)):
+        assert np.allclose(m[:3, :3], 1.7 * q, rtol=0, atol=1e-11) and np.allclose(m[:3, 3], [1, -2, 3], rtol=0, atol=1e-9)
+    assert not align.sim3_of(np.ones((3, 20)) * 0.1, t.T)[:3, :3].any()  # a source of one point has no scale
