@@ -533,10 +533,7 @@ def warp_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_ZOOM + _judged("j", "nr") + ", " + _judged("n", "ns") + """ SELECT scene, frame, v, u, j.seen OR n.seen AS seen, j.seen AS linear FROM j JOIN n USING (scene, frame, v, u)""")
 def warp_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linear sampling, filled by the nearest pixel where only that holds, and where the linear one holds."""
-    px, pairs, k = pixels(spark, sf_dir).where("v < 6"), _moved_pairs(spark, sf_dir), _zooms(spark, sf_dir)
-    out = warp.warp_combined(px, pairs, k, 6, 8)
-    linear = warp.warp(px, pairs, k, 6, 8).select("scene", "frame", "v", "u", F.col("mask").alias("linear"))
-    return out.join(linear, ["scene", "frame", "v", "u"]).select("scene", "frame", "v", "u", F.col("mask").alias("seen"), "linear")
+    return _warped(spark, sf_dir, warp.warp_combined).select("scene", "frame", "v", "u", F.col("mask").alias("seen"), "linear")
 
 
 @_query(_PX + f"""SELECT scene, frame, {_r('c / 8', 'q00')}, {_r('-c * 3.5 / 8 + s', 'q02')}, {_r('tx', 'q03')}, 0::BIGINT AS off FROM cam""")

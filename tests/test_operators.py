@@ -253,3 +253,37 @@ def test_stencils_take_nulls_repeats_and_nothing(spark):
     none = px.limit(0).selectExpr("*", "d AS conf", "0L AS chunk", "valid AS accepted")
     for out in (masks.edges(none), masks.edge_counts(masks.edges(none)), masks.top_share(none), stats.stretch_depth(none), sampling.tile_stats(none, 2), warp.mask_priors(none, none, 0.5), stats.recover_intrinsics(none, 2, 2), sampling.assign_chunks(none.drop("chunk"))):
         assert out.count() == 0
+
+
+def test_warps_gather_frames_once(spark):
+    """Pixels are never multiplied by their corners: no row is exploded, and both modes share one pass."""
+    rng = np.random.default_rng(5)
+    rows = [(0, f, v, u, float(1 + 0.02 * rng.random())) for f in (0, 1) for v in range(4) for u in range(5) if (f, v, u) not in ((1, 2, 2), (0, 3, 3))]
+    rows += [(0, 1, 1, 1, 0.5), (0, 0, 3, 3, None), (0, 0, None, 3, 1.0), (0, 0, 0, 9, 1.0), (0, 0, 2, 1, rows[11][4])]  # repeated, null, outside, repeated
+    px = spark.createDataFrame(rows, PX)
+    m = np.eye(4)
+    m[:2, 3] = 0.3, -0.2
+    pairs = spark.createDataFrame([(0, 0, 1, m.ravel().tolist()), (0, 1, 0, None), (0, 1, 7, np.eye(4).ravel().tolist())], "scene long, frame long, other long, m array<double>")
+    out = warp.warp_combined(px, pairs, (5.0, 4.0, 2.5, 2.0), 4, 5)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["frame"], r["other"], r["v"], r["u"]): r for r in out.collect()}
+    assert len(got) == len(out.collect()) == len({r[2:4] for r in rows if r[1] == 0}) + 2 * len({r[2:4] for r in rows if r[1] == 1})
+    grid = np.zeros((4, 5))
+    for _, f, v, u, d in rows:
+        if f == 1:
+            grid[v, u] += d
+    for (v, u) in {r[2:4] for r in rows if r[1] == 0}:
+        r, ds = got[0, 1, v, u], [x[4] for x in rows if x[1:4] == (0, v, u)]
+        if v is None or None in ds:
+            assert r["wx"] is None and not r["mask"] and r["error"] == float("inf")
+            continue
+        z, x, y = ds[0], (u + 0.5 - 2.5) / 5 * ds[0] + 0.3, (v + 0.5 - 2) / 4 * ds[0] - 0.2
+        at_x, at_y = (5 * x + 2.5 * z) / (z + 1e-4), (4 * y + 2 * z) / (z + 1e-4)
+        seen = len(ds) * sum(max(0, 1 - abs(at_y - 0.5 - i)) * max(0, 1 - abs(at_x - 0.5 - j)) * grid[i, j] for i in range(4) for j in range(5))
+        inside = 0 < at_x < 4 and 0 < at_y < 3
+        assert r["linear"] == (inside and seen != 0 and abs((seen - z) / seen) < 0.05)
+        near = len(ds) * (grid[int(np.floor(at_y)), int(np.floor(at_x))] if 0 <= at_y < 4 and 0 <= at_x < 5 else 0.0)
+        assert r["mask"] == (r["linear"] or (inside and near != 0 and abs((near - z) / near) < 0.05))
+        assert np.isclose(r["wx"], 2 * at_x / 5 - 1) and np.isclose(r["wy"], 2 * at_y / 4 - 1)
+    assert any(r["mask"] for r in got.values()) and all(r["wx"] is None for k, r in got.items() if k[:2] == (1, 0))
+    assert all(r["error"] == float("inf") for k, r in got.items() if k[:2] == (1, 7))  # nothing is seen in a frame without pixels
