@@ -12,8 +12,8 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from scenelake.functions import arrays
 
-#: Pixels that are worked on at once.
-PIXELS = 1 << 20
+#: Pixels that are worked on at once; each takes about 700 bytes meanwhile.
+PIXELS = 1 << 16
 COUNTS = ("n_valid", "n_depth", "n_normal", "n_final")
 
 

@@ -287,3 +287,19 @@ def test_warps_gather_frames_once(spark):
         assert np.isclose(r["wx"], 2 * at_x / 5 - 1) and np.isclose(r["wy"], 2 * at_y / 4 - 1)
     assert any(r["mask"] for r in got.values()) and all(r["wx"] is None for k, r in got.items() if k[:2] == (1, 0))
     assert all(r["error"] == float("inf") for k, r in got.items() if k[:2] == (1, 7))  # nothing is seen in a frame without pixels
+
+
+def test_whole_frames_are_worked_on_in_small_parts():
+    import tracemalloc
+
+    from scenelake.functions import arrays
+
+    n = whole.PIXELS // 64
+    points, valid = np.random.default_rng(1).random((8, 8, n, 3)), np.ones((8, 8, n), bool)
+    tracemalloc.start()
+    try:
+        arrays.depth_edges(points[..., 2])
+        arrays.normal_edges(points, valid)
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    finally:
+        tracemalloc.stop()
