@@ -15,8 +15,13 @@ from scenelake.functions.naming import keeps_columns
 FRAME = ("scene", "frame")
 
 
+#: Tasks for each of Spark's shuffle partitions: rows are several times as wide in the windows as in the shuffle.
+SPREAD = 4
+
+
 def by_frame(px: DataFrame) -> DataFrame:
-    return px.repartition(*FRAME)
+    parts = SPREAD * int(px.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return px.repartition(parts, *FRAME)
 
 
 def _along(axis: str, radius: int | None = None):

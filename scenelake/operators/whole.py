@@ -12,7 +12,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from scenelake.functions import arrays
 
-#: Pixels that are worked on at once; each takes about 700 bytes meanwhile.
+#: Pixels that are worked on at once; the stencils take about 260 bytes for each.
 PIXELS = 1 << 16
 COUNTS = ("n_valid", "n_depth", "n_normal", "n_final")
 

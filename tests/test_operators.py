@@ -303,3 +303,9 @@ def test_whole_frames_are_worked_on_in_small_parts():
         assert tracemalloc.get_traced_memory()[1] < 100 << 20
     finally:
         tracemalloc.stop()
+
+
+def test_stencils_deal_frames_to_more_tasks(spark):
+    px = spark.createDataFrame([(0, 0, 0, 0, 1.0)], PX)
+    parts = masks.SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert masks.by_frame(px).rdd.getNumPartitions() == parts == 32
