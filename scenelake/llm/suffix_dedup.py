@@ -85,6 +85,15 @@ def loosened(blob: bytes) -> np.ndarray:
     return np.cumsum(raw.reshape(8, -1).T.copy().view("<u8")[:, 0], dtype=np.uint64)
 
 
+def pressed(body: bytes) -> bytes:
+    """The bytes of a chunk as they are stored and shuffled."""
+    return zstandard.ZstdCompressor().compress(body)
+
+
+def _body(column: pa.Array, i: int) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(column[i].as_py())
+
+
 class _Values:
     """The distinct prefix hashes of a chunk's suffixes, in order, and where their buckets begin.
 
@@ -189,7 +198,7 @@ def _packed(docs: DataFrame, window: int) -> tuple[DataFrame, str]:
         def chunk() -> pa.RecordBatch:
             columns = list(zip(*held, strict=True))
             lists = [pa.array([c], pa.list_(pa.int64())) for c in columns[:6]]
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([n]), *lists, pa.array([b"".join(columns[6])], pa.binary())], names=["chunk", "n", "k", "text_hash", "row", "base", "size", "own", "body"])
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([n]), *lists, pa.array([pressed(b"".join(columns[6]))], pa.binary())], names=["chunk", "n", "k", "text_hash", "row", "base", "size", "own", "body"])
 
         for batch in batches:
             for k, t, body, row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -275,7 +284,7 @@ def _spans(docs: DataFrame, chunks: DataFrame, window: int) -> tuple[DataFrame,
         b = b + window - 1
         parts = [body[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
         lists = [pa.array([x], pa.list_(pa.int64())) for x in (at[a], b - a, late)]
-        return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([int(left.sum())]), *lists, pa.array([b"".join(parts)], pa.binary())], names=["chunk", "n", "at", "size", "late", "body"])
+        return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([int(left.sum())]), *lists, pa.array([pressed(b"".join(parts))], pa.binary())], names=["chunk", "n", "at", "size", "late", "body"])
 
     # first pass: chosen suffixes by the first digit, and whole texts
     n_parts = partitions(docs.sparkSession)
@@ -285,18 +294,18 @@ def _spans(docs: DataFrame, chunks: DataFrame, window: int) -> tuple[DataFrame,
     def send_chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, chunk in enumerate(batch.column(0).to_pylist()):
-                _, h = chosen(batch.column(2)[i].as_py(), _numbers(batch.column(1), i), one)
+                _, h = chosen(_body(batch.column(2), i), _numbers(batch.column(1), i), one)
                 yield from emitted(chunk, _Values(h, None, bits_one, n_one))
 
     def send_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, chunk in enumerate(batch.column(0).to_pylist()):
-                yield from emitted(chunk, whole_texts(batch.column(2)[i].as_py(), _numbers(batch.column(1), i))[1])
+                yield from emitted(chunk, whole_texts(_body(batch.column(2), i), _numbers(batch.column(1), i))[1])
 
     def keep_chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, chunk in enumerate(batch.column(0).to_pylist()):
-                body, sizes = batch.column(2)[i].as_py(), _numbers(batch.column(1), i)
+                body, sizes = _body(batch.column(2), i), _numbers(batch.column(1), i)
                 at, h = chosen(body, sizes, one)
                 found = _Values(h, None, bits_one, n_one)
                 recurs = (found.counts > 1) | found.flags(batch.column(3)[i].as_py())
@@ -325,14 +334,14 @@ def _spans(docs: DataFrame, chunks: DataFrame, window: int) -> tuple[DataFrame,
     def send_left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, chunk in enumerate(batch.column(0).to_pylist()):
-                _, h = chosen(batch.column(4)[i].as_py(), _numbers(batch.column(2), i), two)
+                _, h = chosen(_body(batch.column(4), i), _numbers(batch.column(2), i), two)
                 yield from emitted(chunk, _Values(h, None, bits_two, n_two))
 
     def keep_left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, chunk in enumerate(batch.column(0).to_pylist()):
                 places, sizes, late = (_numbers(batch.column(c), i) for c in (1, 2, 3))
-                body = batch.column(4)[i].as_py()
+                body = _body(batch.column(4), i)
                 at, h = chosen(body, sizes, two)
                 found = _Values(h, None, bits_two, n_two)
                 recurs = (found.counts > 1) | found.flags(batch.column(5)[i].as_py())
@@ -357,13 +366,13 @@ def _spans(docs: DataFrame, chunks: DataFrame, window: int) -> tuple[DataFrame,
     def send_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, chunk in enumerate(batch.column(0).to_pylist()):
-                yield from emitted(chunk, whole(batch.column(4)[i].as_py(), _numbers(batch.column(2), i))[1])
+                yield from emitted(chunk, whole(_body(batch.column(4), i), _numbers(batch.column(2), i))[1])
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, chunk in enumerate(batch.column(0).to_pylist()):
                 places, sizes, texts = (_numbers(batch.column(c), i) for c in (1, 2, 3))
-                at, found = whole(batch.column(4)[i].as_py(), sizes)
+                at, found = whole(_body(batch.column(4), i), sizes)
                 late = np.ones(len(at), bool)
                 late[found.first] = False  # all but the first with a window are late, and that if a lower chunk has it
                 late |= found.flags(batch.column(5)[i].as_py())[found.number]
@@ -442,7 +451,7 @@ def _cut(docs: DataFrame, window: int, text: bool) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 k, t, row, base, size, own = (_numbers(batch.column(c), i) for c in range(1, 7))
-                body = batch.column(7)[i].as_py()
+                body = _body(batch.column(7), i)
                 starts, stops = (np.zeros(0, np.int64) if not batch.column(c)[i].is_valid else _numbers(batch.column(c), i) for c in (8, 9))
                 at = np.cumsum(size) - size
                 # windows lie within parts, so no run of removed bytes is cut by where a part ends in the chunk but touching ones
@@ -468,7 +477,7 @@ def _cut(docs: DataFrame, window: int, text: bool) -> DataFrame:
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, t, row, base, alone, body, starts, stops in parts_of(batches):
             if not alone:
-                yield arrays([*kinds[:2], *part_kinds], [(k, t, row, base, body, starts, stops)])
+                yield arrays([*kinds[:2], *part_kinds], [(k, t, row, base, pressed(body), starts, stops)])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, last = None, None
@@ -479,7 +488,7 @@ def _cut(docs: DataFrame, window: int, text: bool) -> DataFrame:
                     yield arrays(kinds, [made.row()])
                     made = None
                 made, last = made or _Text(k, t, text), row
-                made.add(batch.column(4)[i].as_py(), _numbers(batch.column(5), i), _numbers(batch.column(6), i))
+                made.add(_body(batch.column(4), i), _numbers(batch.column(5), i), _numbers(batch.column(6), i))
         if made:
             yield arrays(kinds, [made.row()])
 

@@ -98,6 +98,19 @@ def test_suffix_dedup_of_a_text_beyond_16_mib(spark):
     assert tuple(got) == (1, len(body), 900, 3, hashlib.sha256(kept).hexdigest())
 
 
+def test_suffix_dedup_shuffles_chunks_pressed(spark):
+    rng = random.Random(31)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=4000)) for _ in range(20)]
+    docs = spark.createDataFrame([*enumerate(texts), (20, None), (21, "")], "doc_id long, text string")
+    with common.scratch(spark):
+        chunks, _ = suffix_dedup._packed(docs, 100)
+        size, stored = chunks.agg(F.sum("n"), F.sum(F.length("body"))).first()
+    assert size == sum(map(len, texts)) and stored < 0.6 * size
+    blank = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert [tuple(r)[1:4] for r in suffix_dedup.dedup_windows(blank).collect()] == [(0, 0, 0)] * 2
+
+
 def test_suffix_dedup_of_repeated_ids(spark):
     rng = random.Random(22)
     # capitals end texts and passages, so that no repeat goes on by chance
